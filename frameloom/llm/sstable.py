@@ -315,7 +315,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> l
     path, n_docs, n_ids), of which there are as many as shuffle partitions at most."""
     parts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
     parts = parts.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return sorted(parts.mapInArrow(lambda it: _write(it, folder, tokenizer, end_id), "part int, path string, n_docs long, n_ids long").collect())
+    return sorted(parts.mapInArrow(lambda it: _write(it, folder, tokenizer, end_id), "part long, path string, n_docs long, n_ids long").collect())
 
 
 def read_shards(spark: SparkSession, shards: list, folder: str) -> DataFrame:
