@@ -40,7 +40,7 @@ MAGIC = b"FLSSTAB1"
 FOOTER = struct.Struct("<6QII8s")
 BLOCK_BYTES = 128 * 1024
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-MEMO = 1_000_000
+MEMO = 600_000
 #: Marks that make one pre-token after letters; without the apostrophe, with which contractions begin.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 

@@ -29,7 +29,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Texts in which white space is other than single spaces and single line ends between other characters.
 IRREGULAR = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$"
 #: Entries a worker's memo holds before it starts anew.
-MEMO = 1_000_000
+MEMO = 600_000
 #: Marks that make one pre-token after letters; without the apostrophe, with which contractions begin.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
