@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import decontamination, jaccard_join, quality_classifier, quality_rules, sstable, token_counts
+from frameloom.llm import decontamination, jaccard_join, quality_classifier, quality_rules, sstable, suffix_tree, token_counts
 from frameloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -36,7 +40,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op8_token_shards, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op7_suffix_tree, op8_token_shards, op9_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
