@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import Words, column
+from frameloom.llm.common import Words, column, slices
 
 SEED = 3
 #: Marks that words lose at their ends.
@@ -102,7 +102,7 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 def _tally(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     items: Items = shared.value
     counts, total = np.zeros(len(items.vocab) + 1, np.int64), 0
-    for batch in batches:
+    for batch in slices(batches):
         words = Words(column(batch, "text"))
         numbers = np.array([items.vocab.get(plain(w), len(items.vocab)) for w in words.distinct], np.int64)
         counts += np.bincount(numbers[words.codes], minlength=len(counts)) if len(words.codes) else 0
@@ -114,7 +114,7 @@ def _tally(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
 def _search(batches: Iterable[pa.RecordBatch], shared, threshold: float, passage: int) -> Iterator[pa.RecordBatch]:
     items: Items = shared.value
     none, skip = len(items.vocab), -1
-    for batch in batches:
+    for batch in slices(batches):
         words = Words(column(batch, "text"))
         numbers = np.fromiter((items.vocab.get(p, none) if (p := plain(w)) else skip for w in words.distinct), np.int64, len(words.distinct))
         seq = numbers[words.codes]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import Words, column, materialize
+from frameloom.llm.common import Words, column, materialize, slices
 from frameloom.llm.components import components
 
 WORDS = 5
@@ -37,7 +37,7 @@ BANDS, ROWS = 4, 3
 #: Shingles found by as many texts of one chunk, and of all, come last in the order; at most HOT_MOST of them, as the
 #: order is one for all and so serves any choice.
 HOT_CHUNK, HOT_ALL, HOT_MOST = 3, 32, 500_000
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 #: Prefix shingles that meet in one task.
 BUCKET = 1_500_000
 #: Identifiers that are broadcast; more are joined by a shuffle.
@@ -118,7 +118,7 @@ def _hot(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, n = h[n >= HOT_CHUNK], n[n >= HOT_CHUNK]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for s in shingle_sets(column(batch, "text")):
             if len(s) and (k := set_id(s)) not in seen:
                 seen.add(k)
@@ -134,7 +134,7 @@ def _describe(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBa
     hot = shared.value
     rng = np.random.default_rng(4)
     factors = rng.integers(0, 2**63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1)
-    for batch in batches:
+    for batch in slices(batches):
         sid, n, bands, maps, prefixes = [], [], [], [], []
         for s in shingle_sets(column(batch, "text")):
             n.append(len(s))
@@ -259,7 +259,7 @@ def _tiles(table: pa.Table) -> pa.Table:
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted: a first set, then those to be compared with it."""
     first, first_set = None, None
-    for batch in batches:
+    for batch in slices(batches):
         a, b = column(batch, "a").to_pylist(), column(batch, "b").to_pylist()
         out = []
         for x, y, s in zip(a, b, shingle_sets(column(batch, "text"))):

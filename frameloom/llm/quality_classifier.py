@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import Words, column
+from frameloom.llm.common import Words, column, slices
 from frameloom.llm.stats import text_stats
 
 BUCKETS = 2**13
@@ -138,7 +138,7 @@ class Machine:
 
 
 def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = column(batch, "text")
         words = Words(texts)
         stats = structure(texts, words, column(batch, "n_chars"))
@@ -152,7 +152,7 @@ def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Machine = shared.value
-    for batch in batches:
+    for batch in slices(batches):
         texts = column(batch, "text")
         if model.constant is not None:
             scores = np.full(batch.num_rows, model.constant)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import column, materialize
+from frameloom.llm.common import column, materialize, slices
 from frameloom.llm.stats import text_stats
 
 Stats = dict[str, np.ndarray]
@@ -97,7 +97,7 @@ RULES: dict[str, Callable[[Stats], np.ndarray]] = {
 
 
 def _features(batches: Iterable[pa.RecordBatch], rules: dict) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         s = text_stats(column(batch, "text"))
         cols = {"doc_id": column(batch, "doc_id")} | {k: pa.array(s[k]) for k in BASE} | {f"v_{k}": pa.array(f(s)) for k, f in rules.items()}
         yield pa.RecordBatch.from_pydict(cols)
