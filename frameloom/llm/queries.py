@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import decontamination, jaccard_join, quality_classifier, quality_rules, sstable, suffix_tree, token_counts
+from frameloom.llm import decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, secret_scan, sstable, suffix_tree, token_counts
 from frameloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.lm_scores(table(spark, sf_dir, "documents"))
 
@@ -39,9 +43,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op7_suffix_tree, op8_token_shards, op9_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op6_secret_scan, op7_suffix_tree, op8_token_shards, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_license_scan": license_scan.oracle_sql()}
