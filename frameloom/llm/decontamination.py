@@ -111,44 +111,55 @@ def _tally(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(counts[seen], total))], names=["word", "n"])
 
 
-def _search(batches: Iterable[pa.RecordBatch], shared, threshold: float, passage: int) -> Iterator[pa.RecordBatch]:
-    items: Items = shared.value
+def hits(texts: pa.Array, items: Items, threshold: float, passage: int) -> Iterator[tuple[int, int, float, int, int]]:
+    """Row, item, score and first and last word of each text's best passage for each item that it matches."""
     none, skip = len(items.vocab), -1
+    words = Words(texts)
+    numbers = np.fromiter((items.vocab.get(p, none) if (p := plain(w)) else skip for w in words.distinct), np.int64, len(words.distinct))
+    seq = numbers[words.codes]
+    real = np.flatnonzero(seq != skip)
+    starts = np.searchsorted(real, words.starts)
+    seq = seq[real]
+    if len(seq) < SEED or not len(items.keys):
+        return
+    at = np.flatnonzero(items.gate[seq[:-2]] & (seq[1:-1] != none) & (seq[2:] != none))
+    if not len(at):
+        return
+    keys = seed_keys(np.stack([seq[at], seq[at + 1], seq[at + 2]]).T.reshape(-1))[::3]
+    slot = np.minimum(np.searchsorted(items.keys, keys), len(items.keys) - 1)
+    hit = items.keys[slot] == keys
+    at, slot = at[hit], slot[hit]
+    doc = np.searchsorted(starts, at, side="right") - 1
+    inside = at + 2 < starts[doc + 1]
+    places: dict[tuple[int, int], list[int]] = {}
+    for p, s, d in zip(at[inside].tolist(), slot[inside].tolist(), doc[inside].tolist()):
+        for k, i in items.where[s]:
+            places.setdefault((d, k), []).append(p - i)
+    for (d, k), begins in places.items():
+        item, low, high = items.words[k], int(starts[d]), int(starts[d + 1])
+        best = (0, 0, 0)
+        for first, last in clusters(sorted(begins), len(item)):
+            a, b = max(low, first - len(item) // 2), min(high, last + len(item) * 3 // 2)
+            score, x, y = align(item, seq[a:b])
+            if score > best[0]:
+                best = (score, a + x, a + y)
+        if best[0] >= MATCH * min(threshold * len(item), passage):
+            yield d, items.ids[k], best[0] / (MATCH * len(item)), int(real[best[1]] - words.starts[d]), int(real[best[2]] - words.starts[d])
+
+
+def _search(batches: Iterable[pa.RecordBatch], shared, threshold: float, passage: int) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        words = Words(column(batch, "text"))
-        numbers = np.fromiter((items.vocab.get(p, none) if (p := plain(w)) else skip for w in words.distinct), np.int64, len(words.distinct))
-        seq = numbers[words.codes]
-        real = np.flatnonzero(seq != skip)
-        starts = np.searchsorted(real, words.starts)
-        seq = seq[real]
-        if len(seq) < SEED or not len(items.keys):
-            continue
-        at = np.flatnonzero(items.gate[seq[:-2]] & (seq[1:-1] != none) & (seq[2:] != none))
-        if not len(at):
-            continue
-        keys = seed_keys(np.stack([seq[at], seq[at + 1], seq[at + 2]]).T.reshape(-1))[::3]
-        slot = np.minimum(np.searchsorted(items.keys, keys), len(items.keys) - 1)
-        hit = items.keys[slot] == keys
-        at, slot = at[hit], slot[hit]
-        doc = np.searchsorted(starts, at, side="right") - 1
-        inside = at + 2 < starts[doc + 1]
-        places: dict[tuple[int, int], list[int]] = {}
-        for p, s, d in zip(at[inside].tolist(), slot[inside].tolist(), doc[inside].tolist()):
-            for k, i in items.where[s]:
-                places.setdefault((d, k), []).append(p - i)
-        out, ids = [], column(batch, "doc_id").to_pylist()
-        for (d, k), begins in places.items():
-            item, low, high = items.words[k], int(starts[d]), int(starts[d + 1])
-            best = (0, 0, 0)
-            for first, last in clusters(sorted(begins), len(item)):
-                a, b = max(low, first - len(item) // 2), min(high, last + len(item) * 3 // 2)
-                score, x, y = align(item, seq[a:b])
-                if score > best[0]:
-                    best = (score, a + x, a + y)
-            if best[0] >= MATCH * min(threshold * len(item), passage):
-                out.append((ids[d], items.ids[k], best[0] / (MATCH * len(item)), int(real[best[1]] - words.starts[d]), int(real[best[2]] - words.starts[d])))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], schema=pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
+        found = list(hits(column(batch, "text"), shared.value, threshold, passage))
+        if found:
+            rows, *rest = zip(*found)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(rows)), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.float64(), pa.int64(), pa.int64())))], names=["doc_id", "item_id", "score", "first_word", "last_word"])
+
+
+def _clean(batches: Iterable[pa.RecordBatch], shared, threshold: float, passage: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[h[0] for h in hits(column(batch, "text"), shared.value, threshold, passage)]] = False
+        yield batch.filter(pa.array(keep))
 
 
 def clusters(begins: list[int], reach: int) -> Iterator[tuple[int, int]]:
@@ -175,25 +186,38 @@ def blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, s
         yield rows
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, passage: int = 15, chance: float = 1.0, least: int = 4, block_chars: int = 8_000_000) -> DataFrame:
-    """doc_id, item_id, score (1: every word of the item in order), first_word and last_word of the passage, for each
-    document (doc_id, text) with a passage that scores at least `threshold` against an item (item_id, text), or as much as
-    `passage` words of it in order."""
-    spark = docs.sparkSession
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    found = spark.createDataFrame([], RESULT)
+def prepared(docs: DataFrame, benchmark: DataFrame, chance: float, least: int, block_chars: int) -> Iterator:
+    """Blocks of items with their seeds, broadcast one at a time."""
+    spark, texts = docs.sparkSession, docs.select("text")
     for rows in blocks(benchmark, block_chars):
         items = Items(rows)
         if not items.ids:
             continue
         first = spark.sparkContext.broadcast(items)
-        tallied = texts.select("text").mapInArrow(lambda it, b=first: _tally(it, b), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+        tallied = texts.mapInArrow(lambda it, b=first: _tally(it, b), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
         counts, total = np.zeros(len(items.vocab), np.int64), 0
         for r in tallied:
             if r["word"] < 0:
                 total = r["n"]
             else:
                 counts[r["word"]] = r["n"]
-        shared = spark.sparkContext.broadcast(items.seed(counts, total, chance, least))
+        yield spark.sparkContext.broadcast(items.seed(counts, total, chance, least))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, passage: int = 15, chance: float = 1.0, least: int = 4, block_chars: int = 8_000_000) -> DataFrame:
+    """doc_id, item_id, score (1: every word of the item in order), first_word and last_word of the passage, for each
+    document (doc_id, text) with a passage that scores at least `threshold` against an item (item_id, text), or as much as
+    `passage` words of it in order."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    found = docs.sparkSession.createDataFrame([], RESULT)
+    for shared in prepared(docs, benchmark, chance, least, block_chars):
         found = found.unionByName(texts.mapInArrow(lambda it, b=shared: _search(it, b, threshold, passage), RESULT))
     return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, passage: int = 15, chance: float = 1.0, least: int = 4, block_chars: int = 8_000_000) -> DataFrame:
+    """The rows of docs, with all their columns, that contaminated() doesn't find."""
+    out = docs
+    for shared in prepared(docs, benchmark, chance, least, block_chars):
+        out = out.mapInArrow(lambda it, b=shared: _clean(it, b, threshold, passage), docs.schema)
+    return out

@@ -336,3 +336,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, but those of a component other than its smallest identifier; of rows with
+    one identifier, one. Rows without identifier stay, as none can be told from others."""
+    found = materialize(jaccard_components(docs), "components")
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    n_rows, n_ids = found.where("doc_id is not null").agg(F.count("*"), F.countDistinct("doc_id")).first()
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    if n_rows != n_ids:
+        named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        kept = named.unionByName(kept.where("doc_id is null"))
+    return kept

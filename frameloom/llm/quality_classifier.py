@@ -153,16 +153,25 @@ def _examples(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
     model: Machine = shared.value
     for batch in slices(batches):
-        texts = column(batch, "text")
-        if model.constant is not None:
-            scores = np.full(batch.num_rows, model.constant)
-        else:
-            words = Words(texts)
-            scores = 1 / (1 + np.exp(-np.clip(model.logits(words, structure(texts, words, column(batch, "n_chars"))), -700, 700)))
+        scores = _scores(model, column(batch, "text"), column(batch, "n_chars"))
         keep = {f: column(batch, f) for f in batch.schema.names if f not in ("text", "n_chars")}
         yield pa.RecordBatch.from_pydict(keep | {"score": pa.array(scores, pa.float64())})
 
 
+def _scores(model: Machine, texts: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    if model.constant is not None:
+        return np.full(len(texts), model.constant)
+    words = Words(texts)
+    return 1 / (1 + np.exp(-np.clip(model.logits(words, structure(texts, words, n_chars)), -700, 700)))
+
+
+def _accept(batches: Iterable[pa.RecordBatch], shared, least: float) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        texts = column(batch, "text")
+        n_chars = column(batch, "n_chars") if "n_chars" in batch.schema.names else pc.utf8_length(texts)
+        yield batch.filter(pa.array(_scores(shared.value, texts, n_chars) >= least))
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows never learned from; a null identifier counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -188,3 +197,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, mod
     shared = docs.sparkSession.sparkContext.broadcast(model or fit_classifier(docs, labels, max_rows))
     out = _plain(docs).mapInArrow(lambda it: _score(it, shared), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, least: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score at least `least`. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit_classifier(docs, labels, max_rows))
+    return docs.mapInArrow(lambda it: _accept(it, shared, least), docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, secret_scan, sstable, suffix_tree, token_counts
+from frameloom.llm import decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_scan, sstable, suffix_tree, token_counts
 from frameloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op6_secret_scan, op7_suffix_tree, op8_token_shards, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op6_secret_scan, op7_suffix_tree, op8_token_shards, op9_token_counts, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
