@@ -1,16 +1,53 @@
-"""The corpus pipeline: quality, near duplicates, decontamination, secrets and encoding, in this order."""
+"""The corpus pipeline: quality, near duplicates, decontamination, secrets and encoding, in this order.
+
+Each stage takes what its predecessor kept, with the columns of documents; the last one returns token ids.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from frameloom.llm import decontamination, jaccard_join, quality_classifier, secret_scan, sentencepiece_scan
+from frameloom.llm.common import table
+from frameloom.runtime import make_importable
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    make_importable(spark)
+    return jaccard_join.deduplicated(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark for each secret."""
+    return secret_scan.redacted(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    make_importable(spark)
+    return sentencepiece_scan.token_lists(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("secrets", secrets), ("encode", encode)]
+#: The classifier's training and the segmentation can't be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
