@@ -36,7 +36,7 @@ PART, WHOLE = 100, 75
 BANDS, ROWS = 4, 3
 #: Shingles found by as many texts of one chunk, and of all, come last in the order; at most HOT_MOST of them, as the
 #: order is one for all and so serves any choice.
-HOT_CHUNK, HOT_ALL, HOT_MOST = 3, 32, 500_000
+HOT_CHUNK, HOT_ALL, HOT_MOST = 2, 8, 1_000_000
 CHUNK = 2_000_000
 #: Prefix shingles that meet in one task.
 BUCKET = 1_500_000
@@ -316,7 +316,8 @@ def prefix_pairs(seen: DataFrame, roots: DataFrame) -> DataFrame:
     runs = materialize(dealt.groupBy("bucket").applyInArrow(_runs, "h long, sid long, root long, n long"), "runs")
     wanted = runs.select("sid").distinct()
     maps = seen.join(wanted, "sid").groupBy("sid").agg(F.first("bitmap").alias("bitmap"))
-    tiles = runs.join(maps, "sid").withColumn("tile", F.shiftrightunsigned("h", 64 - power))
+    # entries come with their bitmaps now, so tiles are finer
+    tiles = runs.join(maps, "sid").withColumn("tile", F.shiftrightunsigned("h", 64 - power - 5))
     return tiles.groupBy("tile").applyInArrow(_tiles, "a long, b long").distinct()
 
 
