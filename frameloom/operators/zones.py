@@ -1,7 +1,7 @@
 """The first zone that holds a point.
 
-Zones are settings: at most `most` are gathered for a camera, as an array in the order of the list, and joined by the
-camera; points are not multiplied and not shuffled. More zones than that are joined row by row. Inactive zones and
+Zones are settings: a camera's are gathered as an array in the order of the list and joined by the camera, so points are
+not multiplied. Up to `most` zones in all are broadcast and points not shuffled; more are joined by a shuffle. Inactive zones and
 polygons of fewer than three corners hold nothing; a point without coordinates or camera has no zone.
 """
 
@@ -16,13 +16,8 @@ from frameloom.functions.geometry import in_polygon
 def classify(points: DataFrame, zones: DataFrame, most: int = 10_000) -> DataFrame:
     """points (camera_id, x, y, ...) with zone_id; zones: camera_id, zone_ord, zone_id, polygon, is_active."""
     active = zones.where("is_active").select("camera_id", F.struct("zone_ord", "zone_id", "polygon").alias("zone"))
-    if active.count() > most:
-        keyed = points.withColumn("_row", F.monotonically_increasing_id())
-        hit = keyed.join(active, "camera_id", "left")
-        inside = in_polygon(F.col("x"), F.col("y"), F.col("zone.polygon"))
-        first = hit.groupBy("_row", *points.columns).agg(F.min_by(F.when(inside, F.col("zone.zone_id")), F.when(inside, F.col("zone.zone_ord"))).alias("zone_id"))
-        return first.drop("_row")
     lists = active.groupBy("camera_id").agg(F.sort_array(F.collect_list("zone")).alias("_zones"))
-    joined = points.join(F.broadcast(lists), "camera_id", "left")
+    few = active.count() <= most
+    joined = points.join(F.broadcast(lists) if few else lists, "camera_id", "left")
     held = F.filter("_zones", lambda z: in_polygon(F.col("x"), F.col("y"), z["polygon"]))
     return joined.withColumn("zone_id", F.get(held, F.lit(0))["zone_id"]).drop("_zones")
