@@ -34,7 +34,7 @@ from frameloom.llm.common import column, materialize, slices, strings
 #: Fixed value: the symbol that stands for a space in pieces.
 SPACE = "▁"
 CUTS = re.compile(f"\\n|(?<!{SPACE}){SPACE}")
-MEMO = 600_000
+MEMO = 400_000
 CHUNK = 32_768
 LOWEST = -(2**60)
 DIGEST = "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long, decoded_crc32 long"
@@ -74,15 +74,13 @@ class Model:
 
     def matches(self, s: str, i: int) -> Iterator[tuple[int, int]]:
         """Ends and scores of pieces that begin at a place; the place's own symbol counts in any case."""
-        pieces, starts = self.pieces, self.starts
-        end, alone = i + 1, True
+        pieces, starts, end = self.pieces, self.starts, i + 1
+        if s[i] not in pieces:
+            yield end, self.unknown
         while end <= len(s) and (sub := s[i:end]) in starts:
             if sub in pieces:
-                alone &= end > i + 1
                 yield end, pieces[sub][1]
             end += 1
-        if alone:
-            yield i + 1, self.unknown
 
     def ids_between(self, s: str, cuts: list[int]) -> bytes:
         out = []
@@ -91,32 +89,37 @@ class Model:
             out.extend([found[0]] if found else [self.bytes_id[x] for x in s[a:b].encode("utf-8", "surrogatepass")])
         return np.array(out, self.dtype).tobytes()
 
-    def best(self, s: str, begin: int, end: int) -> tuple[list[int], int]:
-        """Cuts of the best way from one place to another, and its score; pieces may not reach past the end."""
-        score = [LOWEST] * (end + 1)
-        back = [-1] * (end + 1)
-        score[begin] = 0
-        for i in range(begin, end):
-            if score[i] == LOWEST:
-                continue
-            here = score[i]
-            for e, gain in self.matches(s, i):
-                if e <= end and here + gain > score[e]:
-                    score[e], back[e] = here + gain, i
-        cuts = [end]
-        while cuts[-1] != begin:
+    def best(self, s: str) -> tuple[list[int], int]:
+        """Cuts of the best way through a segment, and its score."""
+        n, starts, find, unknown = len(s), self.starts, self.pieces.get, self.unknown
+        score, back = [LOWEST] * (n + 1), [0] * (n + 1)
+        score[0] = 0
+        for i in range(n):
+            here, end = score[i], i + 1
+            sub = s[i]
+            if sub not in self.pieces and here + unknown > score[end]:
+                score[end], back[end] = here + unknown, i
+            while sub in starts:
+                found = find(sub)
+                if found and here + found[1] > score[end]:
+                    score[end], back[end] = here + found[1], i
+                end += 1
+                if end > n:
+                    break
+                sub = s[i:end]
+        cuts = [n]
+        while cuts[-1]:
             cuts.append(back[cuts[-1]])
-        return cuts[::-1], score[end]
+        return cuts[::-1], score[n]
 
     def unit(self, u: str) -> tuple[bytes, int]:
         """Ids and score of a segment that no piece reaches out of."""
         found = self.memo.get(u)
         if found is None:
-            cuts, score = self.best(u, 0, len(u))
+            cuts, score = self.best(u)
             found = self.ids_between(u, cuts), score
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            if len(u) < 64:
+            # once full it stays: common segments come early
+            if len(self.memo) < MEMO and len(u) < 64:
                 self.memo[u] = found
         return found
 

@@ -28,7 +28,7 @@ from frameloom.llm.common import column, segment_sums, strings
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Texts in which white space is other than single spaces and single line ends between other characters.
 IRREGULAR = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|[ \n][ \n]|^[ \n]|[ \n]$"
-#: Entries a worker's memo holds before it starts anew.
+#: Entries a worker's memo holds.
 MEMO = 600_000
 #: Marks that make one pre-token after letters; without the apostrophe, with which contractions begin.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -115,9 +115,8 @@ class Counter:
         if n is None:
             first = self.first
             n = merged_count([first[b] for b in piece.encode()], self.merges, self.wide)
-            if len(self.of_pretoken) >= MEMO:
-                self.of_pretoken.clear()
-            if len(piece) < 64:
+            # once full it stays: common pieces come early
+            if len(self.of_pretoken) < MEMO and len(piece) < 64:
                 self.of_pretoken[piece] = n
         return n
 
