@@ -16,14 +16,15 @@ from frameloom.functions.vectors import dot
 from frameloom.operators.vectors import centroids, knn
 
 
-def hits(probes: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
-    """query_id, index_row, person_id, sim and rank of each probe's (id, v) hits among the nearest k that are active."""
-    base = gallery.select(F.col("index_row").alias("id"), "v")
-    # a probe's id names no gallery row, so none is its own
-    found = knn(probes.select((-F.col("id") - 1).alias("id"), "v"), base, k)
+def hits(probes: DataFrame, gallery: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """query_id, index_row, person_id, sim and rank of each probe's (id, v) hits among the nearest k that are active.
+
+    exclude_self: probes are rows of the gallery, by index_row, and no hits of their own.
+    """
+    found = knn(probes.select("id", "v"), gallery.select(F.col("index_row").alias("id"), "v"), k, exclude_self)
     named = gallery.select(F.col("index_row").alias("id"), "person_id", "is_active")
     joined = found.join(named, "id").where(F.coalesce("is_active", F.lit(True)))
-    return joined.select((-F.col("query_id") - 1).alias("query_id"), F.col("id").alias("index_row"), "person_id", "sim", "rank")
+    return joined.select("query_id", F.col("id").alias("index_row"), "person_id", "sim", "rank")
 
 
 def decision(sim: Column, *, t_accept: float, t_reject: float) -> Column:
@@ -31,9 +32,9 @@ def decision(sim: Column, *, t_accept: float, t_reject: float) -> Column:
     return F.when(sim >= t_accept, "match").when(sim.isNull() | (sim <= t_reject), "create").otherwise("gray")
 
 
-def decide(probes: DataFrame, gallery: DataFrame, *, t_accept: float, t_reject: float, k: int) -> DataFrame:
+def decide(probes: DataFrame, gallery: DataFrame, *, t_accept: float, t_reject: float, k: int, exclude_self: bool = False) -> DataFrame:
     """query_id, outcome, person_id (of a match) and best_sim of each probe."""
-    best = hits(probes, gallery, k).withColumn("first", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("first = 1")
+    best = hits(probes, gallery, k, exclude_self).withColumn("first", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("first = 1")
     out = probes.select(F.col("id").alias("query_id")).join(best.select("query_id", "person_id", "sim"), "query_id", "left")
     kind = decision(F.col("sim"), t_accept=t_accept, t_reject=t_reject)
     return out.select("query_id", kind.alias("outcome"), F.when(kind == "match", F.col("person_id")).alias("person_id"), F.col("sim").alias("best_sim"))
@@ -48,10 +49,10 @@ def active_counts(gallery: DataFrame) -> DataFrame:
     return gallery.groupBy("person_id").agg(F.count_if(F.coalesce("is_active", F.lit(True))).alias("n_active"))
 
 
-def support(probes: DataFrame, gallery: DataFrame, *, min_sim_add: float, most: int, k: int) -> DataFrame:
+def support(probes: DataFrame, gallery: DataFrame, *, min_sim_add: float, most: int, k: int, exclude_self: bool = False) -> DataFrame:
     """Probes (id, v, person_id) that may join their person's prototypes: the nearest is that person's and close enough,
     and there is room."""
-    top = hits(probes, gallery, k).where("rank = 1").select("query_id", F.col("person_id").alias("hit"), "sim")
+    top = hits(probes, gallery, k, exclude_self).where("rank = 1").select("query_id", F.col("person_id").alias("hit"), "sim")
     joined = probes.join(top, F.col("id") == F.col("query_id")).join(active_counts(gallery), "person_id", "left")
     return joined.where((F.col("hit") == F.col("person_id")) & (F.col("sim") >= min_sim_add) & (F.coalesce("n_active", F.lit(0)) < most)).select("id", "person_id", "sim")
 

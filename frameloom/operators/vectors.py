@@ -30,8 +30,8 @@ def matrix(values: pa.Array) -> np.ndarray:
     return flat.reshape(len(values), -1) if len(values) else np.zeros((0, 0))
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """query_id, id, sim and rank of the k nearest of base (id, v) for each query (id, v), itself left out; exact.
+def knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True) -> DataFrame:
+    """query_id, id, sim and rank of the k nearest of base (id, v) for each query (id, v), by default but for itself; exact.
 
     Queries are taken in blocks of BLOCK, each broadcast to all of base, of which every batch keeps its own k best; ties
     go by id.
@@ -53,7 +53,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
                 if not len(own):
                     continue
                 sims = q @ v.T
-                sims[q_ids[:, None] == own[None, :]] = -np.inf
+                if exclude_self:
+                    sims[q_ids[:, None] == own[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :k]
                 rows = np.repeat(np.arange(len(q_ids)), order.shape[1])
                 best, flat = sims[rows, order.ravel()], order.ravel()
@@ -83,7 +84,7 @@ def similar_pairs(base: DataFrame, least: float, tile: int = 2048) -> DataFrame:
     copies = dealt.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
     tiles = copies.select("id", "v", "g", F.least("g", "h").alias("x"), F.greatest("g", "h").alias("y"))
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         ids, g, v = table.column("id").to_numpy(), table.column("g").to_numpy(), matrix(table.column("v"))
         x, y = key[0].as_py(), key[1].as_py()
         left, right = np.flatnonzero(g == x), np.flatnonzero(g == y)
