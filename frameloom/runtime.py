@@ -19,7 +19,7 @@ def make_importable(spark: SparkSession) -> SparkSession:
     On a cluster without that folder, ship the package with --py-files as usual.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = int(spark.conf.get(key, "0").rstrip("b") or 0)
+    held = int(spark.conf.get(key).rstrip("b"))
     if not 0 < held <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
     for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1"), ("MALLOC_TRIM_THRESHOLD_", "1048576")):
