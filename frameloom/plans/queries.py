@@ -119,7 +119,7 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_union(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {v.OBS}, {v.ZONE} SELECT event_id, zone_id, {v.armed_sql()} AS armed FROM obs, zone")
+@query(f"WITH {v.OBS}, {v.ZONE} SELECT event_id, CAST(zone_id AS BIGINT) AS zone_id, {v.armed_sql()} AS armed FROM obs, zone")
 def zone_armed(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = v.zones(spark).groupBy("camera_id").agg(F.collect_list(F.struct("zone_id", "schedule")).alias("zs"))
     rows = v.observations(spark, sf_dir).join(F.broadcast(zones), "camera_id").select("event_id", "us", F.explode("zs").alias("z"))
