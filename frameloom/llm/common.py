@@ -51,7 +51,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out
 
 
-def slices(batches: Iterable[pa.RecordBatch], name: str = "text", size: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], name: str = "text", size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about so many bytes of a text column, or of one row, which bounds what is held at once."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
