@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.geometry import Box, area, clamped, degenerate
+from frameloom.operators.groups import Arrays, map_groups
 
 
 def allowed(df: DataFrame, classes: Sequence[str], least: float) -> DataFrame:
@@ -99,11 +100,12 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, least_iou: float) -> np.ndar
 def nms(df: DataFrame, least_iou: float, least: float) -> DataFrame:
     """Non-maximum suppression of each class in each frame; ties of score go by pos. A frame's class must fit a task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        return pdf.iloc[np.sort(suppress(pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].to_numpy(float), least_iou))]
+    def work(g: Arrays) -> Arrays:
+        boxes = np.column_stack([g[c] for c in ("x1", "y1", "x2", "y2")]).astype(float)
+        kept = np.sort(suppress(boxes, g["confidence"].astype(float), least_iou))
+        return {c: v[kept] for c, v in g.items()}
 
-    return df.where(F.col("confidence") >= least).groupBy("frame", "class_name").applyInPandas(run, df.schema)
+    return map_groups(df.where(F.col("confidence") >= least), ["frame", "class_name"], ["pos"], work, df.schema)
 
 
 def with_model(df: DataFrame, load, schema: str, batch: int = 16) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.operators.groups import Arrays, map_groups
 from frameloom.operators.tracking import pairwise_iou
 
 
@@ -16,22 +16,22 @@ def greedy_match(a: DataFrame, b: DataFrame, least_iou: float = 0.0) -> DataFram
     columns = ["frame", "pos", "x1", "y1", "x2", "y2"]
     both = a.select(*columns, F.lit(0).alias("side")).unionByName(b.select(*columns, F.lit(1).alias("side")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sides = [pdf[pdf["side"] == s].sort_values("pos") for s in (0, 1)]
-        boxes = [s[["x1", "y1", "x2", "y2"]].to_numpy(float).reshape(-1, 4) for s in sides]
-        share = pairwise_iou(*boxes)
+    def work(g: Arrays) -> Arrays:
+        boxes = np.column_stack([g[c] for c in ("x1", "y1", "x2", "y2")]).astype(float)
+        first, second = (np.flatnonzero(g["side"] == s) for s in (0, 1))
+        share = pairwise_iou(boxes[first], boxes[second])
         i, j = np.nonzero(share > least_iou)
-        used, rows, (pa_, pb) = (set(), set()), [], (s["pos"].to_numpy() for s in sides)
-        for k in np.lexsort((j, i, -share[i, j])):
-            if i[k] not in used[0] and j[k] not in used[1]:
-                used[0].add(i[k])
-                used[1].add(j[k])
-                rows.append((pa_[i[k]], pb[j[k]], share[i[k], j[k]]))
-        rows += [(p, None, None) for n, p in enumerate(pa_) if n not in used[0]] + [(None, p, None) for n, p in enumerate(pb) if n not in used[1]]
-        out = pd.DataFrame(rows, columns=["a_pos", "b_pos", "iou"]).astype({"a_pos": "Int64", "b_pos": "Int64", "iou": "float64"})
-        return out.assign(frame=pdf["frame"].iloc[0])[["frame", "a_pos", "b_pos", "iou"]]
-
-    return both.groupBy("frame").applyInPandas(run, "frame long, a_pos long, b_pos long, iou double")
+        left, right, rows = set(range(len(first))), set(range(len(second))), []
+        for k in np.lexsort((j, i, -share[i, j])).tolist():
+            if i[k] in left and j[k] in right:
+                left.remove(i[k])
+                right.remove(j[k])
+                rows.append((g["pos"][first[i[k]]], g["pos"][second[j[k]]], share[i[k], j[k]]))
+        rows += [(g["pos"][first[k]], None, None) for k in sorted(left)] + [(None, g["pos"][second[k]], None) for k in sorted(right)]
+        a_pos, b_pos, both = zip(*rows)
+        return {"frame": np.repeat(g["frame"][:1], len(rows)), "a_pos": np.array(a_pos, object), "b_pos": np.array(b_pos, object), "iou": np.array(both, float)}
+
+    return map_groups(both, ["frame"], ["side", "pos"], work, "frame long, a_pos long, b_pos long, iou double")
 
 
 def parity(differences: DataFrame, key: str, value: str, limit: float) -> DataFrame:

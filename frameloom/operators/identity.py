@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.vectors import dot
+from frameloom.operators.groups import Arrays, map_groups
 from frameloom.operators.vectors import centroids, knn
 
 
@@ -110,22 +111,24 @@ def resolve_duplicates(df: DataFrame, *, t_accept: float) -> DataFrame:
     else becomes a person of its own (dup_created), or nobody without candidates. A frame is one task.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ignore_index=True)
-        used = set(pdf.loc[pdf["won"], "person_id"].dropna().astype(int))
-        out = []
-        for row in pdf.itertuples():
-            if row.won:
-                out.append((row.frame, row.pos, row.person_id, "kept"))
+    def work(g: Arrays) -> Arrays:
+        used = {int(p) for p, won in zip(g["person_id"], g["won"]) if won and not pd.isna(p)}
+        people, outcomes = [], []
+        for pid, won, options in zip(g["person_id"], g["won"], g["candidates"]):
+            if won:
+                people.append(None if pd.isna(pid) else int(pid))
+                outcomes.append("kept")
                 continue
-            options = [] if row.candidates is None else list(row.candidates)
-            free = next((c["person_id"] for c in options if c["sim"] >= t_accept and c["person_id"] not in used), None)
+            options = [] if options is None else list(options)
+            free = next((int(c["person_id"]) for c in options if c["sim"] >= t_accept and c["person_id"] not in used), None)
             if free is not None:
                 used.add(free)
-            out.append((row.frame, row.pos, free, "reassigned" if free is not None else "dup_created" if options else "none"))
-        return pd.DataFrame(out, columns=["frame", "pos", "person_id", "outcome"]).astype({"person_id": "Int64"})
+            people.append(free)
+            outcomes.append("reassigned" if free is not None else "dup_created" if options else "none")
+        return {"frame": g["frame"], "pos": g["pos"], "person_id": np.array(people, object), "outcome": np.array(outcomes, object)}
 
-    return df.groupBy("frame").applyInPandas(run, "frame long, pos long, person_id long, outcome string")
+    columns = df.select("frame", "pos", "person_id", "won", "candidates")
+    return map_groups(columns, ["frame"], ["pos"], work, "frame long, pos long, person_id long, outcome string")
 
 
 def enroll(images: DataFrame, gallery: DataFrame, *, t_accept: float, t_reject: float, k: int) -> DataFrame:
