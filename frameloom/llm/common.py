@@ -41,11 +41,6 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, whatever else a table has; a column that is missing is an error of the caller."""
-    return df.select(*columns)
-
-
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     out = batch.column(batch.schema.get_field_index(name))
     return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out
