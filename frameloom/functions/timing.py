@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 DAY_US = 86_400_000_000
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone is."""
-    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', __ts__)".replace("__ts__", "`" + ts + "`")) if isinstance(ts, str) else ts
-
-
 def frame_micros(start_us: Column, frame_idx: Column, fps: float) -> Column:
     """Time of a frame; at a rate of zero or less, the start."""
     return start_us + F.round(frame_idx / F.lit(float(fps)) * 1e6).cast("long") if fps > 0 else start_us
