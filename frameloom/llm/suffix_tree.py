@@ -1,20 +1,24 @@
 """LM scoring with a probabilistic suffix tree.
 
 Symbols are tokens: words, the end of a text, and one symbol for all tokens that training has not seen. The tree is
-grown from the root down. A context, the one to `depth` tokens before a token, is a candidate where it makes up at least
-`share` of the training tokens, so a level has at most 1 / share candidates. Its next-symbol counts are gathered from
-all training texts, tokens of at least `entry_share` of all; it is retained where they diverge from those of the suffix
-one shorter: the likelihood ratio statistic must exceed the number of counts times the logarithm of the context's count.
-The root's distribution is each token's share, with the share of tokens seen once for the unseen symbol. A retained
-context's counts are smoothed by the next shorter retained one, which gets what the counts leave over:
+grown from the root down. A context, the one to `depth` tokens before a token, is tested where training has it at least
+`least` times, at any size of the corpus; its next-symbol counts are gathered from all training texts, those of
+`entry_least` or more. It is retained where they diverge from those of the suffix one shorter: the likelihood ratio
+statistic must exceed the number of counts times the logarithm of the context's count. The root's distribution is each
+token's share, with the share of tokens seen once for the unseen symbol. A retained context's counts are smoothed by the
+next shorter retained one, which gets what the counts leave over:
 
     P(t | context) = (n(context, t) + (rest + STRENGTH) P(t | shorter)) / (n(context) + STRENGTH)
 
-and the longest retained suffix gives the probability. Counts of all tokens stay distributed; contexts, which are
-broadcast, are at most depth / share, and their counts at most depth / entry_share.
+and the longest retained suffix gives the probability.
 
-Texts are dealt out by hash into blocks of a bounded size. Each asks for the counts of its distinct tokens and gets them
-back by a join on the token.
+Counts, contexts and their entries stay distributed: the sequence of a context and its next symbol has a key, made of
+those of the sequences without its last and without its first token, so that a context's count and its suffix's entry
+are joined from the level before. Bitmaps of a bounded size, which are broadcast, leave out sequences that can't reach
+the bars; what they let through by chance is dropped by the joins.
+
+Texts are dealt out by hash into blocks of a bounded size. Each asks for the counts of its distinct tokens, contexts and
+entries and gets them back by a join.
 
 Null and empty texts are the end alone. Without any training text every token is unseen, with probability 1: N and V are
 0. A null identifier counts as the empty text in the choice of training rows. Repeated rows are counted and scored each;
@@ -24,9 +28,11 @@ other columns are ignored; an empty table gives no rows. Tokens are told apart b
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +44,12 @@ END_TOKEN = ""
 #: Strength of the shorter suffix in a smoothed distribution, in occurrences.
 STRENGTH = 4.0
 FLUSH = 400_000
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
+#: Sequences counted at once in a worker.
+CHUNK = 2_000_000
+#: Bits of a bitmap, as powers of two; it has eight for each key, within these.
+BITS = (16, 27)
+PIECE = 16
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -72,23 +83,22 @@ class Sequences:
         self.offset = np.arange(len(self.codes)) - np.repeat(self.starts[:-1], n + 1)
 
 
-def contexts(seq: Sequences, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length from 1: the places of tokens with such a context, and its hash."""
-    at, h = np.arange(len(seq.codes)), np.zeros(len(seq.codes), np.uint64)
+def contexts(seq: Sequences, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 1: the places of tokens with such a context, the context's key, that of the context's suffix
+    with the token, and that of context and token."""
+    keys = seq.hashes
     for k in range(1, depth + 1):
-        long = seq.offset[at] >= k
-        at, h = at[long], h[long]
-        h = _mixed(h + seq.hashes[at - k] * np.uint64(2) + np.uint64(k))
-        yield at, h
-
-
-def longer(h: np.ndarray, token: np.ndarray, k: int) -> np.ndarray:
-    """The contexts of length k + 1 that put a token before ones of length k."""
-    return _mixed(h + token * np.uint64(2) + np.uint64(k + 1))
+        at = np.flatnonzero(seq.offset >= k)
+        context, up = keys[at - 1], keys[at]
+        key = joint(context, up)
+        yield at, context, up, key
+        if k < depth:
+            keys = np.zeros(len(seq.codes), np.uint64)
+            keys[at] = key
 
 
-def entry(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return _mixed(context ^ _mixed(token + np.uint64(11)))
+def joint(context: np.ndarray, up: np.ndarray) -> np.ndarray:
+    return _mixed(_mixed(context + np.uint64(11)) + up * np.uint64(2))
 
 
 def _member(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -126,38 +136,74 @@ def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([size], pa.int64())], names=["token", "n"])
 
 
+def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tokens = column(batch, "token")
+        yield pa.RecordBatch.from_arrays([tokens, pa.array(token_hashes(tokens.to_pylist()).view(np.int64)), column(batch, "n")], names=["token", "key", "n"])
+
+
+def _piece(table: pa.Table) -> pa.Table:
+    cells = np.zeros(1 << PIECE, np.uint8)
+    cells[table.column("cell").to_numpy() & ((1 << PIECE) - 1)] = 1
+    return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())})
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Bits at the keys' cells, of at most 2 ** BITS[1]."""
+    power = min(max((8 * keys.count()).bit_length(), BITS[0]), BITS[1])
+    cells = keys.select(F.col("key").bitwiseAND((1 << power) - 1).alias("cell")).distinct().withColumn("piece", F.shiftright("cell", PIECE))
+    out = np.zeros((1 << power - PIECE, 1 << PIECE - 3), np.uint8)
+    for r in cells.groupBy("piece").applyInArrow(_piece, "piece long, bits binary").toLocalIterator():
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = (keys & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def _entries(batches: Iterable[pa.RecordBatch], shared, depth: int) -> Iterator[pa.RecordBatch]:
-    """Partial next-symbol counts of the candidate contexts of a length; symbol -1: all together; and, as level + 1,
-    counts of the candidates with a frequent token before."""
-    candidates, tokens, frequent = shared.value
+    """Partial counts of the sequences of a context of a length and its next symbol, where the bitmaps let both the context
+    and its suffix's entry pass."""
+    frequent, repeated = shared.value
+    held, size = [], 0
+
+    def flush() -> pa.RecordBatch:
+        context, up = (np.concatenate(c) for c in zip(*held))
+        _, first, n = np.unique(joint(context, up), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(up[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["context", "up", "n"])
+
     for batch in slices(batches):
         train = column(batch, "train").to_numpy(zero_copy_only=False)
         seq = Sequences(column(batch, "text").filter(pa.array(train)))
-        *_, (at, h) = contexts(seq, depth)
-        where = _member(candidates, h)
-        at, where = at[where >= 0], where[where >= 0]
-        if not len(at):
-            continue
-        known = _member(tokens, seq.hashes[at])
-        key = np.concatenate((where * (len(tokens) + 1), (where * (len(tokens) + 1) + known + 1)[known >= 0]))
-        keys, n = np.unique(key, return_counts=True)
-        levels = [(np.zeros(len(keys), np.int64), keys // (len(tokens) + 1), keys % (len(tokens) + 1) - 1, n)]
-        deep = seq.offset[at] > depth
-        before = _member(frequent, seq.hashes[at[deep] - depth - 1])
-        key = (where[deep] * np.int64(len(frequent) + 1) + before)[before >= 0]
-        keys, n = np.unique(key, return_counts=True)
-        levels.append((np.ones(len(keys), np.int64), keys // (len(frequent) + 1), keys % (len(frequent) + 1), n))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*levels)], names=["level", "context", "symbol", "n"])
+        *_, (_, context, up, _) = contexts(seq, depth)
+        may = may_hold(frequent, context)
+        may[may] = may_hold(repeated, up[may])
+        held.append((context[may], up[may]))
+        size += len(held[-1][0])
+        if size >= CHUNK:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
 
 
 class Tree:
     """The root's constants, and for each length the retained contexts: sorted hashes, counts and what their entries
     leave over; and the entries' sorted hashes and counts."""
 
-    def __init__(self, total: int, once: int):
+    def __init__(self, total: int, once: int, found: pa.Table, depth: int):
+        """found: rows (slot, key, a, b) of tree_rows, all or those that a block's texts need."""
         self.total = total
         self.unseen = (once + 1) / (total + 2) if total else 1.0
         self.levels: list[tuple] = []
+        slot, key = found.column("slot").to_numpy(), found.column("key").to_numpy().view(np.uint64)
+        a, b = (found.column(c).to_numpy().astype(np.float64) for c in ("a", "b"))
+        for k in range(1, depth + 1):
+            states, entries = (np.flatnonzero(slot == 2 * k + d) for d in (-1, 0))
+            states, entries = states[np.argsort(key[states])], entries[np.argsort(key[entries])]
+            self.levels.append((key[states], a[states], b[states], key[entries], a[entries]))
 
     def root(self, n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, n / max(self.total, 1) * (1 - self.unseen), self.unseen)
@@ -165,88 +211,84 @@ class Tree:
     def probabilities(self, seq: Sequences, n: np.ndarray) -> np.ndarray:
         """Of each token of the sequences; n: training counts of the distinct ones."""
         p = self.root(n)[seq.codes]
-        for (at, h), (states, totals, rest, keys, counts) in zip(contexts(seq, len(self.levels)), self.levels):
-            where = _member(states, h)
-            at, h, where = at[where >= 0], h[where >= 0], where[where >= 0]
-            hit = _member(keys, entry(h, seq.hashes[at]))
+        for (at, context, _, key), (states, totals, rest, keys, counts) in zip(contexts(seq, len(self.levels)), self.levels):
+            where = _member(states, context)
+            at, key, where = at[where >= 0], key[where >= 0], where[where >= 0]
+            hit = _member(keys, key)
             seen = np.where(hit >= 0, counts[hit], 0.0) if len(counts) else np.zeros(len(at))
             p[at] = (seen + (rest[where] + STRENGTH) * p[at]) / (totals[where] + STRENGTH)
         return p
 
 
-def grow(texts: DataFrame, vocabulary: DataFrame, total: int, depth: int, share: float, entry_share: float, strict: float) -> Tree:
-    """The tree of texts (text, train) with a vocabulary (token, n)."""
+def tree_rows(texts: DataFrame, vocabulary: DataFrame, total: int, depth: int, least: float, entry_least: float, strict: float) -> list[DataFrame]:
+    """The tree of texts (text, train) with a vocabulary (token, key, n), as rows (slot, key, a, b) by slot: for each length
+    k from 1, slot 2k - 1 has the retained contexts with their counts and what their entries leave over, and slot 2k
+    their entries with their counts."""
     spark = texts.sparkSession
-    tree = Tree(total, vocabulary.where("n = 1").count())
-    heavy = vocabulary.where(F.col("n") >= max(2.0, entry_share * total)).orderBy("token").toArrow()
-    tokens, n = token_hashes(heavy.column("token").to_pylist()), heavy.column("n").to_numpy().astype(np.float64)
-    order = np.argsort(tokens)
-    tokens, n = tokens[order], n[order]
-    frequent = tokens[n >= share * total]
-    none = np.zeros(1, np.uint64)
-    candidates = np.sort(longer(none, frequent, 0)) if len(frequent) else frequent
-    above: dict[int, tuple[float, dict[int, float]]] = {}
-    parent_of = dict.fromkeys(candidates.tolist(), None)
-    root = dict(zip(tokens.tolist(), (n / max(total, 1)).tolist()))
+    above = vocabulary.select("key", "n", F.lit(total).cast("long").alias("size"))
+    out = []
     for k in range(1, depth + 1):
-        if not len(candidates):
-            break
-        shared = spark.sparkContext.broadcast((candidates, tokens, frequent))
-        rows = texts.mapInArrow(lambda it, b=shared, d=k: _entries(it, b, d), "level long, context long, symbol long, n long")
-        rows = rows.groupBy("level", "context", "symbol").agg(F.sum("n").alias("n"))
-        rows = rows.where((F.col("n") >= F.when(F.col("level") == 1, share * total).otherwise(max(2.0, entry_share * total))) | ((F.col("symbol") == -1) & (F.col("level") == 0)))
-        found = rows.toArrow()
-        level, context, symbol, count = (found.column(c).to_numpy() for c in ("level", "context", "symbol", "n"))
-        totals = np.zeros(len(candidates))
-        totals[context[(level == 0) & (symbol < 0)]] = count[(level == 0) & (symbol < 0)]
-        own = (level == 0) & (symbol >= 0)
-        context_e, symbol_e, count_e = context[own], symbol[own], count[own].astype(np.float64)
-        counts: dict[int, dict[int, float]] = {}
-        for c, t, m in zip(context_e.tolist(), tokens[symbol_e].tolist(), count_e.tolist()):
-            counts.setdefault(c, {})[t] = m
-        kept = np.zeros(len(candidates), bool)
-        for c, h in enumerate(candidates.tolist()):
-            mine, size = counts.get(c, {}), totals[c]
-            up = above.get(parent_of[h]) if parent_of[h] is not None else None
-            if size >= 2 and divergence(mine, size, up, root) > strict * (len(mine) + 1) * np.log(size):
-                kept[c] = True
-        explicit = np.bincount(context_e, count_e, len(candidates))
-        use = kept[context_e]
-        keys = entry(candidates[context_e[use]], tokens[symbol_e[use]])
-        order = np.argsort(keys)
-        tree.levels.append((candidates[kept], totals[kept], (totals - explicit)[kept], keys[order], count_e[use][order]))
-        above = {h: (totals[c], counts.get(c, {})) for c, h in enumerate(candidates.tolist())}
-        deeper = level == 1
-        parents = candidates[context[deeper]]
-        children = longer(parents, frequent[symbol[deeper]], k)
-        parent_of = dict(zip(children.tolist(), parents.tolist()))
-        candidates = np.unique(children)
-    return tree
-
-
-def divergence(mine: dict[int, float], size: float, above: tuple[float, dict[int, float]] | None, root: dict[int, float]) -> float:
-    """Likelihood ratio statistic of a context's counts, and what they leave over, against its suffix's shares."""
-    total, rest, rest_share = 0.0, size, 1.0
-    for t, m in mine.items():
-        p = above[1].get(t, 1.0) / above[0] if above else root[t]
-        total += m * np.log(m / size / p)
-        rest -= m
-        rest_share -= p
-    if rest > 0:
-        total += rest * np.log(rest / size / max(rest_share, 1e-9))
-    return 2 * total
+        sizes = above.where(F.col("n") >= least).select(F.col("key").alias("context"), F.col("n").alias("size"))
+        suffixes = above.where(F.col("n") >= entry_least).select(F.col("key").alias("up"), (F.col("n") / F.col("size")).alias("share"))
+        shared = spark.sparkContext.broadcast((bitmap(sizes.withColumnRenamed("context", "key")), bitmap(suffixes.withColumnRenamed("up", "key"))))
+        rows = texts.mapInArrow(lambda it, b=shared, d=k: _entries(it, b, d), "context long, up long, n long")
+        rows = rows.groupBy("context", "up").agg(F.sum("n").alias("n")).where(F.col("n") >= entry_least)
+        rows = rows.join(sizes, "context").join(suffixes, "up")
+        level = materialize(rows.mapInArrow(_keyed, "context long, key long, n long, size long, share double"), "entries")
+        tested = level.groupBy("context").agg(
+            F.first("size").alias("size"),
+            F.count("*").alias("kinds"),
+            (F.first("size") - F.sum("n")).alias("rest"),
+            F.sum(F.col("n") * F.log(F.col("n") / F.col("size") / F.col("share"))).alias("gain"),
+            F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("rest_share"),
+        )
+        # likelihood ratio statistic of the counts, and what they leave over, against the suffix's shares
+        left_over = F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / F.col("size") / F.col("rest_share"))).otherwise(0.0)
+        kept = tested.where(2 * (F.col("gain") + left_over) > strict * (F.col("kinds") + 1) * F.log("size"))
+        kept = materialize(kept.select(F.lit(2 * k - 1).alias("slot"), F.col("context").alias("key"), F.col("size").alias("a"), F.col("rest").alias("b")), "contexts")
+        entries = level.join(kept.select(F.col("key").alias("context")), "context", "left_semi")
+        out += [kept, entries.select(F.lit(2 * k).alias("slot"), "key", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))]
+        above = level.select("key", "n", "size")
+    return out
+
+
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        context, up = (column(batch, c).to_numpy().view(np.uint64) for c in ("context", "up"))
+        key = pa.array(joint(context, up).view(np.int64))
+        yield pa.RecordBatch.from_arrays([column(batch, "context"), key, *(column(batch, c) for c in ("n", "size", "share"))], names=["context", "key", "n", "size", "share"])
+
+
+def hashed(vocabulary: DataFrame) -> DataFrame:
+    return vocabulary.select("token", "n").mapInArrow(_hashed, "token string, key long, n long")
+
+
+def grow(texts: DataFrame, vocabulary: DataFrame, total: int, depth: int, share: float, entry_share: float, strict: float) -> Tree:
+    """The tree of a small corpus of texts (text, train) with a vocabulary (token, n), in memory; bars as shares of total."""
+    rows = tree_rows(texts, hashed(vocabulary), total, depth, share * total, max(2.0, entry_share * total), strict)
+    return Tree(total, vocabulary.where("n = 1").count(), reduce(DataFrame.unionByName, rows).toArrow(), depth)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens of each block in a partition, held a block at a time where blocks come sorted."""
-    block, held = None, set()
+def _ask(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """Distinct tokens, contexts and entries of each block in a partition, held a block at a time where blocks come sorted;
+    contexts and entries as far as the bitmaps of each slot let them pass."""
+    bitmaps = shared.value
+    block, held, keys = None, set(), {}
 
-    def tell() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), block, np.int64)), pa.array(list(held), pa.string())], names=["block", "token"])
+    def tell() -> Iterator[pa.RecordBatch]:
+        tokens = list(held)
+        parts = [(0, token_hashes(tokens), tokens)]
+        parts += [(slot, np.unique(np.concatenate(found)), None) for slot, found in keys.items()]
+        for slot, key, strings in parts:
+            n = len(key)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, slot, np.int32)), pa.array(key.view(np.int64)), pa.array(strings or [None] * n, pa.string())],
+                names=["block", "slot", "key", "token"],
+            )
 
     for batch in batches:
         at = column(batch, "block").to_numpy()
@@ -256,22 +298,30 @@ def _ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if at[a] != block:
                 if held:
-                    yield tell()
-                block, held = int(at[a]), set()
-            held.add(END_TOKEN)
-            held.update(lowered(Words(column(batch.slice(a, b - a), "text")).distinct))
+                    yield from tell()
+                block, held, keys = int(at[a]), set(), {}
+            for part in slices([batch.slice(a, b - a)]):
+                seq = Sequences(column(part, "text"))
+                held.update(seq.distinct)
+                for k, (_, context, _, key) in enumerate(contexts(seq, len(bitmaps) // 2), 1):
+                    may = may_hold(bitmaps[2 * k - 2], context)
+                    context, key = context[may], key[may]
+                    for slot, found in ((2 * k - 1, context), (2 * k, key[may_hold(bitmaps[2 * k - 1], key)])):
+                        keys.setdefault(slot, []).append(np.unique(found))
     if held:
-        yield tell()
+        yield from tell()
 
 
-def _answer(docs: pa.Table, known: pa.Table, shared, n_all: int, n_distinct: int) -> pa.Table:
+def _answer(docs: pa.Table, known: pa.Table, n_all: int, n_distinct: int, once: int, depth: int) -> pa.Table:
     texts = docs.column("text")
     seq = Sequences(pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string()))
-    place = dict(zip(known.column("token").to_pylist(), known.column("n").to_pylist()))
+    tokens = known.filter(pc.equal(known.column("slot"), 0))
+    place = dict(zip(tokens.column("token").to_pylist(), tokens.column("a").to_pylist()))
+    tree = Tree(n_all, once, known.select(["slot", "key", "a", "b"]), depth)
     # tokens without an answer were not in training
     n = np.fromiter((place.get(t, 0) for t in seq.distinct), np.float64, len(seq.distinct))
     base = np.log10(n + 1.0) - np.log10(n_all + n_distinct + 1.0)
-    score = np.log10(shared.value.probabilities(seq, n))
+    score = np.log10(tree.probabilities(seq, n))
     return pa.table(
         {
             "doc_id": docs.column("doc_id"),
@@ -283,7 +333,7 @@ def _answer(docs: pa.Table, known: pa.Table, shared, n_all: int, n_distinct: int
     )
 
 
-def lm_scores(docs: DataFrame, depth: int = 2, share: float = 1 / 2000, entry_share: float = 1 / 500_000, strict: float = 1.0) -> DataFrame:
+def lm_scores(docs: DataFrame, depth: int = 3, least: int = 8, entry_least: int = 2, strict: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
@@ -291,13 +341,18 @@ def lm_scores(docs: DataFrame, depth: int = 2, share: float = 1 / 2000, entry_sh
     counted = materialize(marked.mapInArrow(_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
     vocabulary = counted.where("token is not null")
     size = counted.where("token is null").agg(F.sum("n")).first()[0] or 0
-    n_all, n_distinct = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count("*")).first())
-    shared = spark.sparkContext.broadcast(grow(marked, vocabulary, n_all, depth, share, entry_share, strict))
+    n_all, n_distinct, once = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") == 1, 1))).first())
+    vocabulary = materialize(hashed(vocabulary), "vocabulary")
+    rows = tree_rows(marked, vocabulary, n_all, depth, least, entry_least, strict)
+    root = vocabulary.select(F.lit(0).alias("slot"), "key", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"), "token")
+    tree = materialize(reduce(DataFrame.unionByName, [root, *(r.withColumn("token", F.lit(None).cast("string")) for r in rows)]), "tree")
+    shared = spark.sparkContext.broadcast([bitmap(tree.where(F.col("slot") == slot)) for slot in range(1, 2 * depth + 1)])
     n_blocks = max(1, -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks))
     blocks = docs.withColumn("block", block.cast("long")).repartition(max(n_blocks, spark.sparkContext.defaultParallelism), "block")
-    asked = blocks.sortWithinPartitions("block").mapInArrow(_ask, "block long, token string")
-    answered = asked.join(vocabulary, "token").select("block", "token", "n")
+    asked = blocks.sortWithinPartitions("block").mapInArrow(lambda it: _ask(it, shared), "block long, slot int, key long, token string")
+    same = (asked["slot"] == tree["slot"]) & (asked["key"] == tree["key"]) & asked["token"].eqNullSafe(tree["token"])
+    answered = asked.join(tree, same).select("block", tree["slot"], tree["key"], tree["token"], "a", "b")
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    out = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda d, k: _answer(d, k, shared, n_all, n_distinct), schema)
+    out = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda d, k: _answer(d, k, n_all, n_distinct, once, depth), schema)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")

@@ -296,6 +296,23 @@ def test_tree_is_a_distribution(spark):
     assert abs(total - 1) < 1e-6
 
 
+def test_tree_grows_with_the_corpus(spark):
+    """A context of eight occurrences counts in a corpus of any size, and so does one of three tokens."""
+    rng = np.random.default_rng(5)
+    filler = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 100)) for _ in range(400)]
+    known = ["red the quick fox", "old the quick dog"]
+    rows = [(k, known[k % 2]) for k in range(60)] + [(100 + k, t) for k, t in enumerate(filler)]
+    rows += [(9000, known[0]), (9001, "red the quick dog")]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.lm_scores(table(spark, rows)).collect()}
+    assert got[9000] > got[9001] + 0.5
+    texts = table(spark, [(k, known[k % 2]) for k in range(16)]).selectExpr("text", "true AS train")
+    vocabulary = suffix_tree.hashed(spark.createDataFrame([("the", 16), ("red", 8), ("old", 8), ("quick", 16), ("fox", 8), ("dog", 8), ("", 16)], "token string, n long"))
+    # as few as they are, whatever the total
+    kept = suffix_tree.tree_rows(texts, vocabulary, 10**9, 2, 8, 2, 1.0)
+    red, the = suffix_tree.token_hashes(["red"]), suffix_tree.token_hashes(["the"])
+    assert suffix_tree.joint(red, the).view(np.int64)[0] in [r["key"] for r in kept[1].collect()]
+
+
 def test_token_shards(spark, docs, none, sample, tmp_path):
     library, (df, texts) = Tokenizer.from_file(WORDS), sample
     for rows, frame in ((ROWS, docs), (texts, df)):
