@@ -4,17 +4,21 @@
 2. Each text gets its set's size and hash, MinHash bands, a bitmap signature and its prefix: the first shingles of its
    set in the global order, of which two linked sets share at least one.
 3. Texts with an equal band are compared with the band's smallest set only; exact links found so join most copies.
-4. Prefixes meet by shingle, dealt out by ranges of hashes. Where texts that are not joined yet share a shingle, all
-   of them are compared in tiles banded by size: the popcount of the XOR of two parity bitmaps is at most the sets'
-   difference, which bounds their overlap from above; pairs that pass are intersected exactly as sorted arrays.
-5. Components of all links, from which pairs within a group of copies need not be listed.
+4. Prefixes meet by shingle, dealt out by ranges of hashes. All distinct sets that share a shingle are compared in tiles
+   banded by size: the popcount of the XOR of two parity bitmaps is at most the sets' difference, which bounds their
+   overlap from above; pairs that pass are intersected exactly as sorted arrays. For that, the sets of a group of step 3
+   are dealt out into cells of a bounded size, and a text is copied for each pair of cells, not for each pair of sets.
+5. Components of all links.
 
-Steps 1 and 3 only save work: step 4 finds every link between texts of different components, whatever they did.
+`jaccard_links` gives the links of distinct sets, and with the sets of all rows so those of all rows. Where components alone
+are asked for (`jaccard_components`), pairs that step 3 has joined are left out of step 4, as they can't change them.
+
+Steps 1 and 3 only save work: step 4 finds every link, or every one between texts of different groups, whatever they did.
 
 Sets are told apart by 64-bit hashes of shingles and of sets. A null text, or one without words, has an empty set and
 links with nothing; fewer words than a shingle make one shingle. Rows with the same identifier are one node, linked or
 not by their texts; a row without identifier can link others and takes the smallest identifier of its component, or
-null. Ties in order are broken by hash; other columns are ignored; an empty table gives no rows.
+null. A row's number of links is that of other rows whose texts link with its own, copies among them. Ties in order are broken by hash; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +47,8 @@ BUCKET = 1_500_000
 #: Identifiers that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 PAIRS_AT_ONCE = 1_000_000
+#: Sets, and shingles of them, in a cell.
+CELL_SETS, CELL_SHINGLES = 256, 500_000
 MIN_BITS = 512
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -292,6 +298,48 @@ def verified(pairs: DataFrame, docs: DataFrame, seen: DataFrame, name: str) -> D
     return materialize(links.distinct(), f"{name}-links")
 
 
+def _verify_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted: of a pair of cells first the texts, with a null b, then the pairs."""
+    cells, sets = None, {}
+    for batch in slices(batches):
+        left, right, a, b = (column(batch, c) for c in ("left", "right", "a", "b"))
+        texts = np.flatnonzero(b.is_null().to_numpy(zero_copy_only=False))
+        fresh = dict(zip(texts.tolist(), shingle_sets(column(batch, "text").take(pa.array(texts))))) if len(texts) else {}
+        out = []
+        for k, (x, y, i, j) in enumerate(zip(left.to_pylist(), right.to_pylist(), a.to_pylist(), b.to_pylist())):
+            if (x, y) != cells:
+                cells, sets = (x, y), {}
+            if j is None:
+                sets[i] = fresh.pop(k)
+            elif linked(sets[i], sets[j]):
+                out.append((i, j))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+
+def verified_in_cells(pairs: DataFrame, docs: DataFrame, seen: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of distinct pairs (a, b) of sets that link, where sets of one root have many pairs."""
+    pairs = materialize(pairs, "pairs")
+    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    rows = seen.join(wanted, "sid").groupBy("sid").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.first("n").alias("n"))
+    rows = rows.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", "at", F.coalesce("root", "sid").alias("root"))
+    rows = materialize(rows, "pairs-rows")
+    most = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("long").alias("cells"))
+    cell = F.xxhash64("root", F.pmod(F.xxhash64("sid"), "cells"))
+    cells = materialize(rows.join(most, "root").select("sid", cell.alias("cell"), F.col("at.doc_id").alias("of"), F.col("at.row").alias("at")), "cells")
+    a, b = (cells.select(F.col("sid").alias(c), F.col("cell").alias(f"cell_{c}")) for c in "ab")
+    dealt = pairs.join(a, "a").join(b, "b").select(F.least("cell_a", "cell_b").alias("left"), F.greatest("cell_a", "cell_b").alias("right"), "a", "b")
+    dealt = materialize(dealt, "dealt")
+    uses = dealt.select("left", "right", F.explode(F.array("a", "b")).alias("a")).distinct()
+    few = cells.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(cells) if few else cells, (docs["row"] == F.col("at")) & docs["doc_id"].eqNullSafe(F.col("of")))
+    # equal rows of a table are one text
+    texts = texts.select(F.col("sid").alias("a"), "text").dropDuplicates(["a"])
+    texts = uses.join(texts, "a").select("left", "right", "a", F.lit(None).cast("long").alias("b"), "text")
+    both = texts.unionByName(dealt.withColumn("text", F.lit(None).cast("string"))).repartition("left", "right")
+    return materialize(both.sortWithinPartitions("left", "right", F.col("b").isNotNull()).mapInArrow(_verify_cells, "a long, b long"), "links-of-all")
+
+
 def band_pairs(seen: DataFrame) -> DataFrame:
     """Each set with the smallest one of each of its bands."""
     bands = seen.where("sid is not null").select("sid", F.explode("bands").alias("band")).distinct()
@@ -306,12 +354,16 @@ def same_rows(seen: DataFrame) -> DataFrame:
     return ids.join(several, "doc_id").where("sid != a").select("a", F.col("sid").alias("b")).distinct()
 
 
-def prefix_pairs(seen: DataFrame, roots: DataFrame) -> DataFrame:
-    """All pairs of sets of different components that share a prefix shingle and may link by their sizes and bitmaps."""
+def prefix_pairs(seen: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """All pairs of sets, or with roots of sets of different components, that share a prefix shingle and may link by their
+    sizes and bitmaps."""
     total = seen.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0
     power = max(4, int(total // 8 // BUCKET).bit_length())
-    sets = seen.where("sid is not null").join(roots, F.col("sid") == F.col("node"), "left")
-    sets = sets.select("sid", "n", F.coalesce("root", "sid").alias("root"), "prefix")
+    sets = seen.where("sid is not null")
+    if roots is None:
+        sets = sets.select("sid", "n", F.col("sid").alias("root"), "prefix")
+    else:
+        sets = sets.join(roots, F.col("sid") == F.col("node"), "left").select("sid", "n", F.coalesce("root", "sid").alias("root"), "prefix")
     dealt = sets.mapInArrow(lambda it: _deal(it, power), "bucket long, h binary, sid binary, root binary, n binary")
     runs = materialize(dealt.groupBy("bucket").applyInArrow(_runs, "h long, sid long, root long, n long"), "runs")
     wanted = runs.select("sid").distinct()
@@ -321,8 +373,8 @@ def prefix_pairs(seen: DataFrame, roots: DataFrame) -> DataFrame:
     return tiles.groupBy("tile").applyInArrow(_tiles, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every row of docs (doc_id, text)."""
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs with a hash of each text, their sets, and the links of step 3 and of rows with one identifier."""
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
     hot = docs.select("text").mapInArrow(_hot, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_ALL)
@@ -331,12 +383,47 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     described = docs.mapInArrow(lambda it: _describe(it, shared), "doc_id long, row long, n long, sid long, bands array<long>, bitmap binary, prefix binary")
     seen = materialize(described, "sets")
     known = materialize(verified(band_pairs(seen), docs, seen, "band").unionByName(same_rows(seen)), "known")
-    more = verified(prefix_pairs(seen, components(known)), docs, seen, "prefix")
-    roots = components(known.unionByName(more))
-    rows = seen.select("doc_id", "n", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "sid").alias("root"))
+    return docs, seen, known
+
+
+def _members(seen: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and sid of every row."""
+    roots = components(links)
+    rows = seen.select("doc_id", "n", "sid").join(roots, F.col("sid") == F.col("node"), "left").select("doc_id", "n", "sid", F.coalesce("root", "sid").alias("root"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rows.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), "sid")
+
+
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links (a, b) of distinct sets of docs (doc_id, text); and doc_id, n_shingles, component_id, n_links and sid, its
+    set, of every row. A set's rows link with each other and with all rows of the sets that link with theirs."""
+    docs, seen, known = _prepared(docs)
+    roots = components(known)
+    links = verified_in_cells(prefix_pairs(seen), docs, seen, roots)
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    # others can't change components
+    apart = links.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    members = _members(seen, known.unionByName(apart))
+    copies = seen.where("sid is not null").groupBy("sid").agg(F.count("*").alias("copies"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(copies, F.col("b") == F.col("sid")).groupBy("a").agg(F.sum("copies").alias("others"))
+    n_links = copies.join(others, F.col("sid") == F.col("a"), "left").select("sid", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = members.join(n_links, "sid", "left")
+    return links, members.select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "sid")
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, the smallest doc_id that links reach, and n_links of every row of docs (doc_id,
+    text)."""
+    return jaccard_links(docs)[1].drop("sid")
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id, the smallest doc_id that links reach, of every row of docs (doc_id, text)."""
+    docs, seen, known = _prepared(docs)
+    more = verified(prefix_pairs(seen, components(known)), docs, seen, "prefix")
+    return _members(seen, known.unionByName(more)).drop("sid")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

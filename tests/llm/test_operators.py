@@ -197,6 +197,24 @@ def test_jaccard_join(docs, none, sample):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13]
 
 
+def test_jaccard_links(spark, docs, none, sample):
+    """Every link is found, those within a group of copies too, and counted with copies."""
+    words = [f"w{k}" for k in range(100)]
+    near = [(100 + k, " ".join(words[: 9 * k] + ["other"] + words[9 * k + 1 :])) for k in range(6)]
+    near += [(200, near[0][1]), (201, near[0][1]), (202, " ".join(words[50:] + words[:50]))]
+    links, members = jaccard_join.jaccard_links(table(spark, near))
+    assert links.count() == 15 + 6 and members.where("n_links = 8").count() == 9 and members.where("sid is null").count() == 0
+    for rows, frame in ((near, table(spark, near)), (ROWS, docs), sample[::-1]):
+        sets = []
+        for _, t in rows:
+            w = WORD.findall((t or "").translate(FOLD))
+            sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else frozenset())
+        count = [sum(a != b and bool(x & y) and 100 * len(x & y) >= 75 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+        got = key((r["doc_id"], r["n_shingles"], r["n_links"]) for r in jaccard_join.jaccard_join(frame).collect())
+        assert got == key((i, len(s), n) for (i, _), s, n in zip(rows, sets, count))
+    assert jaccard_join.jaccard_join(none).count() == 0
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(2)
     for n in (30, 600, 3000):
