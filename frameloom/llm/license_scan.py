@@ -1,6 +1,7 @@
 """License scans, in DataFrame functions alone: an exact set-similarity join of text blocks with license templates.
 
-A block is a line; block and template are sets of words, lower-cased. A template is found where the share of its words
+A block is a line, or a window of a template's length and the share of other words that the threshold allows, which may
+span lines; block and template are sets of words, lower-cased. A template is found where the share of its words
 that the block holds is at least `threshold`. All words of templates are put in one order by their frequency over all
 documents, rarest first; then, for a template of n words of which `need` must be found,
 
@@ -8,7 +9,8 @@ documents, rarest first; then, for a template of n words of which `need` must be
     length    it must hold at least `need` words of the templates' vocabulary;
     position  from the first shared word on, both must have `need` words left;
 
-and what passes is counted exactly. Templates are few and a parameter, so they stand in the plan as literals and the join
+and what passes is counted exactly. A text that passes as a whole has its windows around words of the prefix counted; those
+within a line find nothing that the line doesn't. Templates are few and a parameter, so they stand in the plan as literals and the join
 needs no shuffle; only frequencies, one for each template word, are aggregated.
 
 Null and empty texts have no words and no labels. A phrase or template found more than once gives its label once.
@@ -94,12 +96,13 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
         lasts.append(F.when(found, last.cast("long")))
         held.append(F.when(found, F.lit(label)))
     prefixes, rows = set(), []
-    for label, ws in sets:
+    for (label, ws), (_, text) in zip(sets, templates):
+        span = ceil(len(re.findall(WORD + "+", text)) / threshold)
         ws = sorted(ws, key=rank.__getitem__)
         need = ceil(threshold * len(ws) - 1e-9)
         first = ws[: len(ws) - need + 1]
         prefixes.update(first)
-        rows.append(F.struct(F.lit(label).alias("label"), _strings(ws).alias("words"), _strings(first).alias("prefix"), F.lit(need).alias("need")))
+        rows.append(F.struct(F.lit(label).alias("label"), _strings(ws).alias("words"), _strings(first).alias("prefix"), F.lit(need).alias("need"), F.lit(span).alias("span")))
     some = "(?i)" + "|".join(re.escape(w) for w in sorted(prefixes, key=len) if not any(o != w and o in w for o in prefixes))
     if not rows:
         df = df.withColumn("_met", F.array().cast("array<struct<label:string,share:double>>"))
@@ -108,17 +111,41 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
         lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(some))
         blocks = F.transform(lines, lambda x: F.array_intersect(known, _words(x)))
 
-        def met(block: Column) -> Column:
+        def passing(block: Column) -> Column:
             def passes(t: Column) -> Column:
                 shared = F.array_intersect(t["words"], block)
                 start = F.element_at(shared, 1)
                 left = F.least(F.size(t["words"]) - F.array_position(t["words"], start), F.size(block) - F.array_position(block, start)) + 1
                 return F.arrays_overlap(t["prefix"], block) & (F.size(block) >= t["need"]) & (left >= t["need"]) & (F.size(shared) >= t["need"])
 
-            return F.transform(F.filter(table, passes), lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share")))
+            return F.filter(table, passes)
+
+        def met(block: Column) -> Column:
+            return F.transform(passing(block), lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share")))
+
+        def windows(words: Column) -> Column:
+            """What the windows of a text's words hold."""
+
+            def kinds(places: Column) -> Column:
+                return F.size(F.array_distinct(F.transform(places, lambda i: F.get(words, i))))
+
+            def near(t: Column, at: Column) -> Column:
+                """The most of a template's words in a window with the word at a place; null below what is needed."""
+                around = F.sequence(F.greatest(F.lit(0), at - t["span"] + 1), F.least(F.size(words) - 1, at + t["span"] - 1))
+                held = F.filter(around, lambda i: F.array_contains(t["words"], F.get(words, i)))
+                most = F.transform(F.array(held), lambda own: F.when(kinds(own) >= t["need"], F.array_max(F.transform(F.filter(own, lambda i: i <= at), lambda i: kinds(F.filter(own, lambda k: (k >= i) & (k < i + t["span"])))))))
+                return F.element_at(most, 1)
+
+            def best(t: Column) -> Column:
+                at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(t["prefix"], F.get(words, i)))
+                return F.array_max(F.transform(at, lambda i: near(t, i)))
+
+            found = F.flatten(F.transform(F.array(F.array_intersect(known, words)), passing))
+            shares = F.transform(found, lambda t: F.struct(t["label"].alias("label"), t["need"].alias("need"), F.size(t["words"]).alias("n"), best(t).alias("most")))
+            return F.transform(F.filter(shares, lambda x: F.coalesce(x["most"] >= x["need"], F.lit(False))), lambda x: F.struct(x["label"].alias("label"), (x["most"] / x["n"]).alias("share")))
 
         empty = F.array().cast("array<struct<label:string,share:double>>")
-        df = df.withColumn("_met", F.when(F.col("text").rlike(some), F.flatten(F.transform(blocks, met))).otherwise(empty))
+        df = df.withColumn("_met", F.when(F.col("text").rlike(some), F.concat(F.flatten(F.transform(blocks, met)), F.when(F.col("text").contains("\n"), F.flatten(F.transform(F.array(_words(F.col("text"))), windows))).otherwise(empty))).otherwise(empty))
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*held))))
     every = F.array_sort(F.array_union(base, F.transform("_met", lambda x: x["label"])))
     n_base = sum(counts[1:], counts[0]).cast("long")
@@ -136,7 +163,7 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
 
 
 def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> str:
-    """The same rows in DuckDB SQL, over every line and template."""
+    """The same rows in DuckDB SQL, over every line and template; without windows that span lines."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
     def listed(values: list[str]) -> str:

@@ -381,6 +381,25 @@ def test_license_scan(spark, docs, none):
     assert license_scan.licenses(none).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Notices over several lines, also behind comment marks or words, and none where the words are too far apart."""
+    import textwrap
+
+    rows, want = [], {}
+    for k, (label, text) in enumerate(license_scan.TEMPLATES):
+        rows.append((k, "x = 1\n" + "\n".join(textwrap.wrap(f"{text} and so on", 30))))
+        rows.append((100 + k, "intro text\n" + "\n".join(f" * {x}" for x in textwrap.wrap(text, 38)) + "\ncode"))
+        rows.append((200 + k, "intro\n" + "\n".join(f"dnl {x}" for x in textwrap.wrap(text, 45))))
+        rows.append((300 + k, "\n".join(w + " filler" * 9 for w in text.split())))
+        want |= {k: label, 100 + k: label, 200 + k: label}
+    rows.append((400, ("filler words and the of in this\n" * 200) + "\n".join(textwrap.wrap(license_scan.TEMPLATES[9][1], 40))))
+    want[400] = "mit"
+    got = {r["doc_id"]: r for r in license_scan.licenses(table(spark, rows)).collect()}
+    for i, label in want.items():
+        assert label in got[i]["labels"].split(",") and got[i]["score"] == 1, i
+    assert all(got[i]["labels"] == got[i]["base_labels"] for i in got if 300 <= i < 400)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
