@@ -4,9 +4,10 @@ Base spans are the matches of three patterns. The method adds strings that look
 inferred (hexadecimal, base 32 or base 64), and a battery tests it as a uniform draw from that alphabet: chi-squared
 over eight equal parts of the alphabet, runs above and below its middle, and serial correlation of neighbours, joined by
 Fisher's method. Ordinary strings get probabilities near zero, random ones are spread evenly. For each encoding and
-class of length, the counts by probability over all documents give the share of ordinary strings among those above a
-bar, as what is more there than an even spread has; the lowest bar with a share of at most `rate` holds. Short strings,
-on which the tests have little power, so get a higher bar.
+class of length, the counts of distinct strings by probability over all documents give the share of ordinary ones among
+those above a bar, as what is more there than an even spread has; the lowest bar with a share of at most `rate` holds.
+Short strings, on which the tests have little power, so get a higher bar. A class with fewer than LEAST strings in its
+even half, or without a bar, takes that of the nearest class of its encoding, the longer one first; without any, FIXED.
 
 Null texts count as empty and have no spans. Spans of one kind don't overlap; a random span that overlaps a base one is
 left out. Positions are code points, the end exclusive; ties of start go by kind as listed. Repeated rows are scanned
@@ -38,6 +39,10 @@ ALPHABETS = {
 KINDS = ("assign", "access", "hex", "random")
 BLOCK = 256
 BINS = 50
+#: Distinct strings that the half of a class with high probabilities must have for a bar of its own; and the bar where
+#: no class of an encoding has as many: what a random string falls below in one of twenty cases.
+LEAST, FIXED = 10, 0.05
+SIZES = 4
 
 
 def with_spans(df: DataFrame, name: str, pattern: str, condition: Column) -> DataFrame:
@@ -103,20 +108,27 @@ def length_class(n: Column) -> Column:
 
 
 def bars(tested: DataFrame, rate: float) -> list[tuple[str, int, float]]:
-    """For each encoding and class of length the lowest bar on p; from counts by p, at most BINS a class."""
+    """For each encoding and class of length the lowest bar on p; from counts of distinct strings by p, at most BINS a
+    class."""
     part = F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int")
-    counts = tested.select(F.explode("candidates").alias("c")).where("c.p is not null").groupBy(F.col("c.encoding").alias("encoding"), length_class(F.col("c.length")).alias("size"), part.alias("bin")).count()
+    strings = tested.select(F.explode("candidates").alias("c")).where("c.p is not null")
+    strings = strings.select(F.xxhash64("c.match").alias("string"), F.col("c.encoding").alias("encoding"), length_class(F.col("c.length")).alias("size"), part.alias("bin")).distinct()
     by: dict[tuple[str, int], dict[int, int]] = {}
-    for r in counts.collect():
+    for r in strings.groupBy("encoding", "size", "bin").count().collect():
         by.setdefault((r["encoding"], r["size"]), {})[r["bin"]] = r["count"]
-    out = []
-    for (encoding, size), bins in sorted(by.items()):
-        even = 2 * sum(n for b, n in bins.items() if b >= BINS // 2) / BINS
-        for low in range(1, BINS):
+    own = {}
+    for key, bins in by.items():
+        high = sum(n for b, n in bins.items() if b >= BINS // 2)
+        even = 2 * high / BINS
+        for low in range(1, BINS) if high >= LEAST else ():
             above = sum(n for b, n in bins.items() if b >= low)
             if above and (above - even * (BINS - low)) / above <= rate:
-                out.append((encoding, size, low / BINS))
+                own[key] = low / BINS
                 break
+    out = []
+    for encoding, size in sorted(by):
+        near = sorted(range(SIZES), key=lambda x: (abs(x - size), -x))
+        out.append((encoding, size, next((own[encoding, x] for x in near if (encoding, x) in own), FIXED)))
     return out
 
 

@@ -285,6 +285,24 @@ def test_random_strings_are_found(spark):
     assert np.mean([found[k] == 1 for k in range(200)]) > 0.9 and not any(found[k] for k in range(200, 400))
 
 
+def test_bars_count_distinct_strings(spark):
+    """A string in many texts moves no bar, and a class with few strings has one."""
+    rng = np.random.default_rng(7)
+    schema = "candidates array<struct<match string, encoding string, length int, p double>>"
+
+    def bars(rows):
+        return {(e, k): low for e, k, low in secret_scan.bars(spark.createDataFrame([([r],) for r in rows], schema), 0.05)}
+
+    plain = [(f"s{k}", "base64", 40, float(p)) for k, p in enumerate(rng.random(500))]
+    plain += [(f"o{k}", "base64", 40, 0.001) for k in range(500)]
+    want = bars(plain)
+    assert want["base64", 1] <= 0.1
+    for p in (0.3, 0.45, 0.98):
+        assert abs(bars(plain + [("hot", "base64", 40, p)] * 5000)["base64", 1] - want["base64", 1]) <= 0.02
+    few = bars([*plain, ("lone", "base64", 90, 0.3), ("hex", "hex", 24, 0.3)])
+    assert few["base64", 3] == want["base64", 1] and few["hex", 0] == secret_scan.FIXED
+
+
 def test_suffix_tree(docs, none, sample):
     df, texts = sample
     for rows, frame in ((ROWS, docs), (texts, df)):
