@@ -50,11 +50,12 @@ def stringified(value: Column, kind: str) -> Column:
 
 
 def age_of(scores: Column) -> Column:
-    """(age, adult, confidence) of a model's output: a number, ages 0 to 99 or 100, age groups, or classes."""
+    """(age, adult, confidence) of a model's output: a number, ages 0 to 99 or 100, eight age groups, or classes. Ten numbers
+    stand for age groups too, of which only eight have a middle, and give no age."""
     n, p = F.size(scores), softmax(scores)
     years = F.transform(F.sequence(F.lit(0), n - 1), lambda i: i.cast("double"))
     centers = F.slice(F.array(*map(F.lit, AGE_CENTERS)), 1, n)
-    age = F.when(n == 1, F.bround(scores[0])).when(n.isin(100, 101), F.bround(expectation(p, years))).when(n == 8, F.bround(expectation(p, centers))).otherwise(argmax(p)).cast("int")
+    age = F.when(n == 1, F.bround(scores[0])).when(n.isin(100, 101), F.bround(expectation(p, years))).when(n == 8, F.bround(expectation(p, centers))).when(n != 10, argmax(p)).cast("int")
     sure = F.when(n == 1, 1.0).otherwise(F.array_max(p))
     return F.struct(age.alias("age"), (age >= 18).alias("adult"), sure.alias("confidence"))
 

@@ -43,11 +43,13 @@ def minutes_us(hhmm: Column) -> Column:
     return F.when(ok, (parts[0].try_cast("long") * 60 + parts[1].try_cast("long")) * 60_000_000)
 
 
-def armed(us: Column, schedule: Column) -> Column:
+def armed(us: Column, schedule: Column, begin: Column | None = None, end: Column | None = None) -> Column:
     """Whether a schedule (days, from, to) holds at a time. No schedule always holds; a night's window that wraps counts
-    for the day on which it begins; both ends are within."""
+    for the day on which it begins; both ends are within. begin and end: from and to as minutes_us has them, if they are
+    known."""
     day, time = weekday(us), F.pmod(us, F.lit(DAY_US))
-    begin, end = minutes_us(schedule["from"]), minutes_us(schedule["to"])
+    begin = minutes_us(schedule["from"]) if begin is None else begin
+    end = minutes_us(schedule["to"]) if end is None else end
     days = schedule["days"]
     today = days.isNull() | F.array_contains(days, day)
     yesterday = days.isNull() | F.array_contains(days, F.pmod(day - 1, F.lit(7)).cast("int"))

@@ -6,14 +6,15 @@ by pos, as the frame lists them. Rows with null classes or scores fail a filter
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ast
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.geometry import Box, area, clamped, degenerate
+from frameloom.functions.geometry import Box, area, clamped, degenerate, expanded, unletterbox
 from frameloom.operators.groups import Arrays, map_groups
 
 
@@ -108,10 +109,59 @@ def nms(df: DataFrame, least_iou: float, least: float) -> DataFrame:
     return map_groups(df.where(F.col("confidence") >= least), ["frame", "class_name"], ["pos"], work, df.schema)
 
 
-def with_model(df: DataFrame, load, schema: str, batch: int = 16) -> DataFrame:
+def lowres(face: Box, scale: float, w: Column | int, h: Column | int, least: int = 48) -> Column:
+    """Whether a face's box, grown and clipped, is too small or has no area."""
+    grown = expanded(face, scale, w, h)
+    return (grown.x2 - grown.x1 < least) | (grown.y2 - grown.y1 < least)
+
+
+def decoded(outputs: DataFrame, least: float, least_iou: float) -> DataFrame:
+    """Boxes (frame, pos, class_id, confidence, x1..y2, in the image's pixels) of a detector's outputs: frame, raw (rows of
+    numbers), ratio, pad_x, pad_y, w, h.
+
+    Rows of six numbers are boxes by corners with score and class, final as they are. Other outputs have a column for each
+    anchor: middle, size, and a score for each class, of which the first best counts; those are suppressed by class.
+    """
+    final = F.size(F.get("raw", F.lit(0))) == 6
+    rest = [c for c in ("frame", "ratio", "pad_x", "pad_y", "w", "h")]
+    rows = outputs.where(final).select(*rest, F.posexplode("raw").alias("pos", "r"))
+    rows = rows.select(*rest, "pos", F.col("r")[5].cast("long").alias("class_id"), F.col("r")[4].alias("confidence"), *(F.col("r")[i].alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))))
+    anchors = outputs.where(~final).select(*rest, "raw", F.explode(F.sequence(F.lit(0), F.size(F.get("raw", F.lit(0))) - 1)).alias("pos"))
+    anchors = anchors.withColumn("scores", F.transform(F.expr("slice(raw, 5, size(raw))"), lambda x: F.get(x, F.col("pos"))))
+    cx, cy, bw, bh = (F.get(F.col("raw")[i], F.col("pos")) for i in range(4))
+    corners = dict(zip(("x1", "y1", "x2", "y2"), (cx - bw / 2, cy - bh / 2, cx + bw / 2, cy + bh / 2)))
+    best = F.array_max("scores")
+    anchors = anchors.select(*rest, "pos", (F.array_position("scores", best) - 1).alias("class_id"), best.alias("confidence"), *(v.alias(c) for c, v in corners.items()))
+    kept = nms(anchors.withColumn("class_name", F.col("class_id").cast("string")), least_iou, least).drop("class_name")
+    boxes = rows.where(F.col("confidence") >= least).unionByName(kept)
+    back = unletterbox(Box.of(), F.col("ratio"), F.col("pad_x"), F.col("pad_y"), F.col("w"), F.col("h"))
+    return boxes.select("frame", F.col("pos").cast("long").alias("pos"), "class_id", "confidence", *(v.alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), back)))
+
+
+def gated(steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], flags: Mapping[str, bool]) -> list[Callable[[DataFrame], DataFrame]]:
+    """The detectors that a run needs, in order: those of which a flag is set; names joined by | need any of them."""
+    return [step for name, step in steps if any(flags.get(n, False) for n in name.split("|"))]
+
+
+def apply_steps(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    for step in steps:
+        df = df.transform(step)
+    return df
+
+
+def parsed_names(text: str | None) -> dict[int, str] | None:
+    """Class names of a model's metadata, a Python dictionary as text; None where there is none or it can't be read."""
+    try:
+        return {int(k): v for k, v in ast.literal_eval(text).items()} if text else None
+    except (ValueError, SyntaxError, AttributeError, TypeError):
+        return None
+
+
+def with_model(df: DataFrame, load, schema: str, batch: int = 16, failed: Callable[[pd.DataFrame, Exception], pd.DataFrame] | None = None) -> DataFrame:
     """Applies a model to rows in batches: load() gives, once a worker, a function from a pandas frame to a pandas frame.
 
-    A batch on which it fails is tried again row by row; a row on which it fails alone is left out.
+    A batch on which it fails is tried again row by row. A row on which it fails alone becomes what `failed` makes of it and
+    the error, such as a row with the reason; without `failed` the error is raised, so that no row is lost unseen.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +173,12 @@ def with_model(df: DataFrame, load, schema: str, batch: int = 16) -> DataFrame:
                     yield predict(part)
                 except Exception:
                     for i in range(len(part)):
+                        row = part.iloc[i : i + 1]
                         try:
-                            yield predict(part.iloc[i : i + 1])
-                        except Exception:
-                            continue
+                            yield predict(row)
+                        except Exception as e:
+                            if failed is None:
+                                raise
+                            yield failed(row, e)
 
     return df.mapInPandas(run, schema)

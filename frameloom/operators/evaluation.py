@@ -56,3 +56,10 @@ def tolerance_match(predicted: DataFrame, wanted: DataFrame, tolerance: int) ->
     r = F.when(F.col("n_wanted") > 0, F.col("tp") / F.col("n_wanted")).otherwise(0.0)
     f = F.when(p + r > 0, p * r * 2 / (p + r)).otherwise(0.0)
     return df.select("clip", *((x * 100).alias(n) for n, x in (("precision", p), ("recall", r), ("f1_score", f))))
+
+
+def stage_times(rows: DataFrame, key: str) -> DataFrame:
+    """Total seconds of a stage by key, and seconds a frame, of rows (key, seconds: a number or text, n: frames). What is no
+    number counts as 0, and so does the average over no frames."""
+    total, n = F.sum(F.coalesce(F.col("seconds").try_cast("double"), F.lit(0.0))), F.sum("n")
+    return rows.groupBy(key).agg(total.alias("total"), F.when(n > 0, total / n).otherwise(0.0).alias("per_frame"))

@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.vectors import dot
-from frameloom.operators.groups import Arrays, map_groups
+from frameloom.functions.vectors import dot, normalized
+from frameloom.operators.tables import numbered
 from frameloom.operators.vectors import centroids, knn
 
 
@@ -68,74 +68,187 @@ def consolidate(gallery: DataFrame, keep_k: int) -> DataFrame:
     return gallery.join(kept, "index_row", "left").select("index_row", "person_id", F.coalesce("kept", F.lit(False)).alias("is_active"))
 
 
-def fold(vectors: DataFrame, *, t_accept: float, t_reject: float, gray_creates: bool, min_sim_add: float, most: int, key: str = "gallery_id") -> DataFrame:
-    """person_id and outcome of each vector (gallery_id, id, v), taken in order against the people made so far.
+class Prototypes:
+    """A gallery's prototypes in memory, in the order in which they came."""
+
+    def __init__(self, rows: pd.DataFrame, size: int):
+        rows = rows.sort_values("index_row") if len(rows) else rows
+        vectors = [np.asarray(v, float) for v in rows["v"]] if len(rows) else []
+        self.used = len(vectors)
+        self.store = np.zeros((max(16, 2 * self.used), size))
+        if vectors:
+            self.store[: self.used] = np.stack(vectors)
+        self.people = [int(p) for p in rows["person_id"]] if len(rows) else []
+        self.active = [bool(x) for x in rows["is_active"]] if len(rows) else []
+        self.next_person = max(self.people, default=0) + 1
+
+    def search(self, v: np.ndarray, k: int) -> list[tuple[int, float]]:
+        """(person, similarity) of the active ones among the k nearest, the earlier first of equals."""
+        sims = self.store[: self.used] @ v
+        if 0 < k < self.used:
+            bar = np.partition(sims, self.used - k)[self.used - k]
+            near = np.flatnonzero(sims >= bar)
+        else:
+            near = np.arange(self.used)
+        order = near[np.argsort(-sims[near], kind="stable")][:k]
+        return [(self.people[i], float(sims[i])) for i in order.tolist() if self.active[i]]
+
+    def add(self, person: int, v: np.ndarray) -> None:
+        if self.used == len(self.store):
+            self.store = np.vstack([self.store, np.zeros_like(self.store)])
+        self.store[self.used] = v
+        self.used += 1
+        self.people.append(person)
+        self.active.append(True)
+
+    def create(self, v: np.ndarray) -> int:
+        person, self.next_person = self.next_person, self.next_person + 1
+        self.add(person, v)
+        return person
+
+    def support(self, person: int, v: np.ndarray, min_sim_add: float, most: int, k: int) -> None:
+        """Adds v if the nearest is that person's and close enough, and there is room."""
+        near = self.search(v, k)
+        if near and near[0][0] == person and near[0][1] >= min_sim_add and sum(p == person and a for p, a in zip(self.people, self.active)) < most:
+            self.add(person, v)
+
+
+PROTOTYPES = "index_row long, person_id long, is_active boolean, v array<double>"
+
+
+def _beside(rows: DataFrame, gallery: DataFrame | None, key: str):
+    """Rows and the gallery, if any, grouped by the gallery's key."""
+    if gallery is None:
+        gallery = rows.sparkSession.createDataFrame([], f"{key} long, {PROTOTYPES}")
+    return rows.groupBy(key).cogroup(gallery.select(key, "index_row", "person_id", "is_active", "v").groupBy(key))
+
+
+def fold(vectors: DataFrame, *, t_accept: float, t_reject: float, gray_creates: bool, min_sim_add: float, most: int, key: str = "gallery_id", gallery: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """person_id and outcome of each vector (gallery_id, id, v), taken in order against the people known so far: those of a
+    gallery (gallery_id, index_row, person_id, is_active, v) and those made before.
 
     Outcomes: matched, created, gray (no person), or created_gray where gray creates. A matched vector becomes a
     prototype if close enough and there is room. A gallery is one task, with prototypes in memory.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        people: list[int] = []
-        store = np.zeros((0, len(pdf["v"].iloc[0]) if len(pdf) else 0))
-        count: dict[int, int] = {}
-        rows, nxt = [], 1
-        for i, v in zip(pdf["id"], pdf["v"]):
-            v = np.asarray(v, float)
-            sims = store @ v if len(people) else np.zeros(0)
-            best = int(sims.argmax()) if len(sims) else -1
-            sim = float(sims[best]) if best >= 0 else None
-            if sim is not None and sim >= t_accept:
-                pid, outcome = people[best], "matched"
-                grow = sim >= min_sim_add and count[pid] < most
-            elif sim is None or sim <= t_reject or gray_creates:
-                outcome = "created" if sim is None or sim <= t_reject else "created_gray"
-                pid, nxt, grow = nxt, nxt + 1, True
-            else:
-                pid, outcome, grow = None, "gray", False
-            if grow:
-                store = np.vstack([store, v])
-                people.append(pid)
-                count[pid] = count.get(pid, 0) + 1
-            rows.append((pdf[key].iloc[0], i, pid, outcome, sim))
+    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(pdf):
+            pdf = pdf.sort_values("id", ignore_index=True)
+            held = Prototypes(known, len(pdf["v"].iloc[0]))
+            for i, v in zip(pdf["id"], pdf["v"]):
+                v = np.asarray(v, float)
+                person, sim = next(iter(held.search(v, k)), (None, None))
+                if sim is not None and sim >= t_accept:
+                    outcome = "matched"
+                    held.support(person, v, min_sim_add, most, k)
+                elif sim is None or sim <= t_reject or gray_creates:
+                    outcome = "created" if sim is None or sim <= t_reject else "created_gray"
+                    person = held.create(v)
+                else:
+                    person, outcome = None, "gray"
+                rows.append((pdf[key].iloc[0], i, person, outcome, sim))
         return pd.DataFrame(rows, columns=[key, "id", "person_id", "outcome", "best_sim"]).astype({"person_id": "Int64"})
 
-    return vectors.groupBy(key).applyInPandas(run, f"{key} long, id long, person_id long, outcome string, best_sim double")
+    return _beside(vectors, gallery, key).applyInPandas(run, f"{key} long, id long, person_id long, outcome string, best_sim double")
 
 
-def resolve_duplicates(df: DataFrame, *, t_accept: float) -> DataFrame:
-    """person_id and outcome of a frame's detections (frame, pos, person_id, won, candidates: array of (person_id, sim)).
+def resolve_duplicates(df: DataFrame, gallery: DataFrame | None = None, *, t_accept: float, t_reject: float, min_sim_add: float, most: int, k: int = 10, key: str = "gallery_id") -> DataFrame:
+    """person_id, outcome and best_sim of detections (gallery_id, frame, pos, person_id, score, v, candidates: array of
+    (person_id, sim)), so that no person has two in a frame.
 
-    A loser takes its first candidate that is close enough and that the frame's winners and earlier losers don't hold,
-    else becomes a person of its own (dup_created), or nobody without candidates. A frame is one task.
+    Of a person's detections in a frame the best score stays (kept). The others, from the best score down, take in turn:
+    the first candidate that is close enough and not taken in this group (reassigned); the first such person among the
+    gallery's nearest (found), which v then may support; a person of their own (dup_created, or dup_created_gray where
+    the nearest is not far off). Without a vector they get nobody (none). People that are made are found by later frames,
+    so a gallery's frames are one task, taken in order; ties of score go by pos.
     """
 
-    def work(g: Arrays) -> Arrays:
-        used = {int(p) for p, won in zip(g["person_id"], g["won"]) if won and not pd.isna(p)}
-        people, outcomes = [], []
-        for pid, won, options in zip(g["person_id"], g["won"], g["candidates"]):
-            if won:
-                people.append(None if pd.isna(pid) else int(pid))
-                outcomes.append("kept")
-                continue
-            options = [] if options is None else list(options)
-            free = next((int(c["person_id"]) for c in options if c["sim"] >= t_accept and c["person_id"] not in used), None)
-            if free is not None:
-                used.add(free)
-            people.append(free)
-            outcomes.append("reassigned" if free is not None else "dup_created" if options else "none")
-        return {"frame": g["frame"], "pos": g["pos"], "person_id": np.array(people, object), "outcome": np.array(outcomes, object)}
-
-    columns = df.select("frame", "pos", "person_id", "won", "candidates")
-    return map_groups(columns, ["frame"], ["pos"], work, "frame long, pos long, person_id long, outcome string")
+    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame([], columns=[key, "frame", "pos", "person_id", "outcome", "best_sim"])
+        pdf = pdf.sort_values(["frame", "pos"], ignore_index=True)
+        size = next((len(v) for v in pdf["v"] if v is not None), len(known["v"].iloc[0]) if len(known) else 1)
+        held = Prototypes(known, size)
+        person = [None if pd.isna(p) else int(p) for p in pdf["person_id"]]
+        outcome, best = ["kept"] * len(pdf), [None] * len(pdf)
+        score, vectors, options = pdf["score"].fillna(-np.inf).to_numpy(), pdf["v"].tolist(), pdf["candidates"].tolist()
+        edges = [0, *(np.flatnonzero(np.diff(pdf["frame"])) + 1).tolist(), len(pdf)]
+        for a, b in zip(edges, edges[1:]):
+            groups: dict[int, list[int]] = {}
+            for i in range(a, b):
+                if person[i] is not None:
+                    groups.setdefault(person[i], []).append(i)
+            for own, rows in groups.items():
+                taken = {own}
+                free = lambda hits: next(((p, s) for p, s in hits if p >= 0 and p not in taken and s >= t_accept), None)  # noqa: E731, B023
+                for i in sorted(rows, key=lambda r: -score[r])[1:]:
+                    offered = [(int(c["person_id"]), float(c["sim"])) for c in options[i]] if options[i] is not None else []
+                    if hit := free(offered):
+                        (person[i], best[i]), outcome[i] = hit, "reassigned"
+                    elif vectors[i] is None:
+                        person[i], outcome[i] = None, "none"
+                        continue
+                    else:
+                        v = np.asarray(vectors[i], float)
+                        near = held.search(v, k)
+                        if hit := free(near):
+                            (person[i], best[i]), outcome[i] = hit, "found"
+                            held.support(person[i], v, min_sim_add, most, k)
+                        else:
+                            best[i] = near[0][1] if near else 0.0
+                            outcome[i] = "dup_created" if not near or best[i] <= t_reject else "dup_created_gray"
+                            person[i] = held.create(v)
+                    taken.add(person[i])
+        out = pd.DataFrame({key: pdf[key], "frame": pdf["frame"], "pos": pdf["pos"], "outcome": outcome})
+        return out.assign(person_id=pd.array(person, "Int64"), best_sim=pd.array(best, "Float64"))[[key, "frame", "pos", "person_id", "outcome", "best_sim"]]
+
+    columns = df.select(key, "frame", "pos", "person_id", "score", "v", "candidates")
+    return _beside(columns, gallery, key).applyInPandas(run, f"{key} long, frame long, pos long, person_id long, outcome string, best_sim double")
+
+
+def add_prototypes(gallery: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """gallery with rows (person_id, proto_id, modality, v) added: of one length, active, numbered on from the greatest index
+    by person and prototype; the modality is the body's where it is null. A vector of another size than the gallery's is an
+    error."""
+    top = gallery.agg(F.coalesce(F.max("index_row"), F.lit(-1))).first()[0]
+    wrong = F.concat(F.lit(f"a prototype needs {size} numbers and has "), F.size("v").cast("string"))
+    held = rows.withColumn("v", F.when(F.size("v") == size, normalized(F.col("v"))).otherwise(F.raise_error(wrong)))
+    new = numbered(held.select("person_id", "proto_id", F.coalesce("modality", F.lit("body")).alias("modality"), F.lit(True).alias("is_active"), "v"), ["person_id", "proto_id"], int(top) + 1, "index_row")
+    return gallery.unionByName(new.withColumn("index_row", F.col("index_row").cast("long")), allowMissingColumns=True)
+
+
+def create_people(gallery: DataFrame, rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The people made of rows (name, proto_id, modality, v), as (name, person_id) numbered on from the greatest, and the
+    gallery with their prototypes."""
+    top = gallery.agg(F.coalesce(F.max("person_id"), F.lit(0))).first()[0]
+    people = numbered(rows.select("name").distinct(), ["name"], int(top) + 1, "person_id").withColumn("person_id", F.col("person_id").cast("long"))
+    return people, add_prototypes(gallery, rows.join(people, "name").drop("name"), size)
+
+
+def labelled(detections: DataFrame, labels: DataFrame) -> DataFrame:
+    """Detections (video_id, kind, rid) with their cluster's label (video_id, rid, label) as track: -1 for an embedded person
+    without one, and null for others."""
+    named = labels.select("video_id", "rid", F.col("label").alias("_label"))
+    joined = detections.join(named, ["video_id", "rid"], "left")
+    track = F.when((F.col("kind") == "person") & F.col("rid").isNotNull(), F.coalesce("_label", F.lit(-1)))
+    return joined.withColumn("track_id", track.cast("long")).drop("_label")
+
+
+def assigned(detections: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Detections (video_id, track_id) with what was decided on their label (video_id, label, person_id, evidence): person and
+    user where there is a person, and the evidence in any case."""
+    found = outcomes.select("video_id", F.col("label").alias("track_id"), F.col("person_id").alias("person_global_id"), "evidence")
+    return detections.join(found, ["video_id", "track_id"], "left").withColumn("user_id", F.coalesce("person_global_id", F.col("rid") if "rid" in detections.columns else F.lit(None)))
 
 
 def enroll(images: DataFrame, gallery: DataFrame, *, t_accept: float, t_reject: float, k: int) -> DataFrame:
-    """Outcome of enrolling each name from its usable images (name, v): match, create, or an error in the gray zone or
-    for vectors that cancel out; nothing is written here, so an error leaves no half-enrolled person."""
-    middle = centroids(images, "name")
+    """Outcome of enrolling each name from its usable images (name, v: unit vectors): match, create, or an error in the gray
+    zone or for vectors that cancel out; nothing is written here, so an error leaves no half-enrolled person."""
+    flat = images.select("name", F.posexplode("v").alias("place", "value")).groupBy("name", "place").agg(F.avg("value").alias("m"))
+    lengths = flat.groupBy("name").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("length"))
+    middle = centroids(images, "name").join(lengths, "name")
     keyed = middle.withColumn("id", F.abs(F.xxhash64("name")))
-    out = decide(keyed.select("id", "v"), gallery, t_accept=t_accept, t_reject=t_reject, k=k)
-    named = keyed.select("name", F.col("id").alias("query_id")).join(out, "query_id")
-    return named.select("name", F.when(F.col("outcome") == "gray", "error").otherwise(F.col("outcome")).alias("outcome"), "person_id", "best_sim")
+    out = decide(keyed.where("length >= 1e-9").select("id", "v"), gallery, t_accept=t_accept, t_reject=t_reject, k=k)
+    named = keyed.select("name", F.col("id").alias("query_id")).join(out, "query_id", "left")
+    return named.select("name", F.when(F.col("outcome").isNull() | (F.col("outcome") == "gray"), "error").otherwise(F.col("outcome")).alias("outcome"), "person_id", "best_sim")

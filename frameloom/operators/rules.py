@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions.timing import armed
+from frameloom.functions.timing import armed, minutes_us
 from frameloom.operators.timeline import runs
 
 EVENT = ("event_type", "zone_id", "track_id", "person_id", "started_us", "ended_us", "first_frame", "zone_name", "observation_count", "dwell_seconds")
@@ -34,16 +34,19 @@ def _events(found: DataFrame, kind: str, dwell: bool) -> DataFrame:
     )
 
 
-def _zoned(obs: DataFrame, zones: DataFrame) -> DataFrame:
-    """Observations with their zone's attributes; zones are a table of settings, joined by key."""
-    z = zones.where("is_active").select(F.col("zone_id").alias("_zone"), F.col("name").alias("zone_name"), "zone_type", "schedule", "schedule_has_loiter")
-    return obs.join(z, F.col("zone_id") == F.col("_zone")).drop("_zone")
+def _zoned(obs: DataFrame, zones: DataFrame, most: int = 10_000) -> DataFrame:
+    """Observations with their zone's attributes, its times parsed once a zone. Zones are a table of settings: up to `most`
+    are broadcast and observations not shuffled; more are joined by a shuffle."""
+    times = {"begin": minutes_us(F.col("schedule.from")), "end": minutes_us(F.col("schedule.to"))}
+    z = zones.where("is_active").withColumns(times).select(F.col("zone_id").alias("_zone"), F.col("name").alias("zone_name"), "zone_type", "schedule", "schedule_has_loiter", "begin", "end")
+    few = z.count() <= most
+    return obs.join(F.broadcast(z) if few else z, F.col("zone_id") == F.col("_zone")).drop("_zone")
 
 
 def intrusion(obs: DataFrame, zones: DataFrame, gap: int, tiebreak: Sequence[str]) -> DataFrame:
     """Runs in restricted zones while armed. A run goes on from one restricted zone into another and counts for the first."""
     rows = _zoned(obs, zones)
-    test = (F.col("zone_type") == "restricted") & armed(F.col("us"), F.col("schedule"))
+    test = (F.col("zone_type") == "restricted") & armed(F.col("us"), F.col("schedule"), F.col("begin"), F.col("end"))
     found = runs(rows, ["track_id"], gap, tiebreak, test, first=("zone_id", "person_id", "us", "zone_name"), last=("us",))
     return _events(found, "intrusion", False)
 

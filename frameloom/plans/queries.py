@@ -40,10 +40,10 @@ def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
-def box_sql(a: str, b: str) -> str:
+def box_sql(a: str, b: str, least: str = " + 1e-12") -> str:
     both = f"greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
     size = lambda t: f"({t}.x2 - {t}.x1) * ({t}.y2 - {t}.y1)"
-    return f"(CASE WHEN {both} > 0 THEN {both} / ({size(a)} + {size(b)} - {both} + 1e-12) ELSE 0.0 END)"
+    return f"(CASE WHEN {both} > 0 THEN {both} / ({size(a)} + {size(b)} - {both}{least}) ELSE 0.0 END)"
 
 
 # runs and rules
@@ -111,7 +111,12 @@ UNION = " UNION ALL ".join(f"SELECT * FROM ({SQL[k]})" for k in ("intrusion", "l
 
 @query(UNION)
 def event_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.all_events(intrusion(spark, sf_dir), loitering(spark, sf_dir), unenrolled(spark, sf_dir))
+    """Zones are found once for all three rules."""
+    zoned, zones = tables.materialize(_zoned(spark, sf_dir), "zoned"), v.zones(spark)
+    known = zoned.withColumn("person_id", F.coalesce("person_id", F.lit(-1)))
+    inside, stay = rules.intrusion(known, zones, GAP, TIE), rules.loitering(known, zones, GAP, v.LOITER_SECONDS, TIE)
+    alone = rules.unenrolled(zoned, v.registry(spark, sf_dir), GAP, CONFIG.rules.unenrolled_debounce_frames, TIE)
+    return rules.all_events(_person(inside), _person(stay), alone)
 
 
 @query(f"SELECT event_type, count(*) AS n FROM ({UNION}) GROUP BY 1")
@@ -142,11 +147,12 @@ def frame_index_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "part").select("p_partkey", timing.frame_index(name, F.col("p_size")).alias("frame_idx"))
 
 
-@query("""SELECT p_partkey, regexp_replace(lower(p_name), '[0-9]+', '') || lpad(regexp_extract(p_name, '([0-9]+)', 1), 20, '0') AS sort_key FROM part WHERE regexp_matches(p_name, '^[^0-9]+[0-9]+$')
-    UNION ALL SELECT p_partkey, lower(p_name) FROM part WHERE NOT regexp_matches(p_name, '[0-9]')""")
+@query("""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(name), '([0-9]+|[^0-9]+)'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), chr(1)) AS sort_key
+    FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey || p_name WHEN 1 THEN p_name || p_size || 'B' ELSE p_name END AS name FROM part)""")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = v.table(spark, sf_dir, "part").where(F.col("p_name").rlike("^[^0-9]+[0-9]*$"))
-    return plain.select("p_partkey", F.regexp_replace(labels.natural_key(F.col("p_name")), "\u0001", "").alias("sort_key"))
+    key = F.col("p_partkey") % 3
+    name = F.when(key == 0, F.concat("p_partkey", "p_name")).when(key == 1, F.concat("p_name", "p_size", F.lit("B"))).otherwise(F.col("p_name"))
+    return v.table(spark, sf_dir, "part").select("p_partkey", labels.natural_key(name).alias("sort_key"))
 
 
 @query("SELECT p_partkey, CASE lower(trim(p_brand)) WHEN 'brand#1' THEN 'first' WHEN 'brand#12' THEN 'twelfth' ELSE p_brand END AS label FROM part")
@@ -200,12 +206,12 @@ def clamp_and_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.clamp_and_reject(rows, 160, 120).select("frame", "pos", "x1", "y1", "x2", "y2")
 
 
-@query(f"WITH {v.DET} SELECT a.frame, a.pos AS a_pos, b.pos AS b_pos, round({box_sql('a', 'b')}, 6) AS iou FROM det a JOIN det b ON a.frame = b.frame AND a.pos < b.pos AND {box_sql('a', 'b')} >= 0.5")
+@query(f"WITH {v.DET} SELECT a.frame, a.pos AS a_pos, b.pos AS b_pos, {box_sql('a', 'b')} AS iou FROM det a JOIN det b ON a.frame = b.frame AND a.pos < b.pos AND {box_sql('a', 'b')} >= 0.5")
 def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = v.detections(spark, sf_dir)
     share = geo.iou(geo.Box.of(alias="a"), geo.Box.of(alias="b"))
     pairs = d.alias("a").join(d.alias("b"), (F.col("a.frame") == F.col("b.frame")) & (F.col("a.pos") < F.col("b.pos")) & (share >= 0.5))
-    return pairs.select(F.col("a.frame").alias("frame"), F.col("a.pos").alias("a_pos"), F.col("b.pos").alias("b_pos"), r6(share).alias("iou"))
+    return pairs.select(F.col("a.frame").alias("frame"), F.col("a.pos").alias("a_pos"), F.col("b.pos").alias("b_pos"), share.alias("iou"))
 
 
 _LETTER = """l AS (SELECT p_partkey, w, h, least(640.0 / w, 640.0 / h) AS ratio FROM (SELECT p_partkey, CAST(p_size * 37 + 100 AS DOUBLE) AS w, CAST(p_partkey % 700 + 90 AS DOUBLE) AS h FROM part)),
@@ -273,28 +279,28 @@ def neighborhood_pp(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMAGE = """j AS (SELECT p.frame, p.pos AS p_id, o.pos AS o_id, (p.x1 + p.x2) * 0.5 - (o.x1 + o.x2) * 0.5 AS dx, (p.y1 + p.y2) * 0.5 - (o.y1 + o.y2) * 0.5 AS dy,
     sqrt((p.x2 - p.x1) ** 2 + (p.y2 - p.y1) ** 2) AS pd, sqrt((o.x2 - o.x1) ** 2 + (o.y2 - o.y1) ** 2) AS od, {iou} AS share FROM det p JOIN det o ON p.frame = o.frame AND p.kind = 'person' AND o.kind = '{kind}' AND {test})"""
 _SIDES = "CASE WHEN abs(dx) > abs(dy) THEN CASE WHEN dx > 0 THEN 'right_of' ELSE 'left_of' END END, CASE WHEN abs(dy) > abs(dx) THEN CASE WHEN dy > 0 THEN 'below' ELSE 'above' END END"
-_OBJECT = f"""WITH {v.DET}, {_IMAGE.format(iou=box_sql('p', 'o'), kind='object', test='TRUE')}
+_OBJECT = f"""WITH {v.DET}, {_IMAGE.format(iou=box_sql('p', 'o', ''), kind='object', test='TRUE')}
     SELECT frame, p_id, o_id, array_to_string(list_filter([CASE WHEN sqrt(dx * dx + dy * dy) < 0.8 * pd THEN 'near' END, {_SIDES}, CASE WHEN share > 0.05 THEN 'overlap' END], lambda x: x IS NOT NULL), ',') AS relation,
-    round(sqrt(dx * dx + dy * dy), 6) AS distance, round(degrees(atan2(dy, dx)), 6) AS angle_deg, round(share, 6) AS iou FROM j"""
+    sqrt(dx * dx + dy * dy) AS distance, degrees(atan2(dy, dx)) AS angle_deg, share AS iou FROM j"""
 
 
 @query(_OBJECT)
 def image_relations_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighborhood.image_relations(*_sides(spark, sf_dir), "object").withColumns({c: r6(c) for c in ("distance", "angle_deg", "iou")})
+    return neighborhood.image_relations(*_sides(spark, sf_dir), "object")
 
 
 @query(f"""WITH {v.DET}, {_IMAGE.format(iou='0', kind='person', test='p.pos <> o.pos')}
     SELECT frame, p_id, o_id, array_to_string(list_filter([CASE WHEN sqrt(dx * dx + dy * dy) < 0.8 * (pd + od) / 2 THEN 'near_person' END, {_SIDES}], lambda x: x IS NOT NULL), ',') AS relation,
-    round(sqrt(dx * dx + dy * dy), 6) AS distance, round(degrees(atan2(dy, dx)), 6) AS angle_deg, CAST(NULL AS DOUBLE) AS iou FROM j""")
+    sqrt(dx * dx + dy * dy) AS distance, degrees(atan2(dy, dx)) AS angle_deg, CAST(NULL AS DOUBLE) AS iou FROM j""")
 def image_relations_person(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = _sides(spark, sf_dir)[0]
-    return neighborhood.image_relations(people, people, "person").withColumns({c: r6(c) for c in ("distance", "angle_deg")})
+    return neighborhood.image_relations(people, people, "person")
 
 
-@query(f"SELECT frame, p_id, o_id, relation, nullif(iou, 0) AS intersection, round(angle_deg / 180, 5) AS x_alignment FROM ({_OBJECT}) WHERE relation <> ''")
+@query(f"SELECT frame, p_id, o_id, relation, nullif(iou, 0) AS intersection, angle_deg / 180 AS x_alignment FROM ({_OBJECT}) WHERE relation <> ''")
 def relation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = neighborhood.relation_rows(image_relations_object(spark, sf_dir))
-    return rows.select("frame", "p_id", "o_id", "relation", "intersection", F.round("x_alignment", 5).alias("x_alignment"))
+    return rows.select("frame", "p_id", "o_id", "relation", "intersection", "x_alignment")
 
 
 # rankings within a frame
@@ -452,9 +458,16 @@ def enroll_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def duplicate_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = v.detections(spark, sf_dir).where("kind = 'person'").withColumn("person_id", F.col("supp") % 3).withColumn("best_sim", F.col("confidence"))
-    options = F.array(*(F.struct(((F.col("part") + i) % 6).alias("person_id"), (F.lit(0.95) - i * 0.1).alias("sim")) for i in range(3)))
-    return identity.resolve_duplicates(det.unique_people(d).withColumn("candidates", options), t_accept=0.8)
+    """Frames of eight videos, each with the whole gallery; every fifth detection has no vector."""
+    videos = 8
+    d = v.detections(spark, sf_dir).where("kind = 'person'").withColumns({"gallery_id": F.col("frame") % videos, "person_id": F.col("supp") % 3, "score": F.col("confidence")})
+    own = v.vectors(spark, sf_dir)
+    n = own.count()
+    options = F.array(*(F.struct(((F.col("part") + i) % 6).alias("person_id"), (F.lit(0.85) - i * 0.1 - F.col("part") % 2 * 0.2).alias("sim")) for i in range(3)))
+    d = d.withColumns({"candidates": options, "at": F.when(F.col("part") % 5 > 0, (F.col("part") * 7 + F.col("supp")) % n)})
+    rows = d.join(own.select(F.col("id").alias("at"), "v"), "at", "left")
+    known = v.gallery(spark, sf_dir).join(spark.range(videos).select(F.col("id").alias("gallery_id")), F.lit(True))
+    return identity.resolve_duplicates(rows, known, t_accept=0.8, t_reject=REJECT, min_sim_add=CONFIG.identity.min_sim_add, most=CONFIG.identity.max_protos_per_person)
 
 
 @query()
@@ -646,3 +659,6 @@ def latest(df: DataFrame, key: str, order: str) -> DataFrame:
 def active_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("camera_id"), F.col("s_suppkey").alias("calibration"))
     return latest(rows, "camera_id", "calibration")
+
+
+from frameloom.plans import record_queries  # noqa: E402, F401  adds its queries

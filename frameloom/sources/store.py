@@ -53,3 +53,28 @@ def repaired(gallery: DataFrame, size: int) -> DataFrame:
 
 def next_index(gallery: DataFrame) -> int:
     return int(gallery.agg(F.coalesce(F.max("index_row") + 1, F.lit(0))).first()[0])
+
+
+def save_gallery(gallery: DataFrame, folder: str) -> int:
+    """Writes a gallery whole as its next version and gives the version; earlier ones stay, so a run that fails while it
+    writes leaves the last good one in place."""
+    version = 1 + max(versions(gallery.sparkSession, folder), default=0)
+    schema = gallery.sparkSession.createDataFrame([], GALLERY)
+    schema.unionByName(gallery, allowMissingColumns=True).select(*schema.columns).write.parquet(f"{folder}/version={version}")
+    return version
+
+
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Versions of a gallery that were written to the end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/version=*/_SUCCESS")) or []
+    return sorted(int(str(f.getPath().getParent().getName()).partition("=")[2]) for f in found)
+
+
+def load_gallery(spark: SparkSession, folder: str, size: int) -> DataFrame:
+    """The last version of a gallery, without prototypes of another size; empty where none was written."""
+    known = versions(spark, folder)
+    if not known:
+        return spark.createDataFrame([], GALLERY)
+    return repaired(spark.read.schema(GALLERY).parquet(f"{folder}/version={known[-1]}"), size)
