@@ -6,12 +6,9 @@ as tracks age by frame. Null scores count as 1. Of assignments that cost the sam
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from frameloom.config import TrackerConfig
 
@@ -60,99 +57,117 @@ def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((k, r) if turned else (r, k) for r, k in pairs)
 
 
-def measured(b: np.ndarray) -> np.ndarray:
-    w, h = b[2] - b[0], b[3] - b[1]
-    return np.array([b[0] + w / 2, b[1] + h / 2, w * h, 0.0 if h <= 1e-9 else w / h])
-
-
-class Track:
-    """A box that moves evenly: state (cx, cy, area, shape, and the first three's speeds)."""
+def matched(share: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the assignment with the greatest total overlap, of pairs that overlap by `least`. What doesn't
+    overlap at all adds nothing, so groups of boxes that overlap one another are solved on their own."""
+    rows, cols = np.nonzero(share > 0)
+    by_row, by_col = np.bincount(rows, minlength=share.shape[0]), np.bincount(cols, minlength=share.shape[1])
+    alone = (by_row[rows] == 1) & (by_col[cols] == 1)
+    pairs = list(zip(rows[alone].tolist(), cols[alone].tolist()))
+    near: dict[int, list[int]] = {}
+    for r, c in zip(rows[~alone].tolist(), cols[~alone].tolist()):
+        near.setdefault(r, []).append(-c - 1)
+        near.setdefault(-c - 1, []).append(r)
+    while near:
+        group, todo = set(), [next(iter(near))]
+        while todo:
+            if (x := todo.pop()) not in group:
+                group.add(x)
+                todo += near.pop(x)
+        r, c = sorted(x for x in group if x >= 0), sorted(-x - 1 for x in group if x < 0)
+        pairs += [(r[i], c[j]) for i, j in assignment(1 - share[np.ix_(r, c)])]
+    pairs = np.array([p for p in pairs if 1 - share[p] <= 1 - least], np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+#: Variances of what is seen (middle, area, shape), of new tracks, and of what a frame adds; speeds' after places'.
+SEEN, NEW, MOVED = np.array([1.0, 1, 10, 10]), (10.0, 10_000.0), (np.ones(4), np.array([0.01, 0.01, 0.0001]))
 
-    MOVE = np.eye(7) + np.diag([1.0, 1.0, 1.0], 4)
-    SEE = np.eye(4, 7)
-    NOISE_SEEN = np.diag([1.0, 1, 10, 10])
-    NOISE_MOVED = np.diag([1.0, 1, 1, 1, 0.01, 0.01, 0.0001])
 
-    def __init__(self, box: np.ndarray, number: int):
-        self.x = np.concatenate([measured(box), np.zeros(3)])
-        self.p = np.diag([10.0] * 4 + [10_000.0] * 3)
-        self.number, self.hits, self.unseen, self.confirmed = number, 0, 0, False
-
-    def predict(self) -> None:
-        if self.x[6] + self.x[2] <= 0:
-            self.x[6] = 0.0
-        self.x = self.MOVE @ self.x
-        self.p = self.MOVE @ self.p @ self.MOVE.T + self.NOISE_MOVED
-        if self.unseen:
-            self.hits = 0
-        self.unseen += 1
+class Tracker:
+    """State of one video: its tracks as arrays, a row each.
 
-    def see(self, box: np.ndarray) -> None:
-        gain = self.p @ self.SEE.T @ np.linalg.inv(self.SEE @ self.p @ self.SEE.T + self.NOISE_SEEN)
-        self.x = self.x + gain @ (measured(box) - self.SEE @ self.x)
-        self.p = (np.eye(7) - gain @ self.SEE) @ self.p
-        self.unseen, self.hits = 0, self.hits + 1
+    A track's middle, area and shape (place) are filtered on their own, the first three with a speed, as neither motion nor
+    noise couples them: for each a variance of place and speed and their covariance.
+    """
 
-    def box(self) -> np.ndarray:
-        area, shape = max(self.x[2], 1e-6), max(self.x[3], 1e-6)
-        w = np.sqrt(area * shape)
-        h = area / w
-        return np.array([self.x[0] - w / 2, self.x[1] - h / 2, self.x[0] + w / 2, self.x[1] + h / 2])
+    FIELDS = ("place", "speed", "place_var", "cov", "speed_var", "number", "hits", "unseen", "confirmed")
 
+    def __init__(self, config: TrackerConfig):
+        self.config, self.frames, self.made = config, 0, 0
+        self.place, self.place_var = np.zeros((0, 4)), np.zeros((0, 4))
+        self.speed, self.cov, self.speed_var = (np.zeros((0, 3)) for _ in range(3))
+        self.number, self.hits, self.unseen = (np.zeros(0, np.int64) for _ in range(3))
+        self.confirmed = np.zeros(0, bool)
 
-class Tracker:
-    """State of one video."""
+    def boxes(self) -> np.ndarray:
+        area, shape = np.maximum(self.place[:, 2], 1e-6), np.maximum(self.place[:, 3], 1e-6)
+        half = np.column_stack([w := np.sqrt(area * shape), area / w]) / 2
+        return np.hstack([self.place[:, :2] - half, self.place[:, :2] + half])
 
-    def __init__(self, config: TrackerConfig):
-        self.config, self.tracks, self.frames, self.made = config, [], 0, 0
+    def predict(self) -> None:
+        self.speed[self.place[:, 2] + self.speed[:, 2] <= 0, 2] = 0.0
+        self.place[:, :3] += self.speed
+        self.place_var[:, :3] += 2 * self.cov + self.speed_var
+        self.place_var += MOVED[0]
+        self.cov += self.speed_var
+        self.speed_var += MOVED[1]
+        self.hits[self.unseen > 0] = 0
+        self.unseen += 1
 
-    def _pair(self, tracks: list[Track], boxes: np.ndarray) -> list[tuple[int, int]]:
-        if not tracks or not len(boxes):
-            return []
-        cost = 1 - pairwise_iou(np.array([t.box() for t in tracks]), boxes)
-        return [(t, d) for t, d in assignment(cost) if cost[t, d] <= 1 - self.config.match]
+    def see(self, t: np.ndarray, boxes: np.ndarray) -> None:
+        """Corrects tracks by the boxes that they have now."""
+        gain = self.place_var[t] / (self.place_var[t] + SEEN)
+        pull = self.cov[t] / (self.place_var[t] + SEEN)[:, :3]
+        off = measured(boxes) - self.place[t]
+        self.place[t] += gain * off
+        self.speed[t] += pull * off[:, :3]
+        self.speed_var[t] -= pull * self.cov[t]
+        self.cov[t] *= 1 - gain[:, :3]
+        self.place_var[t] *= 1 - gain
+        self.unseen[t], self.hits[t] = 0, self.hits[t] + 1
+
+    def add(self, boxes: np.ndarray) -> None:
+        n = len(boxes)
+        new = (measured(boxes), np.zeros((n, 3)), np.full((n, 4), NEW[0]), np.zeros((n, 3)), np.full((n, 3), NEW[1]), self.made + 1 + np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool))
+        for name, rows in zip(self.FIELDS, new):
+            setattr(self, name, np.concatenate((getattr(self, name), rows)))
+        self.made += n
 
     def frame(self, boxes: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """Track of each detection, or -1."""
+        """Track of each detection, or -1. Sure detections choose first, unsure ones among the tracks that are left; sure
+        ones without a track begin one."""
         c = self.config
         self.frames += 1
-        for t in self.tracks:
-            t.predict()
-        high = np.flatnonzero(scores >= c.high)
-        low = np.flatnonzero((scores >= c.low) & (scores < c.high))
-        owner: dict[int, Track] = {}
-        left = list(self.tracks)
-        free = list(high)
-        for part in (high, low):
-            pairs = self._pair(left, boxes[part])
-            for t, d in pairs:
-                owner[int(part[d])] = left[t]
-            taken = {t for t, _ in pairs}
-            left = [t for k, t in enumerate(left) if k not in taken]
-            free = [d for d in free if int(d) not in owner]
-        for d, t in owner.items():
-            t.see(boxes[d])
-        for d in free:
-            self.made += 1
-            t = Track(boxes[d], self.made)
-            t.see(boxes[d])
-            self.tracks.append(t)
-            owner[int(d)] = t
-        self.tracks = [t for t in self.tracks if t.unseen <= c.max_age]
+        self.predict()
+        known = self.boxes()
+        owner = np.full(len(boxes), -1)
+        left = np.ones(len(known), bool)
+        for part in (np.flatnonzero(scores >= c.high), np.flatnonzero((scores >= c.low) & (scores < c.high))):
+            tracks = np.flatnonzero(left)
+            if len(part) and len(tracks):
+                t, d = matched(pairwise_iou(known[tracks], boxes[part]), c.match)
+                owner[part[d]], left[tracks[t]] = tracks[t], False
+        fresh = np.flatnonzero((scores >= c.high) & (owner < 0))
+        owner[fresh] = len(known) + np.arange(len(fresh))
+        self.add(boxes[fresh])
+        seen = np.flatnonzero(owner >= 0)
+        at = owner[seen]
+        self.see(at, boxes[seen])
+        self.confirmed[at] |= (self.hits[at] >= c.min_hits) | (self.frames <= c.min_hits)
         out = np.full(len(boxes), -1, np.int64)
-        for d, t in owner.items():
-            t.confirmed |= t.hits >= c.min_hits or self.frames <= c.min_hits
-            if t.confirmed:
-                out[d] = t.number
+        out[seen] = np.where(self.confirmed[at], self.number[at], -1)
+        keep = self.unseen <= c.max_age
+        if not keep.all():
+            for name in self.FIELDS:
+                setattr(self, name, getattr(self, name)[keep])
         return out
 
 
-def run_frames(tracker: Tracker, frames: Iterable[tuple[int, pd.DataFrame]]) -> Iterable[pd.DataFrame]:
-    for frame, rows in frames:
-        rows = rows[rows["pos"].notna()]
-        boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float).reshape(-1, 4)
-        ids = tracker.frame(boxes, rows["confidence"].fillna(1.0).to_numpy(float))
-        yield pd.DataFrame({"frame_idx": frame, "pos": rows["pos"].to_numpy(), "track_id": ids})
+def measured(b: np.ndarray) -> np.ndarray:
+    """Middle, area and shape of boxes."""
+    w, h = b[:, 2] - b[:, 0], b[:, 3] - b[:, 1]
+    return np.column_stack([b[:, 0] + w / 2, b[:, 1] + h / 2, w * h, np.where(h <= 1e-9, 0.0, w / np.where(h <= 1e-9, 1.0, h))])
 
 
 def track(detections: DataFrame, frames: DataFrame, config: TrackerConfig | None = None) -> DataFrame:
@@ -161,11 +176,15 @@ def track(detections: DataFrame, frames: DataFrame, config: TrackerConfig | None
     config = config or TrackerConfig()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        video = pdf["video_id"].iloc[0]
-        pdf = pdf.sort_values(["frame_idx", "pos"])
-        parts = list(run_frames(Tracker(config), pdf.groupby("frame_idx", sort=True)))
-        out = pd.concat(parts, ignore_index=True)
-        return out.assign(video_id=video)[["video_id", "frame_idx", "pos", "track_id"]].astype({"pos": "int64"})
+        pdf = pdf.sort_values(["frame_idx", "pos"], ignore_index=True)
+        frame, real = pdf["frame_idx"].to_numpy(), pdf["pos"].notna().to_numpy()
+        boxes, scores = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["confidence"].fillna(1.0).to_numpy(float)
+        tracker, ids = Tracker(config), np.full(len(pdf), -1, np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(frame)) + 1).tolist(), len(pdf)]
+        for a, b in zip(edges, edges[1:]):
+            rows = np.flatnonzero(real[a:b]) + a
+            ids[rows] = tracker.frame(boxes[rows], scores[rows])
+        return pdf.assign(track_id=ids)[real][["video_id", "frame_idx", "pos", "track_id"]].astype({"pos": "int64"})
 
     rows = frames.select("video_id", "frame_idx").distinct().join(detections, ["video_id", "frame_idx"], "left")
-    return rows.groupBy("video_id").applyInPandas(run, "video_id long, frame_idx long, pos long, track_id long").where(F.col("pos").isNotNull())
+    return rows.groupBy("video_id").applyInPandas(run, "video_id long, frame_idx long, pos long, track_id long")

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from frameloom.config import TrackerConfig
-from frameloom.operators.tracking import Track, Tracker
+from frameloom.operators.tracking import Tracker
 
 CLIP_FRAMES = 150
 
@@ -38,22 +40,15 @@ def live_presence(obs: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def _pack(t: Tracker) -> str:
-    import json
-
-    return json.dumps({"frames": t.frames, "made": t.made, "tracks": [[x.x.tolist(), x.p.tolist(), x.number, x.hits, x.unseen, bool(x.confirmed)] for x in t.tracks]})
+    return json.dumps({"frames": t.frames, "made": t.made} | {name: getattr(t, name).tolist() for name in t.FIELDS})
 
 
 def _unpack(text: str, config: TrackerConfig) -> Tracker:
-    import json
-
-    import numpy as np
-
     held, t = json.loads(text), Tracker(config)
     t.frames, t.made = held["frames"], held["made"]
-    for x, p, number, hits, unseen, confirmed in held["tracks"]:
-        track = Track(np.array([0.0, 0.0, 1.0, 1.0]), number)
-        track.x, track.p, track.hits, track.unseen, track.confirmed = np.array(x), np.array(p), hits, unseen, confirmed
-        t.tracks.append(track)
+    for name in t.FIELDS:
+        own = getattr(t, name)
+        setattr(t, name, np.array(held[name], own.dtype).reshape(-1, *own.shape[1:]))
     return t
 
 
