@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.runtime import make_importable
 
-#: Only where the session names no shared folder, as in tests on one machine.
+#: Only where the session runs on one machine and names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
@@ -22,8 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; FALLBACK_DIR where that is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that driver and executors share, from spark.checkpoint.dir; FALLBACK_DIR where that is unset and the
+    session runs on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,6 +46,13 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets shuffle files of finished steps go now: Spark deletes them once the driver's JVM finds that nothing refers to
+    them, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     out = batch.column(batch.schema.get_field_index(name))
     return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out

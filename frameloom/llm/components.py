@@ -28,8 +28,9 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """node and root, the smallest node that it reaches, for every node with a link to another; from links (a, b)."""
+def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """node and root, the smallest node that it reaches, for every node with a link to another; from links (a, b). Raises
+    where so many rounds don't settle it."""
     e = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = materialize(e, "links")
     before = _state(e)
@@ -42,4 +43,6 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
