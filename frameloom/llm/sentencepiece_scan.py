@@ -4,12 +4,15 @@ The ids of a text are its best segmentation: the pieces whose scores have the gr
 pieces and scores, as the library has it for models of unigram type). That is a product of matrices in the max-plus
 semiring, so giant texts are cut into chunks anywhere. A boundary has as many states as the longest piece has symbols:
 how far a piece that began before reaches past it. Each chunk yields the matrix of best scores from an entry to an exit
-state; the matrices of a text are combined by an associative scan, which fixes the states at all boundaries; then
-every chunk is traced back on its own. Texts of up to `chunk` symbols are one chunk and need no scan.
+state; the matrices of a text are combined by an associative scan, which gives the best score of every state at every
+boundary; with those every chunk is traced back on its own, from each of its exit states to the entry state that leads
+there, and the text takes of each chunk what its last one leads back to. Texts of up to `chunk` symbols are one chunk and
+need no scan.
 
 Within a chunk, no piece reaches over a space that follows something else, so segments between are solved once and kept
-in a bounded memo. Scores are whole numbers and sums exact. Of segmentations that score the same, the one with the
-longest last piece is taken within a chunk, and the smallest state at a boundary.
+in a bounded memo. Scores are whole numbers, or the model is refused, and sums exact. Of segmentations that score the same,
+the one with the longest last piece is taken, then with the longest before it, and so on: at any size of chunks, as a state
+that a piece from an earlier chunk leads to goes before others of its score.
 
 Symbols without a piece become their UTF-8 bytes' pieces. Null and empty texts have no ids. Decoding gives back every
 text but for U+2581, which the model has for a space. Repeated rows are encoded each; other columns are ignored; an empty
@@ -57,6 +60,8 @@ class Model:
             elif p.is_control(i) or p.is_unknown(i) or p.is_unused(i):
                 self.bytes_of.append(b"")
             else:
+                if p.get_score(i) != round(p.get_score(i)):
+                    raise ValueError(f"{path}: scores are not whole numbers")
                 self.pieces[piece] = (i, round(p.get_score(i)))
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         self.reach = max(map(len, self.pieces))
@@ -197,26 +202,40 @@ class Model:
         out[: found.shape[0], : found.shape[1]] = found
         return out
 
-    def trace(self, s: str, n: int, entry: int, leave: int) -> bytes:
-        """Ids of a chunk between two states."""
+    def traced(self, s: str, n: int, before: np.ndarray) -> tuple[bytes, list[tuple[int, bytes]]]:
+        """Ids of a chunk that do not hang on its exit, and for each exit state the entry state and the ids that do; before: the
+        best score of each entry state. Exits that nothing leads to have the entry -1."""
+        entries = [(e, int(x)) for e, x in enumerate(before.tolist()) if x > LOWEST and e <= n]
         first, middle, last = self.parts(s, n)
-        if first < 0 or entry > first:
-            return self.between(s, entry, n, n + leave)
-        return self.between(s[:first], entry, first, first) + b"".join(self.unit(u)[0] for u in middle) + self.between(s[last:], 0, n - last, n - last + leave)
-
-    def between(self, s: str, begin: int, n: int, end: int) -> bytes:
-        """Ids from a begin to an end of which the last piece begins before n."""
-        score, back = [LOWEST] * (end + 1), [-1] * (end + 1)
-        score[begin] = 0
-        for i in range(begin, n):
+        reach = range(n, min(len(s), n + self.reach - 1) + 1)
+        if first < 0:
+            return b"", self.ways(s, entries, n, reach)
+        # all ways lead through the cuts
+        [(entry, head)] = self.ways(s[:first], [(e, x) for e, x in entries if e <= first], first, [first])
+        tails = self.ways(s[last:], [(0, 0)], n - last, [e - last for e in reach])
+        return head + b"".join(self.unit(u)[0] for u in middle), [(entry if way == 0 else -1, ids) for way, ids in tails]
+
+    def ways(self, s: str, entries: list[tuple[int, int]], n: int, ends: Iterable[int]) -> list[tuple[int, bytes]]:
+        """For each end the entry of the best way there and its ids; pieces begin before n."""
+        ends = list(ends)
+        score, back = [LOWEST] * (max(ends) + 1), [-1] * (max(ends) + 1)
+        for e, x in entries:
+            score[e] = x
+        for i in range(n):
             if score[i] > LOWEST:
                 for e, gain in self.matches(s, i):
-                    if e <= end and score[i] + gain > score[e]:
+                    if e < len(score) and score[i] + gain > score[e]:
                         score[e], back[e] = score[i] + gain, i
-        cuts = [end]
-        while cuts[-1] != begin:
-            cuts.append(back[cuts[-1]])
-        return self.ids_between(s, cuts[::-1])
+        out = []
+        for end in ends:
+            if score[end] == LOWEST:
+                out.append((-1, b""))
+                continue
+            cuts = [end]
+            while back[cuts[-1]] >= 0:
+                cuts.append(back[cuts[-1]])
+            out.append((cuts[-1], self.ids_between(s, cuts[::-1])))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -240,17 +259,21 @@ def scan(matrices: np.ndarray) -> np.ndarray:
     return out
 
 
-def boundary_states(matrices: np.ndarray) -> list[tuple[int, int]]:
-    """Entry and exit state of each chunk on the best way from state 0 to state 0."""
+def boundary_scores(matrices: np.ndarray) -> np.ndarray:
+    """The best score of each state before each chunk, from state 0 of the first."""
     before = np.full((len(matrices), matrices.shape[1]), LOWEST, np.int64)
     before[0, 0] = 0
     before[1:] = scan(matrices)[:-1, 0]
+    return before
+
+
+def joined(parts: list[tuple[bytes, list[tuple[int, bytes]]]]) -> bytes:
+    """Ids of a text from what its chunks give, by the states that the last one's exit 0 leads back to."""
     out, leave = [], 0
-    for k in range(len(matrices) - 1, -1, -1):
-        entry = int((before[k] + matrices[k][:, leave]).argmax())
-        out.append((entry, leave))
-        leave = entry
-    return out[::-1]
+    for ids, exits in reversed(parts):
+        leave, tail = exits[leave]
+        out.append(ids + tail)
+    return b"".join(reversed(out))
 
 
 def symbols(text: str) -> str:
@@ -299,20 +322,23 @@ def _combine(table: pa.Table) -> pa.Table:
     table = table.sort_by("k")
     flat = [np.frombuffer(x, np.int64) for x in table.column("matrix").to_pylist()]
     side = int(len(flat[0]) ** 0.5)
-    states = boundary_states(np.stack(flat).reshape(-1, side, side))
-    return pa.table({"row": table.column("row"), "k": table.column("k"), "entry": [a for a, _ in states], "leave": [b for _, b in states]})
+    scores = boundary_scores(np.stack(flat).reshape(-1, side, side))
+    return pa.table({"row": table.column("row"), "k": table.column("k"), "before": pa.array([x.tobytes() for x in scores], pa.binary())})
 
 
 def _trace(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        args = zip(strings(column(batch, "part")), *(column(batch, c).to_pylist() for c in ("n", "entry", "leave")))
-        found = [model(path).trace(*a) for a in args]
-        yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "k"), pa.array(found, pa.binary())], names=["row", "k", "ids"])
+        args = zip(strings(column(batch, "part")), column(batch, "n").to_pylist(), column(batch, "before").to_pylist())
+        found = [model(path).traced(s, n, np.frombuffer(x, np.int64)) for s, n, x in args]
+        ids, exits = zip(*found) if found else ((), ())
+        entries, tails = ([[x[i] for x in row] for row in exits] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "k"), pa.array(ids, pa.binary()), pa.array(entries, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.binary()))], names=["row", "k", "ids", "entries", "tails"])
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    ids = b"".join(table.sort_by("k").column("ids").to_pylist())
-    return pa.table({"row": table.column("row").slice(0, 1), "ids": pa.array([ids], pa.binary())})
+    ids, entries, tails = (table.sort_by("k").column(c).to_pylist() for c in ("ids", "entries", "tails"))
+    whole = joined([(a, list(zip(b, c))) for a, b, c in zip(ids, entries, tails)])
+    return pa.table({"row": table.column("row").slice(0, 1), "ids": pa.array([whole], pa.binary())})
 
 
 def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -325,8 +351,8 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     parts = texts.dropDuplicates(["row"]).select("row", "text").mapInArrow(lambda it: _cut(it, path, chunk), "row long, k long, part string, n long")
     parts = materialize(parts.repartition("row", "k"), "chunks")
     states = parts.mapInArrow(lambda it: _matrices(it, path), "row long, k long, matrix binary")
-    states = states.groupBy("row").applyInArrow(_combine, "row long, k long, entry long, leave long")
-    traced = parts.join(states, ["row", "k"]).mapInArrow(lambda it: _trace(it, path), "row long, k long, ids binary")
+    states = states.groupBy("row").applyInArrow(_combine, "row long, k long, before binary")
+    traced = parts.join(states, ["row", "k"]).mapInArrow(lambda it: _trace(it, path), "row long, k long, ids binary, entries array<int>, tails array<binary>")
     gathered = traced.groupBy("row").applyInArrow(_gather, "row long, ids binary")
     return short.unionByName(texts.join(gathered, "row").select("doc_id", "text", "ids"))
 
