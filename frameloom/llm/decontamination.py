@@ -1,9 +1,10 @@
 """Benchmark decontamination.
 
-Seeds are word trigrams of the test items that chance would seldom put together: the expected count of a seed's words
-side by side, from the words' counts over all documents, is low. A seed is not rare or common by how often it is itself
-found, so an item that has leaked into thousands of documents keeps its seeds. Passages with a seed are then aligned
-with the item by Smith-Waterman over words, which scores copies with words changed, put in or left out.
+Seeds are three words of the test items, side by side or with one word left out between, that chance would seldom put
+together: the product of the words' shares of all documents' words is low, whatever their number. A seed is not rare or
+common by how often it is itself found, so an item that has leaked into thousands of documents keeps its seeds. Passages
+with a seed are then aligned with the item by Smith-Waterman over words, which scores copies with words changed, put in or
+left out.
 
 Words are lower-cased and lose marks at their ends; words of marks alone are skipped. The items are taken in blocks of a
 checked size, each against all documents; no text is shuffled. An item without words, and a null or empty text or item,
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from frameloom.llm.common import Words, column, slices
 
 SEED = 3
+#: Places of a seed's words: a copy with every third word changed keeps some with a word left out.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: Marks that words lose at their ends.
 MARKS = string.punctuation + "«»“”„‘’…–—¡¿"
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -50,26 +53,33 @@ class Items:
         self.gate = np.zeros(len(self.vocab) + 1, bool)
 
     def seed(self, counts: np.ndarray, total: int, chance: float, least: int) -> Items:
-        """Chooses seeds: trigrams expected at most `chance` times, and the `least` rarest of each item in any case."""
+        """Chooses seeds: those of which a place has the words by chance at most at a rate of `chance`, and the `least` rarest
+        of each item and shape in any case."""
         share = np.log(np.maximum(counts, 1)) - np.log(max(total, 1))
         found: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):
-            keys = seed_keys(w)
-            expected = share[w[:-2]] + share[w[1:-1]] + share[w[2:]] + np.log(max(total, 1))
-            rare = np.argsort(expected, kind="stable")[:least]
-            for i in sorted({*np.flatnonzero(expected <= np.log(chance)).tolist(), *rare.tolist()}):
-                found.setdefault(int(keys[i]), []).append((k, i))
-                self.gate[w[i]] = True
+            for number, shape in enumerate(SHAPES):
+                keys = seed_keys(w, number)
+                rate = sum(share[w[o : o + len(keys)]] for o in shape)
+                rare = np.argsort(rate, kind="stable")[:least]
+                for i in sorted({*np.flatnonzero(rate <= np.log(chance)).tolist(), *rare.tolist()}):
+                    found.setdefault(int(keys[i]), []).append((k, i))
+                    self.gate[w[i]] = True
         self.keys = np.array(sorted(found), np.uint64)
         self.where = [found[k] for k in self.keys.tolist()]
         return self
 
 
-def seed_keys(words: np.ndarray) -> np.ndarray:
-    """A number for each trigram; alignment checks what two share by chance."""
+def seed_keys(words: np.ndarray, number: int) -> np.ndarray:
+    """A number for each seed of a shape; alignment checks what two share by chance."""
+    n = max(len(words) - SHAPES[number][-1], 0)
+    return mixed(*(words[o : o + n] for o in SHAPES[number]), number)
+
+
+def mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray, number: int) -> np.ndarray:
     mix = np.uint64(0x9E3779B97F4A7C15)
-    w = words.astype(np.uint64) + np.uint64(1)
-    return ((w[:-2] * mix ^ w[1:-1]) * mix ^ w[2:]) * mix
+    a, b, c = (x.astype(np.uint64) + np.uint64(1) for x in (a, b, c))
+    return (((a * mix ^ b) * mix ^ c) * mix ^ np.uint64(number)) * mix
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -122,19 +132,20 @@ def hits(texts: pa.Array, items: Items, threshold: float, passage: int) -> Itera
     seq = seq[real]
     if len(seq) < SEED or not len(items.keys):
         return
-    at = np.flatnonzero(items.gate[seq[:-2]] & (seq[1:-1] != none) & (seq[2:] != none))
-    if not len(at):
-        return
-    keys = seed_keys(np.stack([seq[at], seq[at + 1], seq[at + 2]]).T.reshape(-1))[::3]
-    slot = np.minimum(np.searchsorted(items.keys, keys), len(items.keys) - 1)
-    hit = items.keys[slot] == keys
-    at, slot = at[hit], slot[hit]
-    doc = np.searchsorted(starts, at, side="right") - 1
-    inside = at + 2 < starts[doc + 1]
+    heads = np.flatnonzero(items.gate[seq])
     places: dict[tuple[int, int], list[int]] = {}
-    for p, s, d in zip(at[inside].tolist(), slot[inside].tolist(), doc[inside].tolist()):
-        for k, i in items.where[s]:
-            places.setdefault((d, k), []).append(p - i)
+    for number, shape in enumerate(SHAPES):
+        at = heads[heads < len(seq) - shape[-1]]
+        at = at[(seq[at + shape[1]] != none) & (seq[at + shape[2]] != none)]
+        keys = mixed(*(seq[at + o] for o in shape), number)
+        slot = np.minimum(np.searchsorted(items.keys, keys), len(items.keys) - 1)
+        hit = items.keys[slot] == keys
+        at, slot = at[hit], slot[hit]
+        doc = np.searchsorted(starts, at, side="right") - 1
+        inside = at + shape[-1] < starts[doc + 1]
+        for p, s, d in zip(at[inside].tolist(), slot[inside].tolist(), doc[inside].tolist()):
+            for k, i in items.where[s]:
+                places.setdefault((d, k), []).append(p - i)
     for (d, k), begins in places.items():
         item, low, high = items.words[k], int(starts[d]), int(starts[d + 1])
         best = (0, 0, 0)
@@ -204,7 +215,7 @@ def prepared(docs: DataFrame, benchmark: DataFrame, chance: float, least: int, b
         yield spark.sparkContext.broadcast(items.seed(counts, total, chance, least))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, passage: int = 15, chance: float = 1.0, least: int = 4, block_chars: int = 8_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, passage: int = 15, chance: float = 1e-8, least: int = 4, block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, item_id, score (1: every word of the item in order), first_word and last_word of the passage, for each
     document (doc_id, text) with a passage that scores at least `threshold` against an item (item_id, text), or as much as
     `passage` words of it in order."""
@@ -215,7 +226,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, passage: int = 15, chance: float = 1.0, least: int = 4, block_chars: int = 8_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, passage: int = 15, chance: float = 1e-8, least: int = 4, block_chars: int = 8_000_000) -> DataFrame:
     """The rows of docs, with all their columns, that contaminated() doesn't find."""
     out = docs
     for shared in prepared(docs, benchmark, chance, least, block_chars):
