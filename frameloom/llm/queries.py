@@ -12,42 +12,52 @@ from frameloom.llm.common import table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with each benchmark item of which it has a passage: score, and the passage's words."""
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of each document's ids, and whether the text comes back from them."""
     return sentencepiece_scan.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, the votes of the rules, the posterior and the verdict of each document."""
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, smallest linked identifier and number of links of each document."""
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each document by a machine that learns from labelled rows, but for held-out ones."""
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of base spans, their digest, and all spans of each document."""
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and tree log-probabilities of each document."""
     return suffix_tree.lm_scores(table(spark, sf_dir, "documents"))
 
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, number and checksum of each document's ids as read back from the shards."""
     return sstable.token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, places of base phrases, labels and score of each document."""
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
