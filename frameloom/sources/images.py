@@ -29,7 +29,11 @@ def decoded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def with_sizes(listed: DataFrame, read: DataFrame) -> DataFrame:
-    return listed.join(read, "path", "left").withColumn("readable", F.col("width").isNotNull())
+    """The images that were listed, with the sizes of those that can be read; paths may differ in the slashes behind their
+    scheme, as Spark's sources write them."""
+    plain = F.regexp_replace("path", r"^(\w+):/+", "$1:/")
+    sized = read.withColumn("_path", plain).drop("path")
+    return listed.withColumn("_path", plain).join(sized, "_path", "left").drop("_path").withColumn("readable", F.col("width").isNotNull())
 
 
 def photo_reasons(photos: DataFrame) -> DataFrame:
