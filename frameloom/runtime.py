@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 
 #: Bytes of rows that Python workers get at a time; less holds where the session says so.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def make_importable(spark: SparkSession) -> SparkSession:
