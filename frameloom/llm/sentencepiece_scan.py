@@ -37,7 +37,7 @@ from frameloom.llm.common import column, materialize, slices, strings
 #: Fixed value: the symbol that stands for a space in pieces.
 SPACE = "▁"
 CUTS = re.compile(f"\\n|(?<!{SPACE}){SPACE}")
-MEMO = 400_000
+MEMO = 200_000
 CHUNK = 32_768
 LOWEST = -(2**60)
 DIGEST = "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long, decoded_crc32 long"
