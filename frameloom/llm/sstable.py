@@ -19,6 +19,7 @@ own attempt in the shared folder, and only shards that a finished task names are
 from __future__ import annotations
 
 import functools
+import itertools
 import struct
 import uuid
 import zlib
@@ -297,13 +298,15 @@ def _read(batches: Iterable[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
     for batch in batches:
         for path, start in zip(column(batch, "path").to_pylist(), column(batch, "start").to_pylist()):
             with store.open_input_file(path) as f:
-                rows = []
-                for doc_id, ids in Reader(f).scan():
-                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                    start += len(ids)
-            for i in range(0, len(rows), 10_000):
-                a, b, c, d = zip(*rows[i : i + 10_000])
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c, d)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                found = Reader(f).scan()
+                while True:
+                    rows = []
+                    for doc_id, ids in itertools.islice(found, 10_000):
+                        rows.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                        start += len(ids)
+                    if not rows:
+                        break
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def as_uri(path: str) -> str:
@@ -312,8 +315,10 @@ def as_uri(path: str) -> str:
 
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> list:
     """Writes the ids of docs (doc_id, text) in ascending doc_id order under folder; returns the shards' rows (part,
-    path, n_docs, n_ids), of which there are as many as shuffle partitions at most."""
-    parts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
+    path, n_docs, n_ids), of which there are as many as shuffle partitions at most. Rows of one identifier, or of none, can
+    go on in the next shard, in the order of their texts."""
+    parts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    parts = parts.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, 64).asc_nulls_first())
     parts = parts.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
     return sorted(parts.mapInArrow(lambda it: _write(it, folder, tokenizer, end_id), "part long, path string, n_docs long, n_ids long").collect())
 
