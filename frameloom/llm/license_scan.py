@@ -62,9 +62,21 @@ def _whole(alternatives: list[str]) -> str:
     return f"(?<!{WORD})(?i:{'|'.join((GAP + '+').join(map(re.escape, a.split(' '))) for a in alternatives)})(?!{WORD})"
 
 
+def _any(words: list[str]) -> str:
+    """A pattern of any of these words as a whole, in either case; by first characters, so that most words of a text are told
+    apart by one."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by.setdefault(w[0], []).append(re.escape(w[1:]))
+    return f"(?<!{WORD})(?i:{'|'.join(f'{re.escape(c)}(?:{'|'.join(rest)})' for c, rest in by.items())})(?!{WORD})"
+
+
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """How often each word of the templates stands in all texts."""
-    rows = docs.select(F.explode(_words(F.col("text"))).alias("word")).where(F.col("word").isin(vocabulary)).groupBy("word").count()
+    if not vocabulary:
+        return {}
+    found = F.regexp_extract_all("text", F.lit(_any(vocabulary)), F.lit(0))
+    rows = docs.select(F.explode(found).alias("word")).groupBy(F.translate("word", UPPER, LOWER).alias("word")).count()
     return {r["word"]: r["count"] for r in rows.collect()}
 
 
@@ -103,7 +115,7 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
         first = ws[: len(ws) - need + 1]
         prefixes.update(first)
         rows.append(F.struct(F.lit(label).alias("label"), _strings(ws).alias("words"), _strings(first).alias("prefix"), F.lit(need).alias("need"), F.lit(span).alias("span")))
-    some = "(?i)" + "|".join(re.escape(w) for w in sorted(prefixes, key=len) if not any(o != w and o in w for o in prefixes))
+    some = _any(sorted(prefixes))
     if not rows:
         df = df.withColumn("_met", F.array().cast("array<struct<label:string,share:double>>"))
     else:
