@@ -185,7 +185,8 @@ def _deal(batches: Iterable[pa.RecordBatch], shared, power: int) -> Iterator[pa.
 
 
 def _runs(table: pa.Table) -> pa.Table:
-    """The sets of each shingle of a bucket that several sets have, under the smallest of them; repeated rows once."""
+    """The sets of each shingle of a bucket that several sets have, packed under the smallest of them, in parts where they
+    are many. A shingle all of whose sets another smallest set has together already is left out."""
     h, sid = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("h", np.uint64), ("sid", np.int64)))
     order = np.lexsort((sid, h))
     h, sid = h[order], sid[order]
@@ -193,8 +194,36 @@ def _runs(table: pa.Table) -> pa.Table:
     h, sid = h[fresh], sid[fresh]
     starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     size = np.diff(np.append(starts, len(h)))
-    keep = np.repeat(size > 1, size)
-    least, sid = np.repeat(sid[starts], size)[keep], sid[keep]
+    least, sid, size = sid[starts][size > 1], sid[np.repeat(size > 1, size)], size[size > 1]
+    if len(sid):
+        # the smallest set that each set comes under: a run whose sets agree on one is part of what that one has
+        _, which = np.unique(sid, return_inverse=True)
+        first = np.full(which.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, which, np.repeat(least, size))
+        starts = np.cumsum(size) - size
+        low, high = (f.reduceat(first[which], starts) for f in (np.minimum, np.maximum))
+        stays = (low != high) | (low == least)
+        least, sid = np.repeat(least[stays], size[stays]), sid[np.repeat(stays, size)]
+    else:
+        least = sid
+    order = np.lexsort((sid, least))
+    least, sid = least[order], sid[order]
+    fresh = np.concatenate(([True], (least[1:] != least[:-1]) | (sid[1:] != sid[:-1])))[: len(sid)]
+    least, sid = least[fresh], sid[fresh]
+    rows = []
+    for a, b in _edges(least):
+        parts = -(-(b - a) // RUN_BLOCK)
+        part = (_mixed(sid[a:b].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        rows += [(int(least[a]), k, sid[a:b][part == k].tobytes()) for k in range(parts)]
+    leasts, parts, blobs = zip(*rows) if rows else ((), (), ())
+    return pa.table({"least": pa.array(leasts, pa.int64()), "part": pa.array(parts, pa.int64()), "sids": pa.array(blobs, pa.binary())})
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    """The distinct sets under each smallest one, from what several buckets have of them."""
+    blobs = table.column("sids").to_pylist()
+    sid = np.frombuffer(b"".join(blobs), np.int64)
+    least = np.repeat(table.column("least").to_numpy(), [len(x) // 8 for x in blobs])
     order = np.lexsort((sid, least))
     least, sid = least[order], sid[order]
     fresh = np.concatenate(([True], (least[1:] != least[:-1]) | (sid[1:] != sid[:-1])))[: len(sid)]
@@ -390,7 +419,10 @@ def tentative_groups(seen: DataFrame, shared) -> DataFrame:
     power = max(4, int(total // 8 // BUCKET).bit_length())
     sets = seen.where("prefix is not null")
     dealt = sets.select("sid", "prefix").mapInArrow(lambda it: _deal(it, shared, power), "bucket long, h binary, sid binary")
-    runs = materialize(dealt.groupBy("bucket").applyInArrow(_runs, "least long, sid long").distinct(), "runs")
+    packed = dealt.groupBy("bucket").applyInArrow(_runs, "least long, part long, sids binary")
+    packed = packed.withColumn("task", F.pmod(F.xxhash64("least", "part"), F.lit(1 << power)))
+    # a part of one bucket can be another's whole
+    runs = materialize(packed.groupBy("task").applyInArrow(_merged, "least long, sid long").distinct(), "runs")
     maps = sets.join(runs.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"]).select("sid", "n", "bitmap")
     large = runs.groupBy("least").count().where(F.col("count") > 2 * RUN_BLOCK).select("least", F.ceil(F.col("count") / RUN_BLOCK).cast("long").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1).cast("long"))
