@@ -43,6 +43,19 @@ def relations(nx: Column, ny: Column, near: float = 0.15) -> Column:
     )
 
 
+def sentence(person: Column, phrase: Column, other: Column) -> Column:
+    """A relation as a sentence, in the language of its words."""
+    return F.concat(F.lit("Persona "), person.cast("string"), F.lit(" está "), phrase, F.lit(" de "), other.cast("string"), F.lit("."))
+
+
+def person_lines(pose: Column, pose_conf: Column, track: Column, person: Column) -> Column:
+    """What is written beside a person's box, line by line; what is not known has no line."""
+    sure = F.coalesce(F.format_string(" (%.3f)", pose_conf.cast("double")), F.lit(""))
+    sure = F.when(pose_conf.isNull(), "").otherwise(sure)
+    lines = F.array(F.concat(F.lit("pose: "), pose, sure), F.concat(F.lit("track: "), track.cast("string")), F.concat(F.lit("pid: "), person.cast("string")))
+    return F.array_join(F.array_compact(lines), "\n")
+
+
 def stringified(value: Column, kind: str) -> Column:
     """A metadata value as text; null is the word None."""
     text = F.when(value, "true").otherwise("false") if kind == "boolean" else value.cast("string")

@@ -37,6 +37,61 @@ def shred(objects: DataFrame) -> DataFrame:
     return first.unionByName(second)
 
 
+def _tree_rows(df: DataFrame, slots: list[tuple[str, str, str, Column | None, Column]]) -> DataFrame:
+    """Rows of a tree whose nodes have fixed places: (path, name, kind, value, whether it is there); a node's parent is the
+    path without its last part."""
+    made = []
+    for path, name, kind, value, there in slots:
+        parent = F.lit(path.rpartition(".")[0] or None).cast("string")
+        text = F.lit(None).cast("string") if value is None else stringified(value, kind)
+        made.append(F.when(there, F.struct(F.lit(path).alias("path"), parent.alias("parent_path"), F.lit(name).alias("name"), F.lit(kind).alias("data_type"), text.alias("value"))))
+    return df.select("object_id", F.explode(F.array_compact(F.array(*made))).alias("r")).select("object_id", "r.*")
+
+
+def face_rows(objects: DataFrame) -> DataFrame:
+    """Rows of the attribute tree of faces: object_id, face (attention: a struct of attention; mouth: of state and ratio;
+    emotion: of label and confidence; age, age_confidence, adult). What is null has no node, but the face itself has one, and
+    an age has its confidence before it."""
+    at = lambda name: F.col(f"face.{name}")
+    has = lambda name: at(name).isNotNull()
+    return _tree_rows(
+        objects,
+        [
+            ("00", "face", "object", None, F.lit(True)),
+            ("00.00", "attention", "object", None, has("attention")),
+            ("00.00.00", "attention", "string", at("attention.attention"), has("attention.attention")),
+            ("00.01", "mouth", "object", None, has("mouth")),
+            ("00.01.00", "state", "string", at("mouth.state"), has("mouth.state")),
+            ("00.01.01", "ratio", "float", at("mouth.ratio"), has("mouth.ratio")),
+            ("00.02", "emotion", "object", None, has("emotion")),
+            ("00.02.00", "label", "string", at("emotion.label"), has("emotion.label")),
+            ("00.02.01", "confidence", "float", at("emotion.confidence"), has("emotion.confidence")),
+            ("00.03", "age", "object", None, has("age")),
+            ("00.03.00", "confidence", "float", at("age_confidence"), has("age") & has("age_confidence")),
+            ("00.03.01", "age", "integer", at("age"), has("age")),
+            ("00.04", "adult", "boolean", at("adult"), has("adult")),
+        ],
+    )
+
+
+def hand_rows(objects: DataFrame) -> DataFrame:
+    """Rows of the attribute tree of hands: object_id, hands (an array of hand and gesture); the first of each side counts,
+    the right one before the left."""
+    side = lambda name: F.get(F.filter("hands", lambda h: h["hand"] == name), F.lit(0))
+    sides = objects.select("object_id", side("Right").alias("right"), side("Left").alias("left"))
+    there = {c: F.col(c).isNotNull() for c in ("right", "left")}
+    return _tree_rows(
+        sides,
+        [
+            ("00", "hands", "object", None, F.lit(True)),
+            ("00.00", "Right", "object", None, there["right"]),
+            ("00.00.00", "gesture", "string", F.col("right.gesture"), there["right"]),
+            ("00.01", "Left", "object", None, there["left"]),
+            ("00.01.00", "gesture", "string", F.col("left.gesture"), there["left"]),
+        ],
+    )
+
+
 def at_position(rows: DataFrame, frames: DataFrame, position: Column) -> DataFrame:
     """rows with the key_frame_id of the frame (video_id, pos, key_frame_id) at a place of their video; out of range: null."""
     keyed = frames.select(F.col("video_id").alias("_video"), F.col("pos").alias("_pos"), "key_frame_id")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.geometry import Box, area, bearing, center, diagonal, height, iou, overlap, width
-from frameloom.functions.labels import OVERLAPS, relations
+from frameloom.functions.labels import OVERLAPS, relations, sentence
 
 
 def offsets(a: Box, b: Box) -> tuple[Column, Column]:
@@ -45,6 +45,12 @@ def person_person(people: DataFrame, near: float = 0.15) -> DataFrame:
     )
 
 
+def stored(found: DataFrame, other: Column, places: int = 4) -> DataFrame:
+    """Relations as they are stored: numbers rounded, and the sentence that says them; other: what the second one is called."""
+    rounded = {c: F.round(c, places) for c in ("intersection", "x_alignment", "y_alignment")}
+    return found.withColumn("markdown", sentence(F.col("p_id"), F.col("phrase"), other)).withColumns(rounded).drop("phrase")
+
+
 def sides(a: Box, b: Box) -> tuple[Column, Column, Column, Column]:
     """Distance, bearing, and the side by the longer of the two offsets, of a as seen from b."""
     (ax, ay), (bx, by) = center(a), center(b)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.functions import geometry as geo
-from frameloom.operators import calibration, evaluation, identity, records, tables, timeline
+from frameloom.functions import labels
+from frameloom.operators import calibration, document, evaluation, identity, neighborhood, records, tables, timeline
 from frameloom.operators import detections as det
 from frameloom.plans import views as v
 from frameloom.plans.queries import SQL, query
@@ -113,6 +114,48 @@ def upload_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.upload_manifest(rows)
 
 
+_FACE = """f AS (SELECT p_partkey AS id, p_partkey % 2 = 0 AS eyes, p_partkey % 3 > 0 AS mouth, CASE WHEN p_size % 4 > 0 THEN p_type END AS state, CAST(p_size AS BIGINT) AS ratio, p_partkey % 5 > 0 AS emo, p_brand AS label,
+    CASE WHEN p_size % 3 > 0 THEN CAST(p_size * 2 AS BIGINT) END AS age, p_size % 2 = 0 AS sure FROM part)"""
+
+
+@query(f"""WITH {_FACE}, r AS (SELECT id, '00' AS path, 'face' AS name, 'object' AS data_type, NULL AS value FROM f UNION ALL SELECT id, '00.00', 'attention', 'object', NULL FROM f WHERE eyes UNION ALL SELECT id, '00.00.00', 'attention', 'string', label FROM f WHERE eyes
+    UNION ALL SELECT id, '00.01', 'mouth', 'object', NULL FROM f WHERE mouth UNION ALL SELECT id, '00.01.00', 'state', 'string', state FROM f WHERE mouth AND state IS NOT NULL UNION ALL SELECT id, '00.01.01', 'ratio', 'float', CAST(ratio AS VARCHAR) FROM f WHERE mouth
+    UNION ALL SELECT id, '00.02', 'emotion', 'object', NULL FROM f WHERE emo UNION ALL SELECT id, '00.02.00', 'label', 'string', label FROM f WHERE emo UNION ALL SELECT id, '00.03', 'age', 'object', NULL FROM f WHERE age IS NOT NULL
+    UNION ALL SELECT id, '00.03.00', 'confidence', 'float', CAST(ratio AS VARCHAR) FROM f WHERE age IS NOT NULL AND sure UNION ALL SELECT id, '00.03.01', 'age', 'integer', CAST(age AS VARCHAR) FROM f WHERE age IS NOT NULL
+    UNION ALL SELECT id, '00.04', 'adult', 'boolean', CASE WHEN age >= 18 THEN 'true' ELSE 'false' END FROM f WHERE age IS NOT NULL) SELECT id AS object_id, path, CASE WHEN len(path) > 2 THEN path[:len(path) - 3] END AS parent_path, name, data_type, value FROM r""")
+def face_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    n, age = size.cast("long"), F.when(size % 3 > 0, (size * 2).cast("long"))
+    mouth = F.struct(F.when(size % 4 > 0, F.col("p_type")).alias("state"), n.alias("ratio"))
+    emotion = F.struct(F.col("p_brand").alias("label"), F.lit(None).cast("double").alias("confidence"))
+    face = F.struct(F.when(key % 2 == 0, F.struct(F.col("p_brand").alias("attention"))).alias("attention"), F.when(key % 3 > 0, mouth).alias("mouth"), F.when(key % 5 > 0, emotion).alias("emotion"), age.alias("age"), F.when(size % 2 == 0, n).alias("age_confidence"), (age >= 18).alias("adult"))
+    return document.face_rows(v.table(spark, sf_dir, "part").select(key.alias("object_id"), face.alias("face")))
+
+
+@query("""WITH h AS (SELECT p_partkey AS id, list_filter([{'s': 'Left', 'g': p_brand}, {'s': CASE WHEN p_size % 2 = 0 THEN 'Right' ELSE 'Left' END, 'g': p_type}, {'s': 'Right', 'g': p_name}], lambda x: p_size % 5 > 0) AS hands FROM part),
+    s AS (SELECT id, list_filter(hands, lambda x: x.s = 'Right')[1] AS r, list_filter(hands, lambda x: x.s = 'Left')[1] AS l FROM h)
+    SELECT id AS object_id, '00' AS path, CAST(NULL AS VARCHAR) AS parent_path, 'hands' AS name, 'object' AS data_type, CAST(NULL AS VARCHAR) AS value FROM s UNION ALL SELECT id, '00.00', '00', 'Right', 'object', NULL FROM s WHERE r IS NOT NULL
+    UNION ALL SELECT id, '00.00.00', '00.00', 'gesture', 'string', r.g FROM s WHERE r IS NOT NULL UNION ALL SELECT id, '00.01', '00', 'Left', 'object', NULL FROM s WHERE l IS NOT NULL UNION ALL SELECT id, '00.01.00', '00.01', 'gesture', 'string', l.g FROM s WHERE l IS NOT NULL""")
+def hand_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hand = lambda side, gesture: F.struct(side.alias("hand"), F.col(gesture).alias("gesture"))
+    hands = F.array(hand(F.lit("Left"), "p_brand"), hand(F.when(F.col("p_size") % 2 == 0, "Right").otherwise("Left"), "p_type"), hand(F.lit("Right"), "p_name"))
+    return document.hand_rows(v.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("object_id"), F.when(F.col("p_size") % 5 > 0, hands).otherwise(F.array()).alias("hands")))
+
+
+@query(f"SELECT frame, p_id, q_id, relation, 'Persona ' || p_id || ' está ' || phrase || ' de Persona ' || q_id || '.' AS markdown FROM ({SQL['neighborhood_pp']})")
+def relation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    people = v.detections(spark, sf_dir).where("kind = 'person'")
+    found = neighborhood.stored(neighborhood.person_person(people), F.concat(F.lit("Persona "), F.col("q_id").cast("string")))
+    return found.select("frame", "p_id", "q_id", "relation", "markdown")
+
+
+@query(f"""WITH {v.DET} SELECT frame, pos, array_to_string(list_filter(['pose: pose' || supp % 5 || CASE WHEN part % 3 > 0 THEN format(' ({{:.3f}})', part % 8 / 8.0) ELSE '' END, CASE WHEN supp % 4 > 0 THEN 'track: ' || supp % 4 END, CASE WHEN part % 2 > 0 THEN 'pid: ' || part END], lambda x: x IS NOT NULL), chr(10)) AS lines FROM det""")
+def person_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, supp = F.col("part"), F.col("supp")
+    lines = labels.person_lines(F.concat(F.lit("pose"), supp % 5), F.when(part % 3 > 0, part % 8 / 8.0), F.when(supp % 4 > 0, supp % 4), F.when(part % 2 > 0, part))
+    return v.detections(spark, sf_dir).select("frame", "pos", lines.alias("lines"))
+
+
 # identities
 
 
