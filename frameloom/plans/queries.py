@@ -36,10 +36,6 @@ def query(sql: str | None = None):
     return put
 
 
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
 def box_sql(a: str, b: str, least: str = " + 1e-12") -> str:
     both = f"greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1))"
     size = lambda t: f"({t}.x2 - {t}.x1) * ({t}.y2 - {t}.y1)"
@@ -184,10 +180,10 @@ _M = v.HOMOGRAPHY
 _AT = lambda a, b, c: f"({a} * gx + {b} * gy + {c}) / ({_M[6]} * gx + {_M[7]} * gy + {_M[8]})"
 
 
-@query(f"WITH {v.DET}, g AS (SELECT frame, pos, (x1 + x2) * 0.5 AS gx, y2 AS gy FROM det) SELECT frame, pos, round({_AT(*_M[:3])}, 6) AS world_x, round({_AT(*_M[3:6])}, 6) AS world_y FROM g")
+@query(f"WITH {v.DET}, g AS (SELECT frame, pos, (x1 + x2) * 0.5 AS gx, y2 AS gy FROM det) SELECT frame, pos, {_AT(*_M[:3])} AS world_x, {_AT(*_M[3:6])} AS world_y FROM g")
 def homography_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = geo.projected(*geo.ground_point(geo.Box.of()), _M)
-    return v.detections(spark, sf_dir).select("frame", "pos", r6(x).alias("world_x"), r6(y).alias("world_y"))
+    return v.detections(spark, sf_dir).select("frame", "pos", x.alias("world_x"), y.alias("world_y"))
 
 
 @query(f"WITH {v.DET} SELECT frame, pos, class_name FROM det WHERE class_name IN {CONFIG.detection.allowlist} AND confidence >= {CONFIG.detection.min_confidence}")
@@ -222,12 +218,12 @@ def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 37 + 100).cast("double").alias("w"), (F.col("p_partkey") % 700 + 90).cast("double").alias("h"))
 
 
-@query(f"WITH {_LETTER} SELECT p_partkey, round(ratio, 6) AS ratio, round(pad_x, 6) AS pad_x, round(pad_y, 6) AS pad_y, round(greatest(0, least(w, (100 - pad_x) / ratio)), 6) AS back_x, round(greatest(0, least(h, (900 - pad_y) / ratio)), 6) AS back_y FROM p")
+@query(f"WITH {_LETTER} SELECT p_partkey, ratio AS ratio, pad_x AS pad_x, pad_y AS pad_y, greatest(0, least(w, (100 - pad_x) / ratio)) AS back_x, greatest(0, least(h, (900 - pad_y) / ratio)) AS back_y FROM p")
 def letterbox_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = geo.letterbox(F.col("w"), F.col("h"), 640, 32)
     point = geo.Box(F.lit(100.0), F.lit(100.0), F.lit(100.0), F.lit(900.0))
     back = geo.unletterbox(point, fit["ratio"], fit["pad_x"], fit["pad_y"], F.col("w"), F.col("h"))
-    return _images(spark, sf_dir).select("p_partkey", *(r6(fit[k]).alias(k) for k in ("ratio", "pad_x", "pad_y")), r6(back.x1).alias("back_x"), r6(back.y2).alias("back_y"))
+    return _images(spark, sf_dir).select("p_partkey", *(fit[k].alias(k) for k in ("ratio", "pad_x", "pad_y")), back.x1.alias("back_x"), back.y2.alias("back_y"))
 
 
 @query("""WITH i AS (SELECT p_partkey, CAST(p_size * 37 + 100 AS DOUBLE) AS w, CAST(p_partkey % 700 + 90 AS DOUBLE) AS h FROM part), s AS (SELECT *, least(1.0, 1280.0 / greatest(w, h)) AS k FROM i)
@@ -263,17 +259,17 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"""WITH {v.DET}, j AS (SELECT p.frame, p.pos AS p_id, o.pos AS o_id, {_offset_sql('p', 'o')}, {box_sql('p', 'o')} AS iou FROM det p JOIN det o ON p.frame = o.frame AND p.kind = 'person' AND o.kind = 'object'),
     w AS (SELECT *, {_words_sql()} AS words FROM j)
-    SELECT frame, p_id, o_id, CASE WHEN len(words) > 0 THEN array_to_string(words, ',') ELSE 'superpuesto a' END AS relation, round(iou, 6) AS intersection, round(nx, 6) AS x_alignment, round(ny, 6) AS y_alignment,
+    SELECT frame, p_id, o_id, CASE WHEN len(words) > 0 THEN array_to_string(words, ',') ELSE 'superpuesto a' END AS relation, iou AS intersection, nx AS x_alignment, ny AS y_alignment,
     CASE WHEN len(words) > 0 THEN array_to_string(words, ' y ') ELSE 'superpuesto a' END AS phrase FROM w WHERE len(words) > 0 OR iou >= 0.01""")
 def neighborhood_po(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighborhood.person_object(*_sides(spark, sf_dir)).withColumns({c: r6(c) for c in ("intersection", "x_alignment", "y_alignment")})
+    return neighborhood.person_object(*_sides(spark, sf_dir))
 
 
 @query(f"""WITH {v.DET}, j AS (SELECT a.frame, a.pos AS p_id, b.pos AS q_id, {_offset_sql('a', 'b')} FROM det a JOIN det b ON a.frame = b.frame AND a.kind = 'person' AND b.kind = 'person' AND a.pos < b.pos),
     w AS (SELECT *, {_words_sql()} AS words FROM j)
-    SELECT frame, p_id, q_id, array_to_string(words, ',') AS relation, CAST(NULL AS DOUBLE) AS intersection, round(nx, 6) AS x_alignment, round(ny, 6) AS y_alignment, array_to_string(words, ' y ') AS phrase FROM w WHERE len(words) > 0""")
+    SELECT frame, p_id, q_id, array_to_string(words, ',') AS relation, CAST(NULL AS DOUBLE) AS intersection, nx AS x_alignment, ny AS y_alignment, array_to_string(words, ' y ') AS phrase FROM w WHERE len(words) > 0""")
 def neighborhood_pp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighborhood.person_person(_sides(spark, sf_dir)[0]).withColumns({c: r6(c) for c in ("x_alignment", "y_alignment")})
+    return neighborhood.person_person(_sides(spark, sf_dir)[0])
 
 
 _IMAGE = """j AS (SELECT p.frame, p.pos AS p_id, o.pos AS o_id, (p.x1 + p.x2) * 0.5 - (o.x1 + o.x2) * 0.5 AS dx, (p.y1 + p.y2) * 0.5 - (o.y1 + o.y2) * 0.5 AS dy,
@@ -333,10 +329,10 @@ def largest_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {v.DET}, a AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY {_AREA} DESC, pos) AS rank FROM det WHERE kind = 'person'),
     g AS (SELECT *, rank <= 2 AND {_AREA} > 0 AND {_AREA} / ({v.WIDTH * v.HEIGHT}.0 + 1e-6) >= 0.2 AS seen FROM a)
-    SELECT frame, pos, CASE WHEN seen AND confidence >= 0.6 THEN 'pose' || supp % 5 WHEN seen THEN 'before' ELSE 'indefinido' END AS pose, round(CASE WHEN seen THEN confidence ELSE 0.0 END, 6) AS pose_score FROM g""")
+    SELECT frame, pos, CASE WHEN seen AND confidence >= 0.6 THEN 'pose' || supp % 5 WHEN seen THEN 'before' ELSE 'indefinido' END AS pose, CASE WHEN seen THEN confidence ELSE 0.0 END AS pose_score FROM g""")
 def pose_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = v.detections(spark, sf_dir).withColumn("pose_label", F.concat(F.lit("pose"), F.col("supp") % 5)).withColumn("pose_conf", F.col("confidence")).withColumn("action", F.lit("before"))
-    return det.pose_gate(d, v.WIDTH, v.HEIGHT, 0.2, 0.6, 2).select("frame", "pos", "pose", r6("pose_score").alias("pose_score"))
+    return det.pose_gate(d, v.WIDTH, v.HEIGHT, 0.2, 0.6, 2).select("frame", "pos", "pose", "pose_score")
 
 
 @query(f"""WITH {v.DET} SELECT frame % 100 AS video_id, frame, pos, row_number() OVER (PARTITION BY frame % 100 ORDER BY frame, pos) - 1 AS rid FROM det WHERE kind = 'person' AND confidence >= 0.5""")
@@ -345,10 +341,10 @@ def rid_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return det.numbered(d, ["frame", "pos"]).select("video_id", "frame", "pos", "rid")
 
 
-@query(f"WITH {v.DET} SELECT frame, count(*) FILTER (WHERE kind = 'person') AS persons, count(*) FILTER (WHERE kind = 'object') AS objects, round(avg(confidence), 6) AS mean_confidence FROM det GROUP BY 1")
+@query(f"WITH {v.DET} SELECT frame, count(*) FILTER (WHERE kind = 'person') AS persons, count(*) FILTER (WHERE kind = 'object') AS objects, avg(confidence) AS mean_confidence FROM det GROUP BY 1")
 def per_frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     people, objects = F.count_if(F.col("kind") == "person"), F.count_if(F.col("kind") == "object")
-    return v.detections(spark, sf_dir).groupBy("frame").agg(people.alias("persons"), objects.alias("objects"), r6(F.avg("confidence")).alias("mean_confidence"))
+    return v.detections(spark, sf_dir).groupBy("frame").agg(people.alias("persons"), objects.alias("objects"), F.avg("confidence").alias("mean_confidence"))
 
 
 @query(f"WITH {v.DET} SELECT frame, pos, CASE WHEN confidence >= 0.5 THEN 'high' WHEN confidence >= 0.1 THEN 'low' ELSE 'dropped' END AS band FROM det")
@@ -383,29 +379,29 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.vectors(spark, sf_dir).where("id % 20 = 0")
 
 
-@query(f"{SIM}, {NEAR} SELECT query_id, id, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM near WHERE rank <= 10")
+@query(f"{SIM}, {NEAR} SELECT query_id, id, sim AS sim, CAST(rank AS INT) AS rank FROM near WHERE rank <= 10")
 def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vop.knn(_probes(spark, sf_dir), v.vectors(spark, sf_dir), 10).withColumn("sim", r6("sim"))
+    return vop.knn(_probes(spark, sf_dir), v.vectors(spark, sf_dir), 10)
 
 
-@query(f"{SIM} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS sim FROM emb a JOIN emb b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.35")
+@query(f"{SIM} SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM emb a JOIN emb b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.35")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vop.similar_pairs(v.vectors(spark, sf_dir), 0.35).withColumn("sim", r6("sim"))
+    return vop.similar_pairs(v.vectors(spark, sf_dir), 0.35)
 
 
 @query(f"""{SIM}, u AS (SELECT person_id, unnest(list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-12))) AS x, generate_subscripts(v, 1) - 1 AS place FROM emb),
     m AS (SELECT person_id, place, avg(x) AS m FROM u GROUP BY 1, 2)
-    SELECT person_id, CAST(place AS INT) AS place, round(m / (sqrt(sum(m * m) OVER (PARTITION BY person_id)) + 1e-12), 6) AS value FROM m""")
+    SELECT person_id, CAST(place AS INT) AS place, m / (sqrt(sum(m * m) OVER (PARTITION BY person_id)) + 1e-12) AS value FROM m""")
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vop.centroids(v.gallery(spark, sf_dir), "person_id").select("person_id", F.posexplode("v").alias("place", "value")).withColumn("value", r6("value"))
+    return vop.centroids(v.gallery(spark, sf_dir), "person_id").select("person_id", F.posexplode("v").alias("place", "value"))
 
 
 @query(f"""{SIM}, {NEAR}, best AS (SELECT query_id, arg_min(person_id, rank) AS person_id, arg_min(sim, rank) AS sim FROM near WHERE rank <= 30 AND is_active GROUP BY 1)
-    SELECT e.id AS query_id, CASE WHEN sim >= {ACCEPT} THEN 'match' WHEN sim IS NULL OR sim <= {REJECT} THEN 'create' ELSE 'gray' END AS outcome, CASE WHEN sim >= {ACCEPT} THEN b.person_id END AS person_id, round(sim, 6) AS best_sim
+    SELECT e.id AS query_id, CASE WHEN sim >= {ACCEPT} THEN 'match' WHEN sim IS NULL OR sim <= {REJECT} THEN 'create' ELSE 'gray' END AS outcome, CASE WHEN sim >= {ACCEPT} THEN b.person_id END AS person_id, sim AS best_sim
     FROM emb e LEFT JOIN best b ON b.query_id = e.id WHERE e.id % 20 = 0""")
 def assign_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identity.decide(_probes(spark, sf_dir), v.gallery(spark, sf_dir), t_accept=ACCEPT, t_reject=REJECT, k=30, exclude_self=True)
-    return found.withColumn("best_sim", r6("best_sim"))
+    return found
 
 
 @query(f"{SIM}, {NEAR} SELECT query_id, list(person_id ORDER BY rank)[1] AS first, CAST(count(*) AS INT) AS n FROM near WHERE rank <= 3 AND is_active GROUP BY 1")
@@ -420,10 +416,10 @@ def active_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{SIM}, {NEAR}, top AS (SELECT query_id, person_id AS hit, sim FROM near WHERE rank = 1 AND is_active), c AS (SELECT person_id, count(*) FILTER (WHERE is_active) AS n FROM emb GROUP BY 1)
-    SELECT e.id, e.person_id, round(sim, 6) AS sim FROM emb e JOIN top ON query_id = e.id AND hit = e.person_id JOIN c ON c.person_id = e.person_id WHERE e.id % 20 = 0 AND sim >= {REJECT} AND n < 1000000""")
+    SELECT e.id, e.person_id, sim AS sim FROM emb e JOIN top ON query_id = e.id AND hit = e.person_id JOIN c ON c.person_id = e.person_id WHERE e.id % 20 = 0 AND sim >= {REJECT} AND n < 1000000""")
 def support_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     probes = _probes(spark, sf_dir).join(v.gallery(spark, sf_dir).select(F.col("index_row").alias("id"), "person_id"), "id")
-    return identity.support(probes, v.gallery(spark, sf_dir), min_sim_add=REJECT, most=1_000_000, k=30, exclude_self=True).withColumn("sim", r6("sim"))
+    return identity.support(probes, v.gallery(spark, sf_dir), min_sim_add=REJECT, most=1_000_000, k=30, exclude_self=True)
 
 
 @query(f"""{SIM}, n AS (SELECT id, person_id, is_active, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-12)) AS v FROM emb),
@@ -480,10 +476,10 @@ def tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 # key frames and evaluation
 
 
-@query("SELECT event_id, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.0 END, 6) AS scaled FROM events WINDOW w AS (PARTITION BY user_id)")
+@query("SELECT event_id, CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0.0 END AS scaled FROM events WINDOW w AS (PARTITION BY user_id)")
 def minmax_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.table(spark, sf_dir, "events").withColumn("clip", F.col("user_id"))
-    return keyframes.scaled(rows, "value").select("event_id", r6("scaled").alias("scaled"))
+    return keyframes.scaled(rows, "value").select("event_id", "scaled")
 
 
 @query()
@@ -498,18 +494,18 @@ _F1 = """pr AS (SELECT DISTINCT user_id AS clip, event_id AS frame FROM events W
     s AS (SELECT c.clip, CASE WHEN np > 0 THEN coalesce(tp, 0) / np ELSE 0.0 END AS p, CASE WHEN nw > 0 THEN coalesce(tp, 0) / nw ELSE 0.0 END AS r FROM c LEFT JOIN tp ON tp.clip = c.clip)"""
 
 
-@query(f"WITH {_F1} SELECT clip, round(p * 100, 6) AS precision, round(r * 100, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END * 100, 6) AS f1_score FROM s")
+@query(f"WITH {_F1} SELECT clip, p * 100 AS precision, r * 100 AS recall, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END * 100 AS f1_score FROM s")
 def keyframe_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), F.col("event_id").alias("frame"), "event_type")
     found = evaluation.tolerance_match(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), 30)
-    return found.withColumns({c: r6(c) for c in ("precision", "recall", "f1_score")})
+    return found
 
 
 @query(f"""WITH {v.DET}, d AS (SELECT class_name, abs(confidence - part % 10 / 10.0) AS diff FROM det)
-    SELECT class_name, round(min(diff), 6) AS least, round(avg(diff), 6) AS mean, round(max(diff), 6) AS greatest, count(*) FILTER (WHERE diff > 0.123) AS failures, count(*) AS n FROM d GROUP BY ROLLUP (class_name)""")
+    SELECT class_name, min(diff) AS least, avg(diff) AS mean, max(diff) AS greatest, count(*) FILTER (WHERE diff > 0.123) AS failures, count(*) AS n FROM d GROUP BY ROLLUP (class_name)""")
 def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = v.detections(spark, sf_dir).select("class_name", F.abs(F.col("confidence") - F.col("part") % 10 / 10.0).alias("diff"))
-    return evaluation.parity(d, "class_name", "diff", 0.123).withColumns({c: r6(c) for c in ("least", "mean", "greatest")})
+    return evaluation.parity(d, "class_name", "diff", 0.123)
 
 
 @query(f"""WITH {v.OBS}, s AS (SELECT track_id, us, event_id, row_number() OVER (PARTITION BY track_id ORDER BY us, event_id) - 1 AS seq, count(*) OVER (PARTITION BY track_id) AS total FROM obs)
@@ -556,11 +552,11 @@ def face_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[1:8], lambda x: x * 20) AS s FROM embeddings), x AS (SELECT vec_id, list_transform(s, lambda y: exp(y - list_max(s))) AS w FROM e),
     p AS (SELECT vec_id, list_transform(w, lambda y: y / list_sum(w)) AS p FROM x), a AS (SELECT vec_id, CAST(round_even(list_dot_product(p, [1.0, 5, 10, 18, 28, 40.5, 50.5, 80.0]::DOUBLE[]), 0) AS INT) AS age, list_max(p) AS c FROM p)
-    SELECT vec_id, age, age >= 18 AS adult, round(c, 6) AS confidence FROM a""")
+    SELECT vec_id, age, age >= 18 AS adult, c AS confidence FROM a""")
 def age_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 20)
     rows = v.table(spark, sf_dir, "embeddings").select("vec_id", labels.age_of(scores).alias("a"))
-    return rows.select("vec_id", "a.age", "a.adult", r6("a.confidence").alias("confidence"))
+    return rows.select("vec_id", "a.age", "a.adult", "a.confidence")
 
 
 # documents and tables
@@ -644,10 +640,10 @@ def project_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.get_or_create(known, v.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "name")
 
 
-@query(f"WITH {v.EMB} SELECT id, round(list_max(list_transform(v, lambda x: abs(x))) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS top, TRUE AS valid FROM emb")
+@query(f"WITH {v.EMB} SELECT id, list_max(list_transform(v, lambda x: abs(x))) / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS top, TRUE AS valid FROM emb")
 def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.vectors(spark, sf_dir)
-    return rows.select("id", r6(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top"), vec.valid(F.col("v")).alias("valid"))
+    return rows.select("id", F.array_max(F.transform("v", lambda x: F.abs(x))).alias("top"), vec.valid(F.col("v")).alias("valid"))
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
