@@ -37,7 +37,7 @@ from frameloom.llm.common import column, materialize, slices, strings
 #: Fixed value: the symbol that stands for a space in pieces.
 SPACE = "▁"
 CUTS = re.compile(f"\\n|(?<!{SPACE}){SPACE}")
-MEMO = 200_000
+MEMO, SCORES = 350_000, 50_000
 CHUNK = 32_768
 LOWEST = -(2**60)
 DIGEST = "doc_id long, n_tokens long, ids_crc32 long, text_crc32 long, decoded_crc32 long"
@@ -75,7 +75,8 @@ class Model:
         self.starts = {piece[:k] for piece in self.pieces for k in range(1, len(piece) + 1)}
         self.width = 2 if n <= 2**16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.memo: dict[str, tuple[bytes, int]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.scores: dict[str, int] = {}
 
     def matches(self, s: str, i: int) -> Iterator[tuple[int, int]]:
         """Ends and scores of pieces that begin at a place; the place's own symbol counts in any case."""
@@ -117,17 +118,25 @@ class Model:
             cuts.append(back[cuts[-1]])
         return cuts[::-1], score[n]
 
-    def unit(self, u: str) -> tuple[bytes, int]:
-        """Ids and score of a segment that no piece reaches out of."""
+    def unit(self, u: str) -> bytes:
+        """Ids of a segment that no piece reaches out of."""
         found = self.memo.get(u)
         if found is None:
-            cuts, score = self.best(u)
-            found = self.ids_between(u, cuts), score
+            found = self.ids_between(u, self.best(u)[0])
             # once full it stays: common segments come early
             if len(self.memo) < MEMO and len(u) < 64:
                 self.memo[u] = found
         return found
 
+    def score(self, u: str) -> int:
+        """Score of such a segment; only giant texts ask for it."""
+        found = self.scores.get(u)
+        if found is None:
+            found = self.best(u)[1]
+            if len(self.scores) < SCORES and len(u) < 64:
+                self.scores[u] = found
+        return found
+
     @staticmethod
     def cuts(s: str, n: int) -> list[int]:
         """Places before n over which no piece reaches: at line ends, and where spaces begin."""
@@ -137,7 +146,7 @@ class Model:
         """Ids of any text, a segment at a time."""
         s = symbols(text)
         at = [0, *self.cuts(s, len(s)), len(s)]
-        return b"".join(self.unit(s[a:b])[0] for a, b in zip(at, at[1:]))
+        return b"".join(self.unit(s[a:b]) for a, b in zip(at, at[1:]))
 
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of an array in one chunk; null: none."""
@@ -147,7 +156,7 @@ class Model:
         starts -= starts[0]
         encoded = lists.flatten().dictionary_encode()
         codes, distinct = encoded.indices.to_numpy(zero_copy_only=False), strings(encoded.dictionary)
-        flat = [self.unit(w if w[:1] == "\n" else SPACE + w)[0] for w in distinct]
+        flat = [self.unit(w if w[:1] == "\n" else SPACE + w) for w in distinct]
         ids = np.frombuffer(b"".join(flat), self.dtype)
         lengths = np.fromiter(map(len, flat), np.int64, len(flat)) // self.width
         first = np.concatenate(([0], np.cumsum(lengths)))[:-1]
@@ -198,7 +207,7 @@ class Model:
             head = np.full((len(begins), 1), LOWEST, np.int64)
             head[: first + 1] = self.reachable(s[:first], [e for e in begins if e <= first], first, first)[:, :1]
             tail = self.reachable(s[last:], [0], n - last, min(len(s), n + self.reach - 1) - last)
-            found = np.maximum(head + (tail + sum(self.unit(u)[1] for u in middle)), LOWEST)
+            found = np.maximum(head + (tail + sum(map(self.score, middle))), LOWEST)
         out[: found.shape[0], : found.shape[1]] = found
         return out
 
@@ -213,7 +222,7 @@ class Model:
         # all ways lead through the cuts
         [(entry, head)] = self.ways(s[:first], [(e, x) for e, x in entries if e <= first], first, [first])
         tails = self.ways(s[last:], [(0, 0)], n - last, [e - last for e in reach])
-        return head + b"".join(self.unit(u)[0] for u in middle), [(entry if way == 0 else -1, ids) for way, ids in tails]
+        return head + b"".join(map(self.unit, middle)), [(entry if way == 0 else -1, ids) for way, ids in tails]
 
     def ways(self, s: str, entries: list[tuple[int, int]], n: int, ends: Iterable[int]) -> list[tuple[int, bytes]]:
         """For each end the entry of the best way there and its ids; pieces begin before n."""
