@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import gc
 import os
 import uuid
@@ -78,7 +79,7 @@ class Words:
     """Words `[^\\x20\\x09-\\x0D]+` of an array of texts, as codes into the batch's distinct words.
 
     codes: of all texts, one after the other; starts: where each text's codes start, with the end last; distinct: the
-    words. Null and empty texts have no words.
+    words, and dictionary the same as an Arrow array. Null and empty texts have no words.
     """
 
     def __init__(self, texts: pa.Array):
@@ -87,18 +88,21 @@ class Words:
         encoded = lists.flatten().dictionary_encode()
         if isinstance(encoded, pa.ChunkedArray):
             encoded = encoded.combine_chunks()
-        self.distinct: list[str] = strings(encoded.dictionary)
+        self.dictionary: pa.Array = encoded.dictionary
         codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = offsets - offsets[0]
-        try:
-            blank = self.distinct.index("")
-        except ValueError:
+        blank = pc.index(self.dictionary, "").as_py()
+        if blank < 0:
             self.codes, self.starts = codes, offsets
             return
         real = codes != blank
         before = np.concatenate(([0], np.cumsum(real)))
         self.codes, self.starts = codes[real], before[offsets]
 
+    @functools.cached_property
+    def distinct(self) -> list[str]:
+        return strings(self.dictionary)
+
     def counts(self) -> np.ndarray:
         return np.diff(self.starts)
 

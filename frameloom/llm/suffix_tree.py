@@ -1,56 +1,57 @@
 """LM scoring with a probabilistic suffix tree.
 
-Symbols are tokens: words, the end of a text, and one symbol for all tokens that training has not seen. The tree is
-grown from the root down. A context, the one to `depth` tokens before a token, is tested where training has it at least
-`least` times, at any size of the corpus; its next-symbol counts are gathered from all training texts, those of
-`entry_least` or more. It is retained where they diverge from those of the suffix one shorter: the likelihood ratio
-statistic must exceed the number of counts times the logarithm of the context's count. The root's distribution is each
-token's share, with the share of tokens seen once for the unseen symbol. A retained context's counts are smoothed by the
-next shorter retained one, which gets what the counts leave over:
+Symbols are tokens: words, the end of a text, and one symbol for all tokens that training has not seen. A context is the
+one to `depth` tokens before a token. It is a candidate where training has it at least `least` times, at any size of the
+corpus; its next-symbol counts are those of all training texts, of `entry_least` or more. It is retained where they diverge
+from those of the suffix one shorter: the likelihood ratio statistic must exceed the number of counts times the logarithm
+of the context's count. The root's distribution is each token's share, with the share of tokens seen once for the unseen
+symbol. A retained context's counts are smoothed by the next shorter retained one, which gets what the counts leave over:
 
     P(t | context) = (n(context, t) + (rest + STRENGTH) P(t | shorter)) / (n(context) + STRENGTH)
 
 and the longest retained suffix gives the probability.
 
-Counts, contexts and their entries stay distributed: the sequence of a context and its next symbol has a key, made of
-those of the sequences without its last and without its first token, so that a context's count and its suffix's entry
-are joined from the level before. Bitmaps of a bounded size, which are broadcast, leave out sequences that can't reach
-the bars; what they let through by chance is dropped by the joins.
+A sequence of tokens has a key, made of those of the sequence without its last token (its context) and of the one without
+its first (its suffix). Counts of sequences of up to depth + 1 tokens are gathered in four passes over the texts: tokens,
+pairs, triples, and longer ones, whose triples must all reach the bars. Workers pack partial counts by ranges of contexts' keys; those
+of a context with very many occurrences are dealt out over several. The tests are joins and aggregations of the table of
+counts. Bitmaps of a bounded size, which are broadcast, only leave out sequences that can't reach the bars.
 
-Texts are dealt out by hash into blocks of a bounded size. Each asks for the counts of its distinct tokens, contexts and
-entries and gets them back by a join.
+Texts are then dealt out, as hashes of their tokens, into blocks of a bounded size. Each asks for its distinct sequences by
+ranges of keys, where they meet the counts and the retained contexts, and gets numbers back in the order of its keys.
 
 Null and empty texts are the end alone. Without any training text every token is unseen, with probability 1: N and V are
 0. A null identifier counts as the empty text in the choice of training rows. Repeated rows are counted and scored each;
-other columns are ignored; an empty table gives no rows. Tokens are told apart by 64-bit hashes in contexts only.
+other columns are ignored; an empty table gives no rows. Tokens and sequences are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.llm.common import Words, column, materialize, segment_sums, slices
+from frameloom.llm.common import Words, column, materialize, release, segment_sums, slices
 
-#: The end of a text as a token; no word is empty.
-END_TOKEN = ""
 #: Strength of the shorter suffix in a smoothed distribution, in occurrences.
 STRENGTH = 4.0
-FLUSH = 400_000
 BLOCK_BYTES = 16_000_000
-#: Sequences counted at once in a worker.
-CHUNK = 2_000_000
+#: Sequences counted at once in a worker, and those of a bucket.
+CHUNK, BUCKET = 2_000_000, 500_000
+#: Bytes of text a token, roughly, by which buckets are sized.
+TOKEN_BYTES = 6
+#: A context of so many occurrences is dealt out over several buckets, or of that share of all, so that few are told apart.
+SPLIT, SPLIT_SHARE = 500_000, 1_000_000
 #: Bits of a bitmap, as powers of two; it has eight for each key, within these.
 BITS = (16, 27)
 PIECE = 16
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_NONE = np.zeros(0, np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -58,100 +59,172 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def lowered(words: list[str]) -> list[str]:
-    return [w.encode().lower().decode() for w in words]
+def joint(context: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """The key of the sequence with this context and this suffix."""
+    return _mixed(_mixed(context + np.uint64(11)) + up * np.uint64(2))
+
+
+def token_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of words with A-Z in lower case, eight bytes at a time of all words at once."""
+    n = len(words)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+    data = words.buffers()[2]
+    flat = np.zeros(int(ends[-1] - ends[0]) + 8, np.uint8)
+    if data is not None:
+        flat[:-8] = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    flat += ((flat >= 65) & (flat <= 90)).astype(np.uint8) * np.uint8(32)
+    # the eight bytes from each place on
+    eight = np.ndarray((len(flat) - 7,), "<u8", flat, strides=(1,))
+    at, left = ends[:-1] - ends[0], np.diff(ends)
+    out = _mixed(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    rest = np.flatnonzero(left > 0)
+    while len(rest):
+        some = np.minimum(left[rest], 8).astype(np.uint64)
+        bits = eight[at[rest]] & (np.uint64(2**64 - 1) >> (np.uint64(64) - some * np.uint64(8)))
+        out[rest] = _mixed(out[rest] * np.uint64(0x9FB21C651E98DF25) + _mixed(bits))
+        at[rest] += 8
+        left[rest] -= 8
+        rest = rest[left[rest] > 0]
+    return out
+
 
+#: The end of a text as a token; no word is empty.
+END = token_hashes(pa.array([""]))
 
-def token_hashes(tokens: list[str]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(t) for t in tokens), np.uint64, len(tokens))
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts keys, and where in it each distinct key starts."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
 
 
 class Sequences:
-    """Tokens of texts with their ends: places of distinct ones, one text after the other."""
+    """Tokens of texts with their ends, one text after the other: hashes of the distinct ones, and their places."""
 
     def __init__(self, texts: pa.Array):
         words = Words(texts)
-        self.distinct = [*lowered(words.distinct), END_TOKEN]
+        self.distinct = np.append(token_hashes(words.dictionary), END)
         n = words.counts()
         self.starts = words.starts + np.arange(len(words.starts))
-        self.codes = np.full(int(self.starts[-1]), len(self.distinct) - 1, np.int64)
+        self.codes = np.full(int(self.starts[-1]), len(self.distinct) - 1, np.int32)
         inner = np.ones(len(self.codes), bool)
         inner[self.starts[1:] - 1] = False
         self.codes[inner] = words.codes
-        self.hashes = token_hashes(self.distinct)[self.codes]
-        self.offset = np.arange(len(self.codes)) - np.repeat(self.starts[:-1], n + 1)
+        self.lengths = n + 1
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """Lengths, hashes and places, which shuffles compress better than texts."""
+        return self.lengths.astype(np.int32).tobytes(), self.distinct.tobytes(), self.codes.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+    @classmethod
+    def unpacked(cls, lengths: bytes, distinct: bytes, codes: bytes) -> Sequences:
+        seq = cls.__new__(cls)
+        seq.lengths, seq.distinct = np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(distinct, np.uint64)
+        seq.codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+        seq.starts = np.concatenate(([0], np.cumsum(seq.lengths)))
+        return seq
+
+    def levels(self, depth: int, goes_on: Callable[[int, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each context length from 1: places of tokens, their contexts' keys and those of their suffixes with them.
+        goes_on(length, places, context, key) says which sequences can be the contexts, and which the suffixes, of longer
+        ones."""
+        at = np.flatnonzero(np.arange(len(self.codes)) - np.repeat(self.starts[:-1], self.lengths) >= 1)
+        keys = self.distinct[self.codes]
+        for k in range(1, depth + 1):
+            context, up = keys[at - 1], keys[at]
+            yield at, context, up
+            if k == depth:
+                return
+            key = joint(context, up)
+            before, own = (np.zeros(len(self.codes), bool) for _ in range(2))
+            before[at], own[at] = goes_on(k, at, context, key)
+            keys = np.zeros(len(self.codes), np.uint64)
+            keys[at] = key
+            # a longer sequence has this one and the one a place before
+            at = np.flatnonzero(own[1:] & before[:-1]) + 1
 
 
-def contexts(seq: Sequences, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each length from 1: the places of tokens with such a context, the context's key, that of the context's suffix
-    with the token, and that of context and token."""
-    keys = seq.hashes
-    for k in range(1, depth + 1):
-        at = np.flatnonzero(seq.offset >= k)
-        context, up = keys[at - 1], keys[at]
-        key = joint(context, up)
-        yield at, context, up, key
-        if k < depth:
-            keys = np.zeros(len(seq.codes), np.uint64)
-            keys[at] = key
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The range of keys, in order, that a key is in."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-def joint(context: np.ndarray, up: np.ndarray) -> np.ndarray:
-    return _mixed(_mixed(context + np.uint64(11)) + up * np.uint64(2))
+def _edges(values: np.ndarray) -> list[tuple[int, int]]:
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))).tolist() if len(values) else []
+    return list(zip(starts, [*starts[1:], len(values)]))
+
+
+def _arrays(table: pa.Table, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+
+
+def _batch(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.values())], names=list(schema))
 
 
-def _member(sorted_keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The place of each wanted key, or -1."""
-    if not len(sorted_keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, wanted), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == wanted, at, -1)
+def planes(values: np.ndarray) -> bytes:
+    """The bytes of whole numbers by significance, which shuffles compress well."""
+    return values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of training tokens; the null token has the bytes of all texts."""
-    held: dict[str, int] = {}
-    size = 0
+def from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+
+
+def _token_counts(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Partial counts of training tokens, packed by buckets."""
+    held, size = [], 0
 
     def flush() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["token", "n"])
+        keys, n = (np.concatenate(c) for c in zip(*held))
+        order, starts = grouped(keys)
+        keys, n = keys[order[starts]], np.add.reduceat(n[order], starts)
+        at = bucket_of(keys, buckets)
+        rows = [(int(at[x]), keys[x:y].tobytes(), planes(n[x:y])) for x, y in _edges(at)]
+        return _batch(rows, {"bucket": pa.int64(), "keys": pa.binary(), "n": pa.binary()})
 
     for batch in slices(batches):
-        texts, train = column(batch, "text"), column(batch, "train").to_numpy(zero_copy_only=False)
-        size += texts.nbytes
-        words = Words(texts)
-        used = np.repeat(train, words.counts())
-        n = np.bincount(words.codes[used], minlength=len(words.distinct))
-        for w, c in zip(lowered(words.distinct), n.tolist()):
-            if c:
-                held[w] = held.get(w, 0) + c
+        train = column(batch, "train").to_numpy(zero_copy_only=False)
         if train.any():
-            held[END_TOKEN] = held.get(END_TOKEN, 0) + int(train.sum())
-        if len(held) >= FLUSH:
-            yield flush()
-            held = {}
+            seq = Sequences(column(batch, "text").filter(pa.array(train)))
+            n = np.bincount(seq.codes, minlength=len(seq.distinct))
+            held.append((seq.distinct[n > 0], n[n > 0]))
+            size += len(held[-1][0])
+            if size >= CHUNK:
+                yield flush()
+                held, size = [], 0
     if held:
         yield flush()
-    yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([size], pa.int64())], names=["token", "n"])
 
 
-def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens(table: pa.Table) -> pa.Table:
+    keys = _arrays(table, "keys", np.uint64)
+    n = np.concatenate([from_planes(x) for x in table.column("n").to_pylist()])
+    order, starts = grouped(keys)
+    return pa.table({"key": keys[order[starts]].view(np.int64), "n": np.add.reduceat(n[order], starts)})
+
+
+def _cells(batches: Iterable[pa.RecordBatch], power: int) -> Iterator[pa.RecordBatch]:
+    """Places of keys' bits, packed by pieces of the bitmap."""
     for batch in batches:
-        tokens = column(batch, "token")
-        yield pa.RecordBatch.from_arrays([tokens, pa.array(token_hashes(tokens.to_pylist()).view(np.int64)), column(batch, "n")], names=["token", "key", "n"])
+        cells = np.unique(column(batch, "key").to_numpy().view(np.uint64) & np.uint64((1 << power) - 1))
+        piece = cells >> np.uint64(PIECE)
+        rows = [(int(piece[a]), (cells[a:b] & np.uint64((1 << PIECE) - 1)).astype(np.uint16).tobytes()) for a, b in _edges(piece)]
+        if rows:
+            yield _batch(rows, {"piece": pa.int64(), "cells": pa.binary()})
 
 
 def _piece(table: pa.Table) -> pa.Table:
-    cells = np.zeros(1 << PIECE, np.uint8)
-    cells[table.column("cell").to_numpy() & ((1 << PIECE) - 1)] = 1
-    return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary())})
+    bits = np.zeros(1 << PIECE, np.uint8)
+    bits[_arrays(table, "cells", np.uint16)] = 1
+    return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits at the keys' cells, of at most 2 ** BITS[1]."""
-    power = min(max((8 * keys.count()).bit_length(), BITS[0]), BITS[1])
-    cells = keys.select(F.col("key").bitwiseAND((1 << power) - 1).alias("cell")).distinct().withColumn("piece", F.shiftright("cell", PIECE))
+def bitmap(counts: DataFrame) -> np.ndarray:
+    """Bits at the keys' cells, of at most 2 ** BITS[1], of tokens or sequences."""
+    power = min(max((8 * counts.count()).bit_length(), BITS[0]), BITS[1])
+    cells = with_key(counts).select("key").mapInArrow(lambda it: _cells(it, power), "piece long, cells binary")
     out = np.zeros((1 << power - PIECE, 1 << PIECE - 3), np.uint8)
     for r in cells.groupBy("piece").applyInArrow(_piece, "piece long, bits binary").toLocalIterator():
         out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
@@ -163,196 +236,324 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _entries(batches: Iterable[pa.RecordBatch], shared, depth: int) -> Iterator[pa.RecordBatch]:
-    """Partial counts of the sequences of a context of a length and its next symbol, where the bitmaps let both the context
-    and its suffix's entry pass."""
-    frequent, repeated = shared.value
+def _sequence_counts(batches: Iterable[pa.RecordBatch], shared, lengths: range, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Partial counts of training sequences whose contexts have these lengths, packed by buckets of contexts. The bitmaps
+    have the sequences one shorter than the first of them that may stand in a context, and those that may end a sequence."""
+    inner, last, (hot, parts) = shared.value
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
         context, up = (np.concatenate(c) for c in zip(*held))
-        _, first, n = np.unique(joint(context, up), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(context[first].view(np.int64)), pa.array(up[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["context", "up", "n"])
+        held.clear()
+        order, starts = grouped(joint(context, up))
+        n, first = np.diff(np.append(starts, len(order))), order[starts]
+        context, up = context[first], up[first]
+        dealt = context
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+            k = np.where(hot[at] == context, parts[at], 1).astype(np.uint64)
+            dealt = np.where(k > 1, _mixed(context + _mixed(up) % k), context)
+        order = np.argsort(dealt)
+        context, up, n, at = context[order], up[order], n[order], bucket_of(dealt[order], buckets)
+        rows = []
+        for x, y in _edges(at):
+            starts = np.flatnonzero(np.concatenate(([True], context[x + 1 : y] != context[x : y - 1])))
+            rows.append((int(at[x]), context[x:y][starts].tobytes(), planes(np.diff(np.append(starts, y - x))), up[x:y].tobytes(), planes(n[x:y])))
+        return _batch(rows, {"bucket": pa.int64(), "contexts": pa.binary(), "sizes": pa.binary(), "ups": pa.binary(), "n": pa.binary()})
 
     for batch in slices(batches):
         train = column(batch, "train").to_numpy(zero_copy_only=False)
         seq = Sequences(column(batch, "text").filter(pa.array(train)))
-        *_, (_, context, up, _) = contexts(seq, depth)
-        may = may_hold(frequent, context)
-        may[may] = may_hold(repeated, up[may])
-        held.append((context[may], up[may]))
-        size += len(held[-1][0])
+        often = np.zeros(len(seq.codes), bool)
+
+        def goes_on(k: int, at: np.ndarray, context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            # of what a sequence is made of, all but the last stand in its context
+            if k < lengths[0] - 1:
+                return np.ones(len(at), bool), np.ones(len(at), bool)
+            if k == lengths[0] - 1:
+                often[at] = may_hold(inner, key)  # noqa: B023
+                return often[at], may_hold(last, key)  # noqa: B023
+            return often[at], np.ones(len(at), bool)  # noqa: B023
+
+        for k, (at, context, up) in enumerate(seq.levels(lengths[-1], goes_on), 1):
+            if k in lengths:
+                if k == 1:
+                    may = may_hold(inner, context)
+                    may[may] = may_hold(last, up[may])
+                    context, up = context[may], up[may]
+                held.append((context, up))
+                size += len(context)
         if size >= CHUNK:
             yield flush()
-            held, size = [], 0
+            size = 0
     if size:
         yield flush()
 
 
-class Tree:
-    """The root's constants, and for each length the retained contexts: sorted hashes, counts and what their entries
-    leave over; and the entries' sorted hashes and counts."""
-
-    def __init__(self, total: int, once: int, found: pa.Table, depth: int):
-        """found: rows (slot, key, a, b) of tree_rows, all or those that a block's texts need."""
-        self.total = total
-        self.unseen = (once + 1) / (total + 2) if total else 1.0
-        self.levels: list[tuple] = []
-        slot, key = found.column("slot").to_numpy(), found.column("key").to_numpy().view(np.uint64)
-        a, b = (found.column(c).to_numpy().astype(np.float64) for c in ("a", "b"))
-        for k in range(1, depth + 1):
-            states, entries = (np.flatnonzero(slot == 2 * k + d) for d in (-1, 0))
-            states, entries = states[np.argsort(key[states])], entries[np.argsort(key[entries])]
-            self.levels.append((key[states], a[states], b[states], key[entries], a[entries]))
-
-    def root(self, n: np.ndarray) -> np.ndarray:
-        return np.where(n > 0, n / max(self.total, 1) * (1 - self.unseen), self.unseen)
-
-    def probabilities(self, seq: Sequences, n: np.ndarray) -> np.ndarray:
-        """Of each token of the sequences; n: training counts of the distinct ones."""
-        p = self.root(n)[seq.codes]
-        for (at, context, _, key), (states, totals, rest, keys, counts) in zip(contexts(seq, len(self.levels)), self.levels):
-            where = _member(states, context)
-            at, key, where = at[where >= 0], key[where >= 0], where[where >= 0]
-            hit = _member(keys, key)
-            seen = np.where(hit >= 0, counts[hit], 0.0) if len(counts) else np.zeros(len(at))
-            p[at] = (seen + (rest[where] + STRENGTH) * p[at]) / (totals[where] + STRENGTH)
-        return p
-
-
-def tree_rows(texts: DataFrame, vocabulary: DataFrame, total: int, depth: int, least: float, entry_least: float, strict: float) -> list[DataFrame]:
-    """The tree of texts (text, train) with a vocabulary (token, key, n), as rows (slot, key, a, b) by slot: for each length
-    k from 1, slot 2k - 1 has the retained contexts with their counts and what their entries leave over, and slot 2k
-    their entries with their counts."""
-    spark = texts.sparkSession
-    above = vocabulary.select("key", "n", F.lit(total).cast("long").alias("size"))
-    out = []
-    for k in range(1, depth + 1):
-        sizes = above.where(F.col("n") >= least).select(F.col("key").alias("context"), F.col("n").alias("size"))
-        suffixes = above.where(F.col("n") >= entry_least).select(F.col("key").alias("up"), (F.col("n") / F.col("size")).alias("share"))
-        shared = spark.sparkContext.broadcast((bitmap(sizes.withColumnRenamed("context", "key")), bitmap(suffixes.withColumnRenamed("up", "key"))))
-        rows = texts.mapInArrow(lambda it, b=shared, d=k: _entries(it, b, d), "context long, up long, n long")
-        rows = rows.groupBy("context", "up").agg(F.sum("n").alias("n")).where(F.col("n") >= entry_least)
-        rows = rows.join(sizes, "context").join(suffixes, "up")
-        level = materialize(rows.mapInArrow(_keyed, "context long, key long, n long, size long, share double"), "entries")
-        tested = level.groupBy("context").agg(
-            F.first("size").alias("size"),
-            F.count("*").alias("kinds"),
-            (F.first("size") - F.sum("n")).alias("rest"),
-            F.sum(F.col("n") * F.log(F.col("n") / F.col("size") / F.col("share"))).alias("gain"),
-            F.greatest(1 - F.sum("share"), F.lit(1e-9)).alias("rest_share"),
-        )
-        # likelihood ratio statistic of the counts, and what they leave over, against the suffix's shares
-        left_over = F.when(F.col("rest") > 0, F.col("rest") * F.log(F.col("rest") / F.col("size") / F.col("rest_share"))).otherwise(0.0)
-        kept = tested.where(2 * (F.col("gain") + left_over) > strict * (F.col("kinds") + 1) * F.log("size"))
-        kept = materialize(kept.select(F.lit(2 * k - 1).alias("slot"), F.col("context").alias("key"), F.col("size").alias("a"), F.col("rest").alias("b")), "contexts")
-        entries = level.join(kept.select(F.col("key").alias("context")), "context", "left_semi")
-        out += [kept, entries.select(F.lit(2 * k).alias("slot"), "key", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))]
-        above = level.select("key", "n", "size")
-    return out
+def _sequences(table: pa.Table, entry_least: int) -> pa.Table:
+    """The sequences of a bucket with entry_least occurrences or more."""
+    context, up = _arrays(table, "contexts", np.uint64), _arrays(table, "ups", np.uint64)
+    sizes, n = (np.concatenate([from_planes(x) for x in table.column(c).to_pylist()]) for c in ("sizes", "n"))
+    context = np.repeat(context, sizes)
+    order, starts = grouped(joint(context, up))
+    first, n = order[starts], np.add.reduceat(n[order], starts)
+    first, n = first[n >= entry_least], n[n >= entry_least]
+    order = np.argsort(context[first])
+    return pa.table({"context": context[first[order]].view(np.int64), "up": up[first[order]].view(np.int64), "n": n[order]})
 
 
 def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         context, up = (column(batch, c).to_numpy().view(np.uint64) for c in ("context", "up"))
-        key = pa.array(joint(context, up).view(np.int64))
-        yield pa.RecordBatch.from_arrays([column(batch, "context"), key, *(column(batch, c) for c in ("n", "size", "share"))], names=["context", "key", "n", "size", "share"])
+        yield pa.RecordBatch.from_arrays([pa.array(joint(context, up).view(np.int64)), *(column(batch, c) for c in ("up", "n"))], names=["key", "up", "n"])
+
 
+def keyed(sequences: DataFrame) -> DataFrame:
+    """key, up and n of sequences (context, up, n)."""
+    return sequences.mapInArrow(_keyed, "key long, up long, n long")
 
-def hashed(vocabulary: DataFrame) -> DataFrame:
-    return vocabulary.select("token", "n").mapInArrow(_hashed, "token string, key long, n long")
 
+def with_key(counts: DataFrame) -> DataFrame:
+    return counts if "key" in counts.columns else keyed(counts)
 
-def grow(texts: DataFrame, vocabulary: DataFrame, total: int, depth: int, share: float, entry_share: float, strict: float) -> Tree:
-    """The tree of a small corpus of texts (text, train) with a vocabulary (token, n), in memory; bars as shares of total."""
-    rows = tree_rows(texts, hashed(vocabulary), total, depth, share * total, max(2.0, entry_share * total), strict)
-    return Tree(total, vocabulary.where("n = 1").count(), reduce(DataFrame.unionByName, rows).toArrow(), depth)
+
+def _hot(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of very frequent contexts and over how many buckets each goes: at most SPLIT_SHARE of them."""
+    most = max(SPLIT, total // SPLIT_SHARE)
+    found = with_key(counts.where(F.col("n") > most)).select("key", "n").toArrow()
+    key, n = found.column("key").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(key)
+    return key[order], -(-n[order] // most)
+
+
+def count_sequences(texts: DataFrame, tokens: DataFrame, total: int, buckets: int, depth: int, least: int, entry_least: int) -> DataFrame:
+    """context, up and n of all sequences of 2 to depth + 1 tokens of texts (text, train) that have entry_least occurrences and
+    may have a context of `least`; from the counts of tokens (key, n)."""
+    spark = texts.sparkSession
+    schema = "bucket long, contexts binary, sizes binary, ups binary, n binary"
+    out, counts = None, tokens
+    for lengths in (range(1, 2), range(2, 3), range(3, depth + 1)):
+        if not len(lengths) or lengths[0] > depth:
+            break
+        shared = spark.sparkContext.broadcast((bitmap(counts.where(F.col("n") >= least)), bitmap(counts.where(F.col("n") >= entry_least)), _hot(counts, total)))
+        rows = texts.mapInArrow(lambda it, s=shared, k=lengths: _sequence_counts(it, s, k, buckets), schema)
+        found = materialize(rows.groupBy("bucket").applyInArrow(lambda t: _sequences(t, entry_least), "context long, up long, n long"), "sequences")
+        out = found if out is None else out.unionByName(found)
+        counts = found
+        release(spark)
+    return out
+
+
+def retained(tokens: DataFrame, sequences: DataFrame, total: int, least: int, entry_least: int, strict: float) -> DataFrame:
+    """key, and rest (what the counts of its next symbols leave over), of the contexts that the divergence test retains."""
+
+    def counted(bar: int) -> DataFrame:
+        some = F.col("n") >= bar
+        return tokens.where(some).select("key", F.lit(None).cast("long").alias("up"), "n").unionByName(keyed(sequences.where(some)))
+
+    sums = sequences.join(counted(entry_least).select(F.col("key").alias("up"), F.col("n").alias("m")), "up").groupBy("context")
+    sums = sums.agg(
+        F.count("*").alias("kinds"),
+        F.sum("n").alias("held"),
+        F.sum(F.col("n") * (F.log("n") - F.log("m"))).alias("gain"),
+        F.sum("m").alias("shorter"),
+    )
+    often = counted(least)
+    outer = often.select(F.col("key").alias("suffix"), F.col("n").alias("outer"))
+    contexts = often.select(F.col("key").alias("context"), F.col("n").alias("size"), F.col("up").alias("suffix")).join(outer, "suffix", "left")
+    contexts = contexts.select("context", "size", F.coalesce("outer", F.lit(total).cast("long")).alias("outer"))
+    rest = F.col("size") - F.col("held")
+    # likelihood ratio statistic of the counts, and what they leave over, against the suffix's shares
+    gain = F.col("gain") + F.col("held") * (F.log("outer") - F.log("size"))
+    left = F.when(rest > 0, rest * F.log(rest / F.col("size") / F.greatest(1 - F.col("shorter") / F.col("outer"), F.lit(1e-9)))).otherwise(0.0)
+    tested = sums.join(contexts, "context").where(2 * (gain + left) > strict * (F.col("kinds") + 1) * F.log("size"))
+    return tested.select(F.col("context").alias("key"), rest.alias("rest"))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _ask(batches: Iterable[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """Distinct tokens, contexts and entries of each block in a partition, held a block at a time where blocks come sorted;
-    contexts and entries as far as the bitmaps of each slot let them pass."""
-    bitmaps = shared.value
-    block, held, keys = None, set(), {}
+def asked_places(seq: Sequences, bits: tuple[np.ndarray, np.ndarray], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each context length: places of tokens and keys of their sequences, where the bitmaps of counted sequences and of
+    retained contexts let them pass."""
+    counted, kept = bits
+
+    def goes_on(k: int, at: np.ndarray, context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        may = may_hold(counted, key)
+        return may, may
+
+    for at, context, up in seq.levels(depth, goes_on):
+        key = joint(context, up)
+        may = may_hold(counted, key)
+        may[may] = may_hold(kept, context[may]) | may_hold(kept, key[may])
+        yield at[may], key[may]
+
+
+def asked_keys(parts: Iterable[Sequences], bits: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
+    """The sorted keys that a block asks for."""
+    found = []
+    for seq in parts:
+        found.append(np.unique(seq.distinct))
+        found += [np.unique(key) for _, key in asked_places(seq, bits, depth)]
+    return np.unique(np.concatenate(found)) if found else _NONE
+
+
+def check_sum(keys: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(keys.tobytes()) - 2**63
+
+
+def _coded(batches: Iterable[pa.RecordBatch], n_blocks: int) -> Iterator[pa.RecordBatch]:
+    """Slices of texts as sequences, dealt out to blocks in turn."""
+    turn = TaskContext.get().partitionId() * 7919
+    for batch in slices(batches):
+        ids = column(batch, "doc_id")
+        lengths, distinct, codes = Sequences(column(batch, "text")).packed()
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        yield pa.RecordBatch.from_arrays([pa.array([turn % n_blocks]), listed, *(pa.array([x], pa.binary()) for x in (lengths, distinct, codes))], names=["block", "doc_ids", "lengths", "distinct", "codes"])
+        turn += 1
+
+
+def _parts(table: pa.Table | pa.RecordBatch) -> list[Sequences]:
+    return [Sequences.unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("lengths", "distinct", "codes")))]
+
+
+def _ask(batches: Iterable[pa.RecordBatch], shared, buckets: int, depth: int) -> Iterator[pa.RecordBatch]:
+    """The keys of each block of a partition, by buckets; blocks come sorted."""
+    block, found = None, []
 
-    def tell() -> Iterator[pa.RecordBatch]:
-        tokens = list(held)
-        parts = [(0, token_hashes(tokens), tokens)]
-        parts += [(slot, np.unique(np.concatenate(found)), None) for slot, found in keys.items()]
-        for slot, key, strings in parts:
-            n = len(key)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, slot, np.int32)), pa.array(key.view(np.int64)), pa.array(strings or [None] * n, pa.string())],
-                names=["block", "slot", "key", "token"],
-            )
+    def tell() -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(found))
+        at = bucket_of(keys, buckets)
+        rows = [(block, int(at[x]), keys[x:y].tobytes()) for x, y in _edges(at)]
+        return _batch(rows, {"block": pa.int64(), "bucket": pa.int64(), "keys": pa.binary()})
 
     for batch in batches:
-        at = column(batch, "block").to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-        for a, b in zip(edges, edges[1:]):
-            if b == a:
-                continue
-            if at[a] != block:
-                if held:
-                    yield from tell()
-                block, held, keys = int(at[a]), set(), {}
-            for part in slices([batch.slice(a, b - a)]):
-                seq = Sequences(column(part, "text"))
-                held.update(seq.distinct)
-                for k, (_, context, _, key) in enumerate(contexts(seq, len(bitmaps) // 2), 1):
-                    may = may_hold(bitmaps[2 * k - 2], context)
-                    context, key = context[may], key[may]
-                    for slot, found in ((2 * k - 1, context), (2 * k, key[may_hold(bitmaps[2 * k - 1], key)])):
-                        keys.setdefault(slot, []).append(np.unique(found))
-    if held:
-        yield from tell()
-
-
-def _answer(docs: pa.Table, known: pa.Table, n_all: int, n_distinct: int, once: int, depth: int) -> pa.Table:
-    texts = docs.column("text")
-    seq = Sequences(pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string()))
-    tokens = known.filter(pc.equal(known.column("slot"), 0))
-    place = dict(zip(tokens.column("token").to_pylist(), tokens.column("a").to_pylist()))
-    tree = Tree(n_all, once, known.select(["slot", "key", "a", "b"]), depth)
-    # tokens without an answer were not in training
-    n = np.fromiter((place.get(t, 0) for t in seq.distinct), np.float64, len(seq.distinct))
-    base = np.log10(n + 1.0) - np.log10(n_all + n_distinct + 1.0)
-    score = np.log10(tree.probabilities(seq, n))
-    return pa.table(
-        {
-            "doc_id": docs.column("doc_id"),
-            "n_tokens": np.diff(seq.starts),
-            "n_known": segment_sums((n > 0).astype(np.int64)[seq.codes], seq.starts),
-            "base_score": np.add.reduceat(base[seq.codes], seq.starts[:-1]) if len(seq.codes) else np.zeros(0),
-            "score": np.add.reduceat(score, seq.starts[:-1]) if len(seq.codes) else np.zeros(0),
-        }
-    )
+        for b, seq in zip(column(batch, "block").to_pylist(), _parts(batch)):
+            if b != block:
+                if found:
+                    yield tell()
+                block, found = b, []
+            found.append(asked_keys([seq], shared.value, depth))
+    if found:
+        yield tell()
+
+
+def _pack(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, kind, value) by buckets."""
+    for batch in batches:
+        key = column(batch, "key").to_numpy().view(np.uint64)
+        kind, value = (column(batch, c).to_numpy() for c in ("kind", "value"))
+        order = np.lexsort((kind, key))
+        key, kind, value = key[order], kind[order], value[order]
+        at = bucket_of(key, buckets)
+        rows = []
+        for x, y in _edges(at):
+            for k in np.unique(kind[x:y]).tolist():
+                mine = np.flatnonzero(kind[x:y] == k) + x
+                rows.append((int(at[x]), k, key[mine].tobytes(), planes(value[mine])))
+        if rows:
+            yield _batch(rows, {"bucket": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "values": pa.binary()})
+
+
+def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """What is known of a bucket's keys: counts, 0 for others, and what retained contexts' counts leave over, -1 for others."""
+    kind = known.column("kind").to_numpy()
+    tables = []
+    for k in (0, 1):
+        rows = known.filter(pa.array(kind == k))
+        keys = _arrays(rows, "keys", np.uint64)
+        values = np.concatenate([np.zeros(0, np.int64), *(from_planes(x) for x in rows.column("values").to_pylist())])
+        order = np.argsort(keys)
+        tables.append((keys[order], values[order]))
+    out = []
+    for block, bucket, blob in zip(*(asked.column(c).to_pylist() for c in ("block", "bucket", "keys"))):
+        wanted = np.frombuffer(blob, np.uint64)
+        found = []
+        for (keys, values), other in zip(tables, (0, -1)):
+            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+            found.append(np.where(keys[at] == wanted, values[at], other) if len(keys) else np.full(len(wanted), other))
+        out.append((block, bucket, check_sum(wanted), planes(found[0]), planes(found[1] + 1)))
+    schema = {"block": pa.int64(), "bucket": pa.int64(), "sum": pa.int64(), "n": pa.binary(), "rest": pa.binary()}
+    return pa.Table.from_batches([_batch(out, schema)]) if out else pa.table({c: pa.array([], t) for c, t in schema.items()})
+
+
+class Tree:
+    """What the tree says of a block's sequences: sorted keys, their counts, and for retained contexts what the counts of
+    their next symbols leave over, else -1; with training's number of tokens, all, distinct and seen once."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, rest: np.ndarray, total: int, distinct: int, once: int, bits: tuple, depth: int):
+        self.keys, self.n, self.rest, self.total, self.distinct, self.bits, self.depth = keys, n.astype(np.float64), rest.astype(np.float64), total, distinct, bits, depth
+        self.unseen = (once + 1) / (total + 2) if total else 1.0
+
+    def counts(self, seq: Sequences) -> np.ndarray:
+        """Training counts of the distinct tokens."""
+        return self.n[np.searchsorted(self.keys, seq.distinct)]
+
+    def probabilities(self, seq: Sequences) -> np.ndarray:
+        place = np.searchsorted(self.keys, seq.distinct)
+        n = self.n[place]
+        p = np.where(n > 0, n / max(self.total, 1) * (1 - self.unseen), self.unseen)[seq.codes]
+        # of the sequence of the current length that ends at a token, -1 where none was asked for
+        own = place[seq.codes]
+        first = np.zeros(len(own), bool)
+        first[seq.starts[:-1]] = True
+        for at, key in asked_places(seq, self.bits, self.depth):
+            longer = np.full(len(own), -1, own.dtype)
+            longer[at] = np.searchsorted(self.keys, key)
+            context = np.concatenate(([-1], own[:-1]))
+            context[first] = -1
+            i = np.flatnonzero(context >= 0)
+            i = i[self.rest[context[i]] >= 0]
+            c = context[i]
+            seen = np.where(longer[i] >= 0, self.n[longer[i]], 0.0)
+            p[i] = (seen + (self.rest[c] + STRENGTH) * p[i]) / (self.n[c] + STRENGTH)
+            own, first = longer, np.concatenate(([True], first[:-1])) | first
+        return p
+
+
+def _scores(docs: pa.Table, known: pa.Table, total: int, distinct: int, once: int, shared, depth: int) -> pa.Table:
+    parts = _parts(docs)
+    keys = asked_keys(parts, shared.value, depth)
+    known = known.sort_by("bucket")
+    n, rest = (np.concatenate([np.zeros(0, np.int64), *(from_planes(x) for x in known.column(c).to_pylist())]) for c in ("n", "rest"))
+    ends = np.cumsum([0, *(len(x) // 8 for x in known.column("n").to_pylist())])
+    if len(n) != len(keys) or [check_sum(keys[a:b]) for a, b in zip(ends[:-1], ends[1:])] != known.column("sum").to_pylist():
+        raise RuntimeError("answers are not those to the keys that were asked for")
+    tree = Tree(keys, n, rest - 1, total, distinct, once, shared.value, depth)
+    out = []
+    for ids, seq in zip((x.values for x in docs.column("doc_ids").combine_chunks()), parts):
+        count = tree.counts(seq)
+        base = np.log10(count + 1.0) - np.log10(total + distinct + 1.0)
+        sums = (segment_sums((count > 0).astype(np.int64)[seq.codes], seq.starts), np.add.reduceat(base[seq.codes], seq.starts[:-1]), np.add.reduceat(np.log10(tree.probabilities(seq)), seq.starts[:-1]))
+        out.append(pa.table({"doc_id": ids, "n_tokens": np.diff(seq.starts), "n_known": sums[0], "base_score": sums[1], "score": sums[2]}))
+    return pa.concat_tables(out)
 
 
-def lm_scores(docs: DataFrame, depth: int = 3, least: int = 8, entry_least: int = 2, strict: float = 1.0) -> DataFrame:
+def lm_scores(docs: DataFrame, depth: int = 5, least: int = 8, entry_least: int = 2, strict: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     marked = docs.select("text", (~held_out(docs["doc_id"])).alias("train"))
-    counted = materialize(marked.mapInArrow(_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "tokens")
-    vocabulary = counted.where("token is not null")
-    size = counted.where("token is null").agg(F.sum("n")).first()[0] or 0
-    n_all, n_distinct, once = (x or 0 for x in vocabulary.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") == 1, 1))).first())
-    vocabulary = materialize(hashed(vocabulary), "vocabulary")
-    rows = tree_rows(marked, vocabulary, n_all, depth, least, entry_least, strict)
-    root = vocabulary.select(F.lit(0).alias("slot"), "key", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"), "token")
-    tree = materialize(reduce(DataFrame.unionByName, [root, *(r.withColumn("token", F.lit(None).cast("string")) for r in rows)]), "tree")
-    shared = spark.sparkContext.broadcast([bitmap(tree.where(F.col("slot") == slot)) for slot in range(1, 2 * depth + 1)])
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-size // (TOKEN_BYTES * BUCKET)))
+    tokens = marked.mapInArrow(lambda it: _token_counts(it, buckets), "bucket long, keys binary, n binary")
+    tokens = materialize(tokens.groupBy("bucket").applyInArrow(_tokens, "key long, n long"), "tokens")
+    release(spark)
+    total, distinct, once = (x or 0 for x in tokens.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") == 1, 1))).first())
+    sequences = count_sequences(marked, tokens, total, buckets, depth, least, entry_least)
+    kept = materialize(retained(tokens, sequences, total, least, entry_least, strict), "contexts")
+    release(spark)
+    counted = keyed(sequences)
+    shared = spark.sparkContext.broadcast((bitmap(sequences), bitmap(kept)))
+    known = tokens.select("key", F.lit(0).alias("kind"), F.col("n").alias("value"))
+    known = known.unionByName(counted.select("key", F.lit(0).alias("kind"), F.col("n").alias("value"))).unionByName(kept.select("key", F.lit(1).alias("kind"), F.col("rest").alias("value")))
+    known = known.mapInArrow(lambda it: _pack(it, buckets), "bucket long, kind int, keys binary, values binary")
     n_blocks = max(1, -(-size // BLOCK_BYTES))
-    block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_blocks))
-    blocks = docs.withColumn("block", block.cast("long")).repartition(max(n_blocks, spark.sparkContext.defaultParallelism), "block")
-    asked = blocks.sortWithinPartitions("block").mapInArrow(lambda it: _ask(it, shared), "block long, slot int, key long, token string")
-    same = (asked["slot"] == tree["slot"]) & (asked["key"] == tree["key"]) & asked["token"].eqNullSafe(tree["token"])
-    answered = asked.join(tree, same).select("block", tree["slot"], tree["key"], tree["token"], "a", "b")
+    blocks = docs.mapInArrow(lambda it: _coded(it, n_blocks), "block long, doc_ids array<long>, lengths binary, distinct binary, codes binary")
+    blocks = blocks.repartition(max(n_blocks, spark.sparkContext.defaultParallelism), "block")
+    asked = blocks.sortWithinPartitions("block").mapInArrow(lambda it: _ask(it, shared, buckets, depth), "block long, bucket long, keys binary")
+    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answers, "block long, bucket long, sum long, n binary, rest binary")
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    out = blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda d, k: _answer(d, k, n_all, n_distinct, once, depth), schema)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, k: _scores(d, k, total, distinct, once, shared, depth), schema)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
