@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_scan, sstable, suffix_tree, token_counts
+from frameloom.llm import collocations, decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_scan, sstable, suffix_tree, token_counts
 from frameloom.llm.common import table
 
 
@@ -61,9 +61,14 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first phrases by how much their words go together."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op6_secret_scan, op7_suffix_tree, op8_token_shards, op9_token_counts, op10_license_scan)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op6_secret_scan, op7_suffix_tree, op8_token_shards, op9_token_counts, op10_license_scan, op11_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": license_scan.oracle_sql()}
+    return {"op10_license_scan": license_scan.oracle_sql(), "op11_collocations": collocations.ORACLE}
