@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from frameloom.llm import collocations, conversation_repair, decontamination, jaccard_join, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_scan, sstable, suffix_tree, token_counts
+from frameloom.llm import collocations, conversation_repair, decontamination, hamming_index, jaccard_join, license_scan, quality_classifier, quality_rules, secret_scan, sentencepiece_scan, sstable, suffix_tree, token_counts
 from frameloom.llm.common import table
 
 
@@ -66,13 +66,18 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_hamming_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows that the index finds for each fiftieth row."""
+    return hamming_index.embedding_search(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of each conversation after damage, its cheapest repair, and a hash of what that gives."""
     return conversation_repair.repairs(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op6_secret_scan, op7_suffix_tree, op8_token_shards, op9_token_counts, op10_license_scan, op11_collocations, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_decontamination, op2_sentencepiece, op3_quality_rules, op4_jaccard_join, op5_quality_classifier, op6_secret_scan, op7_suffix_tree, op8_token_shards, op9_token_counts, op10_license_scan, op11_collocations, op12_hamming_index, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
