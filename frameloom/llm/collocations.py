@@ -38,6 +38,8 @@ ROUNDS = ((1, 2), (3, 4, 5))
 BLOCK_BYTES, BLOCK_TOKENS, HELD_BYTES = 4 << 20, 1 << 20, 24 << 20
 #: Words for each cell of a row of the sketch, and cells of a range, as a power of two.
 LOAD, RANGE = 16, 18
+#: Words for each part of the exact counts, as a power of two.
+PART = 20
 ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 BLOCK = "block long, lang string, n long, words binary, codes binary"
 
@@ -261,16 +263,33 @@ def _merged(table: pa.Table, least: int) -> pa.Table:
     return out.filter(pc.is_valid(out.column("full")))
 
 
-def _survivors(batches: Iterable[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of a block's phrases that may be frequent."""
+def _survivors(batches: Iterable[pa.RecordBatch], bits: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Counts of a block's phrases that may be frequent, as lists by part of all phrases."""
     for batch in batches:
         langs = column(batch, "lang")
         for i, (_, phrases, replies) in enumerate(_rows(batch, len(ROUNDS))):
             held, pairs = judged(phrases, replies, bits)
+            texts, part, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for size, frequent in held.items():
-                _, first, counts, _ = phrases.counted(size, pairs)
-                texts = pa.array([phrases.text(p, size) for p in first[frequent].tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([langs[i].as_py()] * len(texts), pa.string()), texts, pa.array([size] * len(texts), pa.int32()), pa.array(counts[frequent].astype(np.int64))], names=["lang", "phrase", "size", "a"])
+                keys, first, n, _ = phrases.counted(size, pairs)
+                texts += [phrases.text(p, size) for p in first[frequent].tolist()]
+                part.append((keys[frequent] % np.uint64(parts)).astype(np.int64))
+                counts.append(n[frequent].astype(np.int64))
+            part, counts = np.concatenate(part), np.concatenate(counts)
+            order = np.argsort(part, kind="stable")
+            at, starts = np.unique(part[order], return_index=True)
+            edges = pa.array(np.append(starts, len(part)), pa.int32())
+            lists = [pa.ListArray.from_arrays(edges, x) for x in (pa.array(texts, pa.string()).take(pa.array(order)), pa.array(counts[order]))]
+            yield pa.RecordBatch.from_arrays([pa.array([langs[i].as_py()] * len(at), pa.string()), pa.array(at), *lists], names=["lang", "part", "phrases", "counts"])
+
+
+def _summed(table: pa.Table, least: int) -> pa.Table:
+    """Exact counts of one part of a language's phrases, of those that are frequent."""
+    flat = lambda name: pc.list_flatten(table.column(name))
+    sums = pa.table({"phrase": flat("phrases"), "n": flat("counts")}).group_by("phrase").aggregate([("n", "sum")])
+    sums = sums.filter(pc.greater_equal(sums.column("n_sum"), least))
+    size = pc.add(pc.count_substring(sums.column("phrase"), " "), 1).cast(pa.int32())
+    return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * sums.num_rows, pa.string()), "phrase": sums.column("phrase"), "size": size, "a": sums.column("n_sum")})
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -288,8 +307,9 @@ def frequent(held: DataFrame, least: int) -> DataFrame:
         asked = with_replies(held, replies).mapInArrow(lambda batches, k=k: _sketches(batches, k, bits), "round int, range long, block long, gaps binary, counts binary")
         said = materialize(asked.groupBy("range").applyInArrow(lambda table: _merged(table, least), "round int, range long, block long, full binary"), "replies")
         replies = said if replies is None else replies.unionByName(said)
-    counts = with_replies(held, replies).mapInArrow(lambda batches: _survivors(batches, bits), "lang string, phrase string, size int, a long")
-    return counts.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    parts = 1 + (words >> PART)
+    counts = with_replies(held, replies).mapInArrow(lambda batches: _survivors(batches, bits, parts), "lang string, part long, phrases array<string>, counts array<long>")
+    return counts.groupBy("lang", "part").applyInArrow(lambda table: _summed(table, least), "lang string, phrase string, size int, a long")
 
 
 def with_replies(held: DataFrame, replies: DataFrame | None) -> DataFrame:
