@@ -5,21 +5,26 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Only where the session runs on one machine and names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the folder of spark.checkpoint.dir and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named and spark.sparkContext.master.partition("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     folder = (named or FALLBACK_DIR).rstrip("/")
-    path = f"{folder}/frameloom/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/frameloom/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the folder of spark.checkpoint.dir and reads it back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

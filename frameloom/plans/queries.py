@@ -12,7 +12,7 @@ from frameloom.functions import geometry as geo
 from frameloom.functions import labels, timing
 from frameloom.functions import vectors as vec
 from frameloom.operators import detections as det
-from frameloom.operators import document, evaluation, identity, keyframes, neighborhood, rules, tables, timeline, tracking
+from frameloom.operators import document, evaluation, identity, keyframes, neighborhood, rules, tables, timeline, tracking, vector_index
 from frameloom.operators import vectors as vop
 from frameloom.operators import zones as zop
 from frameloom.plans import views as v
@@ -384,6 +384,14 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vop.knn(_probes(spark, sf_dir), v.vectors(spark, sf_dir), 10)
 
 
+@query()
+def index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by the index, which is written and read back; its recall is tested."""
+    path = tables.scratch_path(spark, "vector_index")
+    vector_index.write(vector_index.build(v.vectors(spark, sf_dir)), path)
+    return vector_index.search(vector_index.read(spark, path), _probes(spark, sf_dir), 10)
+
+
 @query(f"{SIM} SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM emb a JOIN emb b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.35")
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vop.similar_pairs(v.vectors(spark, sf_dir), 0.35)
