@@ -220,22 +220,33 @@ def world_and_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correspondences of cameras by size, of which the last two have too few or one malformed."""
+    """Correspondences of cameras by size, every third one far off and some malformed; the last two cameras have too few."""
     x, y = F.col("p_partkey").cast("double") % 640, (F.col("p_partkey") * 7 % 480).cast("double")
     wx, wy = geo.projected(x, y, _M)
-    rows = v.table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("camera_id"), x.alias("image_x"), y.alias("image_y"), wx.alias("world_x"), F.when(F.col("p_partkey") % 13 != 0, wy).alias("world_y"), F.row_number().over(v.Window.partitionBy("p_size").orderBy("p_partkey")).alias("n"))
+    n = F.row_number().over(v.Window.partitionBy("p_size").orderBy("p_partkey"))
+    far = F.when(n % 3 == 0, F.col("p_partkey") % 17 * 40 + 25).otherwise(0)
+    rows = v.table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("camera_id"), x.alias("image_x"), y.alias("image_y"), (wx + far).alias("world_x"), F.when(F.col("p_partkey") % 13 != 0, wy - far / 2).alias("world_y"), n.alias("n"), (n % 3 == 0).alias("off"))
     return rows.where("camera_id < 49 or n <= 3").drop("n")
 
 
-@query(f"""WITH p AS (SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part), c AS (SELECT CAST(p_size AS BIGINT) AS camera_id, count(*) FILTER (WHERE p_partkey % 13 <> 0) AS n FROM p WHERE p_size < 49 OR n <= 3 GROUP BY 1)
-    SELECT camera_id, CAST(n AS BIGINT) AS n, CASE WHEN n < 4 THEN 'fewer than four points' END AS reason, CASE WHEN n >= 4 THEN TRUE END AS exact, CASE WHEN n >= 4 THEN TRUE END AS close FROM c""")
+_POINT = "CAST(p_partkey AS DOUBLE) % 640 AS ix, CAST(p_partkey * 7 % 480 AS DOUBLE) AS iy"
+_TO = lambda a, b, c: f"({a} * ix + {b} * iy + {c}) / ({_M[6]} * ix + {_M[7]} * iy + {_M[8]})"
+
+
+@query(f"""WITH p AS (SELECT CAST(p_size AS BIGINT) AS camera_id, p_partkey, {_POINT}, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part),
+    q AS (SELECT *, p_partkey % 13 <> 0 AS whole, n % 3 = 0 AS off FROM p WHERE camera_id < 49 OR n <= 3), c AS (SELECT camera_id, count(*) FILTER (WHERE whole) AS n, count(*) FILTER (WHERE whole AND NOT off) AS inliers FROM q GROUP BY 1),
+    spot AS (SELECT 100.0::DOUBLE AS ix, 50.0::DOUBLE AS iy)
+    SELECT camera_id, CAST(n AS BIGINT) AS n, CASE WHEN n < 4 THEN 'fewer than four points' END AS reason, CASE WHEN n < 4 THEN 0 ELSE inliers END AS inliers,
+    CASE WHEN n >= 4 THEN {_TO(*_M[:3])} END AS world_x, CASE WHEN n >= 4 THEN {_TO(*_M[3:6])} END AS world_y, CASE WHEN n >= 4 THEN TRUE END AS close FROM c, spot""")
 def homography_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix that made the points is found again, and they are projected to where they belong."""
+    """Every third pair is far off: the matrix that made the others is found, leads a point to its place, and they agree."""
     points = _points(spark, sf_dir)
-    found = tables.materialize(calibration.estimate(points), "calibrations")
-    errors = calibration.reprojection_error(points.na.drop(), found.where("homography is not null"))
-    off = F.aggregate(F.zip_with("homography", F.array(*map(F.lit, _M)), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: F.greatest(s, x))
-    return found.join(errors, "camera_id", "left").select("camera_id", "n", "reason", (off < 1e-6).alias("exact"), (F.col("error") < 1e-6).alias("close"))
+    good = points.where("NOT off").na.drop()
+    found = tables.materialize(calibration.estimate(points.drop("off")), "calibrations")
+    errors = calibration.reprojection_error(good, found.where("homography is not null"))
+    x, y = geo.projected(F.lit(100.0), F.lit(50.0), F.col("homography"))
+    known = F.col("homography").isNotNull()
+    return found.join(errors, "camera_id", "left").select("camera_id", "n", "reason", "inliers", F.when(known, x).alias("world_x"), F.when(known, y).alias("world_y"), (F.col("error") < 1e-6).alias("close"))
 
 
 # detector outputs and times
