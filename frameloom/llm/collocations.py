@@ -75,7 +75,7 @@ def tokenized(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return encoded.dictionary, np.insert(codes, breaks, np.int32(-1))
 
 
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterable[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
     """Blocks of tokens; one that cuts a piece ends with the tokens that its last phrases reach into."""
     held: dict[str, list[pa.Array]] = {}
     sizes: dict[str, int] = {}
@@ -85,8 +85,8 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal made
         words, codes = tokenized(pa.concat_arrays(held.pop(lang)))
         del sizes[lang]
-        for a in range(0, len(codes), BLOCK_TOKENS):
-            own, part = codes[a : a + BLOCK_TOKENS], codes[a : a + BLOCK_TOKENS + LONGEST - 1]
+        for a in range(0, len(codes), tokens):
+            own, part = codes[a : a + tokens], codes[a : a + tokens + LONGEST - 1]
             # of this part's words alone
             used, places = np.unique(part, return_inverse=True)
             inner = used[used >= 0]
@@ -292,9 +292,9 @@ def _summed(table: pa.Table, least: int) -> pa.Table:
     return pa.table({"lang": pa.array([table.column("lang")[0].as_py()] * sums.num_rows, pa.string()), "phrase": sums.column("phrase"), "size": size, "a": sums.column("n_sum")})
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The texts' tokens in blocks of one language each, written to the shared folder."""
-    return materialize(docs.select("text", "lang").mapInArrow(_blocks, BLOCK), "blocks")
+    return materialize(docs.select("text", "lang").mapInArrow(lambda batches: _blocks(batches, tokens), BLOCK), "blocks")
 
 
 def frequent(held: DataFrame, least: int) -> DataFrame:
@@ -355,10 +355,10 @@ def best(phrases: DataFrame, most: int, salts: int = 64) -> DataFrame:
     return few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most).drop("_salt", "_rank")
 
 
-def collocations(docs: DataFrame, least: int = 100, share: int = 100, most: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, share: int = 100, most: int = 2000, tokens: int = BLOCK_TOKENS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the first phrases of each language that are frequent and not inside a
-    longer one as frequent."""
-    held = blocks(docs)
+    longer one with that share, in per cent, of their occurrences; tokens: how many make a block."""
+    held = blocks(docs, tokens)
     counts = materialize(frequent(held, least), "phrases")
     totals = held.groupBy("lang").agg(F.sum("n").alias("n"))
     left = subsumed(scored(counts, totals), share)

@@ -108,8 +108,7 @@ def judged(rows: DataFrame) -> DataFrame:
     whole = whole.withColumns({"said": said, "place": _place()})
     first = whole.groupBy("conv", "said").agg(F.min("place").alias("first"))
     whole = whole.join(first, ["conv", "said"])
-    ended = F.expr(f"trim(TRAILING '{BLANKS}' FROM text)".encode("unicode_escape").decode())
-    whole = whole.withColumn("ended", ended)
+    whole = whole.withColumn("ended", F.rtrim("text", F.lit(BLANKS)))
     blank, again = F.col("ended") == "", F.col("place") > F.col("first")
     # the first copy may have any fault; further ones are blank where it is, else duplicates
     fault = F.when(blank, "blank").when(again, "duplicate").when(~F.right("ended", F.lit(1)).isin(*ENDS), "truncated")
