@@ -1,17 +1,17 @@
 """License scans, in DataFrame functions alone: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a window of a template's length and the share of other words that the threshold allows, which may
-span lines; block and template are sets of words, lower-cased. A template is found where the share of its words
-that the block holds is at least `threshold`. All words of templates are put in one order by their frequency over all
-documents, rarest first; then, for a template of n words of which `need` must be found,
+A block is a window: as many words in a row as a template has, and the share of other words that the threshold allows,
+whatever lines they stand on. Block and template are sets of words, lower-cased. A template is found where the share of
+its words that a block holds is at least `threshold`. All words of templates are put in one order by their frequency over
+all documents, rarest first; then, for a template of n words of which `need` must be found,
 
-    prefix    a block must hold one of the template's first n - need + 1 words;
+    prefix    a text must hold one of the template's first n - need + 1 words;
     length    it must hold at least `need` words of the templates' vocabulary;
     position  from the first shared word on, both must have `need` words left;
 
-and what passes is counted exactly. A text that passes as a whole has its windows around words of the prefix counted; those
-within a line find nothing that the line doesn't. Templates are few and a parameter, so they stand in the plan as literals and the join
-needs no shuffle; only frequencies, one for each template word, are aggregated.
+and in what passes the template's words are listed with their places, and the windows that end at them counted exactly.
+Templates are few and a parameter, so they stand in the plan as literals and the join needs no shuffle; only
+frequencies, one for each template word, are aggregated.
 
 Null and empty texts have no words and no labels. A phrase or template found more than once gives its label once.
 Repeated rows are scanned each; ties in frequency go by the word; other columns are ignored; an empty table gives no
@@ -120,8 +120,6 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
         df = df.withColumn("_met", F.array().cast("array<struct<label:string,share:double>>"))
     else:
         known, table = _strings(order), F.array(*rows)
-        lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(some))
-        blocks = F.transform(lines, lambda x: F.array_intersect(known, _words(x)))
 
         def passing(block: Column) -> Column:
             def passes(t: Column) -> Column:
@@ -132,32 +130,24 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
 
             return F.filter(table, passes)
 
-        def met(block: Column) -> Column:
-            return F.transform(passing(block), lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share")))
+        def most(t: Column, placed: Column) -> Column:
+            """The most of a template's words in a window; placed: a text's words with their places."""
+            listed = F.filter(placed, lambda x: F.array_contains(t["words"], x["word"]))
 
-        def windows(words: Column) -> Column:
-            """What the windows of a text's words hold."""
+            def window(own: Column, x: Column, k: Column) -> Column:
+                # as each has a place of its own, no more than a window's words end with this one
+                near = F.filter(F.slice(own, F.greatest(F.lit(1), k + 2 - t["span"]), F.least(t["span"], k + 1)), lambda y: y["place"] > x["place"] - t["span"])
+                return F.when(F.size(near) >= t["need"], F.size(F.array_distinct(F.transform(near, lambda y: y["word"]))))
 
-            def kinds(places: Column) -> Column:
-                return F.size(F.array_distinct(F.transform(places, lambda i: F.get(words, i))))
+            return F.element_at(F.transform(F.array(listed), lambda own: F.array_max(F.transform(own, lambda x, k: window(own, x, k)))), 1)
 
-            def near(t: Column, at: Column) -> Column:
-                """The most of a template's words in a window with the word at a place; null below what is needed."""
-                around = F.sequence(F.greatest(F.lit(0), at - t["span"] + 1), F.least(F.size(words) - 1, at + t["span"] - 1))
-                held = F.filter(around, lambda i: F.array_contains(t["words"], F.get(words, i)))
-                most = F.transform(F.array(held), lambda own: F.when(kinds(own) >= t["need"], F.array_max(F.transform(F.filter(own, lambda i: i <= at), lambda i: kinds(F.filter(own, lambda k: (k >= i) & (k < i + t["span"])))))))
-                return F.element_at(most, 1)
-
-            def best(t: Column) -> Column:
-                at = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(t["prefix"], F.get(words, i)))
-                return F.array_max(F.transform(at, lambda i: near(t, i)))
-
-            found = F.flatten(F.transform(F.array(F.array_intersect(known, words)), passing))
-            shares = F.transform(found, lambda t: F.struct(t["label"].alias("label"), t["need"].alias("need"), F.size(t["words"]).alias("n"), best(t).alias("most")))
+        def met(words: Column) -> Column:
+            placed = F.transform(words, lambda w, i: F.struct(i.alias("place"), w.alias("word")))
+            shares = F.transform(passing(F.array_intersect(known, words)), lambda t: F.struct(t["label"].alias("label"), t["need"].alias("need"), F.size(t["words"]).alias("n"), most(t, placed).alias("most")))
             return F.transform(F.filter(shares, lambda x: F.coalesce(x["most"] >= x["need"], F.lit(False))), lambda x: F.struct(x["label"].alias("label"), (x["most"] / x["n"]).alias("share")))
 
         empty = F.array().cast("array<struct<label:string,share:double>>")
-        df = df.withColumn("_met", F.when(F.col("text").rlike(some), F.concat(F.flatten(F.transform(blocks, met)), F.when(F.col("text").contains("\n"), F.flatten(F.transform(F.array(_words(F.col("text"))), windows))).otherwise(empty))).otherwise(empty))
+        df = df.withColumn("_met", F.when(F.col("text").rlike(some), F.flatten(F.transform(F.array(_words(F.col("text"))), met))).otherwise(empty))
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*held))))
     every = F.array_sort(F.array_union(base, F.transform("_met", lambda x: x["label"])))
     n_base = sum(counts[1:], counts[0]).cast("long")
@@ -175,7 +165,7 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
 
 
 def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = 0.8) -> str:
-    """The same rows in DuckDB SQL, over every line and template; without windows that span lines."""
+    """The same rows in DuckDB SQL, over every window and template of texts that hold enough of the template's words."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
     def listed(values: list[str]) -> str:
@@ -184,16 +174,16 @@ def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: fl
     places = [f"list_filter(range(1, len(ws) - {len(p.split(' ')) - 2}), lambda i: ws[i:i + {len(p.split(' ')) - 1}] = {listed(p.split(' '))})" for p in PHRASES]
     shares = []
     for label, text in templates:
-        ws = words_of(text)
-        share = f"len(list_intersect(b, {listed(ws)}))"
-        shares.append(f"CASE WHEN {share} >= {ceil(threshold * len(ws) - 1e-9)} THEN {{'label': '{label}', 'share': {share} / {float(len(ws))}}} END")
+        ws, span = words_of(text), ceil(len(re.findall(WORD + "+", text)) / threshold)
+        need = ceil(threshold * len(ws) - 1e-9)
+        most = f"CASE WHEN len(list_intersect(kinds, {listed(ws)})) >= {need} THEN list_max(list_transform(range(1, len(ws) + 1), lambda i: len(list_intersect(ws[i:i + {span - 1}], {listed(ws)})))) END"
+        shares.append(f"{{'label': '{label}', 'need': {need}, 'n': {float(len(ws))}, 'most': {most}}}")
     labels = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{label}' END" for i, label in enumerate(PHRASES.values()))
     return f"""
         WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
-        w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS ws FROM d),
+        w AS (SELECT *, list_distinct(ws) AS kinds FROM (SELECT doc_id, regexp_extract_all(t, '{word}') AS ws FROM d)),
         p AS (SELECT doc_id, ws, {', '.join(f'{x} AS p{i}' for i, x in enumerate(places))},
-                flatten([list_filter([{', '.join(shares)}], lambda x: x IS NOT NULL)
-                    FOR b IN [list_distinct(regexp_extract_all(line, '{word}')) FOR line IN string_split(t, chr(10))]]) AS met
+                list_transform(list_filter([{', '.join(shares)}], lambda x: coalesce(x.most >= x.need, FALSE)), lambda x: {{'label': x.label, 'share': x.most / x.n}}) AS met
               FROM w),
         q AS (SELECT *, list_filter([{labels}], lambda x: x IS NOT NULL) AS base FROM p)
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,

@@ -489,6 +489,88 @@ def test_wrapped_licenses(spark):
     assert all(got[i]["labels"] == got[i]["base_labels"] for i in got if 300 <= i < 400)
 
 
+def plain_license(text):
+    """Labels and score from all windows of a text."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(FOLD))
+    words, labels, score = split(text or ""), set(), 0.0
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split(" ")
+        if any(words[i : i + len(p)] == p for i in range(len(words))):
+            labels, score = labels | {label}, 1.0
+    for label, template in license_scan.TEMPLATES:
+        t = split(template)
+        span, kinds = math.ceil(len(t) / 0.8), set(t)
+        best = max((len(kinds & set(words[i : i + span])) for i in range(len(words))), default=0)
+        if best >= math.ceil(0.8 * len(kinds) - 1e-9):
+            labels, score = labels | {label}, max(score, best / len(kinds))
+    return ",".join(sorted(labels)), score
+
+
+def test_windows_are_the_only_blocks(spark):
+    """Random texts of template words with gaps, with and without line breaks, against all windows; words of a notice that
+    are scattered over a long line are no notice."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(240):
+        words = license_scan.TEMPLATES[k % len(license_scan.TEMPLATES)][1].split()
+        words = [w for w in words if rng.random() > rng.choice([0, 0.1, 0.3])]
+        gap = rng.choice([0, 0.1, 0.3, 1])
+        words = [x for w in words for x in (w, *["filler"] * int(rng.poisson(gap)))]
+        if k % 3 == 0:
+            words = [*map(str, rng.permutation(words))]
+        around = [*map(str, rng.choice(["the", "of", "License", "x", "is"], 30))]
+        rows.append((k, "".join(w + str(rng.choice([" ", "\n", "\n * "], p=[0.8, 0.1, 0.1] if k % 2 else [1, 0, 0])) for w in (*around, *words, *around))))
+    for k, (i, drop) in enumerate(((11, 0), (11, 2), (9, 3))):
+        words = license_scan.words_of(license_scan.TEMPLATES[i][1])[drop:]
+        scattered = ["filler"] * 4000
+        for w, at in zip(words, rng.choice(4000, len(words), replace=False)):
+            scattered[at] = w
+        rows += [(1000 + k, " ".join(scattered)), (2000 + k, "\n".join(scattered))]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan.licenses(table(spark, rows)).collect()}
+    want = {i: plain_license(t) for i, t in rows}
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-12 for i in want), [(i, got[i], want[i]) for i in want if got[i] != want[i]][:3]
+    assert all(got[i] == ("", 0.0) for i in got if i >= 1000) and 60 < sum(bool(x[0]) for x in got.values()) < 230
+
+
+def test_examples_are_bounded(spark, sample):
+    """One identifier in very many rows gives one example."""
+    df, rows = sample
+    one = df.where(f"doc_id = {rows[0][0]}")
+    many = one.crossJoin(spark.range(20000).select("id")).drop("id").unionByName(df)
+    labels = spark.createDataFrame([(i, k % 2, 0) for k, (i, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    examples = quality_classifier.examples(many, labels, 10).collect()
+    assert len(examples) <= 10 and len({r["doc_id"] for r in examples}) == len(examples)
+    few, whole = (quality_classifier.fit_classifier(d, labels) for d in (many, df))
+    assert np.array_equal(few.w, whole.w) and np.array_equal(few.v, whole.v)
+
+
+def test_stages_run_once(spark, sf_dir, monkeypatch):
+    """In a run of the pipeline each stage hands out each of its rows once."""
+    import corpus_pipeline
+
+    small, counters = sf_dir.replace("sf0.01", "sf0.001"), {}
+
+    def counting(name, stage):
+        counters[name] = spark.sparkContext.accumulator(0)
+
+        def count(batches, seen):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        def run(session, docs, folder):
+            out = stage(session, docs, folder)
+            return out.mapInArrow(lambda batches: count(batches, counters[name]), out.schema)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counting(n, f)) for n, f in corpus_pipeline.STAGES])
+    n = len(corpus_pipeline.run(spark, small).collect())
+    docs = spark.read.parquet(f"{small}/documents.parquet").count()
+    seen = [c.value for c in counters.values()]
+    assert seen == sorted(seen, reverse=True) and seen[0] <= docs and seen[-1] == n and seen[2] == seen[3] == seen[4]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
