@@ -177,13 +177,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Machine:
-    """Learns from docs (doc_id, text, n_chars) and labels (doc_id, quality), but for held-out identifiers."""
+def examples(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """What is learned from: of each labelled identifier one row, the least by what the machine sees, and no more than max_rows
+    in all, those of the least hashes."""
     labels = labels.select(labels["doc_id"].cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    taken = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    taken = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     found = _plain(docs).join(F.broadcast(taken), "doc_id").select("doc_id", "text", "n_chars", "label")
-    rows = found.mapInArrow(_examples, "ids binary, counts binary, stats binary, label int, doc_id long").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], bytes(r["ids"]), bytes(r["counts"])))
+    seen = found.mapInArrow(_examples, "ids binary, counts binary, stats binary, label int, doc_id long")
+    least = seen.groupBy("doc_id", "label").agg(F.min(F.struct("ids", "counts", "stats")).alias("x"))
+    return least.select("doc_id", "label", "x.ids", "x.counts", "x.stats")
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Machine:
+    """Learns from docs (doc_id, text, n_chars) and labels (doc_id, quality), but for held-out identifiers."""
+    rows = examples(docs, labels, max_rows).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["label"]))
     return Machine.fit([(bytes(r["ids"]), bytes(r["counts"]), bytes(r["stats"]), r["label"]) for r in rows])
 
 
