@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.llm import decontamination, jaccard_join, quality_classifier, secret_scan, sentencepiece_scan
-from frameloom.llm.common import table
+from frameloom.llm.common import materialize, table
 from frameloom.runtime import make_importable
 
 
@@ -53,8 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents."""
+    """Applies the stages to documents, each to what the one before it has written to the shared folder, so none runs twice."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    *before, (_, last) = STAGES
+    for name, stage in before:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return last(spark, docs, sf_dir)
