@@ -106,6 +106,16 @@ class Prototypes:
         self.add(person, v)
         return person
 
+    def identified(self, v: np.ndarray, *, t_accept: float, t_reject: float, gray_creates: bool, min_sim_add: float, most: int, k: int) -> tuple[int | None, str, float | None]:
+        """Person, outcome and best similarity of a vector, which may be added."""
+        person, sim = next(iter(self.search(v, k)), (None, None))
+        if sim is not None and sim >= t_accept:
+            self.support(person, v, min_sim_add, most, k)
+            return person, "matched", sim
+        if sim is None or sim <= t_reject or gray_creates:
+            return self.create(v), "created" if sim is None or sim <= t_reject else "created_gray", sim
+        return None, "gray", sim
+
     def support(self, person: int, v: np.ndarray, min_sim_add: float, most: int, k: int) -> None:
         """Adds v if the nearest is that person's and close enough, and there is room."""
         near = self.search(v, k)
@@ -137,17 +147,7 @@ def fold(vectors: DataFrame, *, t_accept: float, t_reject: float, gray_creates:
             pdf = pdf.sort_values("id", ignore_index=True)
             held = Prototypes(known, len(pdf["v"].iloc[0]))
             for i, v in zip(pdf["id"], pdf["v"]):
-                v = np.asarray(v, float)
-                person, sim = next(iter(held.search(v, k)), (None, None))
-                if sim is not None and sim >= t_accept:
-                    outcome = "matched"
-                    held.support(person, v, min_sim_add, most, k)
-                elif sim is None or sim <= t_reject or gray_creates:
-                    outcome = "created" if sim is None or sim <= t_reject else "created_gray"
-                    person = held.create(v)
-                else:
-                    person, outcome = None, "gray"
-                rows.append((pdf[key].iloc[0], i, person, outcome, sim))
+                rows.append((pdf[key].iloc[0], i, *held.identified(np.asarray(v, float), t_accept=t_accept, t_reject=t_reject, gray_creates=gray_creates, min_sim_add=min_sim_add, most=most, k=k)))
         return pd.DataFrame(rows, columns=[key, "id", "person_id", "outcome", "best_sim"]).astype({"person_id": "Int64"})
 
     return _beside(vectors, gallery, key).applyInPandas(run, f"{key} long, id long, person_id long, outcome string, best_sim double")

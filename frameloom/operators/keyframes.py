@@ -1,4 +1,4 @@
-"""Key frames of a clip: foreground scores, scaling and peaks. A clip is one task where its frames must be in order."""
+"""Key frames of a clip: scaling and peaks of foreground shares. A clip is one task where its frames must be in order."""
 
 from __future__ import annotations
 
@@ -53,24 +53,3 @@ def peaks(df: DataFrame, value: str, height: float = 0.3, distance: int = 20, pr
         return pdf.iloc[peaks_of(pdf[value].fillna(0).to_numpy(float), height, distance, prominence)][["clip", "frame_idx"]]
 
     return df.select("clip", "frame_idx", value).groupBy("clip").applyInPandas(run, "clip long, frame_idx long")
-
-
-def foreground(df: DataFrame, pixels: str, rate: float = 0.05, sigmas: float = 4.0) -> DataFrame:
-    """clip, frame_idx and share of pixels (an array of grey values) that leave a running mean by so many deviations; a
-    plain background model, which agrees with no particular library's."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_idx", ignore_index=True)
-        mean = var = None
-        shares = []
-        for v in pdf[pixels]:
-            v = np.asarray(v, float)
-            if mean is None:
-                mean, var = v.copy(), np.full(len(v), 225.0)
-            away = (v - mean) ** 2 > sigmas**2 * var
-            shares.append(round(float(away.mean()) if len(v) else 0.0, 4))
-            mean += rate * (v - mean)
-            var += rate * ((v - mean) ** 2 - var)
-        return pd.DataFrame({"clip": pdf["clip"], "frame_idx": pdf["frame_idx"], "share": shares})
-
-    return df.select("clip", "frame_idx", pixels).groupBy("clip").applyInPandas(run, "clip long, frame_idx long, share double")

@@ -26,12 +26,6 @@ def chunked(df: DataFrame, key: str, order: Sequence[str], size: int = CLIP_FRAM
     return rows.withColumn("clip", F.floor(F.col("seq") / size_)).where(F.col("clip") < F.floor(F.col("_n") / size_)).drop("_n")
 
 
-def live_clips(frames: DataFrame, seconds: int = 5, late: str = "10 seconds") -> DataFrame:
-    """Clips of a stream of frames (camera_id, ts, frame_idx): windows of time, closed once the watermark has passed."""
-    windows = frames.withWatermark("ts", late).groupBy("camera_id", F.window("ts", f"{seconds} seconds").alias("w"))
-    return windows.agg(F.count("*").alias("n"), F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame")).select("camera_id", F.col("w.start").alias("started"), "n", "first_frame", "last_frame")
-
-
 def live_presence(obs: DataFrame, gap: str, late: str) -> DataFrame:
     """Runs of a stream of observations (track_id, ts), as sessions that end after a gap; late rows beyond the watermark
     are not counted."""

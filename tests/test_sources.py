@@ -60,26 +60,11 @@ def test_requests_of_a_stream(spark, tmp_path):
     assert sorted(r["reason"] for r in spark.read.parquet(bad).collect()) == ["no folder", "no folder"]
 
 
-def test_live_clips(spark, tmp_path):
-    at = pd.to_datetime("2024-01-01")
-    pdf = pd.DataFrame({"camera_id": 1, "ts": [at + pd.Timedelta(seconds=s) for s in (0, 1, 4, 5, 60)], "frame_idx": [0, 30, 120, 150, 1800]})
-    spark.createDataFrame(pdf).write.parquet(f"{tmp_path}/in")
-    stream = clips.live_clips(spark.readStream.schema("camera_id long, ts timestamp, frame_idx long").parquet(f"{tmp_path}/in"))
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination(60)
-    assert sorted((r["n"], r["first_frame"], r["last_frame"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(1, 150, 150), (3, 0, 120)]
-
-
 def test_first_hand_of_each_side(spark):
     rows = spark.createDataFrame([(1, 1, "Left", 0), (1, 1, "Right", 1), (1, 1, "Left", 2), (1, 2, "Right", 0), (1, 2, None, 1)], "frame long, person_id long, side string, pos long")
     assert sorted((r["person_id"], r["side_ord"], r["pos"]) for r in detections.first_per_side(rows).collect()) == [(1, 0, 1), (1, 1, 0), (2, 0, 0)]
 
 
-def test_foreground(spark):
-    rows = [(1, k, [10.0] * 4 if k != 5 else [10.0, 10.0, 250.0, 250.0]) for k in range(8)] + [(2, 0, [])]
-    got = {(r["clip"], r["frame_idx"]): r["share"] for r in keyframes.foreground(spark.createDataFrame(rows, "clip long, frame_idx long, pixels array<double>"), "pixels").collect()}
-    assert got[1, 5] == 0.5 and got[1, 4] == 0.0 and got[1, 0] == 0.0 and got[2, 0] == 0.0
-
-
 def test_columns(spark):
     one = spark.range(1)
     lit = lambda *x: geo.Box(*(F.lit(float(v)) for v in x))
