@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.labels import stringified
+from frameloom.operators.tables import materialize
 
 
 def node(name: str, kind: str, value: Column | None = None, children: Column | None = None) -> Column:
@@ -26,15 +27,41 @@ def leaf(name: str, kind: str, value: Column) -> Column:
     return F.struct(F.lit(name).alias("name"), F.lit(kind).alias("data_type"), stringified(value, kind).alias("value"))
 
 
-def shred(objects: DataFrame) -> DataFrame:
-    """Rows of attribute trees (object_id, metadata: nodes), in the order of the tree: object_id, path (place by level),
-    parent path, name, data_type and value."""
-    tops = objects.select("object_id", F.posexplode("metadata").alias("i", "n"))
-    first = tops.select("object_id", F.format_string("%04d", "i").alias("path"), F.lit(None).cast("string").alias("parent_path"), "n.name", "n.data_type", "n.value")
-    below = tops.select("object_id", "i", F.posexplode("n.children").alias("j", "c"))
-    parent = F.format_string("%04d", "i")
-    second = below.select("object_id", F.concat(parent, F.lit("."), F.format_string("%04d", "j")).alias("path"), parent.alias("parent_path"), "c.name", "c.data_type", "c.value")
-    return first.unionByName(second)
+def place_key(i: Column) -> Column:
+    """A place from 0 as a text whose order is that of the number: four digits, and ten after a mark beyond these."""
+    return F.when(i < 10_000, F.format_string("%04d", i)).otherwise(F.format_string("~%010d", i))
+
+
+#: A node of an attribute tree as JSON; its children are texts again.
+NODE = "name string, data_type string, value string, children array<string>"
+
+
+def shred(objects: DataFrame, deepest: int = 10_000) -> DataFrame:
+    """Rows of attribute trees (object_id, metadata: an array of nodes, or its JSON text) of any depth: object_id, path, parent
+    path, name, data_type and value. Paths sort in the order of the tree, each node ahead of what is below it.
+
+    Trees are taken apart level by level; each level is written once, and only whether there is a next one reaches the
+    driver. Missing or malformed metadata and children give no rows; a tree deeper than `deepest` is an error."""
+    kind = dict(objects.dtypes)["metadata"]
+    text = F.col("metadata") if kind == "string" else F.to_json("metadata", {"ignoreNullFields": "false"})
+    none = F.lit(None).cast("string")
+    level = objects.select("object_id", none.alias("parent_path"), F.posexplode(F.from_json(text, "array<string>")).alias("i", "node"))
+    out = []
+    for depth in range(deepest + 1):
+        key = place_key(F.col("i"))
+        path = F.when(F.col("parent_path").isNull(), key).otherwise(F.concat("parent_path", F.lit("."), key))
+        parsed = level.where(F.col("node").isNotNull()).select("object_id", path.alias("path"), "parent_path", F.from_json("node", NODE).alias("n"))
+        rows = materialize(parsed.select("object_id", "path", "parent_path", "n.name", "n.data_type", "n.value", "n.children"), "level")
+        if depth and rows.isEmpty():
+            break
+        out.append(rows.drop("children"))
+        level = rows.select("object_id", F.col("path").alias("parent_path"), F.posexplode("children").alias("i", "node"))
+    else:
+        raise ValueError(f"a tree is deeper than {deepest}")
+    whole = out[0]
+    for rows in out[1:]:
+        whole = whole.unionByName(rows)
+    return whole
 
 
 def _tree_rows(df: DataFrame, slots: list[tuple[str, str, str, Column | None, Column]]) -> DataFrame:

@@ -77,9 +77,3 @@ def test_columns(spark):
     got = one.select(vectors.cosine(a, b), vectors.cosine(a, none)).first()
     assert math.isclose(got[0], 0.96) and got[1] is None
     assert one.select(timing.iso_millis(F.lit(1_704_067_200_123_987))).first()[0] == "2024-01-01T00:00:00.123Z"
-
-
-def test_prototypes_of_another_size_are_left_out(spark):
-    rows = spark.createDataFrame([(0, [1.0, 0.0]), (4, [1.0]), (2, None)], "index_row long, v array<double>")
-    kept = store.repaired(rows, 2)
-    assert [r["index_row"] for r in kept.collect()] == [0] and store.next_index(rows) == 5 and store.next_index(rows.where("false")) == 0
