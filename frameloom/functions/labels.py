@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,6 +82,50 @@ def attention(dx: Column, dy: Column) -> Column:
     return F.round(axis(dx, 0.05, 0.25) * 0.7 + axis(dy, 0.05, 0.20) * 0.3, 3)
 
 
+#: Names of emotions in the order of a model's scores; landmarks of a face mesh around the eyes, of the irises
+#: and of the lips, and how many a mesh has.
+EMOTIONS = ("neutral", "feliz", "triste", "sorpresa", "miedo", "enojo", "disgusto")
+LEFT_EYE, RIGHT_EYE = (33, 160, 158, 133, 153, 144, 163, 7, 246), (362, 385, 387, 263, 373, 380, 390, 249, 466)
+LEFT_IRIS, RIGHT_IRIS, UPPER_LIP, LOWER_LIP, LANDMARKS = 468, 473, 13, 14, 478
+
+
+def emotion_of(scores: Column, names: Sequence[str] = EMOTIONS) -> Column:
+    """(label, confidence) of a model's scores: the name of the first best, or class_ and its place where it has no name;
+    without scores no label, and a confidence of 0."""
+    top = F.array_max(scores)
+    total = F.aggregate(F.transform(scores, lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x)
+    place = argmax(scores).cast("int")
+    label = F.coalesce(F.get(F.array(*map(F.lit, names)), place), F.concat(F.lit("class_"), place.cast("string")))
+    sure = F.coalesce(1 / (total + 1e-8), F.lit(0.0))
+    known = F.coalesce(F.size(scores), F.lit(0)) > 0
+    return F.struct(F.when(known, label).alias("label"), F.when(known, sure).otherwise(0.0).alias("confidence"))
+
+
+def gaze(marks: Column) -> tuple[Column, Column]:
+    """How far the irises are from the middles of the eyes, in widths and heights of the eyes: the mean of both."""
+
+    def off(eye: tuple[int, ...], iris: int, axis: str) -> Column:
+        values = F.array(*(marks[i][axis].cast("double") for i in eye))
+        middle = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / len(eye)
+        return (marks[iris][axis] - middle) / F.greatest(F.array_max(values) - F.array_min(values), F.lit(1e-6))
+
+    dx, dy = ((off(LEFT_EYE, LEFT_IRIS, a) + off(RIGHT_EYE, RIGHT_IRIS, a)) / 2 for a in ("x", "y"))
+    return dx, dy
+
+
+def face_of(marks: Column) -> Column:
+    """(attention, mouth: (state, ratio)) of the landmarks (x, y) of a face mesh; null for a mesh without irises."""
+
+    def whole(m: Column) -> Column:
+        up, low = m[UPPER_LIP], m[LOWER_LIP]
+        ratio = F.hypot(up["x"] - low["x"], up["y"] - low["y"]).cast("double")
+        mouth = F.struct(mouth_state(ratio).alias("state"), F.round(ratio, 3).alias("ratio"))
+        return F.when(F.size(m) >= LANDMARKS, F.struct(attention(*gaze(m)).alias("attention"), mouth.alias("mouth")))
+
+    # in a list of one, so that the landmarks are computed once
+    return F.element_at(F.transform(F.array(marks), whole), 1)
+
+
 def mouth_state(ratio: Column, bar: float = 0.05) -> Column:
     return F.when(ratio > bar, "abierta").otherwise("cerrada")
 

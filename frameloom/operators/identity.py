@@ -68,6 +68,24 @@ def consolidate(gallery: DataFrame, keep_k: int) -> DataFrame:
     return gallery.join(kept, "index_row", "left").select("index_row", "person_id", F.coalesce("kept", F.lit(False)).alias("is_active"))
 
 
+def consolidated(gallery: DataFrame, keep_k: int, *, add_centroid: bool = True, deactivate: bool = True) -> DataFrame:
+    """gallery (index_row, person_id, is_active, v) with each person's active prototypes brought together: their centroid is
+    added as one more, active, numbered on by person, and those but the keep_k nearest it are dropped. proto_type is centroid
+    for what was added, and n is how many it is the middle of. People without active prototypes stay as they are."""
+    out = gallery
+    if deactivate:
+        out = gallery.drop("is_active").join(consolidate(gallery, keep_k).select("index_row", "is_active"), "index_row")
+    out = out.select("index_row", "person_id", "is_active", "v").withColumns({"proto_type": F.lit(None).cast("string"), "n": F.lit(None).cast("long")})
+    if not add_centroid:
+        return out
+    active = gallery.where("is_active")
+    sizes = active.groupBy("person_id").agg(F.count("*").alias("n"))
+    top = gallery.agg(F.coalesce(F.max("index_row"), F.lit(-1))).first()[0]
+    made = numbered(centroids(active, "person_id").join(sizes, "person_id"), ["person_id"], int(top) + 1, "index_row")
+    new = made.select(F.col("index_row").cast("long").alias("index_row"), "person_id", F.lit(True).alias("is_active"), "v", F.lit("centroid").alias("proto_type"), "n")
+    return out.unionByName(new)
+
+
 class Prototypes:
     """A gallery's prototypes in memory, in the order in which they came."""
 

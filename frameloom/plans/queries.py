@@ -439,6 +439,19 @@ def keep_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.consolidate(v.gallery(spark, sf_dir), CONFIG.identity.keep_k)
 
 
+@query(f"""{SIM}, n AS (SELECT id, person_id, is_active, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-12)) AS v FROM emb),
+    m AS (SELECT person_id, place, avg(x) AS m FROM (SELECT person_id, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM n WHERE is_active) GROUP BY 1, 2),
+    c AS (SELECT person_id, list(m ORDER BY place) AS c FROM m GROUP BY 1),
+    k AS (SELECT n.id, row_number() OVER (PARTITION BY n.person_id ORDER BY list_cosine_similarity(v, c) DESC, n.id) AS place FROM n JOIN c USING (person_id) WHERE is_active),
+    u AS (SELECT person_id, list_transform(c, lambda x: x / (sqrt(list_sum(list_transform(c, lambda y: y * y))) + 1e-12)) AS v FROM c)
+    SELECT n.id AS index_row, n.person_id, coalesce(k.place <= 4, FALSE) AS is_active, CAST(NULL AS VARCHAR) AS proto_type, CAST(NULL AS BIGINT) AS n, n.v[1] AS first, n.v[64] AS last FROM n LEFT JOIN k ON k.id = n.id
+    UNION ALL SELECT (SELECT max(id) FROM n) + row_number() OVER (ORDER BY u.person_id), u.person_id, TRUE, 'centroid', (SELECT count(*) FROM n WHERE n.person_id = u.person_id AND is_active), u.v[1], u.v[64] FROM u""")
+def consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each person's centroid is added and what is far from it dropped."""
+    rows = identity.consolidated(v.gallery(spark, sf_dir), CONFIG.identity.keep_k)
+    return rows.select("index_row", "person_id", "is_active", "proto_type", "n", F.col("v")[0].alias("first"), F.col("v")[63].alias("last"))
+
+
 @query(f"""WITH RECURSIVE {v.EMB}, pairs AS (SELECT a.id AS a, b.id AS b FROM emb a JOIN emb b ON a.id <> b.id WHERE 1 - list_cosine_similarity(a.v, b.v) <= {EPS}),
     core AS (SELECT a AS id FROM pairs GROUP BY a HAVING count(*) + 1 >= 4), links AS (SELECT a, b FROM pairs WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
     reach AS (SELECT id, id AS root FROM core UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.id),
@@ -462,7 +475,7 @@ def enroll_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def duplicate_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of eight videos, each with the whole gallery; every fifth detection has no vector."""
+    """Frames of eight videos, each with an eighth of the gallery; every fifth detection has no vector."""
     videos = 8
     d = v.detections(spark, sf_dir).where("kind = 'person'").withColumns({"gallery_id": F.col("frame") % videos, "person_id": F.col("supp") % 3, "score": F.col("confidence")})
     own = v.vectors(spark, sf_dir)
@@ -470,7 +483,7 @@ def duplicate_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = F.array(*(F.struct(((F.col("part") + i) % 6).alias("person_id"), (F.lit(0.85) - i * 0.1 - F.col("part") % 2 * 0.2).alias("sim")) for i in range(3)))
     d = d.withColumns({"candidates": options, "at": F.when(F.col("part") % 5 > 0, (F.col("part") * 7 + F.col("supp")) % n)})
     rows = d.join(own.select(F.col("id").alias("at"), "v"), "at", "left")
-    known = v.gallery(spark, sf_dir).join(spark.range(videos).select(F.col("id").alias("gallery_id")), F.lit(True))
+    known = v.gallery(spark, sf_dir).withColumn("gallery_id", F.col("index_row") % videos)
     return identity.resolve_duplicates(rows, known, t_accept=0.8, t_reject=REJECT, min_sim_add=CONFIG.identity.min_sim_add, most=CONFIG.identity.max_protos_per_person)
 
 
@@ -567,6 +580,34 @@ def age_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "a.age", "a.adult", "a.confidence")
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[])[1:9], lambda x: x * 20) AS s FROM embeddings), x AS (SELECT vec_id, list_transform(s, lambda y: exp(y - list_max(s))) AS w FROM e), p AS (SELECT vec_id, list_transform(w, lambda y: y / (list_sum(w) + 1e-8)) AS p FROM x)
+    SELECT vec_id, coalesce(['neutral', 'feliz', 'triste', 'sorpresa', 'miedo', 'enojo', 'disgusto'][list_position(p, list_max(p))], 'class_' || (list_position(p, list_max(p)) - 1)) AS label, list_max(p) AS confidence FROM p""")
+def emotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine scores for seven names, so some labels are numbers."""
+    scores = F.transform(F.slice("embedding", 1, 9), lambda x: x.cast("double") * 20)
+    return v.table(spark, sf_dir, "embeddings").select("vec_id", labels.emotion_of(scores).alias("e")).select("vec_id", "e.label", "e.confidence")
+
+
+_FACE_X, _FACE_Y = (lambda i: f"((p_partkey * 31 + {i} * 17) % 97) / 100.0"), (lambda i: f"((p_size * 13 + {i} * 29) % 89) / 100.0")
+
+
+def _gaze_sql(eye: tuple[int, ...], iris: int) -> str:
+    xs, ys = ("[" + ", ".join(f(i) for i in eye) + "]::DOUBLE[]" for f in (_FACE_X, _FACE_Y))
+    off = lambda at, v: f"({at} - list_sum({v}) / {len(eye)}) / greatest(list_max({v}) - list_min({v}), 1e-6)"
+    return f"{off(_FACE_X(iris), xs)}, {off(_FACE_Y(iris), ys)}"
+
+
+@query(f"""WITH g AS (SELECT p_partkey, [{_gaze_sql(labels.LEFT_EYE, labels.LEFT_IRIS)}, {_gaze_sql(labels.RIGHT_EYE, labels.RIGHT_IRIS)}] AS g, sqrt(pow({_FACE_X(13)} - {_FACE_X(14)}, 2) + pow({_FACE_Y(13)} - {_FACE_Y(14)}, 2))::DOUBLE AS mouth FROM part),
+    s AS (SELECT p_partkey, (g[1] + g[3]) / 2 AS dx, (g[2] + g[4]) / 2 AS dy, mouth FROM g)
+    SELECT p_partkey, round({_axis('dx', 0.05, 0.25)} * 0.7 + {_axis('dy', 0.05, 0.20)} * 0.3, 3) AS attention, CASE WHEN mouth > 0.05 THEN 'abierta' ELSE 'cerrada' END AS state, round(mouth, 3) AS ratio FROM s""")
+def face_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaze and mouth from all landmarks of a face."""
+    i = F.sequence(F.lit(0), F.lit(labels.LANDMARKS - 1))
+    marks = F.transform(i, lambda k: F.struct((((F.col("p_partkey") * 31 + k * 17) % 97) / 100.0).alias("x"), (((F.col("p_size") * 13 + k * 29) % 89) / 100.0).alias("y")))
+    rows = v.table(spark, sf_dir, "part").select("p_partkey", labels.face_of(marks).alias("f"))
+    return rows.select("p_partkey", "f.attention", "f.mouth.state", "f.mouth.ratio")
+
+
 # documents and tables
 
 

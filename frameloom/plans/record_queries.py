@@ -39,12 +39,12 @@ def entry_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.entries(rows).select("frame", "pos", "track_id", "person_global_id", "rid", "user_id")
 
 
-@query("""WITH f AS (SELECT (p_partkey - 1) % 10 AS video_id, (p_partkey - 1) // 10 AS pos, p_partkey AS key_frame_id FROM part WHERE p_partkey <= 300)
-    SELECT e.event_id, f.key_frame_id, CASE WHEN event_id % 3 = 0 THEN '{}' ELSE props END AS details FROM events e LEFT JOIN f ON f.video_id = e.user_id % 10 AND f.pos = e.event_id % 50 - 5""")
+@query("""WITH f AS (SELECT (p_partkey - 1) % 10 AS video_id, (p_partkey - 1) // 10 AS pos, p_partkey AS key_frame_id FROM part)
+    SELECT e.event_id, f.key_frame_id, CASE WHEN event_id % 3 = 0 THEN '{}' ELSE props END AS details FROM events e LEFT JOIN f ON f.video_id = e.user_id % 10 AND f.pos = e.event_id % 300 - 5""")
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey") - 1
-    frames = v.table(spark, sf_dir, "part").where("p_partkey <= 300").select((key % 10).alias("video_id"), F.floor(key / 10).alias("pos"), F.col("p_partkey").alias("key_frame_id"))
-    rows = v.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("video_id"), (F.col("event_id") % 50 - 5).alias("position"), F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("details"))
+    frames = v.table(spark, sf_dir, "part").select((key % 10).alias("video_id"), F.floor(key / 10).alias("pos"), F.col("p_partkey").alias("key_frame_id"))
+    rows = v.table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 10).alias("video_id"), (F.col("event_id") % 300 - 5).alias("position"), F.when(F.col("event_id") % 3 != 0, F.col("props")).alias("details"))
     return records.event_rows(rows, frames).select("event_id", "key_frame_id", "details")
 
 
