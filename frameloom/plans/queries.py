@@ -16,6 +16,7 @@ from frameloom.operators import document, evaluation, identity, keyframes, neigh
 from frameloom.operators import vectors as vop
 from frameloom.operators import zones as zop
 from frameloom.plans import views as v
+from frameloom.sources import stages
 
 CONFIG = Config()
 GAP = CONFIG.rules.intrusion_gap_frames
@@ -461,6 +462,19 @@ def dbscan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vop.dbscan(v.vectors(spark, sf_dir), EPS, CONFIG.cluster.min_samples)
 
 
+@query(f"""WITH {v.DET}, d AS (SELECT frame, pos, kind, class_name, confidence, x1, y1, x2, y2, part % 7 AS rid, CASE WHEN kind = 'person' THEN supp % 5 END AS track_id FROM det),
+    o AS (SELECT o_orderkey AS frame FROM orders) SELECT CAST(o.frame % 20 AS VARCHAR) AS video_id, CAST(o.frame AS VARCHAR) AS frame, pos, kind, class_name, confidence, x1, y1, x2, y2, rid, track_id FROM o JOIN d USING (frame)""")
+def stage_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's files, written with frames that have no entries, and read by the next stage."""
+    d = v.detections(spark, sf_dir).withColumns({"video_id": F.col("frame") % 20, "frame": F.col("frame").cast("string"), "rid": F.col("part") % 7, "track_id": F.when(F.col("kind") == "person", F.col("supp") % 5)})
+    none = {c: F.lit(None).cast("long") for c in ("person_global_id", "user_id")} | {"attributes": F.lit(None).cast("map<string,string>")}
+    frames = v.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 20).alias("video_id"), F.col("o_orderkey").cast("string").alias("frame"))
+    path = tables.scratch_path(spark, "stage")
+    stages.write_texts(stages.stage_texts(frames, d.withColumns(none)), path)
+    read = stages.entries(stages.texts(spark, f"{path}/*"))
+    return read.select("video_id", "frame", "pos", "kind", "class_name", "confidence", "x1", "y1", "x2", "y2", "rid", "track_id")
+
+
 @query()
 def gallery_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.gallery(spark, sf_dir).select(F.col("person_id").alias("gallery_id"), F.col("index_row").alias("id"), "v")
@@ -648,23 +662,26 @@ def event_keyframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document.at_position(rows, frames, F.col("l_linenumber")).select("video_id", "l_partkey", "key_frame_id")
 
 
-@query(f"""WITH {v.DET}, f AS (SELECT o_orderkey AS frame, o_orderkey % 50 AS video_id FROM orders), b AS (SELECT frame, count(*) AS n FROM det WHERE confidence >= 0.8 GROUP BY 1)
-    SELECT f.frame, CAST(f.frame AS VARCHAR) || '_overview.jpg' AS overview, CAST(coalesce(n, 0) AS INT) AS n_boxes FROM f LEFT JOIN b USING (frame)""")
+@query(f"""WITH {v.DET}, f AS (SELECT o_orderkey AS frame FROM orders), b AS (SELECT frame, pos, class_name || ' ' || format('{{:.3f}}', confidence) AS label, 'box_' || lpad(CAST(pos AS VARCHAR), 3, '0') || '_' || replace(class_name, ' ', '_') || '.jpg' AS crop FROM det WHERE confidence >= 0.8)
+    SELECT f.frame, CAST(f.frame AS VARCHAR) || '_overview.jpg' AS overview, CAST(count(b.pos) OVER (PARTITION BY f.frame) AS INT) AS n_boxes, b.pos, b.label, b.crop FROM f LEFT JOIN b USING (frame)""")
 def review_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole manifests, box by box."""
     frames = v.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"))
-    return document.review_manifest(frames, v.detections(spark, sf_dir).where("confidence >= 0.8")).select("frame", "overview", "n_boxes")
+    listed = document.review_manifest(frames, v.detections(spark, sf_dir).where("confidence >= 0.8"))
+    return listed.select("frame", "overview", "n_boxes", F.explode_outer("boxes").alias("b")).select("frame", "overview", "n_boxes", "b.*")
 
 
-@query(f"""WITH {v.DET} SELECT frame % 50 AS video_id, count(DISTINCT frame) AS n_frames, count(*) AS n_objects, round(sum(confidence), 4) AS total FROM det GROUP BY 1""")
+@query(f"""WITH {v.DET} SELECT frame % 50 AS video_id, dense_rank() OVER (PARTITION BY frame % 50 ORDER BY frame) - 1 AS place, frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY pos) - 1 AS BIGINT) AS nth, pos, class_name, confidence, x1, y1, x2, y2 FROM det""")
 def video_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, written and read back by their schema."""
+    """The documents, written and read back by their schema, object by object in their order."""
     d = v.detections(spark, sf_dir).withColumn("video_id", F.col("frame") % 50)
     frames = d.select("video_id", "frame").distinct().withColumn("pos", F.col("frame"))
     schema = "array<struct<pos:long,frame:long,objects:array<struct<pos:long,class_name:string,confidence:double,x1:double,y1:double,x2:double,y2:double>>>>"
-    read = document.documents(frames, d).select("video_id", F.from_json("document", schema).alias("f"))
-    objects = F.flatten(F.transform("f", lambda x: x["objects"]))
-    total = F.aggregate(objects, F.lit(0.0), lambda s, x: s + x["confidence"])
-    return read.select("video_id", F.size("f").cast("long").alias("n_frames"), F.size(objects).cast("long").alias("n_objects"), F.round(total, 4).alias("total"))
+    path = tables.scratch_path(spark, "documents")
+    stages.write_texts(document.documents(frames, d), path)
+    read = spark.read.text(path).select("video_id", F.posexplode(F.from_json("value", schema)).alias("place", "f"))
+    objects = read.select(F.col("video_id").cast("long").alias("video_id"), F.col("place").cast("long").alias("place"), "f.frame", F.posexplode("f.objects").alias("nth", "o"))
+    return objects.select("video_id", "place", "frame", F.col("nth").cast("long").alias("nth"), "o.*")
 
 
 @query(f"""SELECT c_custkey AS person_id, c_name AS display_name, c_acctbal > {v.ENROLLED_BALANCE} AS is_active FROM customer WHERE c_custkey % 10 <> 0
