@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from frameloom.functions.geometry import Box, area, clamped, degenerate, expanded, unletterbox
+from frameloom.functions.geometry import Box, area, clamped, degenerate, expanded, letterbox, unletterbox
 from frameloom.operators.groups import Arrays, map_groups
 
 
@@ -143,6 +143,18 @@ def gated(steps: Sequence[tuple[str, Callable[[DataFrame], DataFrame]]], flags:
     return [step for name, step in steps if any(flags.get(n, False) for n in name.split("|"))]
 
 
+def letterboxed(images: DataFrame, size: int, stride: int = 32, batch: Sequence[str] = ("batch",)) -> DataFrame:
+    """Images (batch, w, h) with ratio, new_w, new_h, pad_x, pad_y, and the canvas' sides: where all images of a batch have one
+    size, the canvas is the least that a stride allows; a mixed batch needs one canvas for all, the whole square."""
+    key = F.struct("w", "h")
+    w = Window.partitionBy(*batch)
+    same = F.min(key).over(w) == F.max(key).over(w)
+    tight, whole = letterbox(F.col("w"), F.col("h"), size, stride), letterbox(F.col("w"), F.col("h"), size)
+    out = images.withColumn("_same", same)
+    out = out.withColumns({k: F.when(F.col("_same"), tight[k]).otherwise(whole[k]) for k in tight}).drop("_same")
+    return out.withColumns({"canvas_w": (F.col("new_w") + 2 * F.col("pad_x")).cast("int"), "canvas_h": (F.col("new_h") + 2 * F.col("pad_y")).cast("int")})
+
+
 def apply_steps(df: DataFrame, steps: Sequence[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     for step in steps:
         df = df.transform(step)

@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CORNERS = ("x1", "y1", "x2", "y2")
+
+
 def tracked(detections: DataFrame) -> DataFrame:
-    """Persons with a track, with null confidence as 0."""
+    """Persons with a track, with null confidence as 0, and their corners as bbox: an empty one where one is missing."""
     kept = detections.where((F.col("kind") == "person") & F.col("track_id").isNotNull() & (F.col("track_id") != -1))
-    return kept.withColumn("confidence", F.coalesce("confidence", F.lit(0.0)))
+    box = F.array(*CORNERS)
+    bbox = F.when(F.forall(box, lambda c: c.isNotNull()), box).otherwise(F.array().cast("array<double>"))
+    return kept.withColumns({"confidence": F.coalesce("confidence", F.lit(0.0)), "bbox": bbox})
 
 
 def with_runs(obs: DataFrame, keys: Sequence[str], gap: int, tiebreak: Sequence[str], predicate: Column | None = None) -> DataFrame:

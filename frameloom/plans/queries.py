@@ -227,6 +227,18 @@ def letterbox_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _images(spark, sf_dir).select("p_partkey", *(fit[k].alias(k) for k in ("ratio", "pad_x", "pad_y")), back.x1.alias("back_x"), back.y2.alias("back_y"))
 
 
+@query("""WITH i AS (SELECT p_partkey, p_partkey // 4 AS batch, CAST(CASE WHEN p_partkey // 4 % 3 = 0 THEN 640 ELSE p_size * 37 + 100 END AS DOUBLE) AS w, CAST(CASE WHEN p_partkey // 4 % 3 = 0 THEN 360 ELSE p_partkey % 700 + 90 END AS DOUBLE) AS h FROM part),
+    k AS (SELECT batch, count(DISTINCT (w, h)) = 1 AS same FROM i GROUP BY 1), r AS (SELECT *, least(640.0 / w, 640.0 / h) AS ratio FROM i JOIN k USING (batch)),
+    n AS (SELECT *, round_even(w * ratio, 0) AS nw, round_even(h * ratio, 0) AS nh FROM r), p AS (SELECT *, CASE WHEN same THEN (640.0 - nw) % 32 ELSE 640.0 - nw END / 2 AS pad_x, CASE WHEN same THEN (640.0 - nh) % 32 ELSE 640.0 - nh END / 2 AS pad_y FROM n)
+    SELECT p_partkey, batch, ratio, pad_x, pad_y, CAST(nw + 2 * pad_x AS INT) AS canvas_w, CAST(nh + 2 * pad_y AS INT) AS canvas_h FROM p""")
+def letterbox_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of four images; in every third one all have one size."""
+    batch = F.floor(F.col("p_partkey") / 4)
+    alike = batch % 3 == 0
+    rows = _images(spark, sf_dir).select("p_partkey", batch.alias("batch"), F.when(alike, 640.0).otherwise(F.col("w")).alias("w"), F.when(alike, 360.0).otherwise(F.col("h")).alias("h"))
+    return det.letterboxed(rows, 640).select("p_partkey", "batch", "ratio", "pad_x", "pad_y", "canvas_w", "canvas_h")
+
+
 @query("""WITH i AS (SELECT p_partkey, CAST(p_size * 37 + 100 AS DOUBLE) AS w, CAST(p_partkey % 700 + 90 AS DOUBLE) AS h FROM part), s AS (SELECT *, least(1.0, 1280.0 / greatest(w, h)) AS k FROM i)
     SELECT p_partkey, greatest(32, CAST(floor(w * k / 32) * 32 AS INT)) AS new_w, greatest(32, CAST(floor(h * k / 32) * 32 AS INT)) AS new_h FROM s""")
 def resize_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -413,10 +425,10 @@ def assign_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-@query(f"{SIM}, {NEAR} SELECT query_id, list(person_id ORDER BY rank)[1] AS first, CAST(count(*) AS INT) AS n FROM near WHERE rank <= 3 AND is_active GROUP BY 1")
+@query(f"{SIM}, {NEAR} SELECT query_id, string_agg(CAST(person_id AS VARCHAR), ',' ORDER BY rank) AS people FROM near WHERE rank <= 3 AND is_active GROUP BY 1")
 def hit_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identity.evidence(identity.hits(_probes(spark, sf_dir), v.gallery(spark, sf_dir), 30, exclude_self=True))
-    return found.select("query_id", F.col("people")[0].alias("first"), F.size("people").alias("n"))
+    return found.select("query_id", F.array_join("people", ",").alias("people"))
 
 
 @query(f"{SIM} SELECT person_id, count(*) FILTER (WHERE is_active) AS n_active FROM emb GROUP BY 1")
@@ -706,10 +718,14 @@ def project_get_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.get_or_create(known, v.table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")), "name")
 
 
-@query(f"WITH {v.EMB} SELECT id, list_max(list_transform(v, lambda x: abs(x))) / sqrt(list_sum(list_transform(v, lambda x: x * x))) AS top, TRUE AS valid FROM emb")
+@query("""WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 9 = 0 THEN list_transform(embedding, lambda x: 0.0::DOUBLE) ELSE CAST(embedding AS DOUBLE[]) END AS v FROM embeddings)
+    SELECT id, list_max(list_transform(v, lambda x: abs(x))) / (sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-12) AS top, v[1] / (sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-12) AS first, id % 9 <> 0 AS valid FROM e""")
 def normalized_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.vectors(spark, sf_dir)
-    return rows.select("id", F.array_max(F.transform("v", lambda x: F.abs(x))).alias("top"), vec.valid(F.col("v")).alias("valid"))
+    """Every ninth vector has no length."""
+    own = F.when(F.col("vec_id") % 9 == 0, F.transform("embedding", lambda x: F.lit(0.0))).otherwise(F.col("embedding").cast("array<double>"))
+    rows = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), own.alias("v"))
+    unit = vec.normalized(F.col("v"))
+    return rows.select("id", F.array_max(F.transform(unit, lambda x: F.abs(x))).alias("top"), unit[0].alias("first"), vec.valid(F.col("v")).alias("valid"))
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:

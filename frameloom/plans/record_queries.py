@@ -33,10 +33,10 @@ def object_shred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.object_rows(records.objects(rows), frames, classes)
 
 
-@query(f"WITH {v.DET} SELECT frame, pos, CAST(NULL AS BIGINT) AS track_id, CAST(NULL AS BIGINT) AS person_global_id, rid, rid AS user_id FROM (SELECT frame, pos, CASE WHEN kind = 'person' THEN part % 100 END AS rid FROM det)")
+@query(f"WITH {v.DET} SELECT frame, pos, kind, class_name, confidence, x1, CAST(NULL AS BIGINT) AS track_id, CAST(NULL AS BIGINT) AS person_global_id, rid, rid AS user_id FROM (SELECT *, CASE WHEN kind = 'person' THEN part % 100 END AS rid FROM det)")
 def entry_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.detections(spark, sf_dir).withColumn("rid", F.when(F.col("kind") == "person", F.col("part") % 100))
-    return records.entries(rows).select("frame", "pos", "track_id", "person_global_id", "rid", "user_id")
+    return records.entries(rows).select("frame", "pos", "kind", "class_name", "confidence", "x1", "track_id", "person_global_id", "rid", "user_id")
 
 
 @query("""WITH f AS (SELECT (p_partkey - 1) % 10 AS video_id, (p_partkey - 1) // 10 AS pos, p_partkey AS key_frame_id FROM part)
@@ -271,10 +271,11 @@ def kind_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.detections(spark, sf_dir).select("frame", "pos", det.split_kind(F.col("part") % 9).alias("kind"))
 
 
-@query(f"WITH {v.DET}, t AS (SELECT frame, pos, kind, CASE WHEN supp % 5 > 0 THEN supp % 5 - 2 END AS track_id, CASE WHEN part % 4 > 0 THEN confidence END AS confidence FROM det) SELECT frame, pos, track_id, coalesce(confidence, 0.0) AS confidence FROM t WHERE kind = 'person' AND track_id IS NOT NULL AND track_id <> -1")
+@query(f"WITH {v.DET}, t AS (SELECT frame, pos, kind, CASE WHEN supp % 5 > 0 THEN supp % 5 - 2 END AS track_id, CASE WHEN part % 4 > 0 THEN confidence END AS confidence, x1 + y1 * 7 + x2 * 11 + y2 * 13 AS box, part FROM det) SELECT frame, pos, track_id, coalesce(confidence, 0.0) AS confidence, CASE WHEN part % 6 > 0 THEN 4 ELSE 0 END AS corners, CASE WHEN part % 6 > 0 THEN box END AS box FROM t WHERE kind = 'person' AND track_id IS NOT NULL AND track_id <> -1")
 def tracked_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = v.detections(spark, sf_dir).withColumns({"track_id": F.when(F.col("supp") % 5 > 0, F.col("supp") % 5 - 2), "confidence": F.when(F.col("part") % 4 > 0, F.col("confidence"))})
-    return timeline.tracked(rows).select("frame", "pos", "track_id", "confidence")
+    rows = v.detections(spark, sf_dir).withColumns({"track_id": F.when(F.col("supp") % 5 > 0, F.col("supp") % 5 - 2), "confidence": F.when(F.col("part") % 4 > 0, F.col("confidence")), "y2": F.when(F.col("part") % 6 > 0, F.col("y2"))})
+    box = sum((F.get("bbox", F.lit(i)) * k for i, k in ((1, 7), (2, 11), (3, 13))), F.get("bbox", F.lit(0)))
+    return timeline.tracked(rows).select("frame", "pos", "track_id", "confidence", F.size("bbox").alias("corners"), box.alias("box"))
 
 
 @query("""WITH t AS (SELECT s_nationkey AS video_id, TRY_CAST(CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_acctbal AS VARCHAR) ELSE s_name END AS DOUBLE) AS seconds, s_suppkey % 4 AS n FROM supplier)
