@@ -48,6 +48,11 @@ def sentence(person: Column, phrase: Column, other: Column) -> Column:
     return F.concat(F.lit("Persona "), person.cast("string"), F.lit(" está "), phrase, F.lit(" de "), other.cast("string"), F.lit("."))
 
 
+def box_label(class_name: Column, confidence: Column) -> Column:
+    """What is written at a box: its class and how sure that is; the class alone where that is not known."""
+    return F.concat_ws(" ", class_name, F.when(confidence.isNotNull(), F.format_string("%.3f", confidence.cast("double"))))
+
+
 def person_lines(pose: Column, pose_conf: Column, track: Column, person: Column) -> Column:
     """What is written beside a person's box, line by line; what is not known has no line."""
     sure = F.coalesce(F.format_string(" (%.3f)", pose_conf.cast("double")), F.lit(""))

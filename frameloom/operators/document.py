@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from frameloom.functions.labels import stringified
+from frameloom.functions.labels import box_label, stringified
 from frameloom.operators.tables import materialize
 
 
@@ -151,7 +151,7 @@ def documents(frames: DataFrame, objects: DataFrame) -> DataFrame:
 
 def review_manifest(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """Per frame its overview and boxes with their crops' names; frames without boxes stay, with none."""
-    label = F.concat_ws(" ", "class_name", F.format_string("%.3f", F.col("confidence")))
+    label = box_label(F.col("class_name"), F.col("confidence"))
     crop = F.format_string("box_%03d_%s.jpg", F.col("pos").cast("int"), F.regexp_replace("class_name", r"\s+", "_"))
     listed = boxes.groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("pos", label.alias("label"), crop.alias("crop")))).alias("boxes"))
     return frames.join(listed, "frame", "left").withColumn("overview", F.concat(F.col("frame").cast("string"), F.lit("_overview.jpg"))).withColumn("n_boxes", F.coalesce(F.size("boxes"), F.lit(0)))

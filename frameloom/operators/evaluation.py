@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from frameloom.functions.numbers import number, ratio
 from frameloom.operators.groups import Arrays, map_groups
 from frameloom.operators.tracking import pairwise_iou
 
@@ -40,8 +43,20 @@ def parity(differences: DataFrame, key: str, value: str, limit: float) -> DataFr
     return differences.rollup(key).agg(*parts)
 
 
-def tolerance_match(predicted: DataFrame, wanted: DataFrame, tolerance: int) -> DataFrame:
-    """precision, recall and f1 in per cent of key frames (clip, frame) within a tolerance of wanted ones, by clip.
+def frame_counts(detections: DataFrame, *more: Column, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """How many persons and objects each frame has, with more aggregates if any; without keys, of all frames."""
+    kinds = [F.count_if(F.col("kind") == kind).alias(f"{kind}s") for kind in ("person", "object")]
+    return detections.groupBy(*keys).agg(*kinds, *more)
+
+
+def people_found(labels: DataFrame, key: str = "video_id") -> DataFrame:
+    """How many different labels each video has, noise (-1) and nulls left out."""
+    return labels.groupBy(key).agg(F.count_distinct(F.when(F.col("label") != -1, F.col("label"))).alias("people"))
+
+
+def tolerance_match(predicted: DataFrame, wanted: DataFrame, tolerance: int, digits: int | None = None) -> DataFrame:
+    """precision, recall and f1 in per cent of key frames (clip, frame) within a tolerance of wanted ones, by clip; rounded to
+    so many digits where any are asked for.
 
     Frames meet by buckets as wide as the tolerance and their neighbours, so the join is an equal one.
     """
@@ -55,11 +70,12 @@ def tolerance_match(predicted: DataFrame, wanted: DataFrame, tolerance: int) ->
     p = F.when(F.col("n_predicted") > 0, F.col("tp") / F.col("n_predicted")).otherwise(0.0)
     r = F.when(F.col("n_wanted") > 0, F.col("tp") / F.col("n_wanted")).otherwise(0.0)
     f = F.when(p + r > 0, p * r * 2 / (p + r)).otherwise(0.0)
-    return df.select("clip", *((x * 100).alias(n) for n, x in (("precision", p), ("recall", r), ("f1_score", f))))
+    shown = lambda x: x if digits is None else F.bround(x, digits)
+    return df.select("clip", *(shown(x * 100).alias(n) for n, x in (("precision", p), ("recall", r), ("f1_score", f))))
 
 
 def stage_times(rows: DataFrame, key: str) -> DataFrame:
     """Total seconds of a stage by key, and seconds a frame, of rows (key, seconds: a number or text, n: frames). What is no
     number counts as 0, and so does the average over no frames."""
-    total, n = F.sum(F.coalesce(F.col("seconds").try_cast("double"), F.lit(0.0))), F.sum("n")
-    return rows.groupBy(key).agg(total.alias("total"), F.when(n > 0, total / n).otherwise(0.0).alias("per_frame"))
+    total, n = F.sum(number(F.col("seconds"))), F.sum("n")
+    return rows.groupBy(key).agg(total.alias("total"), ratio(total, n).alias("per_frame"))

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def scaled(df: DataFrame, value: str, key: str = "clip", name: str = "scaled") -> DataFrame:
-    """A value between its clip's least and greatest, from 0 to 1; 0 where they are equal."""
+def scaled(df: DataFrame, value: str, key: str = "clip", name: str = "scaled", digits: int | None = None) -> DataFrame:
+    """A value between its clip's least and greatest, from 0 to 1; 0 where they are equal. Rounded where digits are asked for."""
     w = Window.partitionBy(key)
     low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(name, F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0))
+    out = F.when(high > low, (F.col(value) - low) / (high - low)).otherwise(0.0)
+    return df.withColumn(name, out if digits is None else F.bround(out, digits))
 
 
 def peaks_of(x: np.ndarray, height: float, distance: int, prominence: float) -> np.ndarray:

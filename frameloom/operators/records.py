@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frameloom.functions.numbers import whole
 from frameloom.functions.timing import frame_micros, iso_millis
 from frameloom.operators.document import at_position, resolve
 from frameloom.operators.tables import numbered
@@ -27,7 +28,7 @@ def entries(detections: DataFrame) -> DataFrame:
 
 def objects(rows: DataFrame) -> DataFrame:
     """Entries (frame, pos, kind, class_name, confidence, x1..y2, user_id) as a document's objects."""
-    cut = {c: F.coalesce(F.col(c).try_cast("long"), F.lit(0)) for c in CORNERS}
+    cut = {c: F.coalesce(whole(F.col(c)), F.lit(0)) for c in CORNERS}
     user = F.when(F.col("kind") == "person", F.col("user_id"))
     return rows.withColumns({**cut, "class_name": F.coalesce("class_name", F.lit("object")), "confidence": F.col("confidence").cast("double"), "user_id": user})
 
@@ -62,7 +63,7 @@ def frame_relations(relations: DataFrame, listed: DataFrame) -> DataFrame:
 def video_relations(relations: DataFrame, frames: DataFrame) -> DataFrame:
     """Relations of a video, which name a frame by its place from 1 (position, a text or number), with the frame (video_id,
     pos, frame); those without such a place, or out of range, are left out."""
-    place = F.col("position").try_cast("long")
+    place = whole(F.col("position"))
     keyed = frames.select(F.col("video_id").alias("_video"), F.col("pos").alias("_pos"), "frame")
     return relations.join(keyed, (F.col("video_id") == F.col("_video")) & (place - 1 == F.col("_pos")) & (place > 0)).drop("_video", "_pos")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from frameloom.config import Config, TrackerConfig
 from frameloom.functions import geometry as geo
-from frameloom.functions import labels, timing
+from frameloom.functions import labels, numbers, timing
 from frameloom.functions import vectors as vec
 from frameloom.operators import detections as det
 from frameloom.operators import document, evaluation, identity, keyframes, neighborhood, rules, tables, timeline, tracking, vector_index
@@ -356,8 +356,7 @@ def rid_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {v.DET} SELECT frame, count(*) FILTER (WHERE kind = 'person') AS persons, count(*) FILTER (WHERE kind = 'object') AS objects, avg(confidence) AS mean_confidence FROM det GROUP BY 1")
 def per_frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    people, objects = F.count_if(F.col("kind") == "person"), F.count_if(F.col("kind") == "object")
-    return v.detections(spark, sf_dir).groupBy("frame").agg(people.alias("persons"), objects.alias("objects"), F.avg("confidence").alias("mean_confidence"))
+    return evaluation.frame_counts(v.detections(spark, sf_dir), F.avg("confidence").alias("mean_confidence"))
 
 
 @query(f"WITH {v.DET} SELECT frame, pos, CASE WHEN confidence >= 0.5 THEN 'high' WHEN confidence >= 0.1 THEN 'low' ELSE 'dropped' END AS band FROM det")
@@ -548,6 +547,22 @@ def keyframe_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+@query(f"WITH {_F1} SELECT clip, round_even(p * 100, 2) AS precision, round_even(r * 100, 2) AS recall, round_even(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END * 100, 2) AS f1_score FROM s")
+def keyframe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as reports show it, to two digits."""
+    rows = v.table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), F.col("event_id").alias("frame"), "event_type")
+    return evaluation.tolerance_match(rows.where("event_type = 'click'"), rows.where("event_type = 'view'"), 30, digits=2)
+
+
+@query("""SELECT p_partkey, coalesce(TRY_CAST(t AS DOUBLE), 0.0) AS number, CASE WHEN regexp_full_match(t, '-?[0-9]+') THEN CAST(t AS BIGINT) END AS whole, CASE WHEN p_size % 5 = 0 THEN 0.0 ELSE p_retailprice / (p_size % 5) END AS ratio
+    FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN CAST(p_partkey AS VARCHAR) WHEN 2 THEN '-' || p_size || '.5' END AS t FROM part)""")
+def numbers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, whole numbers, fractions and nulls as numbers."""
+    key = F.col("p_partkey") % 4
+    text = F.when(key == 0, F.col("p_name")).when(key == 1, F.col("p_partkey").cast("string")).when(key == 2, F.concat(F.lit("-"), F.col("p_size").cast("string"), F.lit(".5")))
+    return v.table(spark, sf_dir, "part").select("p_partkey", numbers.number(text).alias("number"), numbers.whole(text).alias("whole"), numbers.ratio(F.col("p_retailprice"), F.col("p_size") % 5).alias("ratio"))
+
+
 @query(f"""WITH {v.DET}, d AS (SELECT class_name, abs(confidence - part % 10 / 10.0) AS diff FROM det)
     SELECT class_name, min(diff) AS least, avg(diff) AS mean, max(diff) AS greatest, count(*) FILTER (WHERE diff > 0.123) AS failures, count(*) AS n FROM d GROUP BY ROLLUP (class_name)""")
 def parity_report(spark: SparkSession, sf_dir: str) -> DataFrame:

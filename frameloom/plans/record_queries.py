@@ -175,7 +175,7 @@ def label_to_person(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id % 50 AS video_id, count(DISTINCT event_id % 7 - 1) FILTER (WHERE event_id % 7 > 0) AS people FROM events GROUP BY 1")
 def distinct_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = v.table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("video_id"), (F.col("event_id") % 7 - 1).alias("label"))
-    return rows.groupBy("video_id").agg(F.count_distinct(F.when(F.col("label") != -1, F.col("label"))).alias("people"))
+    return evaluation.people_found(rows)
 
 
 @query(f"""WITH {v.EMB}, g AS (SELECT id AS index_row, person_id, is_active FROM emb WHERE id % 10 <> 0), n AS (SELECT id, person_id FROM emb WHERE id % 10 = 0)

@@ -23,6 +23,18 @@ def frames(spark: SparkSession, folder: str, pattern: str = FRAME_GLOB) -> DataF
     return named.withColumn("pos", F.row_number().over(order) - 1)
 
 
+def photos(spark: SparkSession, folder: str) -> DataFrame:
+    """Enrollment photos of folders, also with endings in capitals: in the plain order of their names, with their endings."""
+    found = frames(spark, folder, PHOTO_GLOB).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    return found.withColumn("pos", F.row_number().over(Window.partitionBy("video_id").orderBy("name")) - 1)
+
+
+def first_size(sized: DataFrame) -> DataFrame:
+    """video_id, n (images that can be read), and width and height of the first of them, of images with sizes."""
+    good = sized.where("readable")
+    return good.groupBy("video_id").agg(F.count("*").alias("n"), F.min_by("width", "pos").alias("width"), F.min_by("height", "pos").alias("height"))
+
+
 def decoded(spark: SparkSession, folder: str) -> DataFrame:
     """path, width, height and channels of the images that can be read."""
     return spark.read.format("image").option("dropInvalid", True).load(folder).select(F.col("image.origin").alias("path"), "image.width", "image.height", F.col("image.nChannels").alias("channels"))

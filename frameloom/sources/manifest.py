@@ -18,6 +18,12 @@ def requests(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("reason is null").drop("reason", "value"), marked.where("reason is not null").select("value", "reason")
 
 
+def publish(uploads: DataFrame, folder: str) -> None:
+    """Appends requests (folder_path, timestamp, speed_inference) to a folder that a stream of requests reads."""
+    record = F.struct(*(F.col(c).cast("string").alias(c) for c in ("folder_path", "timestamp", "speed_inference")))
+    uploads.select(F.to_json(F.struct(record.alias("record"))).alias("value")).write.mode("append").text(folder)
+
+
 def stream(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
     return spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
 

@@ -77,3 +77,28 @@ def test_columns(spark):
     got = one.select(vectors.cosine(a, b), vectors.cosine(a, none)).first()
     assert math.isclose(got[0], 0.96) and got[1] is None
     assert one.select(timing.iso_millis(F.lit(1_704_067_200_123_987))).first()[0] == "2024-01-01T00:00:00.123Z"
+
+
+def test_photos_and_first_sizes(spark, tmp_path):
+    """Photos in the plain order of names, capitals first; the size of a folder is that of its first readable image."""
+    folder = tmp_path / "ana"
+    folder.mkdir()
+    for name, data in (("10.png", png(4, 3)), ("9.png", png(2, 2)), ("A.PNG", png(5, 5)), ("0.jpg", b"no image")):
+        (folder / name).write_bytes(data)
+    assert [r["name"] for r in images.photos(spark, str(folder)).orderBy("pos").collect()] == ["0.jpg", "10.png", "9.png", "A.PNG"]
+    sized = images.with_sizes(images.photos(spark, str(folder)), images.decoded(spark, str(folder)))
+    assert [tuple(r) for r in images.first_size(sized).collect()] == [("ana", 3, 4, 3)]
+
+
+def test_published_requests_are_read(spark, tmp_path):
+    rows = spark.createDataFrame([("a/", "1.5", 2.0), ("b/", "2", None), (None, "3", 1.0)], "folder_path string, timestamp string, speed_inference double")
+    manifest.publish(rows, f"{tmp_path}/in")
+    manifest.publish(rows.limit(0), f"{tmp_path}/in")
+    good, bad = manifest.requests(spark.read.text(f"{tmp_path}/in"))
+    assert sorted((r["folder_path"], r["timestamp"], r["speed"]) for r in good.collect()) == [("a/", "1.5", 2.0), ("b/", "2", 1.0)] and bad.count() == 1
+
+
+def test_rounded_scales(spark):
+    rows = spark.createDataFrame([(1, 0.0), (1, 1.0), (1, 3.0), (2, 5.0)], "clip long, value double")
+    got = sorted((r["clip"], r["scaled"]) for r in keyframes.scaled(rows, "value", digits=4).collect())
+    assert got == [(1, 0.0), (1, 0.3333), (1, 1.0), (2, 0.0)]
