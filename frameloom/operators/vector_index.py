@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.operators.tiles import column, meet
-from frameloom.operators.vectors import HITS, best_hits, dealt, hits_of, matrix, to_all
+from frameloom.operators.vectors import HITS, best_hits, dealt, hits_of, joined, matrix, to_all
 
 #: Vectors of a graph, links that a vector is put in with, and links that it keeps at most.
 GRAPH, LINKS, KEPT = 8192, 24, 64
@@ -123,7 +123,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = 128, exclud
         whole = lambda name, kind: np.frombuffer(column(table, name)[0].as_py(), kind).reshape(n, -1)
         return (whole("ids", np.int64)[:, 0], whole("vectors", np.float64), whole("links", np.int32)), None
 
-    def answer(state: tuple, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    def answer(state: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, v, links = state
         parts = []
         q_ids, q = column(batch, "id").to_numpy(), matrix(column(batch, "v"))
@@ -134,7 +134,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, beam: int = 128, exclud
                 sims = np.where(found == q_ids[a : a + 256, None], -np.inf, sims)
             order = np.lexsort((found, -sims), axis=1)[:, :k]
             parts.append(hits_of(q_ids[a : a + 256], np.take_along_axis(found, order, axis=1), np.take_along_axis(sims, order, axis=1)))
-        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else None
+        return joined(parts)
 
     tiles = index.agg(F.coalesce(F.max("tile") + 1, F.lit(0))).first()[0]
     if not tiles:

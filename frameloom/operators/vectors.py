@@ -50,6 +50,23 @@ def hits_of(q_ids: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, real.sum(axis=1))), pa.array(ids[real]), pa.array(sims[real])], names=["query_id", "id", "sim"])
 
 
+def best_places(sims: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k best of each row, in order; ties go by the columns' ids."""
+    k = min(k, sims.shape[1])
+    bar = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+    i, j = np.nonzero(sims >= bar[:, None])
+    order = np.lexsort((ids[j], -sims[i, j], i))
+    i, j = i[order], j[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first]
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """One batch of several of one kind."""
+    full = [p for p in parts if p.num_rows]
+    return pa.Table.from_batches(full).combine_chunks().to_batches()[0] if full else parts[0]
+
+
 def best_hits(hits: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -75,9 +92,10 @@ def knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = True)
             sims = q[a : a + step] @ v.T
             if exclude_self:
                 sims[q_ids[a : a + step, None] == ids[None, :]] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids, sims.shape), -sims), axis=1)[:, :k]
-            parts.append(hits_of(q_ids[a : a + step], ids[order], np.take_along_axis(sims, order, axis=1)))
-        return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else parts[0]
+            i, j = best_places(sims, ids, k)
+            real = np.isfinite(sims[i, j])
+            parts.append(pa.RecordBatch.from_arrays([pa.array(q_ids[a + i[real]]), pa.array(ids[j[real]]), pa.array(sims[i[real], j[real]])], names=["query_id", "id", "sim"]))
+        return joined(parts)
 
     return best_hits(meet(own.select("tile", "id", "v"), to_all(queries.select("id", "v"), tiles), load, answer, HITS), k)
 
@@ -211,12 +229,16 @@ def similar_pairs(base: DataFrame, least: float, tile: int = TILE) -> DataFrame:
             sims = v[a : a + step] @ v.T
             later = np.arange(len(v))[None, :] > np.arange(a, a + len(sims))[:, None]
             parts.append(_pairs(own_ids[a : a + step], own_ids, sims, (sims >= least) & later & (own_ids[a : a + step, None] != own_ids[None, :])))
-        return (own_ids, v), pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if sum(p.num_rows for p in parts) else None
+        return (own_ids, v), joined(parts)
 
     def answer(state: tuple, batch: pa.RecordBatch) -> pa.RecordBatch:
         own_ids, v = state
-        q_ids, sims = column(batch, "id").to_numpy(), matrix(column(batch, "v")) @ v.T
-        return _pairs(q_ids, own_ids, sims, (sims >= least) & (q_ids[:, None] != own_ids[None, :]))
+        q_ids, q = column(batch, "id").to_numpy(), matrix(column(batch, "v"))
+        step, parts = max(1, (1 << 22) // max(1, len(v))), []
+        for a in range(0, len(q), step):
+            sims = q[a : a + step] @ v.T
+            parts.append(_pairs(q_ids[a : a + step], own_ids, sims, (sims >= least) & (q_ids[a : a + step, None] != own_ids[None, :])))
+        return joined(parts)
 
     return meet(own, passing, load, answer, PAIRS)
 
