@@ -7,13 +7,18 @@ which hangs on what was created before, folds over the rest in the order of thei
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.vectors import dot, normalized
 from frameloom.operators.tables import numbered
+from frameloom.operators.tiles import column, meet
 from frameloom.operators.vectors import centroids, knn
 
 
@@ -98,6 +103,7 @@ class Prototypes:
             self.store[: self.used] = np.stack(vectors)
         self.people = [int(p) for p in rows["person_id"]] if len(rows) else []
         self.active = [bool(x) for x in rows["is_active"]] if len(rows) else []
+        self.n_active = Counter(p for p, a in zip(self.people, self.active) if a)
         self.next_person = max(self.people, default=0) + 1
 
     def search(self, v: np.ndarray, k: int) -> list[tuple[int, float]]:
@@ -118,6 +124,7 @@ class Prototypes:
         self.used += 1
         self.people.append(person)
         self.active.append(True)
+        self.n_active[person] += 1
 
     def create(self, v: np.ndarray) -> int:
         person, self.next_person = self.next_person, self.next_person + 1
@@ -126,18 +133,18 @@ class Prototypes:
 
     def identified(self, v: np.ndarray, *, t_accept: float, t_reject: float, gray_creates: bool, min_sim_add: float, most: int, k: int) -> tuple[int | None, str, float | None]:
         """Person, outcome and best similarity of a vector, which may be added."""
-        person, sim = next(iter(self.search(v, k)), (None, None))
+        near = self.search(v, k)
+        person, sim = next(iter(near), (None, None))
         if sim is not None and sim >= t_accept:
-            self.support(person, v, min_sim_add, most, k)
+            self.support(person, v, near, min_sim_add, most)
             return person, "matched", sim
         if sim is None or sim <= t_reject or gray_creates:
             return self.create(v), "created" if sim is None or sim <= t_reject else "created_gray", sim
         return None, "gray", sim
 
-    def support(self, person: int, v: np.ndarray, min_sim_add: float, most: int, k: int) -> None:
-        """Adds v if the nearest is that person's and close enough, and there is room."""
-        near = self.search(v, k)
-        if near and near[0][0] == person and near[0][1] >= min_sim_add and sum(p == person and a for p, a in zip(self.people, self.active)) < most:
+    def support(self, person: int, v: np.ndarray, near: list[tuple[int, float]], min_sim_add: float, most: int) -> None:
+        """Adds v if the first of what is near is that person's and close enough, and there is room."""
+        if near and near[0][0] == person and near[0][1] >= min_sim_add and self.n_active[person] < most:
             self.add(person, v)
 
 
@@ -171,58 +178,91 @@ def fold(vectors: DataFrame, *, t_accept: float, t_reject: float, gray_creates:
     return _beside(vectors, gallery, key).applyInPandas(run, f"{key} long, id long, person_id long, outcome string, best_sim double")
 
 
-def resolve_duplicates(df: DataFrame, gallery: DataFrame | None = None, *, t_accept: float, t_reject: float, min_sim_add: float, most: int, k: int = 10, key: str = "gallery_id") -> DataFrame:
+class Duplicates:
+    """What a gallery has seen of its frames: its prototypes, and who is taken in the group that is being resolved."""
+
+    def __init__(self, known: pd.DataFrame, *, t_accept: float, t_reject: float, min_sim_add: float, most: int, k: int):
+        self.known, self.held = known, None
+        self.t_accept, self.t_reject, self.min_sim_add, self.most, self.k = t_accept, t_reject, min_sim_add, most, k
+        self.group, self.taken = None, set()
+
+    def free(self, hits: Iterable[tuple[int, float]]) -> tuple[int, float] | None:
+        return next(((p, s) for p, s in hits if p >= 0 and p not in self.taken and s >= self.t_accept), None)
+
+    def resolved(self, group: tuple[int, int], offered: Iterable[tuple[int, float]], v: np.ndarray | None) -> tuple[int | None, str, float | None]:
+        """Person, outcome and best similarity of a group's (frame, person) next detection."""
+        if group != self.group:
+            self.group, self.taken = group, {group[1]}
+        if hit := self.free(offered):
+            out = hit[0], "reassigned", hit[1]
+        elif v is None:
+            return None, "none", None
+        else:
+            self.held = self.held or Prototypes(self.known, len(v))
+            near = self.held.search(v, self.k)
+            if hit := self.free(near):
+                out = hit[0], "found", hit[1]
+                self.held.support(hit[0], v, near, self.min_sim_add, self.most)
+            else:
+                best = near[0][1] if near else 0.0
+                out = self.held.create(v), "dup_created" if not near or best <= self.t_reject else "dup_created_gray", best
+        self.taken.add(out[0])
+        return out
+
+
+def _lists(values: pa.Array) -> tuple[pa.Array, list[int]]:
+    """The items of all lists, and where each list begins and the last ends; null lists have none."""
+    lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return values.flatten(), [0, *np.cumsum(lengths).tolist()]
+
+
+def resolve_duplicates(df: DataFrame, gallery: DataFrame | None = None, *, t_accept: float, t_reject: float, min_sim_add: float, most: int, k: int = 10, key: str = "gallery_id", vectors: DataFrame | None = None) -> DataFrame:
     """person_id, outcome and best_sim of detections (gallery_id, frame, pos, person_id, score, v, candidates: array of
-    (person_id, sim)), so that no person has two in a frame.
+    (person_id, sim)), so that no person has two in a frame. With vectors (id, v), detections have a vector_id in place
+    of v, and only those that need a vector get it.
 
     Of a person's detections in a frame the best score stays (kept). The others, from the best score down, take in turn:
     the first candidate that is close enough and not taken in this group (reassigned); the first such person among the
     gallery's nearest (found), which v then may support; a person of their own (dup_created, or dup_created_gray where
     the nearest is not far off). Without a vector they get nobody (none). People that are made are found by later frames,
-    so a gallery's frames are one task, taken in order; ties of score go by pos.
+    so those others of a gallery stream through one task in order, which holds its prototypes; ties of score go by pos.
     """
-
-    def run(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame([], columns=[key, "frame", "pos", "person_id", "outcome", "best_sim"])
-        pdf = pdf.sort_values(["frame", "pos"], ignore_index=True)
-        size = next((len(v) for v in pdf["v"] if v is not None), len(known["v"].iloc[0]) if len(known) else 1)
-        held = Prototypes(known, size)
-        person = [None if pd.isna(p) else int(p) for p in pdf["person_id"]]
-        outcome, best = ["kept"] * len(pdf), [None] * len(pdf)
-        score, vectors, options = pdf["score"].fillna(-np.inf).to_numpy(), pdf["v"].tolist(), pdf["candidates"].tolist()
-        edges = [0, *(np.flatnonzero(np.diff(pdf["frame"])) + 1).tolist(), len(pdf)]
-        for a, b in zip(edges, edges[1:]):
-            groups: dict[int, list[int]] = {}
-            for i in range(a, b):
-                if person[i] is not None:
-                    groups.setdefault(person[i], []).append(i)
-            for own, rows in groups.items():
-                taken = {own}
-                free = lambda hits: next(((p, s) for p, s in hits if p >= 0 and p not in taken and s >= t_accept), None)  # noqa: E731, B023
-                for i in sorted(rows, key=lambda r: -score[r])[1:]:
-                    offered = [(int(c["person_id"]), float(c["sim"])) for c in options[i]] if options[i] is not None else []
-                    if hit := free(offered):
-                        (person[i], best[i]), outcome[i] = hit, "reassigned"
-                    elif vectors[i] is None:
-                        person[i], outcome[i] = None, "none"
-                        continue
-                    else:
-                        v = np.asarray(vectors[i], float)
-                        near = held.search(v, k)
-                        if hit := free(near):
-                            (person[i], best[i]), outcome[i] = hit, "found"
-                            held.support(person[i], v, min_sim_add, most, k)
-                        else:
-                            best[i] = near[0][1] if near else 0.0
-                            outcome[i] = "dup_created" if not near or best[i] <= t_reject else "dup_created_gray"
-                            person[i] = held.create(v)
-                    taken.add(person[i])
-        out = pd.DataFrame({key: pdf[key], "frame": pdf["frame"], "pos": pdf["pos"], "outcome": outcome})
-        return out.assign(person_id=pd.array(person, "Int64"), best_sim=pd.array(best, "Float64"))[[key, "frame", "pos", "person_id", "outcome", "best_sim"]]
-
-    columns = df.select(key, "frame", "pos", "person_id", "score", "v", "candidates")
-    return _beside(columns, gallery, key).applyInPandas(run, f"{key} long, frame long, pos long, person_id long, outcome string, best_sim double")
+    held = "v" if vectors is None else "vector_id"
+    score = F.coalesce(F.when(~F.isnan("score"), F.col("score")), F.lit(float("-inf")))
+    group = Window.partitionBy(key, "frame", "person_id")
+    placed = df.select(key, "frame", "pos", "person_id", "score", held, "candidates").withColumn("place", F.row_number().over(group.orderBy(score.desc(), "pos")))
+    # nobody, or in no frame, is no double
+    first = F.col("person_id").isNull() | F.col("frame").isNull() | (F.col("place") == 1)
+    kept = placed.where(first).select(key, "frame", "pos", "person_id", F.lit("kept").alias("outcome"), F.lit(None).cast("double").alias("best_sim"))
+    # groups of a frame come by the first pos of each
+    others = placed.withColumn("lead", F.min("pos").over(group)).where(~first)
+    if vectors is not None:
+        others = others.join(vectors.select(F.col("id").alias("vector_id"), "v"), "vector_id", "left")
+    tile = F.coalesce(F.col(key), F.lit(-(1 << 63))).cast("long").alias("tile")
+    candidates = F.transform("candidates", lambda c: F.struct(c["person_id"].cast("long").alias("person_id"), c["sim"].cast("double").alias("sim")))
+    others = others.select(tile, key, "frame", "lead", "place", "pos", F.col("person_id").alias("own"), F.col("v").cast("array<double>").alias("v"), candidates.alias("candidates"))
+    if gallery is None:
+        gallery = df.sparkSession.createDataFrame([], f"{key} long, {PROTOTYPES}")
+    known = gallery.select(tile, "index_row", "person_id", "is_active", F.col("v").cast("array<double>").alias("v"))
+
+    def load(table: pa.Table) -> tuple:
+        rows = table.select(["index_row", "person_id", "is_active", "v"]).to_pandas()
+        return Duplicates(rows, t_accept=t_accept, t_reject=t_reject, min_sim_add=min_sim_add, most=most, k=k), None
+
+    def answer(state: Duplicates, batch: pa.RecordBatch) -> pa.RecordBatch:
+        frame, own = column(batch, "frame").to_pylist(), column(batch, "own").to_pylist()
+        options, at = _lists(column(batch, "candidates"))
+        people, sims = (options.field(i).to_pylist() for i in (0, 1))
+        values, begin = _lists(column(batch, "v"))
+        values, real = values.to_numpy(zero_copy_only=False), column(batch, "v").is_valid().to_pylist()
+        rows = [state.resolved((frame[i], own[i]), zip(people[at[i] : at[i + 1]], sims[at[i] : at[i + 1]]), values[begin[i] : begin[i + 1]] if real[i] else None) for i in range(len(frame))]
+        person, outcome, best = zip(*rows)
+        arrays = [column(batch, key), column(batch, "frame"), column(batch, "pos"), pa.array(person, pa.int64()), pa.array(outcome), pa.array(best, pa.float64())]
+        return pa.RecordBatch.from_arrays(arrays, names=[key, "frame", "pos", "person_id", "outcome", "best_sim"])
+
+    schema = f"{key} long, frame long, pos long, person_id long, outcome string, best_sim double"
+    done = meet(known, others.withColumns({c: F.col(c).cast("long") for c in (key, "frame", "pos")}), load, answer, schema, ["frame", "lead", "place"], alone=True)
+    return kept.withColumns({c: F.col(c).cast("long") for c in (key, "frame", "pos", "person_id")}).unionByName(done)
 
 
 def add_prototypes(gallery: DataFrame, rows: DataFrame, size: int) -> DataFrame:

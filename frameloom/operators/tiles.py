@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -16,12 +16,13 @@ def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     return out.combine_chunks() if isinstance(out, pa.ChunkedArray) else out
 
 
-def meet(own: DataFrame, probes: DataFrame, load: Callable[[pa.Table], tuple[Any, pa.RecordBatch | None]], answer: Callable[[Any, pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def meet(own: DataFrame, probes: DataFrame, load: Callable[[pa.Table], tuple[Any, pa.RecordBatch | None]], answer: Callable[[Any, pa.RecordBatch], pa.RecordBatch | None], schema: str, order: Sequence[str] = (), alone: bool = False) -> DataFrame:
     """What load and answer give for the rows of each tile; both tables have a column tile.
 
     load gets a tile's own rows at once, of which there must be a bounded number, and gives a state and rows that they
     make among themselves; answer gets the state and some of the tile's probes at a time, so there may be any number of
-    them. Tiles are dealt by hash; probes of a tile without own rows get nothing.
+    them, in an order if one is given. Tiles are dealt by hash; probes of a tile without own rows get nothing, or with
+    `alone` are put to what load makes of no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,9 +39,9 @@ def meet(own: DataFrame, probes: DataFrame, load: Callable[[pa.Table], tuple[Any
                     tile, held, state = tiles[a], [], None
                 if not probing[a]:
                     held.append(batch.slice(a, b - a))
-                elif held:
+                elif held or alone:
                     if state is None:
-                        state, made = load(pa.Table.from_batches(held))
+                        state, made = load(pa.Table.from_batches(held, schema=batch.schema))
                         if made is not None:
                             yield made
                     if (made := answer(state, batch.slice(a, b - a))) is not None:
@@ -49,4 +50,4 @@ def meet(own: DataFrame, probes: DataFrame, load: Callable[[pa.Table], tuple[Any
             yield made
 
     both = own.withColumn("_probe", F.lit(False)).unionByName(probes.withColumn("_probe", F.lit(True)), allowMissingColumns=True)
-    return both.repartition("tile").sortWithinPartitions("tile", "_probe").mapInArrow(run, schema)
+    return both.repartition("tile").sortWithinPartitions("tile", "_probe", *order).mapInArrow(run, schema)

@@ -506,10 +506,9 @@ def duplicate_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = v.vectors(spark, sf_dir)
     n = own.count()
     options = F.array(*(F.struct(((F.col("part") + i) % 6).alias("person_id"), (F.lit(0.85) - i * 0.1 - F.col("part") % 2 * 0.2).alias("sim")) for i in range(3)))
-    d = d.withColumns({"candidates": options, "at": F.when(F.col("part") % 5 > 0, (F.col("part") * 7 + F.col("supp")) % n)})
-    rows = d.join(own.select(F.col("id").alias("at"), "v"), "at", "left")
+    rows = d.withColumns({"candidates": options, "vector_id": F.when(F.col("part") % 5 > 0, (F.col("part") * 7 + F.col("supp")) % n)})
     known = v.gallery(spark, sf_dir).withColumn("gallery_id", F.col("index_row") % videos)
-    return identity.resolve_duplicates(rows, known, t_accept=0.8, t_reject=REJECT, min_sim_add=CONFIG.identity.min_sim_add, most=CONFIG.identity.max_protos_per_person)
+    return identity.resolve_duplicates(rows, known, t_accept=0.8, t_reject=REJECT, min_sim_add=CONFIG.identity.min_sim_add, most=CONFIG.identity.max_protos_per_person, vectors=own)
 
 
 @query()

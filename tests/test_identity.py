@@ -47,6 +47,25 @@ def test_duplicates_take_what_is_free(spark):
     assert resolved(spark, []) == {}
 
 
+def test_duplicates_stream_through_their_gallery(spark):
+    """Batches of three rows, frames and groups that lie across them, and vectors by id: the same as with vectors in rows, and
+    no gallery's frames are brought together as a whole."""
+    rng = np.random.default_rng(3)
+    found = {i: unit(*rng.normal(size=3)) for i in range(6)}
+    rows = [(g, f, p, int(rng.integers(2)), float(rng.integers(3)), int(rng.integers(6)), None) for g in (0, 1) for f in range(12) for p in range(5)]
+    want = identity.resolve_duplicates(spark.createDataFrame([(*r[:5], found[r[5]], None) for r in rows], DETECTIONS), **BARS)
+    ided = spark.createDataFrame(rows, DETECTIONS.replace("v array<double>", "vector_id long"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        got = identity.resolve_duplicates(ided, vectors=spark.createDataFrame(list(found.items()), "id long, v array<double>"), **BARS)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == len(rows)
+        assert "CoGroup" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+
+
 def plain_duplicates(rows, known, k):
     """The same rules on lists, a detection at a time."""
     store_ = sorted(([n, p, a, np.array(v)] for _, n, p, a, v in known), key=lambda r: r[0])
