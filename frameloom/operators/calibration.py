@@ -26,7 +26,8 @@ def homography(image: np.ndarray, world: np.ndarray) -> np.ndarray | None:
     one, zero = np.ones(len(a)), np.zeros((len(a), 3))
     row = np.column_stack([a, one])
     rows = np.vstack([np.hstack([row, zero, -b[:, :1] * row]), np.hstack([zero, row, -b[:, 1:] * row])])
-    _, values, v = np.linalg.svd(rows)
+    # as many right vectors as unknowns, and no left ones of a place for each pair by each pair
+    _, values, v = np.linalg.svd(rows, full_matrices=len(rows) < 9)
     if values[7] < 1e-9 * values[0]:
         return None
     m = np.linalg.inv(right) @ v[-1].reshape(3, 3) @ left
@@ -38,6 +39,18 @@ NAMES = ("image_x", "image_y", "world_x", "world_y")
 TRIES, AT_ONCE = 512, 64
 
 
+def scores(m: np.ndarray, p: np.ndarray, most_error: float, cells: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """For each of many matrices the sum of the squared distances, none counting more than most_error, and how many pairs
+    are within it; so many distances are held at a time."""
+    sums, near = np.zeros(len(m)), np.zeros(len(m), np.int64)
+    step = max(1, cells // len(m))
+    for a in range(0, len(p), step):
+        off = distances(m, p[a : a + step])
+        sums += (np.minimum(off, most_error) ** 2).sum(axis=1)
+        near += (off <= most_error).sum(axis=1)
+    return sums, near
+
+
 def distances(m: np.ndarray, p: np.ndarray) -> np.ndarray:
     """How far each pair's projection is from where it belongs, for one matrix or many."""
     q = np.column_stack([p[:, :2], np.ones(len(p))]) @ np.swapaxes(m, -1, -2)
@@ -120,10 +133,9 @@ def estimate(points: DataFrame, most_error: float = 3.0, tries: int = TRIES, see
                 p = np.array([list(x) for x in pairs], float).reshape(-1, 4)
                 if len(p) >= LEAST_POINTS:
                     found = hypotheses(p, quads(len(p), first, min(AT_ONCE, tries - first), seed))
-                    off = distances(found, p)
-                    sums = (np.minimum(off, most_error) ** 2).sum(axis=1)
+                    sums, near = scores(found, p, most_error)
                     top = int(sums.argmin())
-                    if (off[top] <= most_error).sum() >= LEAST_POINTS:
+                    if near[top] >= LEAST_POINTS:
                         out.append((camera, float(sums[top]), found[top].ravel().tolist()))
             yield pd.DataFrame(out, columns=["camera_id", "off", "m"])
 

@@ -116,3 +116,15 @@ def test_pairs_without_a_calibration(spark):
 def test_every_try_is_the_same_whichever_row_makes_it():
     whole = calibration.quads(9, 0, 128, 20)
     assert (whole[64:] == calibration.quads(9, 64, 64, 20)).all() and all(len(set(q)) == 4 for q in whole.tolist())
+
+
+def test_many_pairs_take_memory_by_their_number():
+    """Forty thousand pairs of a camera: left vectors of each pair by each would be fifty gigabytes."""
+    m = np.array([[0.01, 0.002, 1], [-0.001, 0.012, 2], [0.0004, 0.0001, 1]])
+    p = np.random.default_rng(5).uniform(0, 400, (40_000, 2))
+    q = np.column_stack([p, np.ones(len(p))]) @ m.T
+    w = q[:, :2] / q[:, 2:]
+    assert np.allclose(calibration.homography(p, w), m / m[2, 2], atol=1e-6)
+    sums, near = calibration.scores(np.stack([m, np.eye(3)]), np.hstack([p, w]), 3.0, cells=1000)
+    off = calibration.distances(np.stack([m, np.eye(3)]), np.hstack([p, w]))
+    assert near.tolist() == (off <= 3).sum(axis=1).tolist() and np.allclose(sums, (np.minimum(off, 3) ** 2).sum(axis=1))
