@@ -95,20 +95,21 @@ def containing(words: DataFrame, names: DataFrame) -> DataFrame:
 
     Names are indexed by their parts of up to GRAM letters, of the lengths that are asked for. A word is looked up by the one
     of its parts that the fewest names of its folder have, and what that finds is compared in full. An empty word is in
-    no part and finds nothing here."""
+    no part and finds nothing here. Parts are many times the names, which no estimate of sizes sees, so joins with them are
+    never by broadcast, and names are dealt out before they are taken apart."""
     asked = words.where("word <> ''").withColumn("size", F.least(F.length("word"), F.lit(GRAM)))
     sizes = [r["size"] for r in asked.select("size").distinct().collect()]
     if not sizes:
         return words.limit(0).join(names, "folder")
     grams = lambda text, size: F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(F.col(text), i, size))
     parts = F.flatten(F.array(*(F.when(F.length("stem") >= n, grams("stem", F.lit(n))).otherwise(F.array().cast("array<string>")) for n in sorted(sizes))))
-    index = names.withColumn("gram", F.explode(F.array_distinct(parts)))
+    index = names.repartition("folder", "stem").withColumn("gram", F.explode(F.array_distinct(parts)))
     held = index.groupBy("folder", "gram").agg(F.count("*").alias("names"))
     own = asked.withColumn("gram", F.explode(F.array_distinct(grams("word", F.col("size")))))
     # a part that no name has rules the word out
-    counted = own.join(held, ["folder", "gram"], "left")
+    counted = own.join(held.hint("merge"), ["folder", "gram"], "left")
     rarest = counted.groupBy("folder", "word").agg(F.min_by("gram", F.struct(F.coalesce("names", F.lit(0)), "gram")).alias("gram"))
-    return rarest.join(index, ["folder", "gram"]).where(F.contains("stem", "word")).drop("gram")
+    return rarest.join(index.hint("merge"), ["folder", "gram"]).where(F.contains("stem", "word")).drop("gram")
 
 
 def image_paths(frames: DataFrame, files: DataFrame, endings: tuple[str, ...] = (".jpg", ".png", ".jpeg", ".bmp", ".webp")) -> DataFrame:
@@ -120,13 +121,13 @@ def image_paths(frames: DataFrame, files: DataFrame, endings: tuple[str, ...] =
     known = known.withColumn("stem", F.expr("substring(name, 1, length(name) - length(ending))"))
     first = F.min_by("name", F.struct("place", "name"))
     exact = known.groupBy("folder", "stem").agg(first.alias("path"))
-    out = frames.join(exact, (frames["folder"] == exact["folder"]) & (frames["frame"] == exact["stem"]), "left").select(frames["folder"], frames["frame"], "path")
+    out = frames.join(exact.hint("merge"), (frames["folder"] == exact["folder"]) & (frames["frame"] == exact["stem"]), "left").select(frames["folder"], frames["frame"], "path")
     rest = out.where("path is null").select("folder", F.col("frame").alias("word")).distinct()
     found = containing(rest, known.select("folder", "stem", "place", "name"))
     near = found.groupBy("folder", F.col("word").alias("frame")).agg(first.alias("near"))
     # an empty frame is in every name
     near = near.unionByName(known.groupBy("folder").agg(first.alias("near")).select("folder", F.lit("").alias("frame"), "near"))
-    return out.join(near, ["folder", "frame"], "left").select("folder", "frame", F.coalesce("path", "near").alias("path"))
+    return out.join(near.hint("merge"), ["folder", "frame"], "left").select("folder", "frame", F.coalesce("path", "near").alias("path"))
 
 
 def upload_manifest(images: DataFrame) -> DataFrame:

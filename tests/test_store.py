@@ -161,3 +161,12 @@ def test_files_as_a_plain_search_finds_them(spark):
         want.add((folder, frame, hit))
     got = records.image_paths(spark.createDataFrame(frames, "folder int, frame string"), spark.createDataFrame(files, "folder int, name string"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_parts_of_names_are_not_broadcast(spark):
+    """Names taken apart are many times what sizes are estimated by, so no join with them may go by that."""
+    frames = spark.createDataFrame([(1, str(i)) for i in range(20)], "folder int, frame string")
+    files = spark.createDataFrame([(1, f"img_{i}.png") for i in range(20)], "folder int, name string")
+    out = records.image_paths(frames, files)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r["frame"]: r["path"] for r in out.collect()}["7"] == "img_17.png"
