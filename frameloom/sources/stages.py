@@ -1,11 +1,15 @@
 """What stages of an analysis leave for the next: detections as JSON, vectors, selected frames, and documents.
 
 A stage's JSON has an array of entries for each frame, and an array of relations under the name of no frame. Whatever can't
-be read as such gives no rows; numbers that are missing are null. Each video is one text, so it must fit a row.
+be read as such gives no rows; numbers that are missing are null. A video is one text, or several of bounded size with
+frames of their own, a file each. A frame's entries, and the relations of a video, must fit a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ RELATIONS = "neighborhood"
 ENTRY = "kind string, class_name string, bbox array<double>, confidence double, _rid long, track_id long, person_global_id long, user_id long, attributes map<string,string>"
 RELATION = "frame string, parent_id long, related_id long, related_kind string, relation string, iou double"
 CORNERS = ("x1", "y1", "x2", "y2")
+#: Characters at which a video's next text begins.
+TEXT = 8 << 20
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -46,29 +52,58 @@ def _typed(fields: str) -> str:
     return ", ".join(":".join(f.strip().split(" ", 1)) for f in fields.replace("map<string,string>", "map<string;string>").split(",")).replace(";", ",")
 
 
-def stage_texts(frames: DataFrame, rows: DataFrame, related: DataFrame | None = None) -> DataFrame:
+def _bodies(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Texts of fields (video_id, f) that come sorted: one a video, or several where its fields have more than so many
+    characters."""
+    video, fields, held, done = None, [], 0, []
+
+    def close() -> None:
+        done.append((video, "{" + ", ".join(fields) + "}"))
+
+    for batch in batches:
+        kind = batch.schema.field("video_id").type
+        for name, f in zip(batch.column("video_id").to_pylist(), batch.column("f").to_pylist()):
+            if fields and (name != video or held + len(f) > size):
+                close()
+                fields, held = [], 0
+            video = name
+            fields.append(f)
+            held += len(f)
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done])], names=["video_id", "text"])
+            done = []
+    if fields:
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([video], kind), pa.array([done[0][1]])], names=["video_id", "text"])
+
+
+def stage_texts(frames: DataFrame, rows: DataFrame, related: DataFrame | None = None, size: int = TEXT) -> DataFrame:
     """video_id and text of a stage, of frames (video_id, frame), entries and relations as they are read; frames without
-    entries have an empty array. Frames are in the order of their names."""
+    entries have an empty array. Frames are in the order of their names; beyond `size` characters a video's next frames are
+    another text, and relations are in the last."""
     keep = {"ignoreNullFields": "false"}
     bbox = F.when(F.col("x1").isNotNull(), F.array(*CORNERS)).alias("bbox")
     entry = F.to_json(F.struct("kind", "class_name", bbox, "confidence", F.col("rid").alias("_rid"), "track_id", "person_global_id", "user_id", "attributes"), keep)
     listed = rows.groupBy("video_id", "frame").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", entry.alias("e")))), lambda x: x["e"]).alias("entries"))
     held = frames.select("video_id", "frame").distinct().join(listed, ["video_id", "frame"], "left")
     json = F.concat(F.lit("["), F.coalesce(F.array_join("entries", ", "), F.lit("")), F.lit("]"))
-    field = F.struct("frame", F.concat(F.to_json(F.array("frame")).substr(F.lit(2), F.length(F.to_json(F.array("frame"))) - 2), F.lit(": "), json).alias("f"))
-    bodies = held.groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(field)), lambda x: x["f"]), ", ").alias("body"))
-    if related is None:
-        return bodies.select("video_id", F.concat(F.lit("{"), "body", F.lit("}")).alias("text"))
-    named = F.struct("pos", F.struct(*(f.strip().split(" ")[0] for f in RELATION.split(","))).alias("r"))
-    arrays = related.groupBy("video_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(named)), lambda x: x["r"]), keep).alias("relations"))
-    both = bodies.join(arrays, "video_id", "left")
-    return both.select("video_id", F.concat(F.lit("{"), "body", F.lit(f', "{RELATIONS}": '), F.coalesce("relations", F.lit("[]")), F.lit("}")).alias("text"))
+    name = F.to_json(F.array("frame"))
+    fields = held.select("video_id", F.lit(0).alias("last"), "frame", F.concat(name.substr(F.lit(2), F.length(name) - 2), F.lit(": "), json).alias("f"))
+    if related is not None:
+        named = F.struct("pos", F.struct(*(f.strip().split(" ")[0] for f in RELATION.split(","))).alias("r"))
+        arrays = related.groupBy("video_id").agg(F.to_json(F.transform(F.sort_array(F.collect_list(named)), lambda x: x["r"]), keep).alias("relations"))
+        both = frames.select("video_id").distinct().join(arrays, "video_id", "left")
+        relation = F.concat(F.lit(f'"{RELATIONS}": '), F.coalesce("relations", F.lit("[]")))
+        fields = fields.unionByName(both.select("video_id", F.lit(1).alias("last"), F.lit("").alias("frame"), relation.alias("f")))
+    kind = fields.schema["video_id"].dataType.simpleString()
+    ordered = fields.repartition("video_id").sortWithinPartitions("video_id", "last", "frame").select("video_id", "f")
+    return ordered.mapInArrow(lambda batches: _bodies(batches, size), f"video_id {kind}, text string")
 
 
 def write_texts(whole: DataFrame, path: str) -> None:
-    """One folder a video, with its text on a line; also for documents, whose text is `document`."""
+    """One folder a video, with a file for each of its texts; also for documents, whose text is `document`."""
     text = "text" if "text" in whole.columns else "document"
-    whole.select("video_id", F.col(text).alias("value")).write.mode("overwrite").partitionBy("video_id").text(path)
+    whole.select("video_id", F.col(text).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("video_id").text(path)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:

@@ -21,6 +21,20 @@ def test_stage_files_come_back(spark, tmp_path):
     assert list(text["v1"]) == ["10", "9", "neighborhood"] and text["v1"]["9"] == [] and text["v1"]["10"][0]["bbox"] == [0, 0, 9, 9] and text["v2"]["neighborhood"] == []
 
 
+def test_a_long_stage_is_several_texts(spark, tmp_path):
+    """A text is as long as is asked for at most, however long the video is; together they have all frames once, in order."""
+    rows = [("v", str(f), p, "person", "person", 0.5, 0.0, 0.0, 1.0, 2.0, p, f, None, None, None) for f in range(100, 140) for p in range(3)]
+    frames = spark.createDataFrame([("v", str(f)) for f in range(100, 150)], "video_id string, frame string")
+    related = spark.createDataFrame([("v", 0, "110", 3, 4, "object", "cerca", 0.25)], "video_id string, pos long, frame string, parent_id long, related_id long, related_kind string, relation string, iou double")
+    stages.write_texts(stages.stage_texts(frames, spark.createDataFrame(rows, ENTRIES), related, size=2000), f"{tmp_path}/s")
+    whole = stages.texts(spark, f"{tmp_path}/s/*")
+    texts = sorted(r["text"] for r in whole.collect())
+    assert len(texts) > 5 and max(map(len, texts)) <= 2300
+    assert [n for t in texts for n in json.loads(t)] == [str(f) for f in range(100, 150)] + ["neighborhood"]
+    assert sorted(map(str, (tuple(r) for r in stages.entries(whole).collect()))) == sorted(map(str, rows))
+    assert stages.relations(whole).count() == 1
+
+
 def test_odd_stage_files(spark):
     texts = [("a", "no json"), ("b", None), ("c", "[]"), ("d", '{"5": [{"kind": "person", "bbox": [1, 2]}, {"bbox": [1, 2, 3, 4.5]}], "6": null, "7": "x"}')]
     got = stages.entries(spark.createDataFrame(texts, "video_id string, text string")).collect()
