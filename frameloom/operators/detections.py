@@ -11,11 +11,13 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.geometry import Box, area, clamped, degenerate, expanded, letterbox, unletterbox
-from frameloom.operators.groups import Arrays, map_groups
+from frameloom.operators.groups import map_groups
+from frameloom.operators.tiles import column
 
 
 def allowed(df: DataFrame, classes: Sequence[str], least: float) -> DataFrame:
@@ -83,28 +85,30 @@ def first_per_side(hands: DataFrame) -> DataFrame:
     return first.withColumn("side_ord", F.when(F.col("side") == "Right", 0).otherwise(1)).drop("_rank")
 
 
-def suppress(boxes: np.ndarray, scores: np.ndarray, least_iou: float) -> np.ndarray:
-    """Rows kept of boxes in descending order of score: each drops later ones that overlap it by more."""
-    order = np.argsort(-scores, kind="stable")
+def suppress(boxes: np.ndarray, scores: np.ndarray, least_iou: float, group: np.ndarray | None = None) -> np.ndarray:
+    """Rows kept of boxes in descending order of score: each drops later ones of its group that overlap it by more. All groups,
+    numbered from 0, take each step at once."""
+    group = np.zeros(len(boxes), np.int64) if group is None else group
+    rest = np.lexsort((-scores, group))
     areas = np.maximum(0, boxes[:, 2] - boxes[:, 0]) * np.maximum(0, boxes[:, 3] - boxes[:, 1])
-    kept = []
-    while len(order):
-        i, rest = order[0], order[1:]
-        kept.append(i)
+    kept = [rest[:0]]
+    while len(rest):
+        first = np.append(True, np.diff(group[rest]) != 0)
+        kept.append(rest[first])
+        i, rest = rest[first][np.cumsum(first)[~first] - 1], rest[~first]
         w = np.minimum(boxes[i, 2], boxes[rest, 2]) - np.maximum(boxes[i, 0], boxes[rest, 0])
         h = np.minimum(boxes[i, 3], boxes[rest, 3]) - np.maximum(boxes[i, 1], boxes[rest, 1])
         both = np.maximum(0, w) * np.maximum(0, h)
-        order = rest[both <= least_iou * (areas[i] + areas[rest] - both)]
-    return np.array(kept, np.int64)
+        rest = rest[both <= least_iou * (areas[i] + areas[rest] - both)]
+    return np.concatenate(kept)
 
 
 def nms(df: DataFrame, least_iou: float, least: float) -> DataFrame:
     """Non-maximum suppression of each class in each frame; ties of score go by pos. A frame's class must fit a task."""
 
-    def work(g: Arrays) -> Arrays:
-        boxes = np.column_stack([g[c] for c in ("x1", "y1", "x2", "y2")]).astype(float)
-        kept = np.sort(suppress(boxes, g["confidence"].astype(float), least_iou))
-        return {c: v[kept] for c, v in g.items()}
+    def work(table: pa.Table, group: np.ndarray) -> pa.Table:
+        boxes = np.column_stack([column(table, c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")]).astype(float)
+        return table.take(np.sort(suppress(boxes, column(table, "confidence").to_numpy(zero_copy_only=False).astype(float), least_iou, group)))
 
     return map_groups(df.where(F.col("confidence") >= least), ["frame", "class_name"], ["pos"], work, df.schema)
 
