@@ -644,7 +644,9 @@ def face_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaze and mouth from all landmarks of a face."""
     i = F.sequence(F.lit(0), F.lit(labels.LANDMARKS - 1))
     marks = F.transform(i, lambda k: F.struct((((F.col("p_partkey") * 31 + k * 17) % 97) / 100.0).alias("x"), (((F.col("p_size") * 13 + k * 29) % 89) / 100.0).alias("y")))
-    rows = v.table(spark, sf_dir, "part").select("p_partkey", labels.face_of(marks).alias("f"))
+    # few bytes make much work here, so rows are dealt out by their number and not by their size
+    part = v.table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    rows = part.select("p_partkey", labels.face_of(marks).alias("f"))
     return rows.select("p_partkey", "f.attention", "f.mouth.state", "f.mouth.ratio")
 
 
