@@ -5,12 +5,48 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frameloom.functions.numbers import number, ratio
-from frameloom.operators.groups import Arrays, map_groups
-from frameloom.operators.tracking import pairwise_iou
+from frameloom.operators.groups import map_groups
+from frameloom.operators.tiles import column
+from frameloom.operators.tracking import overlaps
+
+
+#: Pairs of boxes that are compared at a time; a frame with more is compared as a whole.
+PAIRS = 1 << 18
+
+
+def greedy_pairs(boxes: np.ndarray, side: np.ndarray, group: np.ndarray, least_iou: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of side 0, rows of side 1 and overlaps of the pairs that each group gets from the greatest overlap down; rows come
+    by group and side. A pair that both its boxes have as their best of what is left is one of these, so all of them are
+    taken at once."""
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    begin, end = (np.searchsorted(group[second], group[first], where) for where in ("left", "right"))
+    n = end - begin
+    i = np.repeat(first, n)
+    j = second[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
+    share = overlaps(boxes[i], boxes[j])
+    near = np.flatnonzero(share > least_iou)
+    near = near[np.lexsort((j[near], i[near], -share[near]))]
+    i, j, share = i[near], j[near], share[near]
+    found, place = [], np.empty(len(boxes), np.int64)
+    while len(i):
+        rows = np.arange(len(i))
+        best = np.ones(len(i), bool)
+        for x in (i, j):
+            # the last that is written stays, which is the first of the order
+            place[x[::-1]] = rows[::-1]
+            best &= place[x] == rows
+        found.append((i[best], j[best], share[best]))
+        used = np.zeros(len(boxes), bool)
+        used[i[best]] = used[j[best]] = True
+        left = ~(used[i] | used[j])
+        i, j, share = i[left], j[left], share[left]
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return tuple(map(np.concatenate, zip(none, *found)))
 
 
 def greedy_match(a: DataFrame, b: DataFrame, least_iou: float = 0.0) -> DataFrame:
@@ -19,20 +55,24 @@ def greedy_match(a: DataFrame, b: DataFrame, least_iou: float = 0.0) -> DataFram
     columns = ["frame", "pos", "x1", "y1", "x2", "y2"]
     both = a.select(*columns, F.lit(0).alias("side")).unionByName(b.select(*columns, F.lit(1).alias("side")))
 
-    def work(g: Arrays) -> Arrays:
-        boxes = np.column_stack([g[c] for c in ("x1", "y1", "x2", "y2")]).astype(float)
-        first, second = (np.flatnonzero(g["side"] == s) for s in (0, 1))
-        share = pairwise_iou(boxes[first], boxes[second])
-        i, j = np.nonzero(share > least_iou)
-        left, right, rows = set(range(len(first))), set(range(len(second))), []
-        for k in np.lexsort((j, i, -share[i, j])).tolist():
-            if i[k] in left and j[k] in right:
-                left.remove(i[k])
-                right.remove(j[k])
-                rows.append((g["pos"][first[i[k]]], g["pos"][second[j[k]]], share[i[k], j[k]]))
-        rows += [(g["pos"][first[k]], None, None) for k in sorted(left)] + [(None, g["pos"][second[k]], None) for k in sorted(right)]
-        a_pos, b_pos, both = zip(*rows)
-        return {"frame": np.repeat(g["frame"][:1], len(rows)), "a_pos": np.array(a_pos, object), "b_pos": np.array(b_pos, object), "iou": np.array(both, float)}
+    def work(table: pa.Table, group: np.ndarray) -> pa.Table:
+        boxes = np.column_stack([column(table, c).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")]).astype(float)
+        side, parts = column(table, "side").to_numpy(), []
+        sizes = np.bincount(group[side == 0], minlength=group[-1] + 1) * np.bincount(group[side == 1], minlength=group[-1] + 1)
+        run = (np.cumsum(sizes) // PAIRS)[group]
+        for r in np.split(np.arange(len(group)), np.flatnonzero(np.diff(run)) + 1):
+            i, j, share = greedy_pairs(boxes[r], side[r], group[r], least_iou)
+            parts.append((r[0] + i, r[0] + j, share))
+        i, j, share = map(np.concatenate, zip(*parts))
+        alone = np.ones(len(group), bool)
+        alone[i] = alone[j] = False
+        lone = [np.flatnonzero(alone & (side == s)) for s in (0, 1)]
+        frame, pos = column(table, "frame").cast(pa.int64()), column(table, "pos").cast(pa.int64())
+        none = lambda rows, kind: pa.nulls(len(rows), kind)
+        a_pos = pa.concat_arrays([pos.take(pa.array(np.concatenate((i, lone[0])))), none(lone[1], pa.int64())])
+        b_pos = pa.concat_arrays([pos.take(pa.array(j)), none(lone[0], pa.int64()), pos.take(pa.array(lone[1]))])
+        iou = pa.concat_arrays([pa.array(share), none(np.concatenate(lone), pa.float64())])
+        return pa.table({"frame": frame.take(pa.array(np.concatenate((i, *lone)))), "a_pos": a_pos, "b_pos": b_pos, "iou": iou})
 
     return map_groups(both, ["frame"], ["side", "pos"], work, "frame long, a_pos long, b_pos long, iou double")
 

@@ -5,6 +5,9 @@ import itertools
 import numpy as np
 import pytest
 
+from frameloom.operators.detections import suppress
+from frameloom.operators.evaluation import greedy_pairs
+from frameloom.operators.tracking import pairwise_iou
 from frameloom.operators import detections, evaluation, keyframes
 from frameloom.operators.tracking import assignment
 
@@ -109,3 +112,45 @@ def test_peaks(spark):
         want |= {(clip, p) for p in plain_peaks(x.tolist(), 0.3, 3, 0.25)}
     got = keyframes.peaks(spark.createDataFrame(rows, "clip long, frame_idx long, value double").repartition(3), "value", 0.3, 3, 0.25).collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want) > 30
+
+
+def test_suppression_takes_all_groups_at_once():
+    """Groups side by side keep what each keeps alone, with ties and a large group among small ones."""
+    rng = np.random.default_rng(7)
+    sizes = [1, 2, 300, 1, 5, 0, 9]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    corner = rng.integers(0, 40, (len(group), 2))
+    boxes, scores = np.hstack([corner, corner + rng.integers(5, 30, (len(group), 2))]).astype(float), rng.integers(0, 9, len(group)) / 8
+    want = []
+    for g in range(len(sizes)):
+        rest = sorted(np.flatnonzero(group == g).tolist(), key=lambda r: (-scores[r], r))
+        while rest:
+            want.append(rest[0])
+            share = lambda a, b: max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+            size = lambda a: (a[2] - a[0]) * (a[3] - a[1])
+            a = boxes[rest[0]]
+            rest = [r for r in rest[1:] if share(a, boxes[r]) <= 0.5 * (size(a) + size(boxes[r]) - share(a, boxes[r]))]
+    assert sorted(suppress(boxes, scores, 0.5, group).tolist()) == sorted(want)
+
+
+def test_greedy_pairs_of_all_groups_at_once():
+    rng = np.random.default_rng(8)
+    group, side = np.repeat(np.arange(40), 9), np.tile([0] * 4 + [1] * 5, 40)
+    side[group == 3], side[group == 5] = 0, 1
+    corner = rng.integers(0, 6, (len(group), 2)) * 4
+    boxes = np.hstack([corner, corner + 12]).astype(float)
+    share = pairwise_iou(boxes, boxes)
+    want, used = set(), set()
+    for s, i, j in sorted((-share[i, j], i, j) for i in np.flatnonzero(side == 0) for j in np.flatnonzero((side == 1) & (group == group[i])) if share[i, j] > 0.1):
+        if not {i, j} & used:
+            used |= {i, j}
+            want.add((int(i), int(j), float(-s)))
+    got = greedy_pairs(boxes, side, group, 0.1)
+    assert {(int(i), int(j), float(s)) for i, j, s in zip(*got)} == want and len(want) > 100
+
+
+def test_faces_are_dealt_out(spark, sf_dir):
+    """A small file is one task, however much work its rows make."""
+    from frameloom.plans import queries
+
+    assert queries.QUERIES["face_geometry"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
