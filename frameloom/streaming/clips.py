@@ -34,12 +34,14 @@ def live_presence(obs: DataFrame, gap: str, late: str) -> DataFrame:
 
 
 def _pack(t: Tracker) -> str:
-    return json.dumps({"frames": t.frames, "made": t.made} | {name: getattr(t, name).tolist() for name in t.FIELDS})
+    return json.dumps({"frames": int(t.frames[0]), "made": int(t.made[0])} | {name: getattr(t, name).tolist() for name in t.FIELDS})
 
 
 def _unpack(text: str, config: TrackerConfig) -> Tracker:
     held, t = json.loads(text), Tracker(config)
-    t.frames, t.made = held["frames"], held["made"]
+    t.frames, t.made = np.array([held["frames"]]), np.array([held["made"]])
+    # a stream's state is of one video, which older states don't name
+    held.setdefault("video", [0] * len(held["number"]))
     for name in t.FIELDS:
         own = getattr(t, name)
         setattr(t, name, np.array(held[name], own.dtype).reshape(-1, *own.shape[1:]))

@@ -5,9 +5,10 @@ import itertools
 import numpy as np
 import pytest
 
+from frameloom.config import TrackerConfig
 from frameloom.operators.detections import suppress
 from frameloom.operators.evaluation import greedy_pairs
-from frameloom.operators.tracking import pairwise_iou
+from frameloom.operators.tracking import Tracker, _few_owners, _owners, pairwise_iou, track
 from frameloom.operators import detections, evaluation, keyframes
 from frameloom.operators.tracking import assignment
 
@@ -154,3 +155,34 @@ def test_faces_are_dealt_out(spark, sf_dir):
     from frameloom.plans import queries
 
     assert queries.QUERIES["face_geometry"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_videos_side_by_side_track_as_each_alone(spark):
+    """Videos of uneven lengths, frames without detections, scores that tie, and batches of a few rows."""
+    rng = np.random.default_rng(11)
+    config, rows, want = TrackerConfig(match=0.2, max_age=4), [], {}
+    for video in range(7):
+        alone = Tracker(config)
+        for frame in range(int(rng.integers(5, 40))):
+            corner = rng.integers(0, 9, (int(rng.integers(0, 7)), 2)) * 8
+            boxes, scores = np.hstack([corner, corner + 40]).astype(float), rng.integers(0, 9, len(corner)) / 8
+            ids = alone.frame(boxes, scores)
+            want |= {(video, frame * 2, p): int(t) for p, t in enumerate(ids)}
+            rows += [(video, frame * 2, p, *map(float, b), float(s)) for p, (b, s) in enumerate(zip(boxes, scores))] or [(video, frame * 2, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "video_id long, frame_idx long, pos long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "5")
+    try:
+        got = track(df.where("pos is not null"), df, config).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert {(r["video_id"], r["frame_idx"], r["pos"]): r["track_id"] for r in got} == want and len(got) == len(want)
+
+
+def test_few_costs_on_lists_take_the_same_steps():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(rng.integers(1, 6))
+        cost = rng.integers(0, 5, (n, n + int(rng.integers(0, 6)))) / 4
+        assert _few_owners(cost.tolist()) == _owners(cost).tolist()
