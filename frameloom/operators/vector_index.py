@@ -59,11 +59,12 @@ def linked(v: np.ndarray, links: int = LINKS, kept: int = KEPT) -> np.ndarray:
     return packed
 
 
-def beam_search(v: np.ndarray, links: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(v: np.ndarray, links: np.ndarray, q: np.ndarray, beam: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Places and cosines of the beam's vectors for each query, the best first; -1 where a graph has fewer. All queries
-    open one vertex at a time."""
+    open so many vertices at a time, and compare only with what they have not seen."""
     m, n = len(q), len(v)
     width = min(beam, n)
+    some = min(at_once, width)
     seen = np.zeros((m, n + 1), bool)
     # entries: the first vector, from where links are long, and a few more
     entry = np.unique(np.linspace(0, n - 1, min(8, width)).astype(int))
@@ -72,23 +73,36 @@ def beam_search(v: np.ndarray, links: np.ndarray, q: np.ndarray, beam: int) -> t
     at[:, : len(entry)], sims[:, : len(entry)] = entry, q @ v[entry].T
     seen[:, entry] = seen[:, n] = True
     opened = np.zeros((m, width), bool)
+    mark = np.empty((m, n), np.int32)
     live = np.arange(m)
     while len(live):
         open_sims = np.where(opened[live] | (at[live] < 0), -np.inf, sims[live])
-        best = open_sims.argmax(axis=1)
-        some = np.isfinite(open_sims[np.arange(len(live)), best])
-        live, best = live[some], best[some]
+        best = np.argpartition(-open_sims, some - 1, axis=1)[:, :some]
+        real = np.isfinite(np.take_along_axis(open_sims, best, axis=1))
+        left = real.any(axis=1)
+        live, best, real = live[left], best[left], real[left]
         if not len(live):
             break
-        opened[live, best] = True
-        near = links[at[live, best]]
-        near = np.where(near < 0, n, near)
-        new = ~np.take_along_axis(seen[live], near, axis=1)
-        seen[live[:, None], near] = True
-        found = np.where(new, np.einsum("md,mkd->mk", q[live], v[np.minimum(near, n - 1)]), -np.inf)
+        rows = live[:, None]
+        opened[rows, best] |= real
+        near = links[np.maximum(at[rows, best], 0)]
+        near = np.where((near < 0) | ~real[:, :, None], n, near).reshape(len(live), -1)
+        i, j = np.nonzero(~seen[rows, near])
+        to = near[i, j]
+        # one of what several vertices are linked to
+        mark[live[i], to] = np.arange(len(i))
+        pick = mark[live[i], to] == np.arange(len(i))
+        i, to = i[pick], to[pick]
+        seen[live[i], to] = True
+        # new ones side by side, as many places as the query with the most needs
+        nth = np.arange(len(i)) - np.searchsorted(i, i)
+        room = int(nth.max()) + 1 if len(i) else 0
+        places = np.full((len(live), room), -1)
+        places[i, nth] = to
+        found = np.where(places >= 0, np.matmul(v[places], q[live, :, None])[:, :, 0], -np.inf)
         all_sims = np.concatenate([sims[live], found], axis=1)
         keep = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
-        all_at, all_open = np.concatenate([at[live], near], axis=1), np.concatenate([opened[live], np.zeros(near.shape, bool)], axis=1)
+        all_at, all_open = np.concatenate([at[live], places], axis=1), np.concatenate([opened[live], np.zeros(found.shape, bool)], axis=1)
         sims[live] = np.take_along_axis(all_sims, keep, axis=1)
         at[live] = np.where(np.isfinite(sims[live]), np.take_along_axis(all_at, keep, axis=1), -1)
         opened[live] = np.take_along_axis(all_open, keep, axis=1)

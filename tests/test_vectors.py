@@ -106,3 +106,18 @@ def test_graphs_link_all_vectors():
         # what was there before comes first: the nearest of it
         before = np.argsort(-(x[i] @ x[:i].T), kind="stable")[:6]
         assert set(before) <= set(own)
+
+
+def test_several_vertices_are_opened_at_a_time():
+    """However many are opened at once, near all of the nearest are found, each once, with their cosines."""
+    rng = np.random.default_rng(21)
+    v = rng.normal(size=(3000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    links, q = vector_index.linked(v), v[::30]
+    best = np.argsort(-(q @ v.T), axis=1)[:, :10]
+    for at_once in (1, 4, 500):
+        at, sims = vector_index.beam_search(v, links, q, 128, at_once)
+        assert all(len(set(a)) == 128 for a in at.tolist()) and np.allclose(sims, np.einsum("md,mkd->mk", q, v[at]))
+        assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(at.tolist(), best.tolist())]) >= 0.97
+    few = vector_index.beam_search(v[:3], vector_index.linked(v[:3]), q, 128)
+    assert few[0].shape == (len(q), 3) and (np.sort(few[0], axis=1) == np.arange(3)).all()
