@@ -42,7 +42,7 @@ from frameloom.llm.common import Words, column, materialize, release, segment_su
 STRENGTH = 4.0
 BLOCK_BYTES = 16_000_000
 #: Sequences counted at once in a worker, and those of a bucket.
-CHUNK, BUCKET = 2_000_000, 500_000
+CHUNK, BUCKET = 1_500_000, 500_000
 #: Bytes of text a token, roughly, by which buckets are sized.
 TOKEN_BYTES = 6
 #: A context of so many occurrences is dealt out over several buckets, or of that share of all, so that few are told apart.
@@ -50,6 +50,8 @@ SPLIT, SPLIT_SHARE = 500_000, 1_000_000
 #: Bits of a bitmap, as powers of two; it has eight for each key, within these.
 BITS = (16, 27)
 PIECE = 16
+#: In so many rounds blocks of texts ask and are scored, as questions and answers take several times the disk of the texts.
+ROUNDS = 3
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.zeros(0, np.uint64)
 
@@ -99,6 +101,28 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
 
 
+def distinct_keys(keys: np.ndarray) -> np.ndarray:
+    """The sorted distinct keys, by a plain sort, which takes far less time and memory than numpy's unique()."""
+    keys = np.sort(keys)
+    return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where sorted keys have, or would have, the wanted ones, which are looked up in order."""
+    order = np.argsort(wanted)
+    out = np.empty(len(wanted), np.int64)
+    out[order] = np.searchsorted(keys, wanted[order])
+    return out
+
+
+def squeezed(blob: bytes) -> bytes:
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 class Sequences:
     """Tokens of texts with their ends, one text after the other: hashes of the distinct ones, and their places."""
 
@@ -114,14 +138,21 @@ class Sequences:
         self.lengths = n + 1
 
     def packed(self) -> tuple[bytes, bytes, bytes]:
-        """Lengths, hashes and places, which shuffles compress better than texts."""
-        return self.lengths.astype(np.int32).tobytes(), self.distinct.tobytes(), self.codes.view(np.uint8).reshape(-1, 4).T.tobytes()
+        """Lengths, hashes and places, compressed; they take far less than texts."""
+        return squeezed(self.lengths.astype(np.int32).tobytes()), self.distinct.tobytes(), squeezed(self.codes.view(np.uint8).reshape(-1, 4).T.tobytes())
 
     @classmethod
     def unpacked(cls, lengths: bytes, distinct: bytes, codes: bytes) -> Sequences:
         seq = cls.__new__(cls)
-        seq.lengths, seq.distinct = np.frombuffer(lengths, np.int32).astype(np.int64), np.frombuffer(distinct, np.uint64)
-        seq.codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+        seq.lengths, seq.distinct = np.frombuffer(unsqueezed(lengths), np.int32).astype(np.int64), np.frombuffer(distinct, np.uint64)
+        seq.codes = np.ascontiguousarray(np.frombuffer(unsqueezed(codes), np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+        seq.starts = np.concatenate(([0], np.cumsum(seq.lengths)))
+        return seq
+
+    def where(self, some: np.ndarray) -> Sequences:
+        """Those of some texts only."""
+        seq = Sequences.__new__(Sequences)
+        seq.lengths, seq.distinct, seq.codes = self.lengths[some], self.distinct, self.codes[np.repeat(some, self.lengths)]
         seq.starts = np.concatenate(([0], np.cumsum(seq.lengths)))
         return seq
 
@@ -172,43 +203,102 @@ def from_planes(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys by their differences: those of sorted ones are small, so that their first bytes are zeros. Any order is kept."""
+    return planes(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
+
+
+def from_packed_keys(blobs: Iterable[bytes]) -> np.ndarray:
+    return np.concatenate([_NONE, *(np.cumsum(from_planes(x).view(np.uint64), dtype=np.uint64) for x in blobs)])
+
+
+def gathered(parts: Iterable[tuple[np.ndarray, ...]], size: int = CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays of one length each, put together until there is so much that packing by ranges pays."""
+    held, n = [], 0
+    for x in parts:
+        held.append(x)
+        n += len(x[0])
+        if n >= size:
+            out = tuple(np.concatenate(c) for c in zip(*held))
+            held, n = [], 0
+            yield out
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def _coded(batches: Iterable[pa.RecordBatch], n_blocks: int) -> Iterator[pa.RecordBatch]:
+    """Slices of texts as sequences, dealt out to blocks in turn."""
+    turn = TaskContext.get().partitionId() * 7919
+    for batch in slices(batches):
+        ids = column(batch, "doc_id")
+        blobs = (column(batch, "train").to_numpy(zero_copy_only=False).tobytes(), *Sequences(column(batch, "text")).packed())
+        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        yield pa.RecordBatch.from_arrays([pa.array([turn % n_blocks]), listed, *(pa.array([x], pa.binary()) for x in blobs)], names=["block", "doc_ids", "train", "lengths", "distinct", "codes"])
+        turn += 1
+
+
+def _parts(table: pa.Table | pa.RecordBatch) -> list[Sequences]:
+    return [Sequences.unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("lengths", "distinct", "codes")))]
+
+
+def _trained(batches: Iterable[pa.RecordBatch]) -> Iterator[Sequences]:
+    """The training texts of slices that have some."""
+    for batch in batches:
+        for flags, seq in zip(column(batch, "train").to_pylist(), _parts(batch)):
+            some = np.frombuffer(flags, bool)
+            if some.any():
+                yield seq.where(some)
+
+
 def _token_counts(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Partial counts of training tokens, packed by buckets."""
-    held, size = [], 0
 
-    def flush() -> pa.RecordBatch:
-        keys, n = (np.concatenate(c) for c in zip(*held))
+    def counts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for seq in _trained(batches):
+            n = np.bincount(seq.codes, minlength=len(seq.distinct))
+            yield seq.distinct[n > 0], n[n > 0]
+
+    for keys, n in gathered(counts()):
         order, starts = grouped(keys)
         keys, n = keys[order[starts]], np.add.reduceat(n[order], starts)
         at = bucket_of(keys, buckets)
-        rows = [(int(at[x]), keys[x:y].tobytes(), planes(n[x:y])) for x, y in _edges(at)]
-        return _batch(rows, {"bucket": pa.int64(), "keys": pa.binary(), "n": pa.binary()})
-
-    for batch in slices(batches):
-        train = column(batch, "train").to_numpy(zero_copy_only=False)
-        if train.any():
-            seq = Sequences(column(batch, "text").filter(pa.array(train)))
-            n = np.bincount(seq.codes, minlength=len(seq.distinct))
-            held.append((seq.distinct[n > 0], n[n > 0]))
-            size += len(held[-1][0])
-            if size >= CHUNK:
-                yield flush()
-                held, size = [], 0
-    if held:
-        yield flush()
+        rows = [(int(at[x]), packed_keys(keys[x:y]), planes(n[x:y])) for x, y in _edges(at)]
+        yield _batch(rows, {"bucket": pa.int64(), "keys": pa.binary(), "n": pa.binary()})
 
 
-def _tokens(table: pa.Table) -> pa.Table:
-    keys = _arrays(table, "keys", np.uint64)
-    n = np.concatenate([from_planes(x) for x in table.column("n").to_pylist()])
+def _tokens(table: pa.Table, least: int, entry_least: int) -> pa.Table:
+    """A bucket's counts, and how many of them there are in all, reach the bars, or are one."""
+    keys, n = from_packed_keys(table.column("keys").to_pylist()), _numbers(table, "n")
     order, starts = grouped(keys)
-    return pa.table({"key": keys[order[starts]].view(np.int64), "n": np.add.reduceat(n[order], starts)})
+    keys, n = keys[order[starts]], np.add.reduceat(n[order], starts)
+    found = {"keys": packed_keys(keys), "n": planes(n), "often": (n >= least).sum(), "kinds": (n >= entry_least).sum(), "total": n.sum(), "distinct": len(n), "once": (n == 1).sum()}
+    return pa.table({k: [x if isinstance(x, bytes) else int(x)] for k, x in found.items()})
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(from_planes(x) for x in table.column(name).to_pylist())])
+
+
+def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Contexts, suffixes and counts of packed sequences."""
+    for batch in batches:
+        for contexts, sizes, ups, n in zip(*(column(batch, c).to_pylist() for c in ("contexts", "sizes", "ups", "n"))):
+            yield np.repeat(from_packed_keys([contexts]), from_planes(sizes)), np.frombuffer(ups, np.uint64), from_planes(n)
 
 
-def _cells(batches: Iterable[pa.RecordBatch], power: int) -> Iterator[pa.RecordBatch]:
-    """Places of keys' bits, packed by pieces of the bitmap."""
+def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of packed tokens or sequences."""
     for batch in batches:
-        cells = np.unique(column(batch, "key").to_numpy().view(np.uint64) & np.uint64((1 << power) - 1))
+        if "keys" in batch.schema.names:
+            yield from ((from_packed_keys([keys]), from_planes(n)) for keys, n in zip(column(batch, "keys").to_pylist(), column(batch, "n").to_pylist()))
+        else:
+            yield from ((joint(context, up), n) for context, up, n in _pairs([batch]))
+
+
+def _cells(batches: Iterable[pa.RecordBatch], bar: int, power: int) -> Iterator[pa.RecordBatch]:
+    """Places of the bits of keys with counts from the bar on, packed by pieces of the bitmap."""
+    for key, n in gathered(_counted(batches)):
+        cells = distinct_keys(key[n >= bar] & np.uint64((1 << power) - 1))
         piece = cells >> np.uint64(PIECE)
         rows = [(int(piece[a]), (cells[a:b] & np.uint64((1 << PIECE) - 1)).astype(np.uint16).tobytes()) for a, b in _edges(piece)]
         if rows:
@@ -221,10 +311,10 @@ def _piece(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
-def bitmap(counts: DataFrame) -> np.ndarray:
-    """Bits at the keys' cells, of at most 2 ** BITS[1], of tokens or sequences."""
-    power = min(max((8 * counts.count()).bit_length(), BITS[0]), BITS[1])
-    cells = with_key(counts).select("key").mapInArrow(lambda it: _cells(it, power), "piece long, cells binary")
+def bitmap(counts: DataFrame, bar: int, number: int) -> np.ndarray:
+    """Bits at the cells of keys with counts from the bar on, of which there is this number: 2 ** BITS[1] bits at most."""
+    power = min(max((8 * number).bit_length(), BITS[0]), BITS[1])
+    cells = counts.mapInArrow(lambda it: _cells(it, bar, power), "piece long, cells binary")
     out = np.zeros((1 << power - PIECE, 1 << PIECE - 3), np.uint8)
     for r in cells.groupBy("piece").applyInArrow(_piece, "piece long, bits binary").toLocalIterator():
         out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
@@ -236,10 +326,23 @@ def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def spread(key: np.ndarray, other: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """By what rows are dealt out: a key, and where it is very frequent, a part of its rows too."""
+    if not len(hot[0]):
+        return key
+    k = _parts_of(key, hot).astype(np.uint64)
+    return np.where(k > 1, _mixed(key + _mixed(other) % k), key)
+
+
+def _parts_of(key: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    at = np.minimum(np.searchsorted(hot[0], key), len(hot[0]) - 1)
+    return np.where(hot[0][at] == key, hot[1][at], 1)
+
+
 def _sequence_counts(batches: Iterable[pa.RecordBatch], shared, lengths: range, buckets: int) -> Iterator[pa.RecordBatch]:
     """Partial counts of training sequences whose contexts have these lengths, packed by buckets of contexts. The bitmaps
     have the sequences one shorter than the first of them that may stand in a context, and those that may end a sequence."""
-    inner, last, (hot, parts) = shared.value
+    inner, last, hot = shared.value
     held, size = [], 0
 
     def flush() -> pa.RecordBatch:
@@ -248,22 +351,16 @@ def _sequence_counts(batches: Iterable[pa.RecordBatch], shared, lengths: range,
         order, starts = grouped(joint(context, up))
         n, first = np.diff(np.append(starts, len(order))), order[starts]
         context, up = context[first], up[first]
-        dealt = context
-        if len(hot):
-            at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-            k = np.where(hot[at] == context, parts[at], 1).astype(np.uint64)
-            dealt = np.where(k > 1, _mixed(context + _mixed(up) % k), context)
+        dealt = spread(context, up, hot)
         order = np.argsort(dealt)
         context, up, n, at = context[order], up[order], n[order], bucket_of(dealt[order], buckets)
         rows = []
         for x, y in _edges(at):
             starts = np.flatnonzero(np.concatenate(([True], context[x + 1 : y] != context[x : y - 1])))
-            rows.append((int(at[x]), context[x:y][starts].tobytes(), planes(np.diff(np.append(starts, y - x))), up[x:y].tobytes(), planes(n[x:y])))
+            rows.append((int(at[x]), packed_keys(context[x:y][starts]), planes(np.diff(np.append(starts, y - x))), up[x:y].tobytes(), planes(n[x:y])))
         return _batch(rows, {"bucket": pa.int64(), "contexts": pa.binary(), "sizes": pa.binary(), "ups": pa.binary(), "n": pa.binary()})
 
-    for batch in slices(batches):
-        train = column(batch, "train").to_numpy(zero_copy_only=False)
-        seq = Sequences(column(batch, "text").filter(pa.array(train)))
+    for seq in _trained(batches):
         often = np.zeros(len(seq.codes), bool)
 
         def goes_on(k: int, at: np.ndarray, context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,84 +387,165 @@ def _sequence_counts(batches: Iterable[pa.RecordBatch], shared, lengths: range,
         yield flush()
 
 
-def _sequences(table: pa.Table, entry_least: int) -> pa.Table:
-    """The sequences of a bucket with entry_least occurrences or more."""
-    context, up = _arrays(table, "contexts", np.uint64), _arrays(table, "ups", np.uint64)
-    sizes, n = (np.concatenate([from_planes(x) for x in table.column(c).to_pylist()]) for c in ("sizes", "n"))
-    context = np.repeat(context, sizes)
+def _sequences(table: pa.Table, least: int, entry_least: int) -> pa.Table:
+    """The sequences of a bucket with entry_least occurrences or more, and how many reach the bars."""
+    context, up = from_packed_keys(table.column("contexts").to_pylist()), _arrays(table, "ups", np.uint64)
+    n = _numbers(table, "n")
+    context = np.repeat(context, _numbers(table, "sizes"))
     order, starts = grouped(joint(context, up))
     first, n = order[starts], np.add.reduceat(n[order], starts)
     first, n = first[n >= entry_least], n[n >= entry_least]
     order = np.argsort(context[first])
-    return pa.table({"context": context[first[order]].view(np.int64), "up": up[first[order]].view(np.int64), "n": n[order]})
-
-
-def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        context, up = (column(batch, c).to_numpy().view(np.uint64) for c in ("context", "up"))
-        yield pa.RecordBatch.from_arrays([pa.array(joint(context, up).view(np.int64)), *(column(batch, c) for c in ("up", "n"))], names=["key", "up", "n"])
-
-
-def keyed(sequences: DataFrame) -> DataFrame:
-    """key, up and n of sequences (context, up, n)."""
-    return sequences.mapInArrow(_keyed, "key long, up long, n long")
+    context, up, n = context[first[order]], up[first[order]], n[order]
+    at = np.array([x for x, _ in _edges(context)], np.int64)
+    found = {"contexts": packed_keys(context[at]), "sizes": planes(np.diff(np.append(at, len(n)))), "ups": up.tobytes(), "n": planes(n), "often": int((n >= least).sum()), "kinds": len(n)}
+    return pa.table({k: [x] for k, x in found.items()})
 
 
-def with_key(counts: DataFrame) -> DataFrame:
-    return counts if "key" in counts.columns else keyed(counts)
+def _above(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    for key, n in _counted(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(key[n > most].view(np.int64)), pa.array(n[n > most])], names=["key", "n"])
 
 
 def _hot(counts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of very frequent contexts and over how many buckets each goes: at most SPLIT_SHARE of them."""
     most = max(SPLIT, total // SPLIT_SHARE)
-    found = with_key(counts.where(F.col("n") > most)).select("key", "n").toArrow()
+    found = counts.mapInArrow(lambda it: _above(it, most), "key long, n long").toArrow()
     key, n = found.column("key").to_numpy().astype(np.int64).view(np.uint64), found.column("n").to_numpy().astype(np.int64)
     order = np.argsort(key)
     return key[order], -(-n[order] // most)
 
 
-def count_sequences(texts: DataFrame, tokens: DataFrame, total: int, buckets: int, depth: int, least: int, entry_least: int) -> DataFrame:
-    """context, up and n of all sequences of 2 to depth + 1 tokens of texts (text, train) that have entry_least occurrences and
-    may have a context of `least`; from the counts of tokens (key, n)."""
-    spark = texts.sparkSession
+def count_sequences(blocks: DataFrame, tokens: DataFrame, total: int, buckets: int, depth: int, least: int, entry_least: int) -> tuple[DataFrame, int, tuple[np.ndarray, np.ndarray]]:
+    """All sequences of 2 to depth + 1 tokens of the blocks' training texts that have entry_least occurrences and may have a
+    context of `least`, packed (contexts, sizes, ups, n); their number; and the very frequent ones and tokens."""
+    spark = blocks.sparkSession
     schema = "bucket long, contexts binary, sizes binary, ups binary, n binary"
-    out, counts = None, tokens
+    out, counts, number = None, tokens, 0
+    often, kinds = (x or 0 for x in counts.agg(F.sum("often"), F.sum("kinds")).first())
+    hot = [_hot(counts, total)]
     for lengths in (range(1, 2), range(2, 3), range(3, depth + 1)):
         if not len(lengths) or lengths[0] > depth:
             break
-        shared = spark.sparkContext.broadcast((bitmap(counts.where(F.col("n") >= least)), bitmap(counts.where(F.col("n") >= entry_least)), _hot(counts, total)))
-        rows = texts.mapInArrow(lambda it, s=shared, k=lengths: _sequence_counts(it, s, k, buckets), schema)
-        found = materialize(rows.groupBy("bucket").applyInArrow(lambda t: _sequences(t, entry_least), "context long, up long, n long"), "sequences")
-        out = found if out is None else out.unionByName(found)
-        counts = found
+        shared = spark.sparkContext.broadcast((bitmap(counts, least, often), bitmap(counts, entry_least, kinds), hot[-1]))
+        rows = blocks.select("train", "lengths", "distinct", "codes").mapInArrow(lambda it, s=shared, k=lengths: _sequence_counts(it, s, k, buckets), schema)
+        found = rows.groupBy("bucket").applyInArrow(lambda t: _sequences(t, least, entry_least), "contexts binary, sizes binary, ups binary, n binary, often long, kinds long")
+        counts = materialize(found, "sequences")
+        out = counts if out is None else out.unionByName(counts)
+        often, kinds = (x or 0 for x in counts.agg(F.sum("often"), F.sum("kinds")).first())
+        number += kinds
+        hot.append(_hot(counts, total))
+        shared.destroy()
         release(spark)
-    return out
+    keys, parts = (np.concatenate(x) for x in zip(*hot))
+    order = np.argsort(keys)
+    return out, number, (keys[order], parts[order])
+
+
+def _tell_counts(batches: Iterable[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Counts by buckets of their keys; those of very frequent ones go to each part."""
+    for key, n in gathered(_counted(batches)):
+        dealt = key
+        if len(shared.value[0]):
+            k = _parts_of(key, shared.value)
+            copy = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            key, n, k = np.repeat(key, k), np.repeat(n, k), np.repeat(k, k)
+            dealt = np.where(k > 1, _mixed(key + copy.astype(np.uint64)), key)
+        order = np.argsort(dealt)
+        key, n, at = key[order], n[order], bucket_of(dealt[order], buckets)
+        yield _batch([(int(at[x]), 1, packed_keys(key[x:y]), b"", planes(n[x:y])) for x, y in _edges(at)], TOLD)
+
+
+def _ask_suffixes(batches: Iterable[pa.RecordBatch], shared, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Sequences by buckets of their suffixes."""
+    for context, up, n in gathered(_pairs(batches)):
+        dealt = spread(up, context, shared.value)
+        order = np.argsort(dealt)
+        context, up, n, at = context[order], up[order], n[order], bucket_of(dealt[order], buckets)
+        yield _batch([(int(at[x]), 0, packed_keys(up[x:y]), context[x:y].tobytes(), planes(n[x:y])) for x, y in _edges(at)], TOLD)
+
+
+TOLD = {"bucket": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "contexts": pa.binary(), "n": pa.binary()}
+SUMS = {"bucket": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "n": pa.binary(), "outer": pa.binary(), "kinds": pa.binary(), "gain": pa.binary()}
 
 
-def retained(tokens: DataFrame, sequences: DataFrame, total: int, least: int, entry_least: int, strict: float) -> DataFrame:
-    """key, and rest (what the counts of its next symbols leave over), of the contexts that the divergence test retains."""
-
-    def counted(bar: int) -> DataFrame:
-        some = F.col("n") >= bar
-        return tokens.where(some).select("key", F.lit(None).cast("long").alias("up"), "n").unionByName(keyed(sequences.where(some)))
-
-    sums = sequences.join(counted(entry_least).select(F.col("key").alias("up"), F.col("n").alias("m")), "up").groupBy("context")
-    sums = sums.agg(
-        F.count("*").alias("kinds"),
-        F.sum("n").alias("held"),
-        F.sum(F.col("n") * (F.log("n") - F.log("m"))).alias("gain"),
-        F.sum("m").alias("shorter"),
-    )
-    often = counted(least)
-    outer = often.select(F.col("key").alias("suffix"), F.col("n").alias("outer"))
-    contexts = often.select(F.col("key").alias("context"), F.col("n").alias("size"), F.col("up").alias("suffix")).join(outer, "suffix", "left")
-    contexts = contexts.select("context", "size", F.coalesce("outer", F.lit(total).cast("long")).alias("outer"))
-    rest = F.col("size") - F.col("held")
-    # likelihood ratio statistic of the counts, and what they leave over, against the suffix's shares
-    gain = F.col("gain") + F.col("held") * (F.log("outer") - F.log("size"))
-    left = F.when(rest > 0, rest * F.log(rest / F.col("size") / F.greatest(1 - F.col("shorter") / F.col("outer"), F.lit(1e-9)))).otherwise(0.0)
-    tested = sums.join(contexts, "context").where(2 * (gain + left) > strict * (F.col("kinds") + 1) * F.log("size"))
-    return tested.select(F.col("context").alias("key"), rest.alias("rest"))
+def _sums(table: pa.Table, buckets: int, least: int) -> pa.Table:
+    """Of a bucket's sequences, sums by contexts (kind 0): counts, those of the suffixes, their number, and the likelihood
+    ratio's part; and the frequent ones as contexts themselves (kind 1): count, and that of the suffix."""
+    known, asked = (table.filter(pa.array(table.column("kind").to_numpy() == k)) for k in (1, 0))
+    keys, m = from_packed_keys(known.column("keys").to_pylist()), _numbers(known, "n")
+    order = np.argsort(keys)
+    keys, m = keys[order], m[order]
+    up, context, n = from_packed_keys(asked.column("keys").to_pylist()), _arrays(asked, "contexts", np.uint64), _numbers(asked, "n")
+    rows = []
+    if len(keys) and len(up):
+        at = np.minimum(places(keys, up), len(keys) - 1)
+        some = keys[at] == up
+        context, up, n, m = context[some], up[some], n[some], m[at[some]]
+        order, starts = grouped(context)
+        if len(order):
+            gain = n * (np.log(n) - np.log(m))
+            held, outer, gain = (np.add.reduceat(x[order], starts) for x in (n, m, gain))
+            kinds, own = np.diff(np.append(starts, len(order))), context[order[starts]]
+            at = bucket_of(own, buckets)
+            rows += [(int(at[x]), 0, packed_keys(own[x:y]), planes(held[x:y]), planes(outer[x:y]), planes(kinds[x:y]), gain[x:y].tobytes()) for x, y in _edges(at)]
+        often = n >= least
+        rows += _sizes(joint(context[often], up[often]), n[often], m[often], buckets)
+    return pa.Table.from_batches([_batch(rows, SUMS)]) if rows else pa.table({c: pa.array([], t) for c, t in SUMS.items()})
+
+
+def _sizes(key: np.ndarray, n: np.ndarray, outer: np.ndarray, buckets: int) -> list[tuple]:
+    order = np.argsort(key)
+    key, n, outer = key[order], n[order], outer[order]
+    at = bucket_of(key, buckets)
+    return [(int(at[x]), 1, packed_keys(key[x:y]), planes(n[x:y]), planes(outer[x:y]), b"", b"") for x, y in _edges(at)]
+
+
+def _token_sizes(batches: Iterable[pa.RecordBatch], buckets: int, least: int, total: int) -> Iterator[pa.RecordBatch]:
+    for key, n in gathered(_counted(batches)):
+        rows = _sizes(key[n >= least], n[n >= least], np.full((n >= least).sum(), total), buckets)
+        if rows:
+            yield _batch(rows, SUMS)
+
+
+def _tested(table: pa.Table, strict: float) -> pa.Table:
+    """The contexts of a bucket that pass the divergence test."""
+    sizes, sums = (table.filter(pa.array(table.column("kind").to_numpy() == k)) for k in (1, 0))
+    keys, size, outer = from_packed_keys(sizes.column("keys").to_pylist()), _numbers(sizes, "n"), _numbers(sizes, "outer")
+    order = np.argsort(keys)
+    keys, size, outer = keys[order], size[order], outer[order]
+    context = from_packed_keys(sums.column("keys").to_pylist())
+    found = _NONE, np.zeros(0, np.int64)
+    if len(keys) and len(context):
+        order, starts = grouped(context)
+        context = context[order[starts]]
+        held, shorter, kinds, gain = (np.add.reduceat(x[order], starts) for x in (*(_numbers(sums, c) for c in ("n", "outer", "kinds")), _arrays(sums, "gain", np.float64)))
+        at = np.minimum(places(keys, context), len(keys) - 1)
+        some = keys[at] == context
+        at, context, held, shorter, kinds, gain = at[some], context[some], held[some], shorter[some], kinds[some], gain[some]
+        size, outer = size[at], outer[at]
+        rest = size - held
+        # likelihood ratio statistic of the counts, and what they leave over, against the suffix's shares
+        gain = gain + held * (np.log(outer) - np.log(size))
+        left = np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / size / np.maximum(1 - shorter / outer, 1e-9)), 0.0)
+        passed = 2 * (gain + left) > strict * (kinds + 1) * np.log(size)
+        found = context[passed], rest[passed]
+    return pa.table({"keys": [packed_keys(found[0])], "n": [planes(found[1])], "kinds": [len(found[0])]})
+
+
+def retained(tokens: DataFrame, sequences: DataFrame, hot: tuple[np.ndarray, np.ndarray], total: int, buckets: int, least: int, strict: float) -> DataFrame:
+    """keys, and as n what the counts of their next symbols leave over, of the contexts that the divergence test retains;
+    packed, with their number (kinds)."""
+    shared = tokens.sparkSession.sparkContext.broadcast(hot)
+    # the rows between two rounds of buckets go with the square of their number
+    some = -(-buckets // 8)
+    told = "bucket long, kind int, keys binary, contexts binary, n binary"
+    rows = tokens.mapInArrow(lambda it: _tell_counts(it, shared, some), told).unionByName(sequences.mapInArrow(lambda it: _tell_counts(it, shared, some), told))
+    rows = rows.unionByName(sequences.mapInArrow(lambda it: _ask_suffixes(it, shared, some), told))
+    schema = "bucket long, kind int, keys binary, n binary, outer binary, kinds binary, gain binary"
+    sums = rows.groupBy("bucket").applyInArrow(lambda t: _sums(t, some, least), schema)
+    sums = sums.unionByName(tokens.mapInArrow(lambda it: _token_sizes(it, some, least, total), schema))
+    return sums.groupBy("bucket").applyInArrow(lambda t: _tested(t, strict), "keys binary, n binary, kinds long")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -390,42 +568,26 @@ def asked_places(seq: Sequences, bits: tuple[np.ndarray, np.ndarray], depth: int
         yield at[may], key[may]
 
 
-def asked_keys(parts: Iterable[Sequences], bits: tuple[np.ndarray, np.ndarray], depth: int) -> np.ndarray:
-    """The sorted keys that a block asks for."""
-    found = []
-    for seq in parts:
-        found.append(np.unique(seq.distinct))
-        found += [np.unique(key) for _, key in asked_places(seq, bits, depth)]
-    return np.unique(np.concatenate(found)) if found else _NONE
+def asked_keys(asked: Iterable[tuple[Sequences, Iterable[tuple[np.ndarray, np.ndarray]]]]) -> np.ndarray:
+    """The sorted keys that a block asks for, by its sequences and their asked_places."""
+    found = [_NONE]
+    for seq, levels in asked:
+        found += [seq.distinct, *(distinct_keys(key) for _, key in levels)]
+    return distinct_keys(np.concatenate(found))
 
 
 def check_sum(keys: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(keys.tobytes()) - 2**63
 
 
-def _coded(batches: Iterable[pa.RecordBatch], n_blocks: int) -> Iterator[pa.RecordBatch]:
-    """Slices of texts as sequences, dealt out to blocks in turn."""
-    turn = TaskContext.get().partitionId() * 7919
-    for batch in slices(batches):
-        ids = column(batch, "doc_id")
-        lengths, distinct, codes = Sequences(column(batch, "text")).packed()
-        listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-        yield pa.RecordBatch.from_arrays([pa.array([turn % n_blocks]), listed, *(pa.array([x], pa.binary()) for x in (lengths, distinct, codes))], names=["block", "doc_ids", "lengths", "distinct", "codes"])
-        turn += 1
-
-
-def _parts(table: pa.Table | pa.RecordBatch) -> list[Sequences]:
-    return [Sequences.unpacked(*x) for x in zip(*(table.column(c).to_pylist() for c in ("lengths", "distinct", "codes")))]
-
-
 def _ask(batches: Iterable[pa.RecordBatch], shared, buckets: int, depth: int) -> Iterator[pa.RecordBatch]:
     """The keys of each block of a partition, by buckets; blocks come sorted."""
     block, found = None, []
 
     def tell() -> pa.RecordBatch:
-        keys = np.unique(np.concatenate(found))
+        keys = distinct_keys(np.concatenate(found))
         at = bucket_of(keys, buckets)
-        rows = [(block, int(at[x]), keys[x:y].tobytes()) for x, y in _edges(at)]
+        rows = [(block, int(at[x]), packed_keys(keys[x:y])) for x, y in _edges(at)]
         return _batch(rows, {"block": pa.int64(), "bucket": pa.int64(), "keys": pa.binary()})
 
     for batch in batches:
@@ -434,26 +596,19 @@ def _ask(batches: Iterable[pa.RecordBatch], shared, buckets: int, depth: int) ->
                 if found:
                     yield tell()
                 block, found = b, []
-            found.append(asked_keys([seq], shared.value, depth))
+            found.append(asked_keys([(seq, asked_places(seq, shared.value, depth))]))
     if found:
         yield tell()
 
 
-def _pack(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, kind, value) by buckets."""
-    for batch in batches:
-        key = column(batch, "key").to_numpy().view(np.uint64)
-        kind, value = (column(batch, c).to_numpy() for c in ("kind", "value"))
-        order = np.lexsort((kind, key))
-        key, kind, value = key[order], kind[order], value[order]
+def _pack(batches: Iterable[pa.RecordBatch], kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Keys and values by buckets."""
+    for key, value in gathered(_counted(batches)):
+        order = np.argsort(key)
+        key, value = key[order], value[order]
         at = bucket_of(key, buckets)
-        rows = []
-        for x, y in _edges(at):
-            for k in np.unique(kind[x:y]).tolist():
-                mine = np.flatnonzero(kind[x:y] == k) + x
-                rows.append((int(at[x]), k, key[mine].tobytes(), planes(value[mine])))
-        if rows:
-            yield _batch(rows, {"bucket": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "values": pa.binary()})
+        rows = [(int(at[x]), kind, packed_keys(key[x:y]), planes(value[x:y])) for x, y in _edges(at)]
+        yield _batch(rows, {"bucket": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "values": pa.binary()})
 
 
 def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -462,13 +617,13 @@ def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
     tables = []
     for k in (0, 1):
         rows = known.filter(pa.array(kind == k))
-        keys = _arrays(rows, "keys", np.uint64)
-        values = np.concatenate([np.zeros(0, np.int64), *(from_planes(x) for x in rows.column("values").to_pylist())])
+        keys = from_packed_keys(rows.column("keys").to_pylist())
+        values = _numbers(rows, "values")
         order = np.argsort(keys)
         tables.append((keys[order], values[order]))
     out = []
     for block, bucket, blob in zip(*(asked.column(c).to_pylist() for c in ("block", "bucket", "keys"))):
-        wanted = np.frombuffer(blob, np.uint64)
+        wanted = from_packed_keys([blob])
         found = []
         for (keys, values), other in zip(tables, (0, -1)):
             at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
@@ -482,25 +637,26 @@ class Tree:
     """What the tree says of a block's sequences: sorted keys, their counts, and for retained contexts what the counts of
     their next symbols leave over, else -1; with training's number of tokens, all, distinct and seen once."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, rest: np.ndarray, total: int, distinct: int, once: int, bits: tuple, depth: int):
-        self.keys, self.n, self.rest, self.total, self.distinct, self.bits, self.depth = keys, n.astype(np.float64), rest.astype(np.float64), total, distinct, bits, depth
+    def __init__(self, keys: np.ndarray, n: np.ndarray, rest: np.ndarray, total: int, distinct: int, once: int):
+        self.keys, self.n, self.rest, self.total, self.distinct = keys, n.astype(np.float64), rest.astype(np.float64), total, distinct
         self.unseen = (once + 1) / (total + 2) if total else 1.0
 
     def counts(self, seq: Sequences) -> np.ndarray:
         """Training counts of the distinct tokens."""
-        return self.n[np.searchsorted(self.keys, seq.distinct)]
+        return self.n[places(self.keys, seq.distinct)]
 
-    def probabilities(self, seq: Sequences) -> np.ndarray:
-        place = np.searchsorted(self.keys, seq.distinct)
+    def probabilities(self, seq: Sequences, levels: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Those of a part's tokens, by its asked_places."""
+        place = places(self.keys, seq.distinct)
         n = self.n[place]
         p = np.where(n > 0, n / max(self.total, 1) * (1 - self.unseen), self.unseen)[seq.codes]
         # of the sequence of the current length that ends at a token, -1 where none was asked for
         own = place[seq.codes]
         first = np.zeros(len(own), bool)
         first[seq.starts[:-1]] = True
-        for at, key in asked_places(seq, self.bits, self.depth):
+        for at, key in levels:
             longer = np.full(len(own), -1, own.dtype)
-            longer[at] = np.searchsorted(self.keys, key)
+            longer[at] = places(self.keys, key)
             context = np.concatenate(([-1], own[:-1]))
             context[first] = -1
             i = np.flatnonzero(context >= 0)
@@ -514,18 +670,19 @@ class Tree:
 
 def _scores(docs: pa.Table, known: pa.Table, total: int, distinct: int, once: int, shared, depth: int) -> pa.Table:
     parts = _parts(docs)
-    keys = asked_keys(parts, shared.value, depth)
+    levels = [list(asked_places(seq, shared.value, depth)) for seq in parts]
+    keys = asked_keys(zip(parts, levels))
     known = known.sort_by("bucket")
-    n, rest = (np.concatenate([np.zeros(0, np.int64), *(from_planes(x) for x in known.column(c).to_pylist())]) for c in ("n", "rest"))
+    n, rest = (_numbers(known, c) for c in ("n", "rest"))
     ends = np.cumsum([0, *(len(x) // 8 for x in known.column("n").to_pylist())])
     if len(n) != len(keys) or [check_sum(keys[a:b]) for a, b in zip(ends[:-1], ends[1:])] != known.column("sum").to_pylist():
         raise RuntimeError("answers are not those to the keys that were asked for")
-    tree = Tree(keys, n, rest - 1, total, distinct, once, shared.value, depth)
+    tree = Tree(keys, n, rest - 1, total, distinct, once)
     out = []
-    for ids, seq in zip((x.values for x in docs.column("doc_ids").combine_chunks()), parts):
+    for ids, seq, asked in zip((x.values for x in docs.column("doc_ids").combine_chunks()), parts, levels):
         count = tree.counts(seq)
         base = np.log10(count + 1.0) - np.log10(total + distinct + 1.0)
-        sums = (segment_sums((count > 0).astype(np.int64)[seq.codes], seq.starts), np.add.reduceat(base[seq.codes], seq.starts[:-1]), np.add.reduceat(np.log10(tree.probabilities(seq)), seq.starts[:-1]))
+        sums = (segment_sums((count > 0).astype(np.int64)[seq.codes], seq.starts), np.add.reduceat(base[seq.codes], seq.starts[:-1]), np.add.reduceat(np.log10(tree.probabilities(seq, asked)), seq.starts[:-1]))
         out.append(pa.table({"doc_id": ids, "n_tokens": np.diff(seq.starts), "n_known": sums[0], "base_score": sums[1], "score": sums[2]}))
     return pa.concat_tables(out)
 
@@ -534,26 +691,31 @@ def lm_scores(docs: DataFrame, depth: int = 5, least: int = 8, entry_least: int
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    marked = docs.select("text", (~held_out(docs["doc_id"])).alias("train"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, -(-size // (TOKEN_BYTES * BUCKET)))
-    tokens = marked.mapInArrow(lambda it: _token_counts(it, buckets), "bucket long, keys binary, n binary")
-    tokens = materialize(tokens.groupBy("bucket").applyInArrow(_tokens, "key long, n long"), "tokens")
+    buckets, n_blocks = max(1, -(-size // (TOKEN_BYTES * BUCKET))), max(1, -(-size // BLOCK_BYTES))
+    marked = docs.withColumn("train", ~held_out(docs["doc_id"]))
+    blocks = materialize(marked.mapInArrow(lambda it: _coded(it, n_blocks), "block long, doc_ids array<long>, train binary, lengths binary, distinct binary, codes binary"), "blocks")
+    tokens = blocks.select("train", "lengths", "distinct", "codes").mapInArrow(lambda it: _token_counts(it, buckets), "bucket long, keys binary, n binary")
+    tokens = tokens.groupBy("bucket").applyInArrow(lambda t: _tokens(t, least, entry_least), "keys binary, n binary, often long, kinds long, total long, distinct long, once long")
+    tokens = materialize(tokens, "tokens")
     release(spark)
-    total, distinct, once = (x or 0 for x in tokens.agg(F.sum("n"), F.count("*"), F.sum(F.when(F.col("n") == 1, 1))).first())
-    sequences = count_sequences(marked, tokens, total, buckets, depth, least, entry_least)
-    kept = materialize(retained(tokens, sequences, total, least, entry_least, strict), "contexts")
+    total, distinct, once = (x or 0 for x in tokens.agg(F.sum("total"), F.sum("distinct"), F.sum("once")).first())
+    sequences, number, hot = count_sequences(blocks, tokens, total, buckets, depth, least, entry_least)
+    kept = materialize(retained(tokens, sequences, hot, total, buckets, least, strict), "contexts")
     release(spark)
-    counted = keyed(sequences)
-    shared = spark.sparkContext.broadcast((bitmap(sequences), bitmap(kept)))
-    known = tokens.select("key", F.lit(0).alias("kind"), F.col("n").alias("value"))
-    known = known.unionByName(counted.select("key", F.lit(0).alias("kind"), F.col("n").alias("value"))).unionByName(kept.select("key", F.lit(1).alias("kind"), F.col("rest").alias("value")))
-    known = known.mapInArrow(lambda it: _pack(it, buckets), "bucket long, kind int, keys binary, values binary")
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
-    blocks = docs.mapInArrow(lambda it: _coded(it, n_blocks), "block long, doc_ids array<long>, lengths binary, distinct binary, codes binary")
-    blocks = blocks.repartition(max(n_blocks, spark.sparkContext.defaultParallelism), "block")
-    asked = blocks.sortWithinPartitions("block").mapInArrow(lambda it: _ask(it, shared, buckets, depth), "block long, bucket long, keys binary")
-    answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answers, "block long, bucket long, sum long, n binary, rest binary")
+    bits = bitmap(sequences, 0, number), bitmap(kept, 0, kept.agg(F.sum("kinds")).first()[0] or 0)
+    shared = spark.sparkContext.broadcast(bits)
+    packed = "bucket long, kind int, keys binary, values binary"
+    known = tokens.mapInArrow(lambda it: _pack(it, 0, buckets), packed).unionByName(sequences.mapInArrow(lambda it: _pack(it, 0, buckets), packed))
+    known = known.unionByName(kept.mapInArrow(lambda it: _pack(it, 1, buckets), packed))
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
-    out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, k: _scores(d, k, total, distinct, once, shared, depth), schema)
+    rounds, out = min(ROUNDS, n_blocks), None
+    for r in range(rounds):
+        some = blocks.where(F.col("block") % rounds == r).repartition(max(-(-n_blocks // rounds), spark.sparkContext.defaultParallelism), "block")
+        asked = some.sortWithinPartitions("block").mapInArrow(lambda it: _ask(it, shared, buckets, depth), "block long, bucket long, keys binary")
+        answers = asked.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_answers, "block long, bucket long, sum long, n binary, rest binary")
+        scores = some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, k: _scores(d, k, total, distinct, once, shared, depth), schema)
+        scores = materialize(scores, "scores")
+        out = scores if out is None else out.unionByName(scores)
+        release(spark)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -413,6 +413,35 @@ def test_tree_is_the_plain_one(spark, sample):
             assert abs(sum(p(["old", "the", "quick", "fox", "jumps"], w) for w in words) - 1) < 1e-9
 
 
+def test_tree_in_rounds_and_parts(spark, sample, monkeypatch):
+    """Blocks ask in rounds, and what very frequent tokens and sequences ask is dealt out, with the same scores."""
+    df, texts = sample
+    for name, value in (("SPLIT", 30), ("SPLIT_SHARE", 10**9), ("BLOCK_BYTES", 20_000), ("BUCKET", 2_000)):
+        monkeypatch.setattr(suffix_tree, name, value)
+    out = suffix_tree.lm_scores(df)
+    tables = {x.split("/scores-")[-1].split("/")[0] for x in out.inputFiles() if "/scores-" in x}
+    assert len(tables) == suffix_tree.ROUNDS
+    near = lambda rows: sorted((str(i), x) for i, x in rows)
+    for (i, x), (j, y) in zip(near((r["doc_id"], r["score"]) for r in out.collect()), near((i, x) for (i, _), x in zip(texts, plain_tree(texts)[0])), strict=True):
+        assert i == j and math.isclose(x, y, rel_tol=1e-6, abs_tol=1e-6)
+
+
+def test_keys_and_counts_are_packed_small():
+    """Keys of many small batches go in one row a bucket, sorted ones in fewer than seven bytes each once compressed."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 2**64, 200_000, np.uint64))
+    blob = suffix_tree.packed_keys(keys)
+    assert (suffix_tree.from_packed_keys([blob[:0], blob]) == keys).all()
+    assert len(pa.compress(blob, codec="lz4", asbytes=True)) < 6.5 * len(keys)
+    mixed = rng.permutation(keys)
+    assert (suffix_tree.from_packed_keys([suffix_tree.packed_keys(mixed)]) == mixed).all()
+    small = [pa.record_batch({"keys": [suffix_tree.packed_keys(x)], "n": [suffix_tree.planes(np.ones(len(x), np.int64))]}) for x in np.array_split(mixed, 500)]
+    rows = pa.Table.from_batches(suffix_tree._pack(small, 0, 16))
+    assert rows.num_rows == 16 and len(suffix_tree.from_packed_keys(rows.column("keys").to_pylist())) == len(keys)
+    assert (suffix_tree.distinct_keys(np.concatenate((mixed, mixed))) == keys).all()
+    assert (suffix_tree.places(keys, mixed) == np.searchsorted(keys, mixed)).all()
+
+
 def test_token_shards(spark, docs, none, sample, tmp_path):
     library, (df, texts) = Tokenizer.from_file(WORDS), sample
     for rows, frame in ((ROWS, docs), (texts, df)):
