@@ -12,13 +12,15 @@ symbol. A retained context's counts are smoothed by the next shorter retained on
 and the longest retained suffix gives the probability.
 
 A sequence of tokens has a key, made of those of the sequence without its last token (its context) and of the one without
-its first (its suffix). Counts of sequences of up to depth + 1 tokens are gathered in four passes over the texts: tokens,
-pairs, triples, and longer ones, whose triples must all reach the bars. Workers pack partial counts by ranges of contexts' keys; those
-of a context with very many occurrences are dealt out over several. The tests are joins and aggregations of the table of
-counts. Bitmaps of a bounded size, which are broadcast, only leave out sequences that can't reach the bars.
+its first (its suffix). Texts are coded once, as hashes of their tokens, in slices dealt out to blocks of a bounded size.
+Counts of sequences of up to depth + 1 tokens are gathered in four passes over the slices: tokens, pairs, triples, and
+longer ones, whose triples must all reach the bars. Workers pack partial counts by ranges of contexts' keys; those of a
+context with very many occurrences are dealt out over several. For the tests, sequences meet the counts of their suffixes
+by ranges of keys, and sums meet by ranges of contexts. Bitmaps of a bounded size, which are broadcast, only leave out
+sequences that can't reach the bars.
 
-Texts are then dealt out, as hashes of their tokens, into blocks of a bounded size. Each asks for its distinct sequences by
-ranges of keys, where they meet the counts and the retained contexts, and gets numbers back in the order of its keys.
+Some blocks at a time, each then asks for its distinct sequences by ranges of keys, where they meet the counts and the
+retained contexts, and gets numbers back in the order of its keys.
 
 Null and empty texts are the end alone. Without any training text every token is unseen, with probability 1: N and V are
 0. A null identifier counts as the empty text in the choice of training rows. Repeated rows are counted and scored each;
@@ -702,8 +704,10 @@ def lm_scores(docs: DataFrame, depth: int = 5, least: int = 8, entry_least: int
     total, distinct, once = (x or 0 for x in tokens.agg(F.sum("total"), F.sum("distinct"), F.sum("once")).first())
     sequences, number, hot = count_sequences(blocks, tokens, total, buckets, depth, least, entry_least)
     kept = materialize(retained(tokens, sequences, hot, total, buckets, least, strict), "contexts")
+    # Spark holds on to the last job's shuffle files until another one has run
+    contexts = kept.agg(F.sum("kinds")).first()[0] or 0
     release(spark)
-    bits = bitmap(sequences, 0, number), bitmap(kept, 0, kept.agg(F.sum("kinds")).first()[0] or 0)
+    bits = bitmap(sequences, 0, number), bitmap(kept, 0, contexts)
     shared = spark.sparkContext.broadcast(bits)
     packed = "bucket long, kind int, keys binary, values binary"
     known = tokens.mapInArrow(lambda it: _pack(it, 0, buckets), packed).unionByName(sequences.mapInArrow(lambda it: _pack(it, 0, buckets), packed))
@@ -717,5 +721,6 @@ def lm_scores(docs: DataFrame, depth: int = 5, least: int = 8, entry_least: int
         scores = some.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda d, k: _scores(d, k, total, distinct, once, shared, depth), schema)
         scores = materialize(scores, "scores")
         out = scores if out is None else out.unionByName(scores)
+        scores.count()
         release(spark)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
