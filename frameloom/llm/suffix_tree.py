@@ -29,13 +29,14 @@ other columns are ignored; an empty table gives no rows. Tokens and sequences ar
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frameloom.llm.common import Words, column, materialize, release, segment_sums, slices
@@ -50,22 +51,32 @@ TOKEN_BYTES = 6
 #: A context of so many occurrences is dealt out over several buckets, or of that share of all, so that few are told apart.
 SPLIT, SPLIT_SHARE = 500_000, 1_000_000
 #: Bits of a bitmap, as powers of two; it has eight for each key, within these.
-BITS = (16, 27)
-PIECE = 16
+BITS = (20, 27)
+#: Bits of one of its pieces, likewise.
+PIECE = 20
 #: In so many rounds blocks of texts ask and are scored, as questions and answers take several times the disk of the texts.
 ROUNDS = 3
+#: This operator's workers keep freed memory up to so many bytes, and take larger arrays than so many from the system each
+#: time: pages that the system clears again and again are half of the CPU time otherwise.
+WORKER_MEMORY = {"MALLOC_TRIM_THRESHOLD_": str(16 << 20), "MALLOC_MMAP_THRESHOLD_": str(8 << 20)}
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.zeros(0, np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _MIX
-    return h ^ (h >> np.uint64(29))
+    out = h >> np.uint64(32)
+    out ^= h
+    out *= _MIX
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def joint(context: np.ndarray, up: np.ndarray) -> np.ndarray:
     """The key of the sequence with this context and this suffix."""
-    return _mixed(_mixed(context + np.uint64(11)) + up * np.uint64(2))
+    out = _mixed(context + np.uint64(11))
+    out += up
+    out += up
+    return _mixed(out)
 
 
 def token_hashes(words: pa.Array) -> np.ndarray:
@@ -96,11 +107,32 @@ def token_hashes(words: pa.Array) -> np.ndarray:
 END = token_hashes(pa.array([""]))
 
 
+def sorting(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order that sorts keys, and the keys in it: numbers of places stand in for the keys' last bits while these are
+    sorted, which takes less than half as long as argsort(), and few rows need another look."""
+    bits = np.uint64(max(1, len(keys) - 1).bit_length())
+    mixed = keys >> bits
+    mixed <<= bits
+    mixed |= np.arange(len(keys), dtype=np.uint64)
+    mixed.sort()
+    mixed &= (np.uint64(1) << bits) - np.uint64(1)
+    order = mixed.view(np.int64)
+    out = keys[order]
+    if (out[1:] < out[:-1]).any():
+        again = np.argsort(out, kind="stable")
+        order, out = order[again], out[again]
+    return order, out
+
+
+def first_places(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+
+
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts keys, and where in it each distinct key starts."""
-    order = np.argsort(keys)
-    sorted_keys = keys[order]
-    return order, np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    order, keys = sorting(keys)
+    return order, first_places(keys)
 
 
 def distinct_keys(keys: np.ndarray) -> np.ndarray:
@@ -111,12 +143,26 @@ def distinct_keys(keys: np.ndarray) -> np.ndarray:
 
 def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where sorted keys have, or would have, the wanted ones, which are looked up in order."""
-    order = np.argsort(wanted)
+    order, wanted = sorting(wanted)
     out = np.empty(len(wanted), np.int64)
-    out[order] = np.searchsorted(keys, wanted[order])
+    out[order] = np.searchsorted(keys, wanted)
     return out
 
 
+def distinct_places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and the place among them of each key."""
+    order, keys = sorting(keys)
+    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], out
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, and not only what lies at the heap's end."""
+    pa.default_memory_pool().release_unused()
+
+
 def squeezed(blob: bytes) -> bytes:
     return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
 
@@ -141,13 +187,13 @@ class Sequences:
 
     def packed(self) -> tuple[bytes, bytes, bytes]:
         """Lengths, hashes and places, compressed; they take far less than texts."""
-        return squeezed(self.lengths.astype(np.int32).tobytes()), self.distinct.tobytes(), squeezed(self.codes.view(np.uint8).reshape(-1, 4).T.tobytes())
+        return squeezed(self.lengths.astype(np.int32).tobytes()), self.distinct.tobytes(), squeezed(planes(self.codes))
 
     @classmethod
     def unpacked(cls, lengths: bytes, distinct: bytes, codes: bytes) -> Sequences:
         seq = cls.__new__(cls)
         seq.lengths, seq.distinct = np.frombuffer(unsqueezed(lengths), np.int32).astype(np.int64), np.frombuffer(distinct, np.uint64)
-        seq.codes = np.ascontiguousarray(np.frombuffer(unsqueezed(codes), np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1)
+        seq.codes = from_planes(unsqueezed(codes), np.int32)
         seq.starts = np.concatenate(([0], np.cumsum(seq.lengths)))
         return seq
 
@@ -158,24 +204,23 @@ class Sequences:
         seq.starts = np.concatenate(([0], np.cumsum(seq.lengths)))
         return seq
 
-    def levels(self, depth: int, goes_on: Callable[[int, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each context length from 1: places of tokens, their contexts' keys and those of their suffixes with them.
-        goes_on(length, places, context, key) says which sequences can be the contexts, and which the suffixes, of longer
-        ones."""
-        at = np.flatnonzero(np.arange(len(self.codes)) - np.repeat(self.starts[:-1], self.lengths) >= 1)
+    def levels(self, depth: int, goes_on: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each context length from 1: places of tokens in order, their contexts' keys and those of their suffixes with
+        them. goes_on(length, places, key) says which sequences can be the contexts, and which the suffixes, of longer ones."""
+        inner = np.ones(len(self.codes), bool)
+        inner[self.starts[:-1]] = False
+        at = np.flatnonzero(inner).astype(np.int32)
         keys = self.distinct[self.codes]
+        context, up = keys[at - 1], keys[at]
         for k in range(1, depth + 1):
-            context, up = keys[at - 1], keys[at]
             yield at, context, up
             if k == depth:
                 return
             key = joint(context, up)
-            before, own = (np.zeros(len(self.codes), bool) for _ in range(2))
-            before[at], own[at] = goes_on(k, at, context, key)
-            keys = np.zeros(len(self.codes), np.uint64)
-            keys[at] = key
-            # a longer sequence has this one and the one a place before
-            at = np.flatnonzero(own[1:] & before[:-1]) + 1
+            before, own = goes_on(k, at, key)
+            # a longer sequence has this one and the one a place before, which a text's start keeps apart
+            j = np.flatnonzero(own[1:] & before[:-1] & (np.diff(at) == 1))
+            at, context, up = at[j + 1], key[j], key[j + 1]
 
 
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -184,7 +229,7 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _edges(values: np.ndarray) -> list[tuple[int, int]]:
-    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))).tolist() if len(values) else []
+    starts = first_places(values).tolist()
     return list(zip(starts, [*starts[1:], len(values)]))
 
 
@@ -197,21 +242,49 @@ def _batch(rows: list[tuple], schema: dict[str, pa.DataType]) -> pa.RecordBatch:
 
 
 def planes(values: np.ndarray) -> bytes:
-    """The bytes of whole numbers by significance, which shuffles compress well."""
-    return values.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
+    """The bytes of whole numbers by significance, which shuffles compress well, as many as the largest number needs, after
+    how many these are."""
+    n = len(values)
+    if not n:
+        return b""
+    values = values.astype(np.int64, copy=False).view(np.uint64)
+    width = max(1, -(-int(values.max()).bit_length() // 8))
+    out = np.empty(1 + width * n, np.uint8)
+    out[0] = width
+    each = np.ascontiguousarray(values).view(np.uint8)
+    for k in range(width):
+        out[1 + k * n : 1 + (k + 1) * n] = each[k::8]
+    return out.tobytes()
+
+
+def n_planes(blob: bytes) -> int:
+    """How many numbers there are."""
+    return (len(blob) - 1) // blob[0] if blob else 0
+
+
+def from_planes(blob: bytes, kind: type = np.int64) -> np.ndarray:
+    n = n_planes(blob)
+    out, flat = np.zeros(n, kind), np.frombuffer(blob, np.uint8)
+    if n:
+        each = out.view(np.uint8)
+        for k in range(blob[0]):
+            each[k :: out.itemsize] = flat[1 + k * n : 1 + (k + 1) * n]
+    return out
 
 
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Keys by their differences: those of sorted ones are small, so that their first bytes are zeros. Any order is kept."""
-    return planes(np.diff(keys, prepend=np.uint64(0)).view(np.int64))
+    """Keys as the first and their differences: those of sorted ones are small. Any order is kept."""
+    return keys[:1].tobytes() + planes(np.diff(keys, prepend=keys[:1]).view(np.int64))
 
 
 def from_packed_keys(blobs: Iterable[bytes]) -> np.ndarray:
-    return np.concatenate([_NONE, *(np.cumsum(from_planes(x).view(np.uint64), dtype=np.uint64) for x in blobs)])
+    found = [_NONE]
+    for x in blobs:
+        if len(x):
+            keys = from_planes(x[8:]).view(np.uint64)
+            keys[0] = int.from_bytes(x[:8], "little")
+            found.append(np.cumsum(keys, dtype=np.uint64))
+    return np.concatenate(found) if len(found) != 2 else found[1]
 
 
 def gathered(parts: Iterable[tuple[np.ndarray, ...]], size: int = CHUNK) -> Iterator[tuple[np.ndarray, ...]]:
@@ -237,6 +310,7 @@ def _coded(batches: Iterable[pa.RecordBatch], n_blocks: int) -> Iterator[pa.Reco
         listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         yield pa.RecordBatch.from_arrays([pa.array([turn % n_blocks]), listed, *(pa.array([x], pa.binary()) for x in blobs)], names=["block", "doc_ids", "train", "lengths", "distinct", "codes"])
         turn += 1
+    _give_back()
 
 
 def _parts(table: pa.Table | pa.RecordBatch) -> list[Sequences]:
@@ -300,16 +374,16 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 def _cells(batches: Iterable[pa.RecordBatch], bar: int, power: int) -> Iterator[pa.RecordBatch]:
     """Places of the bits of keys with counts from the bar on, packed by pieces of the bitmap."""
     for key, n in gathered(_counted(batches)):
-        cells = distinct_keys(key[n >= bar] & np.uint64((1 << power) - 1))
-        piece = cells >> np.uint64(PIECE)
-        rows = [(int(piece[a]), (cells[a:b] & np.uint64((1 << PIECE) - 1)).astype(np.uint16).tobytes()) for a, b in _edges(piece)]
+        cells = np.sort((key[n >= bar] & np.uint64((1 << power) - 1)).astype(np.uint32))
+        piece = cells >> np.uint32(PIECE)
+        rows = [(int(piece[a]), packed_keys(cells[a:b].astype(np.uint64))) for a, b in _edges(piece)]
         if rows:
             yield _batch(rows, {"piece": pa.int64(), "cells": pa.binary()})
 
 
 def _piece(table: pa.Table) -> pa.Table:
     bits = np.zeros(1 << PIECE, np.uint8)
-    bits[_arrays(table, "cells", np.uint16)] = 1
+    bits[from_packed_keys(table.column("cells").to_pylist()).view(np.int64) & (1 << PIECE) - 1] = 1
     return pa.table({"piece": table.column("piece").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
@@ -324,8 +398,20 @@ def bitmap(counts: DataFrame, bar: int, number: int) -> np.ndarray:
 
 
 def may_hold(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    cell = (keys & np.uint64(8 * len(bits) - 1)).astype(np.int64)
-    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+    cell = keys & np.uint64(8 * len(bits) - 1)
+    cell >>= np.uint64(3)
+    out = bits[cell.view(np.int64)]
+    out >>= keys.astype(np.uint8) & np.uint8(7)
+    out &= np.uint8(1)
+    return out.view(bool)
+
+
+def both_hold(first: np.ndarray, second: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys the first bitmap may hold, and which the second, whose keys the first one has too."""
+    one = may_hold(first, keys)
+    two = np.zeros(len(keys), bool)
+    two[one] = may_hold(second, keys[one])
+    return one, two
 
 
 def spread(key: np.ndarray, other: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -347,39 +433,58 @@ def _sequence_counts(batches: Iterable[pa.RecordBatch], shared, lengths: range,
     inner, last, hot = shared.value
     held, size = [], 0
 
-    def flush() -> pa.RecordBatch:
+    def pairs() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # tokens have small numbers in the order of their hashes, and so have pairs of them
+        tokens = distinct_keys(np.concatenate([x for x, _, _ in held]))
+        numbers = []
+        for own, context, up in held:
+            rank = places(tokens, own)
+            numbers.append(rank[context] * len(tokens) + rank[up])
+        numbers = np.sort(np.concatenate(numbers))
+        starts = first_places(numbers)
+        context, up = np.divmod(numbers[starts], len(tokens))
+        return tokens[context], tokens[up], np.diff(np.append(starts, len(numbers)))
+
+    def longer() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         context, up = (np.concatenate(c) for c in zip(*held))
-        held.clear()
         order, starts = grouped(joint(context, up))
         n, first = np.diff(np.append(starts, len(order))), order[starts]
-        context, up = context[first], up[first]
-        dealt = spread(context, up, hot)
-        order = np.argsort(dealt)
-        context, up, n, at = context[order], up[order], n[order], bucket_of(dealt[order], buckets)
+        order, context = sorting(context[first])
+        return context, up[first[order]], n[order]
+
+    def flush() -> pa.RecordBatch:
+        context, up, n = pairs() if lengths[0] == 1 else longer()
+        held.clear()
+        at = bucket_of(spread(context, up, hot), buckets)
+        if len(hot[0]):
+            order = np.argsort(at.astype(np.uint16) if buckets <= 1 << 16 else at, kind="stable")
+            context, up, n, at = context[order], up[order], n[order], at[order]
         rows = []
         for x, y in _edges(at):
-            starts = np.flatnonzero(np.concatenate(([True], context[x + 1 : y] != context[x : y - 1])))
+            starts = first_places(context[x:y])
             rows.append((int(at[x]), packed_keys(context[x:y][starts]), planes(np.diff(np.append(starts, y - x))), up[x:y].tobytes(), planes(n[x:y])))
         return _batch(rows, {"bucket": pa.int64(), "contexts": pa.binary(), "sizes": pa.binary(), "ups": pa.binary(), "n": pa.binary()})
 
     for seq in _trained(batches):
+        if lengths[0] == 1:
+            ends = np.zeros(len(seq.codes), bool)
+            ends[seq.starts[1:] - 1] = True
+            at = np.flatnonzero(may_hold(inner, seq.distinct)[seq.codes[:-1]] & may_hold(last, seq.distinct)[seq.codes[1:]] & ~ends[:-1])
+            held.append((seq.distinct, seq.codes[at], seq.codes[at + 1]))
+            size += len(at)
         often = np.zeros(len(seq.codes), bool)
 
-        def goes_on(k: int, at: np.ndarray, context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def goes_on(k: int, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             # of what a sequence is made of, all but the last stand in its context
             if k < lengths[0] - 1:
                 return np.ones(len(at), bool), np.ones(len(at), bool)
             if k == lengths[0] - 1:
-                often[at] = may_hold(inner, key)  # noqa: B023
-                return often[at], may_hold(last, key)  # noqa: B023
+                ending, often[at] = both_hold(last, inner, key)  # noqa: B023
+                return often[at], ending  # noqa: B023
             return often[at], np.ones(len(at), bool)  # noqa: B023
 
-        for k, (at, context, up) in enumerate(seq.levels(lengths[-1], goes_on), 1):
+        for k, (_, context, up) in enumerate(seq.levels(lengths[-1], goes_on) if lengths[-1] > 1 else (), 1):
             if k in lengths:
-                if k == 1:
-                    may = may_hold(inner, context)
-                    may[may] = may_hold(last, up[may])
-                    context, up = context[may], up[may]
                 held.append((context, up))
                 size += len(context)
         if size >= CHUNK:
@@ -387,6 +492,7 @@ def _sequence_counts(batches: Iterable[pa.RecordBatch], shared, lengths: range,
             size = 0
     if size:
         yield flush()
+    _give_back()
 
 
 def _sequences(table: pa.Table, least: int, entry_least: int) -> pa.Table:
@@ -397,9 +503,9 @@ def _sequences(table: pa.Table, least: int, entry_least: int) -> pa.Table:
     order, starts = grouped(joint(context, up))
     first, n = order[starts], np.add.reduceat(n[order], starts)
     first, n = first[n >= entry_least], n[n >= entry_least]
-    order = np.argsort(context[first])
-    context, up, n = context[first[order]], up[first[order]], n[order]
-    at = np.array([x for x, _ in _edges(context)], np.int64)
+    order, context = sorting(context[first])
+    up, n = up[first[order]], n[order]
+    at = first_places(context)
     found = {"contexts": packed_keys(context[at]), "sizes": planes(np.diff(np.append(at, len(n)))), "ups": up.tobytes(), "n": planes(n), "often": int((n >= least).sum()), "kinds": len(n)}
     return pa.table({k: [x] for k, x in found.items()})
 
@@ -453,8 +559,8 @@ def _tell_counts(batches: Iterable[pa.RecordBatch], shared, buckets: int) -> Ite
             copy = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
             key, n, k = np.repeat(key, k), np.repeat(n, k), np.repeat(k, k)
             dealt = np.where(k > 1, _mixed(key + copy.astype(np.uint64)), key)
-        order = np.argsort(dealt)
-        key, n, at = key[order], n[order], bucket_of(dealt[order], buckets)
+        order, dealt = sorting(dealt)
+        key, n, at = key[order], n[order], bucket_of(dealt, buckets)
         yield _batch([(int(at[x]), 1, packed_keys(key[x:y]), b"", planes(n[x:y])) for x, y in _edges(at)], TOLD)
 
 
@@ -462,8 +568,8 @@ def _ask_suffixes(batches: Iterable[pa.RecordBatch], shared, buckets: int) -> It
     """Sequences by buckets of their suffixes."""
     for context, up, n in gathered(_pairs(batches)):
         dealt = spread(up, context, shared.value)
-        order = np.argsort(dealt)
-        context, up, n, at = context[order], up[order], n[order], bucket_of(dealt[order], buckets)
+        order, dealt = sorting(dealt)
+        context, up, n, at = context[order], up[order], n[order], bucket_of(dealt, buckets)
         yield _batch([(int(at[x]), 0, packed_keys(up[x:y]), context[x:y].tobytes(), planes(n[x:y])) for x, y in _edges(at)], TOLD)
 
 
@@ -476,8 +582,8 @@ def _sums(table: pa.Table, buckets: int, least: int) -> pa.Table:
     ratio's part; and the frequent ones as contexts themselves (kind 1): count, and that of the suffix."""
     known, asked = (table.filter(pa.array(table.column("kind").to_numpy() == k)) for k in (1, 0))
     keys, m = from_packed_keys(known.column("keys").to_pylist()), _numbers(known, "n")
-    order = np.argsort(keys)
-    keys, m = keys[order], m[order]
+    order, keys = sorting(keys)
+    m = m[order]
     up, context, n = from_packed_keys(asked.column("keys").to_pylist()), _arrays(asked, "contexts", np.uint64), _numbers(asked, "n")
     rows = []
     if len(keys) and len(up):
@@ -497,8 +603,8 @@ def _sums(table: pa.Table, buckets: int, least: int) -> pa.Table:
 
 
 def _sizes(key: np.ndarray, n: np.ndarray, outer: np.ndarray, buckets: int) -> list[tuple]:
-    order = np.argsort(key)
-    key, n, outer = key[order], n[order], outer[order]
+    order, key = sorting(key)
+    n, outer = n[order], outer[order]
     at = bucket_of(key, buckets)
     return [(int(at[x]), 1, packed_keys(key[x:y]), planes(n[x:y]), planes(outer[x:y]), b"", b"") for x, y in _edges(at)]
 
@@ -514,8 +620,8 @@ def _tested(table: pa.Table, strict: float) -> pa.Table:
     """The contexts of a bucket that pass the divergence test."""
     sizes, sums = (table.filter(pa.array(table.column("kind").to_numpy() == k)) for k in (1, 0))
     keys, size, outer = from_packed_keys(sizes.column("keys").to_pylist()), _numbers(sizes, "n"), _numbers(sizes, "outer")
-    order = np.argsort(keys)
-    keys, size, outer = keys[order], size[order], outer[order]
+    order, keys = sorting(keys)
+    size, outer = size[order], outer[order]
     context = from_packed_keys(sums.column("keys").to_pylist())
     found = _NONE, np.zeros(0, np.int64)
     if len(keys) and len(context):
@@ -558,24 +664,33 @@ def asked_places(seq: Sequences, bits: tuple[np.ndarray, np.ndarray], depth: int
     """For each context length: places of tokens and keys of their sequences, where the bitmaps of counted sequences and of
     retained contexts let them pass."""
     counted, kept = bits
+    found = []
 
-    def goes_on(k: int, at: np.ndarray, context: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def asks(at: np.ndarray, context: np.ndarray, key: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, context, key = at[may], context[may], key[may]
+        may = may_hold(kept, context)
+        rest = np.flatnonzero(~may)
+        may[rest] = may_hold(kept, key[rest])
+        return at[may], key[may]
+
+    def goes_on(k: int, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         may = may_hold(counted, key)
+        found.append((key, may))
         return may, may
 
+    before = None
     for at, context, up in seq.levels(depth, goes_on):
+        if before:
+            yield asks(*before, *found.pop())
+        before = at, context
+    if before:
         key = joint(context, up)
-        may = may_hold(counted, key)
-        may[may] = may_hold(kept, context[may]) | may_hold(kept, key[may])
-        yield at[may], key[may]
+        yield asks(*before, key, may_hold(counted, key))
 
 
-def asked_keys(asked: Iterable[tuple[Sequences, Iterable[tuple[np.ndarray, np.ndarray]]]]) -> np.ndarray:
-    """The sorted keys that a block asks for, by its sequences and their asked_places."""
-    found = [_NONE]
-    for seq, levels in asked:
-        found += [seq.distinct, *(distinct_keys(key) for _, key in levels)]
-    return distinct_keys(np.concatenate(found))
+def asked_keys(seq: Sequences, levels: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The sorted keys that a part asks for, by its asked_places."""
+    return distinct_keys(np.concatenate([seq.distinct, *(key for _, key in levels)]))
 
 
 def check_sum(keys: np.ndarray) -> int:
@@ -598,99 +713,136 @@ def _ask(batches: Iterable[pa.RecordBatch], shared, buckets: int, depth: int) ->
                 if found:
                     yield tell()
                 block, found = b, []
-            found.append(asked_keys([(seq, asked_places(seq, shared.value, depth))]))
+            found.append(asked_keys(seq, asked_places(seq, shared.value, depth)))
     if found:
         yield tell()
+    found.clear()
+    _give_back()
 
 
 def _pack(batches: Iterable[pa.RecordBatch], kind: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Keys and values by buckets."""
     for key, value in gathered(_counted(batches)):
-        order = np.argsort(key)
-        key, value = key[order], value[order]
-        at = bucket_of(key, buckets)
+        order, key = sorting(key)
+        value, at = value[order], bucket_of(key, buckets)
         rows = [(int(at[x]), kind, packed_keys(key[x:y]), planes(value[x:y])) for x, y in _edges(at)]
         yield _batch(rows, {"bucket": pa.int64(), "kind": pa.int32(), "keys": pa.binary(), "values": pa.binary()})
 
 
+def _known(table: pa.Table) -> pa.Table:
+    """A bucket's sorted keys, their counts, and one more than what retained contexts' counts leave over, 0 for others."""
+    kind = table.column("kind").to_numpy()
+    counts, kept = (table.filter(pa.array(kind == k)) for k in (0, 1))
+    order, keys = sorting(from_packed_keys(counts.column("keys").to_pylist()))
+    rest = np.zeros(len(keys), np.int64)
+    # a retained context is counted itself
+    rest[np.searchsorted(keys, from_packed_keys(kept.column("keys").to_pylist()))] = _numbers(kept, "values") + 1
+    return pa.table({"bucket": table.column("bucket").slice(0, 1), "keys": [packed_keys(keys)], "n": [planes(_numbers(counts, "values")[order])], "rest": [planes(rest)]})
+
+
 def _answers(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """What is known of a bucket's keys: counts, 0 for others, and what retained contexts' counts leave over, -1 for others."""
-    kind = known.column("kind").to_numpy()
-    tables = []
-    for k in (0, 1):
-        rows = known.filter(pa.array(kind == k))
-        keys = from_packed_keys(rows.column("keys").to_pylist())
-        values = _numbers(rows, "values")
-        order = np.argsort(keys)
-        tables.append((keys[order], values[order]))
+    """What is known of a bucket's keys: counts, and one more than what retained contexts' counts leave over, 0 for others."""
+    keys = from_packed_keys(known.column("keys").to_pylist())
+    tables = [_numbers(known, c) for c in ("n", "rest")]
     out = []
     for block, bucket, blob in zip(*(asked.column(c).to_pylist() for c in ("block", "bucket", "keys"))):
         wanted = from_packed_keys([blob])
-        found = []
-        for (keys, values), other in zip(tables, (0, -1)):
-            at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-            found.append(np.where(keys[at] == wanted, values[at], other) if len(keys) else np.full(len(wanted), other))
-        out.append((block, bucket, check_sum(wanted), planes(found[0]), planes(found[1] + 1)))
+        found = [np.zeros(len(wanted), np.int64) for _ in tables]
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            same = keys[at] == wanted
+            found = [np.where(same, values[at], 0) for values in tables]
+        out.append((block, bucket, check_sum(wanted), *(planes(x) for x in found)))
     schema = {"block": pa.int64(), "bucket": pa.int64(), "sum": pa.int64(), "n": pa.binary(), "rest": pa.binary()}
     return pa.Table.from_batches([_batch(out, schema)]) if out else pa.table({c: pa.array([], t) for c, t in schema.items()})
 
 
 class Tree:
-    """What the tree says of a block's sequences: sorted keys, their counts, and for retained contexts what the counts of
-    their next symbols leave over, else -1; with training's number of tokens, all, distinct and seen once."""
+    """What the tree says of a block's sequences, by the places of their sorted keys: counts, and for retained contexts what
+    the counts of their next symbols leave over, else -1; with training's number of tokens, all and those seen once."""
 
-    def __init__(self, keys: np.ndarray, n: np.ndarray, rest: np.ndarray, total: int, distinct: int, once: int):
-        self.keys, self.n, self.rest, self.total, self.distinct = keys, n.astype(np.float64), rest.astype(np.float64), total, distinct
+    def __init__(self, n: np.ndarray, rest: np.ndarray, total: int, once: int):
+        self.n, self.rest, self.total = n, rest, total
         self.unseen = (once + 1) / (total + 2) if total else 1.0
 
-    def counts(self, seq: Sequences) -> np.ndarray:
-        """Training counts of the distinct tokens."""
-        return self.n[places(self.keys, seq.distinct)]
-
-    def probabilities(self, seq: Sequences, levels: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Those of a part's tokens, by its asked_places."""
-        place = places(self.keys, seq.distinct)
-        n = self.n[place]
+    def probabilities(self, seq: Sequences, tokens: np.ndarray, levels: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Those of a part's tokens, by the places of its distinct ones among the keys; levels: for each context length, the
+        asked_places with the keys' places."""
+        n = self.n[tokens]
         p = np.where(n > 0, n / max(self.total, 1) * (1 - self.unseen), self.unseen)[seq.codes]
-        # of the sequence of the current length that ends at a token, -1 where none was asked for
-        own = place[seq.codes]
-        first = np.zeros(len(own), bool)
-        first[seq.starts[:-1]] = True
-        for at, key in levels:
-            longer = np.full(len(own), -1, own.dtype)
-            longer[at] = places(self.keys, key)
-            context = np.concatenate(([-1], own[:-1]))
-            context[first] = -1
-            i = np.flatnonzero(context >= 0)
-            i = i[self.rest[context[i]] >= 0]
-            c = context[i]
-            seen = np.where(longer[i] >= 0, self.n[longer[i]], 0.0)
-            p[i] = (seen + (self.rest[c] + STRENGTH) * p[i]) / (self.n[c] + STRENGTH)
-            own, first = longer, np.concatenate(([True], first[:-1])) | first
+        first = np.ones(len(p) + 1, bool)
+        first[:-1] = False
+        first[seq.starts] = True
+        # where sequences of the current length end that are retained contexts, and their places
+        end = np.flatnonzero((self.rest[tokens] >= 0)[seq.codes] & ~first[1:])
+        own = tokens[seq.codes[end]]
+        for at, place in levels:
+            seen = np.zeros(len(p))
+            seen[at] = self.n[place]
+            i = end + 1
+            p[i] = (seen[i] + (self.rest[own] + STRENGTH) * p[i]) / (self.n[own] + STRENGTH)
+            some = np.flatnonzero((self.rest[place] >= 0) & ~first[1:][at])
+            end, own = at[some], place[some]
         return p
 
 
 def _scores(docs: pa.Table, known: pa.Table, total: int, distinct: int, once: int, shared, depth: int) -> pa.Table:
-    parts = _parts(docs)
-    levels = [list(asked_places(seq, shared.value, depth)) for seq in parts]
-    keys = asked_keys(zip(parts, levels))
+    _give_back()
+    ids, parts = [x.values for x in docs.column("doc_ids").combine_chunks()], _parts(docs)
+    del docs
+    asked, own = [], []
+    for seq in parts:
+        levels = list(asked_places(seq, shared.value, depth))
+        at, ends = [x for x, _ in levels], np.cumsum([len(seq.distinct), *(len(x) for x, _ in levels)])
+        keys = np.concatenate([seq.distinct, *(key for _, key in levels)])
+        del levels
+        keys, place = distinct_places(keys)
+        own.append(keys)
+        asked.append((place, ends, at))
+    keys = distinct_keys(np.concatenate(own))
     known = known.sort_by("bucket")
-    n, rest = (_numbers(known, c) for c in ("n", "rest"))
-    ends = np.cumsum([0, *(len(x) // 8 for x in known.column("n").to_pylist())])
-    if len(n) != len(keys) or [check_sum(keys[a:b]) for a, b in zip(ends[:-1], ends[1:])] != known.column("sum").to_pylist():
+    ends = np.cumsum([0, *(n_planes(x) for x in known.column("n").to_pylist())])
+    if ends[-1] != len(keys) or [check_sum(keys[a:b]) for a, b in zip(ends[:-1], ends[1:])] != known.column("sum").to_pylist():
         raise RuntimeError("answers are not those to the keys that were asked for")
-    tree = Tree(keys, n, rest - 1, total, distinct, once)
+    for k, (place, ends, at) in enumerate(asked):
+        asked[k], own[k] = (np.searchsorted(keys, own[k]).astype(np.int32)[place], ends, at), None
+    del keys, place
+    tree = Tree(_numbers(known, "n").astype(np.float64), (_numbers(known, "rest") - 1).astype(np.float64), total, once)
+    del known
     out = []
-    for ids, seq, asked in zip((x.values for x in docs.column("doc_ids").combine_chunks()), parts, levels):
-        count = tree.counts(seq)
+    while parts:
+        seq, (place, ends, at) = parts.pop(), asked.pop()
+        tokens, *levels = np.split(place, ends[:-1])
+        count = tree.n[tokens]
         base = np.log10(count + 1.0) - np.log10(total + distinct + 1.0)
-        sums = (segment_sums((count > 0).astype(np.int64)[seq.codes], seq.starts), np.add.reduceat(base[seq.codes], seq.starts[:-1]), np.add.reduceat(np.log10(tree.probabilities(seq, asked)), seq.starts[:-1]))
-        out.append(pa.table({"doc_id": ids, "n_tokens": np.diff(seq.starts), "n_known": sums[0], "base_score": sums[1], "score": sums[2]}))
+        p = tree.probabilities(seq, tokens, zip(at, levels))
+        sums = (segment_sums((count > 0).astype(np.int64)[seq.codes], seq.starts), np.add.reduceat(base[seq.codes], seq.starts[:-1]), np.add.reduceat(np.log10(p), seq.starts[:-1]))
+        out.append(pa.table({"doc_id": ids.pop(), "n_tokens": np.diff(seq.starts), "n_known": sums[0], "base_score": sums[1], "score": sums[2]}))
+    del seq, place, at, levels, p, tree
+    _give_back()
     return pa.concat_tables(out)
 
 
+@contextlib.contextmanager
+def _workers_of_its_own(spark: SparkSession) -> Iterator[None]:
+    """Python functions made meanwhile run in workers with WORKER_MEMORY; others keep theirs."""
+    env = spark.sparkContext.environment
+    before = dict(env)
+    env.update(WORKER_MEMORY)
+    try:
+        yield
+    finally:
+        env.clear()
+        env.update(before)
+
+
 def lm_scores(docs: DataFrame, depth: int = 5, least: int = 8, entry_least: int = 2, strict: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text)."""
+    with _workers_of_its_own(docs.sparkSession):
+        return _lm_scores(docs, depth, least, entry_least, strict)
+
+
+def _lm_scores(docs: DataFrame, depth: int, least: int, entry_least: int, strict: float) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -712,6 +864,10 @@ def lm_scores(docs: DataFrame, depth: int = 5, least: int = 8, entry_least: int
     packed = "bucket long, kind int, keys binary, values binary"
     known = tokens.mapInArrow(lambda it: _pack(it, 0, buckets), packed).unionByName(sequences.mapInArrow(lambda it: _pack(it, 0, buckets), packed))
     known = known.unionByName(kept.mapInArrow(lambda it: _pack(it, 1, buckets), packed))
+    known = known.groupBy("bucket").applyInArrow(_known, "bucket long, keys binary, n binary, rest binary")
+    known = materialize(known, "known")
+    known.count()
+    release(spark)
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double"
     rounds, out = min(ROUNDS, n_blocks), None
     for r in range(rounds):

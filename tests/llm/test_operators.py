@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import re
 import zlib
 
@@ -442,6 +443,36 @@ def test_keys_and_counts_are_packed_small():
     assert (suffix_tree.places(keys, mixed) == np.searchsorted(keys, mixed)).all()
 
 
+def test_tree_spares_processors(spark, none):
+    """Small numbers take few bytes before compression too, keys with equal first bits are sorted, and workers of the tree
+    keep freed memory for a while where others don't."""
+    few, wide = np.array([1, 3, 255, 0] * 1000), np.array([2**40 + 1, 0, 7])
+    assert len(suffix_tree.planes(few)) <= len(few) + 1
+    for x in (few, wide, few[:0]):
+        assert (suffix_tree.from_planes(suffix_tree.planes(x)) == x).all() and suffix_tree.n_planes(suffix_tree.planes(x)) == len(x)
+    rng = np.random.default_rng(4)
+    for keys in (rng.integers(0, 2**64, 5000, np.uint64), rng.integers(0, 50, 5000, np.uint64), np.uint64(2**63) - np.arange(5000, dtype=np.uint64), np.zeros(0, np.uint64), np.array([2**64 - 1], np.uint64)):
+        order, got = suffix_tree.sorting(keys)
+        assert (order == np.argsort(keys, kind="stable")).all() and (got == np.sort(keys)).all()
+        distinct, place = suffix_tree.distinct_places(keys)
+        assert (distinct == np.unique(keys)).all() and (distinct[place] == keys).all()
+    bits = np.packbits(rng.integers(0, 2, 1 << 10, np.uint8), bitorder="little")
+    keys = rng.integers(0, 2**64, 5000, np.uint64)
+    assert (suffix_tree.may_hold(bits, keys) == np.unpackbits(bits, bitorder="little")[(keys & np.uint64(1023)).astype(int)]).all()
+    assert [x.tolist() for x in suffix_tree.both_hold(bits, bits, keys)] == [suffix_tree.may_hold(bits, keys).tolist()] * 2
+
+    def settings(_):
+        yield pa.record_batch({"value": [os.environ.get("MALLOC_TRIM_THRESHOLD_")]})
+
+    before = dict(spark.sparkContext.environment)
+    with suffix_tree._workers_of_its_own(spark):
+        own = spark.range(1).mapInArrow(settings, "value string")
+    other = spark.range(1).mapInArrow(settings, "value string")
+    assert own.first()[0] == suffix_tree.WORKER_MEMORY["MALLOC_TRIM_THRESHOLD_"] and other.first()[0] == before["MALLOC_TRIM_THRESHOLD_"] != own.first()[0]
+    suffix_tree.lm_scores(none)
+    assert dict(spark.sparkContext.environment) == before
+
+
 def test_token_shards(spark, docs, none, sample, tmp_path):
     library, (df, texts) = Tokenizer.from_file(WORDS), sample
     for rows, frame in ((ROWS, docs), (texts, df)):
