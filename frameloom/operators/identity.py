@@ -7,6 +7,7 @@ which hangs on what was created before, folds over the rest in the order of thei
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterable
 
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frameloom.functions.vectors import dot, normalized
-from frameloom.operators.tables import numbered
-from frameloom.operators.tiles import column, meet
+from frameloom.operators.tables import materialize, numbered
+from frameloom.operators.tiles import column, meet, spread
 from frameloom.operators.vectors import centroids, knn
 
 
@@ -178,6 +179,134 @@ def fold(vectors: DataFrame, *, t_accept: float, t_reject: float, gray_creates:
     return _beside(vectors, gallery, key).applyInPandas(run, f"{key} long, id long, person_id long, outcome string, best_sim double")
 
 
+#: Prototypes that a vector is compared with at a time, vectors that ask together, and vectors whose nearest are kept.
+BLOCK, ASKING, NEAREST = 2048, 1024, 1 << 17
+#: Galleries beyond which they are dealt by hash.
+DEALT = 4096
+
+
+def named(v: np.ndarray) -> bytes:
+    return hashlib.blake2b(np.ascontiguousarray(v), digest_size=16).digest()
+
+
+class Nearest(Prototypes):
+    """Prototypes of which equal ones share a place, and the k nearest places of vectors, which are kept: when a vector comes
+    again, only what was added since is compared with it.
+
+    Vectors that ask together pass the places in blocks. Products in single precision say which can be among the k nearest,
+    by the most that such a product can be off; only their cosines are computed, each in the same way wherever they lie.
+    What has no finite cosine is near nobody.
+    """
+
+    def __init__(self, rows: pd.DataFrame, size: int, k: int):
+        super().__init__(rows.iloc[:0], size)
+        self.k, self.off, self.longest, self.finite = k, (size + 4) * 2.0**-22, 0.0, True
+        self.short, self.places, self.equal = np.zeros(self.store.shape, np.float32), {}, []
+        self._forget(64)
+        rows = rows.sort_values("index_row")
+        for person, active, v in zip(rows["person_id"], rows["is_active"], rows["v"]):
+            self._put(int(person), bool(active), np.asarray(v, float))
+        self.next_person = max(self.people, default=0) + 1
+
+    def _forget(self, room: int) -> None:
+        self.at: dict[bytes, int] = {}
+        self.place, self.sim = np.full((room, self.k), -1), np.full((room, self.k), -np.inf)
+        self.seen = np.zeros(room, np.int64)
+
+    def _put(self, person: int, active: bool, v: np.ndarray) -> None:
+        place = self.places.setdefault(named(v), self.used)
+        if place == self.used:
+            if self.used == len(self.store):
+                self.store, self.short = (np.vstack([x, np.zeros_like(x)]) for x in (self.store, self.short))
+            self.store[place], self.short[place] = v, v
+            length = float(np.sqrt(v @ v))
+            if np.isfinite(length):
+                self.longest = max(self.longest, length)
+            else:
+                self.finite = False
+            self.equal.append([])
+            self.used += 1
+        self.equal[place].append(len(self.people))
+        self.people.append(person)
+        self.active.append(active)
+        self.n_active[person] += active
+
+    def add(self, person: int, v: np.ndarray) -> None:
+        self._put(person, True, v)
+
+    def _slot(self, name: bytes) -> int:
+        i = self.at.setdefault(name, len(self.at))
+        if i == len(self.seen):
+            self.place, self.sim = (np.vstack([a, np.full_like(a, x)]) for a, x in ((self.place, -1), (self.sim, -np.inf)))
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
+        return i
+
+    def ask(self, names: list[bytes], vectors: np.ndarray) -> None:
+        """Brings what is kept of different vectors up to date."""
+        if len(self.at) + len(names) > max(NEAREST, len(names)):
+            self._forget(len(names))
+        slots = np.array([self._slot(n) for n in names], np.int64)
+        late = np.flatnonzero(self.seen[slots] < self.used)
+        if not len(late):
+            return
+        late = late[np.argsort(self.seen[slots[late]], kind="stable")]
+        slots, vectors, since = slots[late], vectors[late], self.seen[slots[late]]
+        short, off = vectors.astype(np.float32), self.off * self.longest * np.sqrt((vectors * vectors).sum(axis=1))
+        for a in range(int(since[0]), self.used, BLOCK):
+            b = min(a + BLOCK, self.used)
+            n = int(np.searchsorted(since, b))
+            own = slots[:n]
+            sims = short[:n] @ self.short[a:b].T
+            if not self.finite:
+                sims[~np.isfinite(sims)] = -np.inf
+            bar = self.sim[own, -1]
+            new = np.flatnonzero(bar == -np.inf)
+            if len(new) and b - a > self.k:
+                bar[new] = np.partition(sims[new], b - a - self.k, axis=1)[:, b - a - self.k] - off[new]
+            i, j = np.divmod(np.flatnonzero(sims >= (bar - off[:n])[:, None]), b - a)
+            fresh = j + a >= since[i]
+            self._merge(own, i[fresh], j[fresh] + a, vectors)
+        self.seen[slots] = self.used
+
+    def _merge(self, slots: np.ndarray, i: np.ndarray, j: np.ndarray, vectors: np.ndarray) -> None:
+        """Puts places j, which come after those kept, among the nearest of the i-th of slots and vectors."""
+        sims = np.empty(len(i))
+        for a in range(0, len(i), 4096):
+            sims[a : a + 4096] = (self.store[j[a : a + 4096]] * vectors[i[a : a + 4096]]).sum(axis=1)
+        real = np.isfinite(sims)
+        rows, at = np.unique(i[real], return_inverse=True)
+        if not len(rows):
+            return
+        own = slots[rows]
+        row = np.concatenate([np.repeat(np.arange(len(rows)), self.k), at])
+        place, sim = np.concatenate([self.place[own].ravel(), j[real]]), np.concatenate([self.sim[own].ravel(), sims[real]])
+        order = np.lexsort((place, -sim, row))
+        first = np.searchsorted(row[order], np.arange(len(rows)))
+        best = order[first[:, None] + np.arange(self.k)]
+        self.place[own], self.sim[own] = place[best], sim[best]
+
+    def near(self, name: bytes, v: np.ndarray) -> list[tuple[int, float]]:
+        """(person, similarity) of the active ones among the k nearest, the earlier first of equals."""
+        i = self.at.get(name)
+        if i is None:
+            self.ask([name], v[None])
+            i = self.at[name]
+        elif (since := int(self.seen[i])) < self.used:
+            off = self.off * self.longest * float(np.sqrt(v @ v))
+            added = self.short[since : self.used] @ v.astype(np.float32)
+            if len(found := np.flatnonzero(added >= self.sim[i, -1] - off)):
+                self._merge(np.array([i]), np.zeros(len(found), np.int64), found + since, v[None])
+            self.seen[i] = self.used
+        out, last = [], None
+        for p, sim in zip(self.place[i].tolist(), self.sim[i].tolist()):
+            if p < 0 or len(out) >= self.k and sim < last:
+                break
+            out += [(-sim, x) for x in self.equal[p][: self.k]]
+            last = sim
+        out.sort()
+        return [(self.people[x], -sim) for sim, x in out[: self.k] if self.active[x]]
+
+
 class Duplicates:
     """What a gallery has seen of its frames: its prototypes, and who is taken in the group that is being resolved."""
 
@@ -189,8 +318,17 @@ class Duplicates:
     def free(self, hits: Iterable[tuple[int, float]]) -> tuple[int, float] | None:
         return next(((p, s) for p, s in hits if p >= 0 and p not in self.taken and s >= self.t_accept), None)
 
-    def resolved(self, group: tuple[int, int], offered: Iterable[tuple[int, float]], v: np.ndarray | None) -> tuple[int | None, str, float | None]:
-        """Person, outcome and best similarity of a group's (frame, person) next detection."""
+    def hold(self, size: int) -> Nearest:
+        if self.held is None:
+            self.held, self.known = Nearest(self.known, size, self.k), None
+        return self.held
+
+    def asks(self, own: int, offered: Iterable[tuple[int, float]]) -> bool:
+        """Whether a detection needs the gallery whoever is taken."""
+        return not any(p >= 0 and p != own and s >= self.t_accept for p, s in offered)
+
+    def resolved(self, group: tuple[int, int], offered: Iterable[tuple[int, float]], name: bytes, v: np.ndarray | None) -> tuple[int | None, str, float | None]:
+        """Person, outcome and best similarity of a group's (frame, person) next detection, with the name of its vector."""
         if group != self.group:
             self.group, self.taken = group, {group[1]}
         if hit := self.free(offered):
@@ -198,8 +336,7 @@ class Duplicates:
         elif v is None:
             return None, "none", None
         else:
-            self.held = self.held or Prototypes(self.known, len(v))
-            near = self.held.search(v, self.k)
+            near = self.hold(len(v)).near(name, v)
             if hit := self.free(near):
                 out = hit[0], "found", hit[1]
                 self.held.support(hit[0], v, near, self.min_sim_add, self.most)
@@ -225,24 +362,28 @@ def resolve_duplicates(df: DataFrame, gallery: DataFrame | None = None, *, t_acc
     the first candidate that is close enough and not taken in this group (reassigned); the first such person among the
     gallery's nearest (found), which v then may support; a person of their own (dup_created, or dup_created_gray where
     the nearest is not far off). Without a vector they get nobody (none). People that are made are found by later frames,
-    so those others of a gallery stream through one task in order, which holds its prototypes; ties of score go by pos.
+    so those others of a gallery stream through one task in order, which holds its prototypes; ties of score go by pos. Rows
+    are ranked once and written, and up to DEALT galleries are dealt to tasks by their numbers of rows.
     """
     held = "v" if vectors is None else "vector_id"
     score = F.coalesce(F.when(~F.isnan("score"), F.col("score")), F.lit(float("-inf")))
     group = Window.partitionBy(key, "frame", "person_id")
-    placed = df.select(key, "frame", "pos", "person_id", "score", held, "candidates").withColumn("place", F.row_number().over(group.orderBy(score.desc(), "pos")))
+    # groups of a frame come by the first pos of each
+    placed = df.select(key, "frame", "pos", "person_id", held, "candidates", F.row_number().over(group.orderBy(score.desc(), "pos")).alias("place"), F.min("pos").over(group).alias("lead"))
     # nobody, or in no frame, is no double
     first = F.col("person_id").isNull() | F.col("frame").isNull() | (F.col("place") == 1)
-    kept = placed.where(first).select(key, "frame", "pos", "person_id", F.lit("kept").alias("outcome"), F.lit(None).cast("double").alias("best_sim"))
-    # groups of a frame come by the first pos of each
-    others = placed.withColumn("lead", F.min("pos").over(group)).where(~first)
+    needed = (F.when(~first, F.col(c)).alias(c) for c in (held, "candidates", "place", "lead"))
+    placed = materialize(placed.select(key, "frame", "pos", "person_id", first.alias("first"), *needed), "placed")
+    kept = placed.where("first").select(key, "frame", "pos", "person_id", F.lit("kept").alias("outcome"), F.lit(None).cast("double").alias("best_sim"))
+    others = placed.where("!first")
     if vectors is not None:
         others = others.join(vectors.select(F.col("id").alias("vector_id"), "v"), "vector_id", "left")
     tile = F.coalesce(F.col(key), F.lit(-(1 << 63))).cast("long").alias("tile")
     candidates = F.transform("candidates", lambda c: F.struct(c["person_id"].cast("long").alias("person_id"), c["sim"].cast("double").alias("sim")))
     others = others.select(tile, key, "frame", "lead", "place", "pos", F.col("person_id").alias("own"), F.col("v").cast("array<double>").alias("v"), candidates.alias("candidates"))
+    spark = df.sparkSession
     if gallery is None:
-        gallery = df.sparkSession.createDataFrame([], f"{key} long, {PROTOTYPES}")
+        gallery = spark.createDataFrame([], f"{key} long, {PROTOTYPES}")
     known = gallery.select(tile, "index_row", "person_id", "is_active", F.col("v").cast("array<double>").alias("v"))
 
     def load(table: pa.Table) -> tuple:
@@ -255,13 +396,25 @@ def resolve_duplicates(df: DataFrame, gallery: DataFrame | None = None, *, t_acc
         people, sims = (options.field(i).to_pylist() for i in (0, 1))
         values, begin = _lists(column(batch, "v"))
         values, real = values.to_numpy(zero_copy_only=False), column(batch, "v").is_valid().to_pylist()
-        rows = [state.resolved((frame[i], own[i]), zip(people[at[i] : at[i + 1]], sims[at[i] : at[i + 1]]), values[begin[i] : begin[i + 1]] if real[i] else None) for i in range(len(frame))]
+        names = [named(values[begin[i] : begin[i + 1]]) if real[i] else b"" for i in range(len(frame))]
+        offered = lambda i: zip(people[at[i] : at[i + 1]], sims[at[i] : at[i + 1]])
+        vector = lambda i: values[begin[i] : begin[i + 1]] if real[i] else None
+        rows = []
+        for a in range(0, len(frame), ASKING):
+            some = range(a, min(a + ASKING, len(frame)))
+            asking = {names[i]: vector(i) for i in some if real[i] and state.asks(own[i], offered(i))}
+            if asking:
+                vectors = np.stack(list(asking.values()))
+                state.hold(vectors.shape[1]).ask(list(asking), vectors)
+            rows += [state.resolved((frame[i], own[i]), offered(i), names[i], vector(i)) for i in some]
         person, outcome, best = zip(*rows)
         arrays = [column(batch, key), column(batch, "frame"), column(batch, "pos"), pa.array(person, pa.int64()), pa.array(outcome), pa.array(best, pa.float64())]
         return pa.RecordBatch.from_arrays(arrays, names=[key, "frame", "pos", "person_id", "outcome", "best_sim"])
 
     schema = f"{key} long, frame long, pos long, person_id long, outcome string, best_sim double"
-    done = meet(known, others.withColumns({c: F.col(c).cast("long") for c in (key, "frame", "pos")}), load, answer, schema, ["frame", "lead", "place"], alone=True)
+    sizes = {r["tile"]: r["count"] for r in placed.where("!first").groupBy(tile).count().limit(DEALT + 1).collect()}
+    parts = spread(sizes, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))) if len(sizes) <= DEALT else None
+    done = meet(known, others.withColumns({c: F.col(c).cast("long") for c in (key, "frame", "pos")}), load, answer, schema, ["frame", "lead", "place"], alone=True, parts=parts)
     return kept.withColumns({c: F.col(c).cast("long") for c in (key, "frame", "pos", "person_id")}).unionByName(done)
 
 

@@ -91,12 +91,12 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of frames: l_orderkey is the frame, and pos the place in it."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = Window.partitionBy("frame").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     names = F.array(*map(F.lit, CLASSES))
     x1, y1 = (F.col("l_partkey") * 7 % 200 - 20).cast("double"), (F.col("l_suppkey") * 13 % 150 - 10).cast("double")
     person = F.col("l_returnflag") != "R"
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("frame"), (F.row_number().over(order) - 1).cast("long").alias("pos"),
+    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "frame").select(
+        "frame", (F.row_number().over(order) - 1).cast("long").alias("pos"),
         F.when(person, "person").otherwise("object").alias("kind"),
         F.when(person, "person").otherwise(names[(F.col("l_partkey") % 9 + 1).cast("int")]).alias("class_name"),
         x1.alias("x1"), y1.alias("y1"), (x1 + 40 + F.col("l_quantity") * 2).alias("x2"), (y1 + 60 + F.col("l_linenumber") * 15).alias("y2"),

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from frameloom.functions import labels
-from frameloom.operators import calibration, detections, identity, records, tables
+from frameloom.operators import calibration, detections, identity, records, tables, tiles
 from frameloom.sources import store
 
 BARS = {"t_accept": 0.8, "t_reject": 0.45, "min_sim_add": 0.68, "most": 3}
@@ -117,6 +117,45 @@ def test_duplicates_are_those_of_plain_lists(spark):
         assert got == want and len({o for _, o in got.values()}) >= 5
 
 
+def test_nearest_prototypes_are_kept(monkeypatch):
+    """Among those that come again, are equal, are no numbers or are added in between, the nearest are those of a plain search
+    each time; a vector that comes again is compared with nothing twice, and equal prototypes once."""
+    monkeypatch.setattr(identity, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    for most in (1 << 17, 30):
+        monkeypatch.setattr(identity, "NEAREST", most)
+        pool = [np.array(unit(*rng.normal(size=6))) for _ in range(80)]
+        pool[7] = np.full(6, np.nan)
+        held = [(int(rng.integers(9)), bool(rng.random() < 0.8), pool[rng.integers(40)]) for _ in range(70)]
+        rows = pd.DataFrame([(i, *h) for i, h in enumerate(held)], columns=["index_row", "person_id", "is_active", "v"])
+        near = identity.Nearest(rows.sample(frac=1, random_state=1), 6, 10)
+        compared, merge = [], near._merge
+        monkeypatch.setattr(near, "_merge", lambda slots, i, j, vectors: (compared.extend((int(slots[a]), int(b)) for a, b in zip(i, j)), merge(slots, i, j, vectors))[1])
+        for step in range(60):
+            asked = [int(i) for i in rng.permutation(80)[:12]]
+            if step % 3:
+                near.ask([identity.named(pool[i]) for i in asked], np.stack([pool[i] for i in asked]))
+            for i in asked:
+                sims = [float((h[2] * pool[i]).sum()) for h in held]
+                best = sorted((-s, n) for n, s in enumerate(sims) if np.isfinite(s))[:10]
+                assert near.near(identity.named(pool[i]), pool[i]) == [(held[n][0], -s) for s, n in best if held[n][1]]
+                if rng.random() < 0.4:
+                    held.append((int(rng.integers(9)), True, pool[i]))
+                    near.add(held[-1][0], pool[i])
+        assert near.used == len({h[2].tobytes() for h in held}) < len(held) == len(near.people)
+        assert most == 30 or len(set(compared)) == len(compared)
+
+
+def test_galleries_are_dealt_evenly(spark):
+    """Eight galleries of a size are eight tasks, whatever their numbers hash to; the largest is dealt first."""
+    assert sorted(tiles.spread({t: 10 for t in range(8)}, 8).values()) == list(range(8))
+    assert tiles.spread({5: 3, -7: 9, 1: 3, 2: 3}, 2) == {-7: 0, 1: 1, 2: 1, 5: 1}
+    rows = [(g, 1, p, 1, float(p), unit(1, g), None) for g in range(8) for p in range(3)]
+    done = identity.resolve_duplicates(spark.createDataFrame(rows, DETECTIONS), **BARS).where("outcome != 'kept'")
+    parts = done.groupBy(F.spark_partition_id()).agg(F.count_distinct("gallery_id").alias("n")).collect()
+    assert max(r["n"] for r in parts) == -(-8 // max(spark.sparkContext.defaultParallelism, 4)) and done.count() == 16
+
+
 def test_gallery_goes_on_where_it_was_left(spark, tmp_path):
     rows = spark.createDataFrame([(7, 1, unit(1, 0)), (7, 2, unit(1, 0.1)), (7, 3, unit(0, 1))], "gallery_id long, id long, v array<double>")
     known = spark.createDataFrame([(7, 0, 41, True, unit(1, 0)), (7, 1, 42, False, unit(0, 1))], GALLERY)
