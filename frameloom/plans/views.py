@@ -95,8 +95,11 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, CLASSES))
     x1, y1 = (F.col("l_partkey") * 7 % 200 - 20).cast("double"), (F.col("l_suppkey") * 13 % 150 - 10).cast("double")
     person = F.col("l_returnflag") != "R"
-    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "frame").select(
-        "frame", (F.row_number().over(order) - 1).cast("long").alias("pos"),
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "frame")
+    held = ("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag")
+    # places are found before anything else is derived, so that only these columns are shuffled
+    return rows.select("frame", *held, (F.row_number().over(order) - 1).cast("long").alias("pos")).select(
+        "frame", "pos",
         F.when(person, "person").otherwise("object").alias("kind"),
         F.when(person, "person").otherwise(names[(F.col("l_partkey") % 9 + 1).cast("int")]).alias("class_name"),
         x1.alias("x1"), y1.alias("y1"), (x1 + 40 + F.col("l_quantity") * 2).alias("x2"), (y1 + 60 + F.col("l_linenumber") * 15).alias("y2"),

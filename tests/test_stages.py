@@ -35,6 +35,40 @@ def test_a_long_stage_is_several_texts(spark, tmp_path):
     assert stages.relations(whole).count() == 1
 
 
+def test_stages_take_little_disk(spark, tmp_path):
+    """Entries are shuffled once and written compressed; frames that lie across batches, repeated and unnamed ones, and entries
+    of one pos are as before, in the order of their texts."""
+    rows = [("v", str(f), p // 2, "person", f"c{3 - p}", 0.5, 0.0, 0.0, 1.0, 2.0, p, f, None, None, None) for f in range(100, 200) for p in range(4)]
+    rows += [("v", "7", None, "person", c, None, None, None, None, None, None, None, None, None, None) for c in "ba"]
+    odd = [("v", "9", 0, *rows[0][3:]), (None, "100", 0, *rows[0][3:]), ("v", None, 0, *rows[0][3:]), ("w", "100", 0, *rows[0][3:])]
+    frames = spark.createDataFrame([("v", str(f)) for f in [*range(100, 210), 100, 7, 7]] + [("v", None), ("u", "1")], "video_id string, frame string")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        whole = stages.stage_texts(frames, spark.createDataFrame(rows + odd, ENTRIES))
+        assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        stages.write_texts(whole, f"{tmp_path}/s")
+    finally:
+        spark.conf.set(key, before)
+    text = {r["video_id"]: r["text"] for r in stages.texts(spark, f"{tmp_path}/s/*").collect()}
+    got = json.loads(text["v"])
+    assert json.loads(text["u"]) == {"1": []} and sorted(text) == ["u", "v"] and list(got) == [str(f) for f in [*range(100, 210), 7]]
+    assert [e["class_name"] for e in got["150"]] == ["c2", "c3", "c0", "c1"] and [e["class_name"] for e in got["7"]] == ["a", "b"] and got["205"] == []
+    assert sum(len(v) for v in got.values()) == len(rows)
+    files = [f for f in (tmp_path / "s").rglob("part-*")]
+    assert len(files) == 2 and sum(f.stat().st_size for f in files) < len(text["v"]) / 4
+
+
+def test_more_videos_than_files_side_by_side(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "OPEN", 2)
+    frames = spark.createDataFrame([(f"v{i}", str(f)) for i in range(30) for f in range(3)], "video_id string, frame string")
+    stages.write_texts(stages.stage_texts(frames, spark.createDataFrame([], ENTRIES), size=20), f"{tmp_path}/s")
+    found = [(r["video_id"], n) for r in stages.texts(spark, f"{tmp_path}/s/*").collect() for n in json.loads(r["text"])]
+    assert sorted(found) == sorted((f"v{i}", str(f)) for i in range(30) for f in range(3))
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) == 0
+
+
 def test_odd_stage_files(spark):
     texts = [("a", "no json"), ("b", None), ("c", "[]"), ("d", '{"5": [{"kind": "person", "bbox": [1, 2]}, {"bbox": [1, 2, 3, 4.5]}], "6": null, "7": "x"}')]
     got = stages.entries(spark.createDataFrame(texts, "video_id string, text string")).collect()
